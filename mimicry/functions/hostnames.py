@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,23 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
-# What a plain DNS hostname and a port look like.
-_HOSTNAME = (
-    r"^(?=.{1,253}$)[a-z0-9_](?:[a-z0-9_-]{0,62}[a-z0-9_])?"
-    r"(?:\.[a-z0-9_](?:[a-z0-9_-]{0,62}[a-z0-9_])?)*\.?$"
-)
-_PORT = r"[1-9][0-9]{0,4}"
-_IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?!$)|$)){4}$"
-_IPV6_SHAPE = r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%.+)?$"
+# What a plain DNS hostname (or dotted IPv4 literal) and a port look like.
+_LABEL = "[a-z0-9_](?:[a-z0-9_-]{0,62}[a-z0-9_])?"
+_PORT = "[1-9][0-9]{0,4}"
+_HOSTNAME = rf"^(?=[^:]{{1,253}}(?::|$)){_LABEL}(?:\.{_LABEL})*\.?(?::{_PORT})?$"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
+_IPV6_SHAPE = r"^\[?[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%[^\]]+)?\]?(?::[0-9]*)?$"
 
 # IPv4 blocks that are private, loopback, link-local, reserved, multicast
-# or unspecified (IANA special-purpose registry), and the global holes inside them.
+# or unspecified (IANA special-purpose registry), without the global holes inside them.
 _SPECIAL_V4 = (
-    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12",
-    "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15",
-    "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+    r"0\.", r"10\.", r"127\.", r"169\.254\.", r"172\.(?:1[6-9]|2[0-9]|3[01])\.",
+    r"192\.0\.0\.", r"192\.0\.2\.", r"192\.168\.", r"198\.1[89]\.", r"198\.51\.100\.",
+    r"203\.0\.113\.", r"22[4-9]\.", r"2[3-5][0-9]\.",
 )
-_GLOBAL_V4 = ("192.0.0.9/32", "192.0.0.10/32")
+_GLOBAL_V4 = r"192\.0\.0\.(?:9|10)$"
+_PRIVATE_V4 = rf"^(?={_IPV4[1:-1]}$)(?!{_GLOBAL_V4})(?:{'|'.join(_SPECIAL_V4)})"
+
+_SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*"
+_URL_HOST = rf"^(?:{_SCHEME}:)?//(?:[^/?#\\]*@)?(\[[^\]/?#]*\]|[^:/?#\\\[]*)"
 
 # URL schemes that never reach the network, and those that may.
 INERT_SCHEMES = ("data", "blob", "about", "javascript")
@@ -43,12 +47,14 @@ def normalize_hostname(raw: Column) -> Column:
 @pandas_udf(BooleanType())
 def _special_ipv6(literals: pd.Series) -> pd.Series:
     """NULL for text that is no address, else whether the address is not global."""
-    return literals.map(_ipv6_flag, na_action="ignore").astype("object")
+    return pd.Series([_address_flag(text) for text in literals], dtype=object)
 
 
-def _ipv6_flag(literal: str) -> bool | None:
+def _address_flag(text: str | None) -> bool | None:
+    if text is None:
+        return None
     try:
-        address = ipaddress.ip_address(literal)
+        address = ipaddress.ip_address(text.strip("[]"))
     except ValueError:
         return None
     return (
@@ -61,64 +67,53 @@ def _ipv6_flag(literal: str) -> bool | None:
     )
 
 
-def _ipv6_state(text: Column) -> Column:
-    return _special_ipv6(F.when(text.rlike(_IPV6_SHAPE), text))
+@pandas_udf(BooleanType())
+def _valid_literal(hosts: pd.Series) -> pd.Series:
+    """Whether hosts with a bracket or several colons are literals with an optional port."""
+    return pd.Series([_is_literal(host) for host in hosts], dtype=object)
 
 
-def is_ipv4(text: Column) -> Column:
-    return text.rlike(_IPV4)
+def _is_literal(host: str | None) -> bool | None:
+    if host is None:
+        return None
+    if host.startswith("["):
+        name, closed, port = host[1:].partition("]")
+        port_fits = bool(closed) and (not port or bool(re.fullmatch(":" + _PORT, port)))
+    else:
+        name, _, port = host.rpartition(":")
+        port_fits = bool(re.fullmatch(_PORT, port))
+    return port_fits and _address_flag(name) is not None
 
 
-def _in_blocks(number: Column, blocks: tuple[str, ...]) -> Column:
-    hit = F.lit(False)
-    for block in map(ipaddress.ip_network, blocks):
-        hit = hit | number.between(int(block[0]), int(block[-1]))
-    return hit
+def is_ipv4(text: Column) -> Column:
+    return text.rlike(_IPV4)
 
 
 def is_private_address(host: Column) -> Column:
     """True for an IP literal that is not on the public internet; names are false."""
     literal = F.btrim(host, F.lit("[]"))
-    octets = F.split(F.when(is_ipv4(literal), literal), "\\.")
-    number = F.lit(0).cast("bigint")
-    for position in range(4):
-        number = number * 256 + octets[position].cast("bigint")
-    special_v4 = _in_blocks(number, _SPECIAL_V4) & ~_in_blocks(number, _GLOBAL_V4)
-    return F.coalesce(special_v4, _ipv6_state(literal), F.lit(False))
+    v6 = _special_ipv6(F.when(literal.rlike(_IPV6_SHAPE), literal))
+    return F.coalesce(literal.rlike(_PRIVATE_V4) | F.coalesce(v6, F.lit(False)), F.lit(False))
 
 
 def is_valid_hostname(host: Column) -> Column:
     """A DNS name or IP literal with an optional port and nothing else."""
     host = F.lower(host)
-    bracketed = host.startswith("[")
-    with_port = host.contains(":")
-    port = F.substring_index(host, ":", -1)
-    bare = F.when(
-        with_port, F.substr(host, F.lit(1), F.length(host) - F.length(port) - 1)
-    ).otherwise(host)
-    inner = F.regexp_extract(host, r"^\[([^\]]*)\](?::" + _PORT + r")?$", 1)
-    literal = F.when(bracketed, F.nullif(inner, F.lit(""))).otherwise(bare)
-    is_literal = F.coalesce(is_ipv4(literal), F.lit(False)) | _ipv6_state(literal).isNotNull()
-    port_ok = ~with_port | port.rlike("^" + _PORT + "$")
-    return (
-        F.when(host.isNull(), F.lit(False))
-        .when(bracketed, is_literal)
-        .otherwise(port_ok & (is_literal | bare.rlike(_HOSTNAME)))
+    odd = host.rlike(r"^\[|:.*:")
+    return F.coalesce(
+        host.rlike(_HOSTNAME) | F.coalesce(_valid_literal(F.when(odd, host)), F.lit(False)),
+        F.lit(False),
     )
 
 
 def url_scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    return F.lower(F.regexp_extract(url, rf"^({_SCHEME}):", 1))
 
 
 def url_host(url: Column) -> Column:
     """Lower-cased host of a URL without userinfo and port, or NULL."""
-    authority = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\\]*)", 1)
-    after_user = F.substring_index(authority, "@", -1)
-    bracketed = F.regexp_extract(after_user, r"^\[([^\]]*)\]", 1)
-    plain = F.substring_index(after_user, ":", 1)
-    host = F.when(after_user.startswith("["), bracketed).otherwise(plain)
-    return F.nullif(F.lower(host), F.lit(""))
+    found = F.regexp_extract(url, _URL_HOST, 1)
+    return F.nullif(F.lower(F.btrim(found, F.lit("[]"))), F.lit(""))
 
 
 def url_refusal(url: Column, block_private: bool = True) -> Column:

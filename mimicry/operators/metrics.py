@@ -156,7 +156,7 @@ def threshold_sweep(
 def best_threshold(sweep: DataFrame) -> DataFrame:
     """The sweep point of the best F1; the lowest threshold on ties."""
     best = F.max_by(F.struct(*sweep.columns), F.struct(F.col("f1"), -F.col("threshold")))
-    return sweep.agg(best.alias("best")).select("best.*")
+    return sweep.agg(best.alias("__best")).select("__best.*")
 
 
 def mistakes(predictions: DataFrame) -> DataFrame:

@@ -202,7 +202,7 @@ def latest_verdicts(verdicts: DataFrame, model: str | None = None) -> DataFrame:
     """The newest verdict (highest id) of each host that is not an error."""
     usable = verdicts.where((F.col("label") != "error") & if_set("model", model))
     newest = F.max(F.struct("verdict_id", *_VERDICT_FIELDS))
-    return usable.groupBy("fqdn").agg(newest.alias("v")).select("fqdn", "v.*")
+    return usable.groupBy("fqdn").agg(newest.alias("__latest")).select("fqdn", "__latest.*")
 
 
 def findings(
@@ -286,8 +286,8 @@ def latest_captures(sites: DataFrame, captures: DataFrame) -> DataFrame:
     return (
         captures.join(sites.select("fqdn").distinct(), "fqdn", "left_semi")
         .groupBy("fqdn")
-        .agg(newest.alias("c"))
-        .select("fqdn", "c.*")
+        .agg(newest.alias("__capture"))
+        .select("fqdn", "__capture.*")
     )
 
 
@@ -315,7 +315,7 @@ def captures_with_verdict(
                     "verdict_id", "label", "brand_impersonated", "latency_ms", "prompt_tokens",
                     "completion_tokens", "cost_usd",
                 )
-            ).alias("v")
+            ).alias("__verdict")
         )
     )
     zero = F.lit(0)
@@ -324,13 +324,13 @@ def captures_with_verdict(
         "status",
         "screenshot_path",
         F.coalesce("duration_ms", zero).alias("capture_ms"),
-        F.col("v.label").alias("verdict_label"),
-        F.col("v.brand_impersonated").alias("verdict_brand"),
-        F.coalesce("v.latency_ms", zero).alias("classify_ms"),
-        (F.coalesce("v.prompt_tokens", zero) + F.coalesce("v.completion_tokens", zero)).alias(
+        F.col("__verdict.label").alias("verdict_label"),
+        F.col("__verdict.brand_impersonated").alias("verdict_brand"),
+        F.coalesce("__verdict.latency_ms", zero).alias("classify_ms"),
+        (F.coalesce("__verdict.prompt_tokens", zero) + F.coalesce("__verdict.completion_tokens", zero)).alias(
             "tokens"
         ),
-        F.coalesce("v.cost_usd", F.lit(0.0)).alias("cost_usd"),
+        F.coalesce("__verdict.cost_usd", F.lit(0.0)).alias("cost_usd"),
     )
 
 

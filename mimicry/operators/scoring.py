@@ -155,7 +155,7 @@ def _relation(brand: Brand, position: int, cfg: Scoring, every: bool) -> Column:
 def _keyword_hits(cfg: Scoring) -> Column:
     """Configured keywords left in the host once the brand's own tokens are removed."""
     rest = F.aggregate(
-        F.col("rel.tokens"),
+        F.col("__rel.tokens"),
         F.concat(F.col("subdomain_sk"), F.lit("."), F.col("label_sk")),
         lambda text, token: F.replace(text, token, F.lit(" ")),
     )
@@ -254,16 +254,20 @@ class Scorer:
                 F.lit(0).alias("brand_pos"), F.lit(0.0).alias("score"),
                 F.lit(None).cast(FEATURES).alias("features"),
             ).where(F.lit(False))
-        related = forms.withColumn("rel", F.explode(F.array_compact(F.array(*relations))))
+        # The outer form keeps the optimiser from evaluating the relations once more in a
+        # filter that asks whether there are any.
+        related = forms.withColumn("__rel", F.explode_outer(F.array(*relations))).where(
+            "__rel IS NOT NULL"
+        )
         typo = F.coalesce(
-            typo_similarity(F.col("rel.typo_label"), F.col("rel.typo_tokens")), F.lit(0.0)
+            typo_similarity(F.col("__rel.typo_label"), F.col("__rel.typo_tokens")), F.lit(0.0)
         )
         features = F.struct(
-            F.col("rel.fuzzers").alias("known_variant_fuzzers"),
+            F.col("__rel.fuzzers").alias("known_variant_fuzzers"),
             F.col("__typo").alias("typo_similarity"),
-            F.col("rel.in_label").alias("token_in_registered_label"),
-            F.col("rel.in_subdomain").alias("token_in_subdomain"),
-            F.col("rel.homoglyph").alias("homoglyph"),
+            F.col("__rel.in_label").alias("token_in_registered_label"),
+            F.col("__rel.in_subdomain").alias("token_in_subdomain"),
+            F.col("__rel.homoglyph").alias("homoglyph"),
             _keyword_hits(cfg).alias("keyword_hits"),
             F.col("free_dv").alias("free_dv_issuer"),
         )
@@ -275,8 +279,8 @@ class Scorer:
         return scored.where(F.col("score") >= floor).select(
             *keep,
             "registered_domain",
-            F.col("rel.brand").alias("brand"),
-            F.col("rel.brand_pos").alias("brand_pos"),
+            F.col("__rel.brand").alias("brand"),
+            F.col("__rel.brand_pos").alias("brand_pos"),
             "score",
             "features",
         )

@@ -188,7 +188,7 @@ def model_predictions(
             F.struct(
                 "verdict_id", "label", "latency_ms", "prompt_tokens", "completion_tokens", "cost_usd"
             )
-        ).alias("v")
+        ).alias("__verdict")
     )
     loaded = (
         scored.select("fqdn", "expected", "score")
@@ -198,16 +198,16 @@ def model_predictions(
     )
     alerted = F.col("score") >= alert_threshold
     zero = F.lit(0)
-    return loaded.where(~alerted | F.col("v.label").isNotNull()).select(
+    return loaded.where(~alerted | F.col("__verdict.label").isNotNull()).select(
         "model",
         "fqdn",
         "expected",
-        F.when(alerted, F.col("v.label")).otherwise(F.lit("legitimate")).alias("predicted"),
-        F.coalesce("v.latency_ms", zero).alias("classify_ms"),
-        (F.coalesce("v.prompt_tokens", zero) + F.coalesce("v.completion_tokens", zero)).alias(
+        F.when(alerted, F.col("__verdict.label")).otherwise(F.lit("legitimate")).alias("predicted"),
+        F.coalesce("__verdict.latency_ms", zero).alias("classify_ms"),
+        (F.coalesce("__verdict.prompt_tokens", zero) + F.coalesce("__verdict.completion_tokens", zero)).alias(
             "tokens"
         ),
-        F.coalesce("v.cost_usd", F.lit(0.0)).alias("cost_usd"),
+        F.coalesce("__verdict.cost_usd", F.lit(0.0)).alias("cost_usd"),
     )
 
 

@@ -31,7 +31,7 @@ def first_sightings(certificates: DataFrame) -> DataFrame:
         F.explode("all_domains").alias("name"),
         F.struct("arrival", "cert_sha256", "seen_at", "issuer_org").alias("sighting"),
     )
-    return names.groupBy("name").agg(F.min("sighting").alias("first")).select("name", "first.*")
+    return names.groupBy("name").agg(F.min("sighting").alias("__first")).select("name", "__first.*")
 
 
 def score_certificates(certificates: DataFrame, scorer: Scorer) -> DataFrame:
@@ -54,16 +54,16 @@ def score_certificates(certificates: DataFrame, scorer: Scorer) -> DataFrame:
     )
     scored = scorer.score(hosts)
     row = F.struct("registered_domain", "score", "features", "sighting")
-    first = scored.groupBy(*MATCH_KEY).agg(F.min_by(row, "sighting").alias("m"))
+    first = scored.groupBy(*MATCH_KEY).agg(F.min_by(row, "sighting").alias("__match"))
     return first.select(
         "fqdn",
         "brand",
-        "m.registered_domain",
-        "m.score",
-        (F.col("m.score") >= cfg.alert_threshold).alias("is_alert"),
-        "m.features",
-        "m.sighting.cert_sha256",
-        F.col("m.sighting.seen_at").alias("first_seen_at"),
+        "__match.registered_domain",
+        "__match.score",
+        (F.col("__match.score") >= cfg.alert_threshold).alias("is_alert"),
+        "__match.features",
+        "__match.sighting.cert_sha256",
+        F.col("__match.sighting.seen_at").alias("first_seen_at"),
     )
 
 
@@ -74,15 +74,16 @@ def ingest(
     stored_certificates: DataFrame | None = None,
 ) -> Ingested:
     """New matches, and the certificates they refer to that are not stored yet."""
-    matches = score_certificates(certificates, scorer)
+    # Scored once, read by both results and by the look-up of what is stored.
+    matches = score_certificates(certificates, scorer).persist()
     if stored_matches is not None:
         matches = absent(matches, stored_matches, MATCH_KEY)
     fields = [c for c in CERTIFICATE_COLUMNS if c != "cert_sha256"]
     used = (
         certificates.join(matches.select("cert_sha256").distinct(), "cert_sha256", "left_semi")
         .groupBy("cert_sha256")
-        .agg(F.min_by(F.struct(*fields), "arrival").alias("c"))
-        .select("cert_sha256", "c.*")
+        .agg(F.min_by(F.struct(*fields), "arrival").alias("__cert"))
+        .select("cert_sha256", "__cert.*")
     )
     if stored_certificates is not None:
         used = absent(used, stored_certificates, ("cert_sha256",))

@@ -80,15 +80,15 @@ def new_candidates(candidates: DataFrame, present: DataFrame, today: Column) ->
     ``candidates`` carries ``place``, the order of its sources; ``present`` the hosts known.
     """
     fields = ("source", "suggestion", "brand", "note")
-    first = candidates.groupBy("fqdn").agg(F.min_by(F.struct(*fields), "place").alias("c"))
+    first = candidates.groupBy("fqdn").agg(F.min_by(F.struct(*fields), "place").alias("__first"))
     return first.join(present.select("fqdn"), "fqdn", "left_anti").select(
         "fqdn",
         F.lit(None).cast("string").alias("expected"),
-        "c.suggestion",
-        "c.brand",
-        "c.source",
+        "__first.suggestion",
+        "__first.brand",
+        "__first.source",
         F.date_format(today, "yyyy-MM-dd").alias("labelled_at"),
-        "c.note",
+        "__first.note",
         F.lit("screenshot").alias("label_basis"),
     )
 
@@ -196,4 +196,4 @@ def current_labels(sets: DataFrame) -> DataFrame:
     """The label in force per site over all sets (column ``dest``); the tracked set wins."""
     rank = F.struct((F.col("dest") == "tracked").cast("int").alias("tracked"), F.col("dest"))
     fields = F.struct("expected", "labelled_by", "labelled_at", "dest")
-    return sets.groupBy("fqdn").agg(F.max_by(fields, rank).alias("l")).select("fqdn", "l.*")
+    return sets.groupBy("fqdn").agg(F.max_by(fields, rank).alias("__label")).select("fqdn", "__label.*")

@@ -72,6 +72,7 @@ def classify_by_replies(
     Captures that need no model get their offline verdict; a reply that does not parse
     becomes an error row, so the capture is not tried for ever.
     """
+    queue = queue.drop("error")
     offline = queue.withColumn("verdict", _offline()).where("verdict IS NOT NULL")
     rows = _verdict_rows(offline, backend, model, classified_at)
     asked = queue.where(_offline().isNull()).join(parse_replies(replies), "capture_id")
@@ -86,7 +87,6 @@ def classify_by_replies(
         "cost_usd": F.when(fine, cost),
         "error": F.substring("error", 1, 500),
     }
-    asked = asked.drop(*[c for c in queue.columns if c == "error"])
     return rows.unionByName(_verdict_rows(asked, backend, model, classified_at, **extra))
 
 

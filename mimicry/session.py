@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows up to which a data-derived side may be broadcast. About 100 bytes a row in the
@@ -35,6 +35,17 @@ def shared_folder(spark: SparkSession, fallback: str) -> str:
     return fallback
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns evaluated once per row, however often they are used later.
+
+    The optimiser copies a projected expression into every filter and projection above
+    it. Produced by a generator of exactly one row, the value is computed and kept.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline_outer(F.array(row)))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after checking the size; larger sides are left to shuffle.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mimicry.config import Brand
 from mimicry.functions.hostnames import is_valid_hostname, url_host, url_scheme
+from mimicry.session import computed_once
 from mimicry.sources.lines import read_lines
 
 
@@ -28,10 +29,10 @@ def feed_entries(lines: DataFrame, source: str) -> DataFrame:
         lines.select(url.alias("url"), "arrival")
         .where((F.col("url") != "") & ~F.col("url").startswith("#"))
         .where(url_scheme(F.col("url")).isin("http", "https"))
-        .withColumn("fqdn", url_host(F.col("url")))
-        .where(F.col("fqdn").isNotNull() & is_valid_hostname(F.col("fqdn")))
     )
-    return usable.groupBy("fqdn").agg(F.min_by("url", "arrival").alias("url")).withColumn(
+    hosts = computed_once(usable, fqdn=url_host(F.col("url")))
+    valid = hosts.where(F.col("fqdn").isNotNull() & is_valid_hostname(F.col("fqdn")))
+    return valid.groupBy("fqdn").agg(F.min_by("url", "arrival").alias("url")).withColumn(
         "source", F.lit(source)
     )
 

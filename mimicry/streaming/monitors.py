@@ -18,11 +18,11 @@ WATERMARK = "1 hour"
 
 
 def windowed(
-    events: DataFrame, at: str, width: str, watermark: str | None = WATERMARK, **figures: Column
+    df: DataFrame, at: str, width: str, watermark: str | None = WATERMARK, /, **figures: Column
 ) -> DataFrame:
     """(window_start, figures...) per tumbling window of event time."""
-    timed = events.withColumn(at, F.col(at).cast("timestamp"))
-    if events.isStreaming and watermark:
+    timed = df.withColumn(at, F.col(at).cast("timestamp"))
+    if df.isStreaming and watermark:
         timed = timed.withWatermark(at, watermark)
     grouped = timed.groupBy(F.window(at, width).alias("w"))
     named = [value.alias(name) for name, value in figures.items()]
