@@ -10,6 +10,7 @@ from mimicry.config import DEFAULT_BRANDS
 from mimicry.plans import labelling as lab
 from mimicry.sources import feeds
 from mimicry.sources.labelled import parse_labelled, problems
+from mimicry.session import computed_once
 from mimicry.staging import Tables
 
 
@@ -192,6 +193,11 @@ _SET_LINES = """
     FROM {labelled}"""
 
 
+def _set_lines(t: Tables) -> DataFrame:
+    lines = t.spark.sql(_SET_LINES, labelled=t.labelled)
+    return computed_once(lines, value=F.col("value"))
+
+
 @query(check(("labelled",), """
     SELECT line_no, CASE c_custkey % 11 WHEN 1 THEN 'not valid JSON' WHEN 2 THEN 'missing field(s) source'
         WHEN 3 THEN 'unknown label malware' WHEN 4 THEN 'labelled_at must be an ISO date' WHEN 5 THEN fqdn || ' has no label yet'
@@ -201,7 +207,7 @@ _SET_LINES = """
     SELECT max(c_custkey), 'same.example.org is also in set.jsonl:' || min(c_custkey) FROM labelled
     WHERE c_custkey % 11 = 8 HAVING count(*) > 1"""))
 def labelled_problems(t: Tables) -> DataFrame:
-    lines = t.spark.sql(_SET_LINES, labelled=t.labelled).withColumn("file_path", F.lit("set.jsonl"))
+    lines = _set_lines(t).withColumn("file_path", F.lit("set.jsonl"))
     return problems(parse_labelled(lines)).drop("file_path")
 
 
@@ -211,7 +217,7 @@ def labelled_problems(t: Tables) -> DataFrame:
            CASE WHEN c_custkey % 11 IN (9, 10) THEN 'feed' ELSE 'screenshot' END AS label_basis,
            '2024-01-01' AS labelled_at FROM labelled WHERE c_custkey % 11 IN (5, 8, 9, 10)"""))
 def labelled_scan(t: Tables) -> DataFrame:
-    lines = t.spark.sql(_SET_LINES, labelled=t.labelled)
+    lines = _set_lines(t)
     kept = parse_labelled(lines, allow_unlabelled=True).where("reject_reason IS NULL")
     return kept.select(
         "line_no", "fqdn", "expected", "label_basis", F.col("labelled_at").cast("string").alias("labelled_at")

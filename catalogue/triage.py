@@ -18,6 +18,7 @@ from mimicry.operators.signals import has_login_form, page_signals
 from mimicry.plans import triage as tr
 from mimicry.sources.results import bound_results
 from mimicry.sources.sinks import normalise_paths, notification_lines
+from mimicry.session import computed_once
 from mimicry.staging import Tables
 
 
@@ -111,7 +112,7 @@ _JUDGED = """judged AS (
 
 def _replies(t: Tables) -> DataFrame:
     told = t.verdicts.selectExpr("*", f"{_PAYLOAD} AS payload")
-    return told.selectExpr("*", f"{_REPLY} AS reply")
+    return computed_once(told.selectExpr("*", f"{_REPLY} AS reply"), reply=F.col("reply"))
 
 
 @query(check(("verdicts",), f"""
@@ -190,6 +191,7 @@ _IMPORT = [
 
 def _import(t: Tables) -> tr.ImportedResults:
     lines = t.spark.sql(_LINE, captures=t.captures).select("line_no", "value")
+    lines = computed_once(lines, value=F.col("value"))
     jobs = t.labelled.where("c_custkey % 5 <> 0").select("fqdn")
     return tr.import_results(lines, jobs, _now(), "home")
 

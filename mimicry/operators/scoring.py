@@ -152,6 +152,30 @@ def _relation(brand: Brand, position: int, cfg: Scoring, every: bool) -> Column:
     return F.when(~official if every else (~official & related), signals)
 
 
+def _may_be_related(brands: Sequence[Brand], cfg: Scoring) -> Column:
+    """False only for hosts unrelated to every brand: no false negatives, cheap to tell.
+
+    A token found once negatives are cut out is also found before, and a whole word is
+    also a substring, so plain substring tests are enough here.
+    """
+    tokens = sorted({t for b in brands for t in b.tokens})
+    related = F.col("variant_domain").isNotNull()
+    for part in ("label", "subdomain"):
+        for token in sorted(set(map(fold_word, tokens))):
+            related = related | F.col(f"{part}_sk").contains(token)
+        for token in sorted(set(map(fold_word_loose, tokens))):
+            related = related | F.col(f"{part}_loose").contains(token)
+    by_negatives: dict[tuple[str, ...], set[str]] = {}
+    for brand in brands:
+        negatives = tuple(fold_word(t) for t in brand.negative_tokens)
+        by_negatives.setdefault(negatives, set()).update(typo_tokens(brand, cfg))
+    for negatives, words in by_negatives.items():
+        if words:
+            label = _without(F.col("label_loose"), negatives)
+            related = related | _may_be_typo(label, sorted(words), cfg)
+    return related
+
+
 def _keyword_hits(cfg: Scoring) -> Column:
     """Configured keywords left in the host once the brand's own tokens are removed."""
     rest = F.aggregate(
@@ -220,6 +244,12 @@ class Scorer:
         # Small and used by every scoring job of the session: computed once and kept.
         self.variants = variants.persist()
         self._index = broadcast_if_small(variant_index(self.variants))
+        # The brands' checks are the same for every input: built once, bound on use.
+        self._prefilter = _may_be_related(self.brands, self.cfg)
+        self._relations = {
+            every: [_relation(brand, p, self.cfg, every) for p, brand in enumerate(self.brands)]
+            for every in (False, True)
+        }
 
     def score(
         self,
@@ -241,12 +271,14 @@ class Scorer:
         forms = host_forms(hosts).join(
             self._index, F.col("registered_domain") == F.col("variant_domain"), "left"
         )
+        if not every and self.brands:
+            forms = forms.where(self._prefilter)
         relations = [
             F.when(
                 F.lit(True) if only_brand is None else F.col(only_brand) == brand.name,
-                _relation(brand, position, cfg, every),
+                relation,
             )
-            for position, brand in enumerate(self.brands)
+            for brand, relation in zip(self.brands, self._relations[every], strict=True)
         ]
         if not relations:
             return hosts.select(

@@ -73,7 +73,14 @@ def ascii_label(label: Column) -> Column:
 
 
 def _pairs(pairs: Sequence[tuple[str, str]]) -> Column:
-    return F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in pairs])
+    """The pairs as one folded literal array of structs."""
+    joined = F.split(F.lit(" ".join(f"{old}>{new}" for old, new in pairs)), " ")
+    return F.transform(
+        joined,
+        lambda p: F.struct(
+            F.substring_index(p, ">", 1).alias("old"), F.substring_index(p, ">", -1).alias("new")
+        ),
+    )
 
 
 def _here(pairs: Sequence[tuple[str, str]]) -> Column:
@@ -120,7 +127,8 @@ def _spellings() -> dict[str, Column]:
     at = F.col("at")
     near = [(key, new) for key, keys in keyboard_neighbours().items() for new in keys]
     vowels = [(a, b) for a in _VOWELS for b in _VOWELS if a != b]
-    appended = F.array(*[F.concat("label", F.lit(c)) for c in _ALPHABET])
+    letters = F.split(F.lit(" ".join(_ALPHABET)), " ")
+    appended = F.transform(letters, lambda c: F.concat("label", c))
     swapped = F.concat(_before(at - 1), _char(at), _char(at - 1), _from(at + 1))
     hyphenated = F.concat(_before(at), F.lit("-"), _from(at))
     return {

