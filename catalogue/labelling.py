@@ -62,7 +62,7 @@ _ALL = [
     _FEED_CANDIDATES,
     """alerting AS (SELECT DISTINCT fqdn, 'alerts' AS source, CAST(NULL AS VARCHAR) AS suggestion,
                     CAST(NULL AS VARCHAR) AS brand, 'alerted' AS note FROM matches WHERE is_alert)""",
-    "present AS (SELECT fqdn FROM labelled WHERE c_custkey % 3 = 0)",
+    "present AS (SELECT fqdn FROM labelled WHERE labelled_by = 'human')",
     """fresh AS (
         SELECT fqdn, source, suggestion, brand, note FROM (
             SELECT *, row_number() OVER (PARTITION BY fqdn ORDER BY place) AS rn FROM (
@@ -82,7 +82,7 @@ def _candidates(t: Tables) -> DataFrame:
 
 
 def _fresh(t: Tables) -> DataFrame:
-    present = t.labelled.where("c_custkey % 3 = 0")
+    present = t.labelled.where("labelled_by = 'human'")
     return lab.new_candidates(_candidates(t), present, _today())
 
 
@@ -101,11 +101,11 @@ def candidate_counts(t: Tables) -> DataFrame:
 
 _LABELS = """given AS (
     SELECT fqdn, CASE c_custkey % 4 WHEN 0 THEN 'phishing' WHEN 1 THEN 'parked' WHEN 2 THEN 'unreachable' ELSE 'legitimate' END AS label,
-           c_custkey FROM labelled WHERE c_custkey % 2 = 0 OR c_custkey % 5 = 0)"""
+           c_custkey FROM labelled WHERE expected <> 'legitimate')"""
 _PLACED = [
     _LABELS,
-    """sets AS (SELECT fqdn, expected, labelled_by, CASE WHEN c_custkey % 6 < 2 THEN 'tracked' ELSE 'feed-a' END AS dest
-                FROM labelled WHERE c_custkey % 6 < 4)""",
+    """sets AS (SELECT fqdn, expected, labelled_by, CASE WHEN source = 'alerts' THEN 'tracked' ELSE 'feed-a' END AS dest
+                FROM labelled WHERE source <> '')""",
     """routed AS (
         SELECT g.fqdn, g.label, CASE WHEN s.dest IS NOT NULL THEN s.dest
                     WHEN g.fqdn IN (SELECT fqdn FROM matches) THEN 'tracked' ELSE 'feed' END AS dest
@@ -115,14 +115,14 @@ _PLACED = [
 
 def _given(t: Tables) -> DataFrame:
     label = F.expr("element_at(array('phishing', 'parked', 'unreachable', 'legitimate'), CAST(c_custkey % 4 AS INT) + 1)")
-    given = t.labelled.where("c_custkey % 2 = 0 OR c_custkey % 5 = 0")
+    given = t.labelled.where("expected <> 'legitimate'")
     return given.select("fqdn", label.alias("label"))
 
 
 def _sets(t: Tables) -> DataFrame:
-    dest = F.expr("CASE WHEN c_custkey % 6 < 2 THEN 'tracked' ELSE 'feed-a' END")
+    dest = F.expr("CASE WHEN source = 'alerts' THEN 'tracked' ELSE 'feed-a' END")
     day = F.lit("2024-01-01").cast("date").alias("labelled_at")
-    kept = t.labelled.where("c_custkey % 6 < 4")
+    kept = t.labelled.where("source <> ''")
     return kept.select("fqdn", "expected", "labelled_by", day, dest.alias("dest"))
 
 
@@ -148,10 +148,10 @@ def label_routing(t: Tables) -> DataFrame:
                 THEN coalesce(l.note || '; ', '') || 'relabelled by a human; was ' || l.expected || ' (' || coalesce(l.labelled_by, '?') || ')'
                 ELSE l.note END AS note,
            CASE WHEN g.label IS NOT NULL THEN 'human' ELSE l.labelled_by END AS labelled_by
-    FROM (SELECT * FROM labelled WHERE c_custkey % 6 < 4) l
+    FROM (SELECT * FROM labelled WHERE source <> '') l
     FULL JOIN (SELECT * FROM given WHERE label <> 'unreachable') g USING (fqdn)""", _LABELS))
 def label_upsert(t: Tables) -> DataFrame:
-    current = t.labelled.where("c_custkey % 6 < 4").select(
+    current = t.labelled.where("source <> ''").select(
         "fqdn", "expected", "source", F.lit("2024-01-01").cast("date").alias("labelled_at"), "brand",
         "note", F.lit(None).cast("string").alias("suggestion"), F.lit("feed").alias("label_basis"),
         "labelled_by",

@@ -68,7 +68,7 @@ _DUE = f"""
     WHERE NOT already_alerted AND label = 'phishing' AND confidence >= 0.6"""
 
 
-def _due(t: Tables, announced: DataFrame | None = None, limit: int = 50) -> DataFrame:
+def _due(t: Tables, announced: DataFrame | None = None, limit: int | None = 50) -> DataFrame:
     due = q.pending_alerts(
         t.verdicts, t.captures, t.matches, POLICY.labels, POLICY.min_confidence, limit, announced
     )
@@ -82,9 +82,9 @@ def alert_policy(t: Tables) -> DataFrame:
 
 
 @query(check(("matches", "captures", "verdicts"),
-             _DUE + " AND verdict_id % 3 <> 0 ORDER BY confidence DESC, verdict_id DESC LIMIT 30", BEST))
+             _DUE + " AND model IS DISTINCT FROM 'large' ORDER BY confidence DESC, verdict_id DESC LIMIT 30", BEST))
 def alerts_not_announced(t: Tables) -> DataFrame:
-    ledger = t.verdicts.where("verdict_id % 3 = 0").select("verdict_id")
+    ledger = t.verdicts.where("model = 'large'").select("verdict_id")
     return _due(t, ledger, 30)
 
 
@@ -96,7 +96,7 @@ _FINDINGS = f"""
     WHERE label IN ('phishing', 'parked') AND confidence >= 0.5"""
 
 
-def _findings(t: Tables, limit: int) -> DataFrame:
+def _findings(t: Tables, limit: int | None) -> DataFrame:
     return q.findings(t.verdicts, t.captures, t.matches, ("phishing", "parked"), 0.5, limit)
 
 
@@ -111,7 +111,7 @@ def findings(t: Tables) -> DataFrame:
     SELECT verdict_id, fqdn, label FROM ({_FINDINGS}) f
     WHERE fqdn NOT IN (SELECT fqdn FROM labelled WHERE labelled_by = 'human')""", BEST, LATEST))
 def unreviewed_findings(t: Tables) -> DataFrame:
-    found = _findings(t, 2_000_000_000)
+    found = _findings(t, None)
     return q.unreviewed(found, t.labelled).select("verdict_id", "fqdn", "label")
 
 
@@ -168,7 +168,7 @@ def same_site_targets(t: Tables) -> DataFrame:
     SELECT fqdn, brand, c_custkey AS line_no FROM (
         SELECT *, DATE '2024-01-01' + CAST(c_custkey % 40 AS INTEGER) AS labelled_at FROM labelled) e
     WHERE labelled_at >= DATE '2024-01-21'
-      AND fqdn NOT IN (SELECT fqdn FROM captures WHERE capture_id % 3 = 0)
+      AND fqdn NOT IN (SELECT fqdn FROM captures WHERE vantage = 'home')
     ORDER BY c_custkey DESC LIMIT 50"""))
 def fresh_feed_targets(t: Tables) -> DataFrame:
     listed = F.expr("date_add(DATE '2024-01-01', CAST(c_custkey % 40 AS INT))")
@@ -176,7 +176,7 @@ def fresh_feed_targets(t: Tables) -> DataFrame:
         "fqdn", "brand", listed.alias("labelled_at"), F.col("c_custkey").alias("line_no")
     )
     today = F.lit("2024-01-31").cast("date")
-    done = t.captures.where("capture_id % 3 = 0")
+    done = t.captures.where("vantage = 'home'")
     return q.fresh_feed_targets(entries, done, today, 10, 50).select("fqdn", "brand", "line_no")
 
 
@@ -205,11 +205,11 @@ def failed_reset(t: Tables) -> DataFrame:
 
 @query(check(("verdicts",), """
     SELECT n.verdict_id, n.capture_id, n.backend, n.model FROM verdicts n
-    WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM verdicts WHERE capture_id % 2 = 0) s
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM verdicts WHERE label = 'parked') s
                       WHERE s.capture_id = n.capture_id AND s.backend = n.backend
                         AND s.model IS NOT DISTINCT FROM n.model)"""))
 def verdict_insert(t: Tables) -> DataFrame:
-    stored = t.verdicts.where("capture_id % 2 = 0")
+    stored = t.verdicts.where("label = 'parked'")
     fresh = absent(t.verdicts, stored, ("capture_id", "backend", "model"))
     return fresh.select("verdict_id", "capture_id", "backend", "model")
 

@@ -130,10 +130,10 @@ def reply_parse(t: Tables) -> DataFrame:
                               WHEN j.error IS NOT NULL THEN 'error' ELSE j.label END AS label,
            CASE WHEN status = 'ok' AND screenshot_path IS NOT NULL AND j.error IS NULL
                 THEN {rounded("prompt_tokens / 1000 * 0.02 + coalesce(completion_tokens, 0) / 1000 * 0.06", 6)} END AS cost_usd
-    FROM captures c LEFT JOIN (SELECT * FROM judged WHERE verdict_id % 10 = 3) j USING (capture_id)
+    FROM captures c LEFT JOIN (SELECT * FROM judged WHERE backend = 'vision' AND model = 'medium') j USING (capture_id)
     WHERE status <> 'ok' OR screenshot_path IS NULL OR j.verdict_id IS NOT NULL""", _REPLIES, _JUDGED))
 def reply_verdicts(t: Tables) -> DataFrame:
-    replies = _replies(t).where("verdict_id % 10 = 3").select(
+    replies = _replies(t).where("backend = 'vision' AND model = 'medium'").select(
         "capture_id", "reply", "latency_ms", "prompt_tokens", "completion_tokens"
     )
     queue = t.captures.withColumn("suspected_brand", F.lit("unknown"))
@@ -171,7 +171,7 @@ _LINE = """
 _LINES = "lines AS (" + _LINE.format(captures="captures") + ")"
 _IMPORT = [
     _LINES,
-    "jobs AS (SELECT fqdn FROM labelled WHERE c_custkey % 5 <> 0)",
+    "jobs AS (SELECT fqdn FROM labelled WHERE source <> 'feed')",
     """valid AS (
         SELECT l.*, c.screenshot_path, c.duration_ms, CASE l.line_no % 12
                    WHEN 0 THEN '1 invalid field(s)' WHEN 1 THEN '2 invalid field(s)' WHEN 2 THEN '3 invalid field(s)' END AS bad
@@ -192,7 +192,7 @@ _IMPORT = [
 def _import(t: Tables) -> tr.ImportedResults:
     lines = t.spark.sql(_LINE, captures=t.captures).select("line_no", "value")
     lines = computed_once(lines, value=F.col("value"))
-    jobs = t.labelled.where("c_custkey % 5 <> 0").select("fqdn")
+    jobs = t.labelled.where("source <> 'feed'").select("fqdn")
     return tr.import_results(lines, jobs, _now(), "home")
 
 
@@ -300,7 +300,7 @@ _DUE = f"""due AS (
 
 def _due(t: Tables) -> DataFrame:
     return q.pending_alerts(
-        t.verdicts, t.captures, t.matches, ("phishing", "parked"), 0.3, 2_000_000_000
+        t.verdicts, t.captures, t.matches, ("phishing", "parked"), 0.3, None
     )
 
 

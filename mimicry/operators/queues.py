@@ -162,7 +162,7 @@ def pending_alerts(
     matches: DataFrame,
     labels: Sequence[str],
     min_confidence: float,
-    limit: int,
+    limit: int | None,
     announced: DataFrame | None = None,
 ) -> DataFrame:
     """Verdicts the policy announces, most confident first.
@@ -179,7 +179,7 @@ def pending_alerts(
         due = due.join(announced.select("verdict_id"), "verdict_id", "left_anti")
     scores = matches.groupBy("fqdn").agg(F.max("score").alias("score"))
     pages = captures.select("capture_id", "screenshot_path", "final_url")
-    return (
+    found = (
         due.join(scores, "fqdn")
         .join(pages, "capture_id")
         .select(
@@ -188,8 +188,8 @@ def pending_alerts(
             "final_url", "classified_at",
         )
         .orderBy(F.desc("confidence"), F.desc("verdict_id"))
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)
 
 
 _VERDICT_FIELDS = (
@@ -211,7 +211,7 @@ def findings(
     matches: DataFrame,
     labels: Sequence[str] = (),
     min_confidence: float = 0.0,
-    limit: int = 200,
+    limit: int | None = 200,
     model: str | None = None,
 ) -> DataFrame:
     """Latest verdict per host, then filtered, newest first."""
@@ -220,7 +220,7 @@ def findings(
     )
     pages = captures.select("capture_id", "final_url", "screenshot_path")
     scores = matches.groupBy("fqdn").agg(F.max("score").alias("score"))
-    return (
+    found = (
         latest.join(pages, "capture_id")
         .join(scores, "fqdn", "left")
         .select(
@@ -229,8 +229,8 @@ def findings(
             "final_url", "screenshot_path", "model", "classified_at", "alerted_at",
         )
         .orderBy(F.desc("classified_at"), F.desc("verdict_id"))
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)
 
 
 def unreviewed(found: DataFrame, current: DataFrame) -> DataFrame:
