@@ -11,7 +11,7 @@ from functools import reduce
 from operator import and_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mimicry.functions.text import clean_text
@@ -78,14 +78,14 @@ def read_batches(
     return stored.drop("batch_id")
 
 
-def insert_if_absent(df: DataFrame, path: str, schema: str, keys: Sequence[str]) -> DataFrame:
-    """Append the rows whose key is new; returns what was written, for counting."""
-    spark = df.sparkSession
+def insert_if_absent(df: DataFrame, path: str, schema: str, keys: Sequence[str]) -> int:
+    """Append the rows whose key is new; returns how many there were."""
     computed = df.persist()
-    fresh = absent_batch(computed, read_table(spark, path, schema), keys).persist()
-    append(fresh, path)
+    fresh = absent_batch(computed, read_table(df.sparkSession, path, schema), keys)
+    written = Observation()
+    append(fresh.observe(written, F.count(F.lit(1)).alias("rows")), path)
     computed.unpersist()
-    return fresh
+    return written.get["rows"]
 
 
 def notification_lines(findings: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import pytest
@@ -10,6 +11,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from catalogue.registry import scorer as session_scorer  # noqa: E402
+from mimicry.operators.scoring import Scorer  # noqa: E402
 from mimicry.session import configure  # noqa: E402
 
 
@@ -32,3 +35,25 @@ def make_session() -> SparkSession:
 @pytest.fixture(scope="session")
 def spark() -> SparkSession:
     return make_session()
+
+
+@pytest.fixture(scope="session")
+def scorer(spark: SparkSession) -> Scorer:
+    return session_scorer(spark)
+
+
+@pytest.fixture(autouse=True)
+def interpreted(request: pytest.FixtureRequest, spark: SparkSession) -> Iterator[None]:
+    """Handmade rows are few: compiling code for them is most of a test's time.
+
+    The contract tests keep the generated code that real runs use.
+    """
+    if request.module.__name__.endswith("test_contract"):
+        yield
+        return
+    settings = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
