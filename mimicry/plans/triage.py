@@ -11,7 +11,12 @@ from mimicry.functions.hostnames import candidate_urls
 from mimicry.functions.rounding import round_binary
 from mimicry.functions.text import chat_safe
 from mimicry.operators.verdicts import offline_verdict, parse_replies, rule_verdict, token_cost
-from mimicry.sources.results import check_results, inside_folder
+from mimicry.sources.results import (
+    accepted_results,
+    inside_folder,
+    judge_results,
+    rejected_lines,
+)
 from mimicry.sources.sinks import absent, normalise_paths
 
 VERDICT_KEY = ("capture_id", "backend", "model")
@@ -139,23 +144,26 @@ def import_results(
     A target without an accepted result gets an error capture, unless the run itself
     failed: those targets were never tried and stay queued.
     """
-    checked = check_results(lines, targets, schemes)
-    accepted = checked.where("reject_reason IS NULL").drop("line_no", "reject_reason")
-    captures = accepted
+    judged = judge_results(lines, targets, schemes)
+    captures = accepted_results(judged)
     if not run_failed:
-        silent = targets.select("fqdn").distinct().join(accepted, "fqdn", "left_anti")
-        fields = dict(
-            url=candidate_urls(F.col("fqdn"), schemes)[0],
-            status=F.lit("error"),
-            captured_at=now,
-            duration_ms=F.lit(0).cast("bigint"),
-            error=F.lit("no valid result from the capture container"),
+        # Accepted hosts are among the targets: one join gives both kinds of rows.
+        silent = F.col("status").isNull()
+        without_result = {
+            "url": candidate_urls(F.col("fqdn"), schemes)[0],
+            "captured_at": now,
+            "duration_ms": F.lit(0).cast("bigint"),
+            "error": F.lit("no valid result from the capture container"),
+            "status": F.lit("error"),
+        }
+        captures = targets.select("fqdn").distinct().join(captures, "fqdn", "left")
+        captures = captures.withColumns(
+            {
+                name: F.when(silent, value).otherwise(F.col(name))
+                for name, value in without_result.items()
+            }
         )
-        captures = accepted.unionByName(silent.select(
-            "fqdn", *[value.alias(name) for name, value in fields.items()]
-        ), allowMissingColumns=True)
-    rejected = checked.where("reject_reason IS NOT NULL").select("line_no", "reject_reason")
-    return ImportedResults(normalise_paths(captures, vantage), rejected)
+    return ImportedResults(normalise_paths(captures, vantage), rejected_lines(judged))
 
 
 def status_counts(captures: DataFrame) -> DataFrame:

@@ -130,15 +130,19 @@ def inside_folder(path: Column) -> Column:
     )
 
 
-def check_results(
+_RESULT = (
+    "url", "status", "captured_at", "duration_ms", "final_url", "http_status",
+    "screenshot_path", "html_path", "signals", "error",
+)
+
+
+def judge_results(
     lines: DataFrame, targets: DataFrame, schemes: tuple[str, ...] = ("https", "http")
 ) -> DataFrame:
-    """Each non-blank line (``value``, ``line_no``) as a result with a ``reject_reason``.
+    """Each non-blank line (``value``, ``line_no``) as a result with its own ``reason``.
 
-    A result is accepted for a host of ``targets`` (column ``fqdn``), once, at a URL the
-    host would be visited at, with every field typed and bounded and no others. The
-    first acceptable line of a host wins; it is found by aggregation, so a host returned
-    millions of times costs one row per task.
+    A result is acceptable for a host of ``targets`` (column ``fqdn``), at a URL the host
+    would be visited at, with every field typed and bounded and no others.
     """
     schema = ", ".join(f"{name} {kind}" for name, kind in _FIELDS.items())
     r, v = F.col("r"), F.col("v")
@@ -161,37 +165,54 @@ def check_results(
     asked = targets.select(F.col("fqdn").alias("asked")).distinct()
     known = checked.join(asked, F.col("fqdn") == F.col("asked"), "left")
     at_home = F.array_contains(candidate_urls(F.col("fqdn"), schemes), r["url"])
-    shown = (r["status"] != "ok") | inside_folder(r["screenshot_path"])
-    known = known.withColumn(
-        "reason",
-        F.when(
-            F.col("faults") > 0, F.concat(F.col("faults").cast("string"), F.lit(" invalid field(s)"))
-        )
+    ok = r["status"] == "ok"
+    shown = ~ok | inside_folder(r["screenshot_path"])
+    faults = F.concat(F.col("faults").cast("string"), F.lit(" invalid field(s)"))
+    return known.select(
+        "line_no",
+        "fqdn",
+        F.col("asked").isNotNull().alias("asked"),
+        F.when(F.col("faults") > 0, faults)
         .when(F.col("asked").isNull(), F.lit("hostname the job did not ask for"))
         .when(~at_home, F.lit("URL is not one this hostname would be visited at"))
-        .when(~shown, F.lit("screenshot missing or outside the capture directory")),
+        .when(~shown, F.lit("screenshot missing or outside the capture directory"))
+        .alias("reason"),
+        F.struct(
+            r["url"].alias("url"),
+            r["status"].alias("status"),
+            F.try_to_timestamp(r["captured_at"]).alias("captured_at"),
+            r["duration_ms"].alias("duration_ms"),
+            r["final_url"].alias("final_url"),
+            r["http_status"].alias("http_status"),
+            F.when(ok, r["screenshot_path"]).alias("screenshot_path"),
+            F.when(ok & inside_folder(r["html_path"]), r["html_path"]).alias("html_path"),
+            r["signals"].alias("signals"),
+            r["error"].alias("error"),
+        ).alias("result"),
     )
-    first = (
-        known.where("reason IS NULL")
-        .groupBy(F.col("fqdn").alias("first_fqdn"))
-        .agg(F.min("line_no").alias("first_line"))
+
+
+def accepted_results(judged: DataFrame) -> DataFrame:
+    """The first acceptable line of each host.
+
+    An aggregate: a host returned millions of times costs each task one row.
+    """
+    fine = judged.where("reason IS NULL")
+    first = fine.groupBy("fqdn").agg(F.min_by("result", "line_no").alias("__result"))
+    return first.select("fqdn", *[F.col(f"__result.{name}").alias(name) for name in _RESULT])
+
+
+def rejected_lines(judged: DataFrame) -> DataFrame:
+    """(line_no, reject_reason): unacceptable lines, and any after a host's accepted one."""
+    fine = judged.where("reason IS NULL").select("fqdn", "line_no")
+    first = fine.groupBy(F.col("fqdn").alias("first_fqdn")).agg(
+        F.min("line_no").alias("first_line")
     )
-    later = F.col("asked").isNotNull() & (F.col("line_no") > F.col("first_line"))
-    ok = r["status"] == "ok"
-    return known.join(first, F.col("fqdn") == F.col("first_fqdn"), "left").select(
-        "line_no",
-        F.when(later, F.lit("second result for the same hostname"))
-        .otherwise(F.col("reason"))
-        .alias("reject_reason"),
-        "fqdn",
-        r["url"].alias("url"),
-        r["status"].alias("status"),
-        F.try_to_timestamp(r["captured_at"]).alias("captured_at"),
-        r["duration_ms"].alias("duration_ms"),
-        r["final_url"].alias("final_url"),
-        r["http_status"].alias("http_status"),
-        F.when(ok, r["screenshot_path"]).alias("screenshot_path"),
-        F.when(ok & inside_folder(r["html_path"]), r["html_path"]).alias("html_path"),
-        r["signals"].alias("signals"),
-        r["error"].alias("error"),
+    lines = judged.select("line_no", "fqdn", "asked", "reason")
+    later = F.col("asked") & (F.col("line_no") > F.col("first_line"))
+    reason = F.when(later, F.lit("second result for the same hostname")).otherwise(F.col("reason"))
+    return (
+        lines.join(first, F.col("fqdn") == F.col("first_fqdn"), "left")
+        .select("line_no", reason.alias("reject_reason"))
+        .where("reject_reason IS NOT NULL")
     )

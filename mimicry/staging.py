@@ -267,12 +267,17 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """One small file is one task: its rows are dealt out before staging works on them."""
+        wanted = self.spark.sparkContext.defaultParallelism
+        return rows if rows.rdd.getNumPartitions() >= wanted else rows.repartition(wanted)
+
     def source(self, name: str, given: DataFrame | None = None) -> DataFrame:
         """A base table, or one with its staged hosts (each computed once per row)."""
         if name not in HOSTS:
-            return self.base(name)
+            return self.spread(self.base(name))
         table, hosts = HOSTS[name]
-        rows = self.base(table) if given is None else given
+        rows = self.spread(self.base(table)) if given is None else given
         return computed_once(rows, **{c: F.expr(text) for c, text in hosts.items()})
 
     def staged(self, name: str, **given: DataFrame) -> DataFrame:
