@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mimicry.session import broadcast_if_small
+from mimicry.session import BROADCAST_ROWS, is_small
 
 
 def _instant(as_of: datetime | Column) -> Column:
@@ -147,7 +147,10 @@ def classification_queue(
         .orderBy(F.desc("captured_at"), F.desc("capture_id"))
         .limit(limit)
     )
-    named = matches.join(broadcast_if_small(queued.select("fqdn").distinct()), "fqdn", "left_semi")
+    hosts = queued.select("fqdn").distinct()
+    # At most ``limit`` hosts: the bound is known without counting them.
+    wanted = F.broadcast(hosts) if limit <= BROADCAST_ROWS else hosts
+    named = matches.join(wanted, "fqdn", "left_semi")
     brands = best_per_host(named).select("fqdn", F.col("brand").alias("suspected_brand"))
     return (
         queued.join(brands, "fqdn", "left")
@@ -303,11 +306,14 @@ def captures_with_verdict(
     The five verdict columns come from one aggregate and one join.
     """
     latest = latest_captures(sites, captures)
+    wanted = latest.select("capture_id")
+    if is_small(sites.select("fqdn")):
+        wanted = F.broadcast(wanted)  # one capture per site at most
     usable = verdicts.where(
         (F.col("label") != "error") & if_set("backend", backend) & if_set("model", model)
     )
     newest = (
-        usable.join(broadcast_if_small(latest.select("capture_id")), "capture_id", "left_semi")
+        usable.join(wanted, "capture_id", "left_semi")
         .groupBy("capture_id")
         .agg(
             F.max(

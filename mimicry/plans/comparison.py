@@ -73,42 +73,45 @@ def compare_sides(
         .when(F.col("gap_us") > limit_us, F.lit("too far apart"))
         .otherwise(F.lit("pair"))
     )
-    placed = sites.withColumn("state", state)
-    paired = placed.where("state = 'pair'").select("fqdn", "first_id", "second_id")
+    out = sites.withColumn("state", state)
+    is_pair = F.col("state") == "pair"
+    # Sites without a pair look up a negative id of their own: nothing matches it, and
+    # they stay spread over the tasks instead of meeting under one NULL key.
+    nobody = -1 - F.pmod(F.xxhash64("fqdn"), F.lit(2**31))
     for side, name in ((first, "first"), (second, "second")):
         details = side.select(
-            F.col("capture_id").alias(f"{name}_id"),
+            F.col("capture_id").alias(f"{name}_key"),
             F.struct(
                 "captured_at", "status", "http_status", "final_host", "title", "has_login_form",
                 "verdict",
             ).alias(name),
         )
-        paired = paired.join(details, f"{name}_id")
+        key = F.when(is_pair, F.col(f"{name}_id")).otherwise(nobody)
+        out = out.withColumn(f"{name}_key", key).join(details, f"{name}_key", "left")
     up = {name: F.col(f"{name}.status") == "ok" for name in ("first", "second")}
     both_up = up["first"] & up["second"]
     content = F.array_compact(
         F.array(*[F.when(both_up & test, F.lit(name)) for name, test in _differences().items()])
     )
-    one_down = up["first"] != up["second"]
-    verdicts = F.coalesce(F.col("first.verdict") != F.col("second.verdict"), F.lit(False))
-    compared = paired.select(
+    verdicts = F.col("first.verdict") != F.col("second.verdict")
+    compared = out.select(
         "fqdn",
+        "state",
+        "first_id",
+        "second_id",
+        "gap_us",
         "first",
         "second",
-        one_down.alias("unreachable_on_one_side"),
+        F.coalesce(up["first"] != up["second"], F.lit(False)).alias("unreachable_on_one_side"),
         content.alias("content_differences"),
-        verdicts.alias("different_verdict"),
+        F.coalesce(verdicts, F.lit(False)).alias("different_verdict"),
     )
     differs = (
         F.col("unreachable_on_one_side")
         | (F.size("content_differences") > 0)
         | F.col("different_verdict")
     )
-    return (
-        placed.select("fqdn", "state", "first_id", "second_id", "gap_us")
-        .join(compared, "fqdn", "left")
-        .withColumn("differs", F.coalesce(differs, F.lit(False)))
-    )
+    return compared.withColumn("differs", differs)
 
 
 def comparison_summary(compared: DataFrame) -> DataFrame:
@@ -118,13 +121,9 @@ def comparison_summary(compared: DataFrame) -> DataFrame:
         F.count_if(state == "too far apart").alias("too_far_apart"),
         F.count_if(state == "only first").alias("only_first"),
         F.count_if(state == "only second").alias("only_second"),
-        F.count_if(F.coalesce("unreachable_on_one_side", F.lit(False))).alias(
-            "unreachable_on_one_side"
-        ),
-        F.count_if(F.coalesce(F.size("content_differences"), F.lit(0)) > 0).alias(
-            "different_content"
-        ),
-        F.count_if(F.coalesce("different_verdict", F.lit(False))).alias("different_verdict"),
+        F.count_if("unreachable_on_one_side").alias("unreachable_on_one_side"),
+        F.count_if(F.size("content_differences") > 0).alias("different_content"),
+        F.count_if("different_verdict").alias("different_verdict"),
         F.count_if("differs").alias("differing"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _BLOCK = ["file_path", "block_start"]
@@ -33,16 +33,11 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     blocks = lines.groupBy(*_BLOCK).agg(
         F.min("row_id").alias("first_id"), F.count("*").alias("n_lines")
     )
-    earlier = blocks.select(
-        F.col("file_path").alias("f"), F.col("block_start").alias("b"), F.col("n_lines").alias("n")
-    )
-    offsets = (
-        blocks.join(
-            earlier, (F.col("file_path") == F.col("f")) & (F.col("b") < F.col("block_start")), "left"
-        )
-        .groupBy(*_BLOCK, "first_id")
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"))
+    earlier = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(
+        Window.unboundedPreceding, -1
     )
+    before = F.coalesce(F.sum("n_lines").over(earlier), F.lit(0))
+    offsets = blocks.select(*_BLOCK, "first_id", before.alias("before"))
     return lines.join(offsets, _BLOCK).select(
         "value",
         "file_path",
