@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalogue.scoring_sql import with_ctes
 from mimicry.operators.scoring import Scorer
-from mimicry.session import configure
+from mimicry.session import configure, session_key
 from mimicry.staging import Tables, sql_for
 
 Run = Callable[[Tables], DataFrame]
@@ -23,7 +23,7 @@ class Entry:
 
 
 REGISTRY: dict[str, Entry] = {}
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[tuple[str, int], Scorer] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Run], Run]:
@@ -45,9 +45,10 @@ def callable_for(entry: Entry) -> Callable[[SparkSession, str], DataFrame]:
 
 def scorer(spark: SparkSession) -> Scorer:
     """One scorer per session: its variants are generated once."""
-    if id(spark) not in _SCORERS:
-        _SCORERS[id(spark)] = Scorer(spark)
-    return _SCORERS[id(spark)]
+    key = session_key(spark)
+    if key not in _SCORERS:
+        _SCORERS[key] = Scorer(spark)
+    return _SCORERS[key]
 
 
 def staged(*names: str) -> list[str]:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mimicry.functions.hostnames import is_ipv4
+from mimicry.session import session_key
 from mimicry.sources.suffixes import rules_by_depth
 
 # Full stops other than the ASCII one that end a hostname.
@@ -28,7 +29,7 @@ def _last_labels(name: Column, count: Column) -> Column:
     return F.call_function("substring_index", name, F.lit("."), -count)
 
 
-_LOOKUPS: dict[tuple[int, bool], dict[int, DataFrame]] = {}
+_LOOKUPS: dict[tuple[str, int, bool], dict[int, DataFrame]] = {}
 
 
 def _lookups(spark: SparkSession, include_private: bool) -> dict[int, DataFrame]:
@@ -36,7 +37,7 @@ def _lookups(spark: SparkSession, include_private: bool) -> dict[int, DataFrame]
 
     Built once per session as local relations: planning a split reads nothing.
     """
-    key = (id(spark), include_private)
+    key = (*session_key(spark), include_private)
     if key not in _LOOKUPS:
         _LOOKUPS[key] = {
             depth: _lookup(spark, rules, f"__d{depth}")

@@ -35,6 +35,11 @@ def shared_folder(spark: SparkSession, fallback: str) -> str:
     return fallback
 
 
+def session_key(spark: SparkSession) -> tuple[str, int]:
+    """Names a session for tables kept per session, also after another one was stopped."""
+    return spark.sparkContext.applicationId, id(spark)
+
+
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns evaluated once per row, however often they are used later.
 
