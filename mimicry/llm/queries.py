@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mimicry.llm import mixing, packing
+from mimicry.llm import langid, mixing, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         packing.op1_best_fit_packing,
+        langid.op7_language_id,
+        secrets.op9_secret_scan,
         mixing.op10_source_mix,
     )
 }
