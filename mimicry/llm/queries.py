@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mimicry.llm import langid, mixing, packing, secrets, toxicity
+from mimicry.llm import langid, mixing, packing, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         packing.op1_best_fit_packing,
+        quality.op3_quality_rules,
         toxicity.op5_toxicity,
         langid.op7_language_id,
         secrets.op9_secret_scan,
