@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mimicry.llm import langid, mixing, packing, quality, secrets, toxicity
+from mimicry.llm import jaccard, langid, mixing, packing, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         quality.op3_quality_rules,
         toxicity.op5_toxicity,
         langid.op7_language_id,
+        jaccard.op8_ngram_jaccard,
         secrets.op9_secret_scan,
         mixing.op10_source_mix,
     )
