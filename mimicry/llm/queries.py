@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mimicry.llm import jaccard, langid, mixing, packing, quality, secrets, toxicity
+from mimicry.llm import jaccard, langid, mixing, neardup, packing, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         packing.op1_best_fit_packing,
         quality.op3_quality_rules,
         toxicity.op5_toxicity,
+        neardup.op6_embedding_near_dedup,
         langid.op7_language_id,
         jaccard.op8_ngram_jaccard,
         secrets.op9_secret_scan,
