@@ -41,27 +41,42 @@ class Letters:
 
 
 def letters_of(column: pa.Array) -> Letters:
+    codes, borders, is_letter = _decoded(column)
+    lower, _ = _folds()
+    folded = np.where(codes < _PLANE, lower[np.minimum(codes, _PLANE - 1)], codes)
+    return _spaced(folded, borders, is_letter, is_letter)
+
+
+def characters_of(column: pa.Array) -> Letters:
+    """Like ``letters_of``, with all characters as they are; only white space turns to blanks."""
+    codes, borders, is_letter = _decoded(column)
+    return _spaced(codes, borders, ~((codes == 32) | ((codes >= 9) & (codes <= 13))), is_letter)
+
+
+def _decoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, borders = text_bytes(column)
     codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    borders = heads[borders]
-    lower, letter = _folds()
-    plain = np.minimum(codes, _PLANE - 1)
-    is_letter = letter[plain]
+    _, letter = _folds()
+    is_letter = letter[np.minimum(codes, _PLANE - 1)]
     for code in np.unique(codes[codes >= _PLANE]):
         is_letter[codes == code] = unicodedata.category(chr(code))[0] == "L"
-    folded = np.where(is_letter, np.where(codes < _PLANE, lower[plain], codes), 32).astype(np.uint32)
-    keep = is_letter.copy()
-    keep[1:] |= is_letter[:-1]  # the first of a run of others stays, as a blank
+    return codes, heads[borders], is_letter
+
+
+def _spaced(codes: np.ndarray, borders: np.ndarray, shown: np.ndarray, is_letter: np.ndarray) -> Letters:
+    """What is shown, each run of others as one blank, and a blank around each text."""
+    keep = shown.copy()
+    keep[1:] |= shown[:-1]  # the first of a run of others stays, as a blank
     starts = borders[:-1]
     full = np.flatnonzero(borders[1:] > starts)
-    keep[starts[full]] = is_letter[starts[full]]
+    keep[starts[full]] = shown[starts[full]]
     kept = np.concatenate(([0], np.cumsum(keep)))[borders]
     sizes = np.diff(kept)
     new = np.concatenate(([0], np.cumsum(sizes + 2)))
     out = np.full(int(new[-1]), 32, dtype=np.uint32)
     rows = np.repeat(np.arange(len(sizes)), sizes)
-    out[np.arange(int(kept[-1])) + 2 * rows + 1] = folded[keep]
+    out[np.arange(int(kept[-1])) + 2 * rows + 1] = np.where(shown, codes, 32)[keep]
     total = np.concatenate(([0], np.cumsum(is_letter)))[borders]
     return Letters(out, new, np.diff(total))
 

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mimicry.llm import jaccard, langid, mixing, neardup, packing, quality, secrets, toxicity
+from mimicry.llm import jaccard, langid, mixing, neardup, packing, perplexity, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         packing.op1_best_fit_packing,
         quality.op3_quality_rules,
+        perplexity.op4_quality_perplexity,
         toxicity.op5_toxicity,
         neardup.op6_embedding_near_dedup,
         langid.op7_language_id,
