@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mimicry.llm.common import LOWER, chunks, mixed, partitions, span_hashes, stored, table, text_bytes, words_of
@@ -404,5 +404,20 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``docs`` without the documents that are linked to one of a smaller id.
+
+    Of rows that repeat an id one stays. Rows without an id stay, as nothing names them.
+    """
+    found = join(docs, doc_id=doc_id, text=text, percent=percent).filter("doc_id is not null")
+    kept = found.groupBy("doc_id").agg(F.min("component_id").alias("component")).filter("doc_id = component")
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    )
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("row"))
+    staying = rows.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first))
+    return staying.filter("_nth = 1").select("row.*").union(rows.filter("doc_id is null").select("row.*"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))

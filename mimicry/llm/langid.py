@@ -25,6 +25,7 @@ BITS = 16
 PER_LANGUAGE = 1_500  # training documents of a language, at most about this many
 UNKNOWN = "und"
 SCALE = 20.0
+LEAST_SCORE = 0.4  # below it a document's language counts as unknown
 
 
 @dataclass(frozen=True)
@@ -188,6 +189,12 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, *, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` without texts that have no letter or whose language is not certain enough."""
+    found = identify(docs, model, text=text)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = remainder(F.col("doc_id"), 4) == 2

@@ -131,11 +131,46 @@ def _same_source(left: DataFrame, right: DataFrame, others: list[str]) -> DataFr
     return left.join(right, on).drop(*[f"{k}__r" for k in keys])
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """The documents of a mix, each as often as its taken words make whole copies, rounded."""
-    copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(1)
+def repeated(
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: Sequence[int] = WEIGHTS,
+    share: float = SHARE,
+    max_epochs: float = MAX_EPOCHS,
+    seed: str = SEED,
+) -> DataFrame:
+    """``docs`` as a mix takes them: each row as often as its source's whole epochs, and once
+    more up to the place in the seeded order where the source's words are used up.
+
+    The document on the border is taken if at least half of it is. Only ids and sizes are
+    ordered; texts stay where they are and look up their source's epochs and border.
+    Documents without a word, of which a mix takes nothing, stay once.
+    """
+    small = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"), seeded(F.col(doc_id), seed)
+    )
+    small = stored(small.withColumn("row", F.struct("source", "order")), "mix-sizes")
+    taken = _take(small, weights, share, max_epochs).withColumn(
+        "_rest", F.col("taken") - F.floor(F.col("target") / F.col("source_size")) * F.col("size")
+    )
+    plan = taken.filter("size > 0").groupBy(F.col("row.source").alias("source")).agg(
+        F.max(F.floor(F.col("target") / F.col("source_size"))).cast("int").alias("_epochs"),
+        F.max(F.when((F.col("_rest") > 0) & (2 * F.col("_rest") >= F.col("size")), F.col("row.order"))).alias("_border"),
+    )
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(source).alias("source"),
+        seeded(F.col(doc_id), seed),
+        (words_in(F.col(text)) > 0).alias("_any"),
+    )
+    plan = plan.withColumnRenamed("source", "source__r")
+    copies = F.coalesce("_epochs", F.lit(0)) + F.coalesce(F.col("order") <= F.col("_border"), F.lit(False)).cast("int")
     return (
-        mixed.withColumn("_copies", copies.cast("int"))
+        rows.join(plan, F.col("source").eqNullSafe(F.col("source__r")), "left")
+        .withColumn("_copies", F.when(F.col("_any"), copies).otherwise(1))
         .filter("_copies > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .select("row.*")

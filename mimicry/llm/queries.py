@@ -8,6 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mimicry.llm import jaccard, langid, mixing, neardup, packing, perplexity, quality, secrets, toxicity
 
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of ``corpus_pipeline`` over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -20,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         jaccard.op8_ngram_jaccard,
         secrets.op9_secret_scan,
         mixing.op10_source_mix,
+        pipeline,
     )
 }
 

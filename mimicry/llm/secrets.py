@@ -212,6 +212,15 @@ def redacted(text: Column, found: Column, mark: str = MARK) -> Column:
     return F.when(F.size(found) == 0, text).otherwise(F.concat(end["out"], F.substring(text, end["at"] + 1, F.length(text))))
 
 
+def redact(docs: DataFrame, *, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``docs`` with every secret replaced by the mark; ``length``, if there, counts anew."""
+    found = scan(docs, text=text).withColumn("_clean", redacted(F.col("text"), F.array_sort(F.concat("base", "added"))))
+    clean = F.when(F.col(f"row.`{text}`").isNotNull(), F.col("_clean"))
+    new = {text: clean, length: F.when(clean.isNotNull(), F.length(clean)).otherwise(F.col(f"row.`{length}`")) if length in docs.columns else None}
+    kinds = dict(docs.dtypes)
+    return found.select(*[(new[c].cast(kinds[c]) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     every = F.array_sort(F.concat("base", "added"))
