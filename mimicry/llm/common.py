@@ -14,7 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -44,6 +45,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+FILTER_BITS = 1 << 25
+
+
+def likely_among(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` that may have a partner in ``wanted`` (one column of that name).
+
+    A bitmap of hashes, at most ``FILTER_BITS`` bits in rows of 4 KB whatever the input, is
+    sent to the rows, so that few of the others are shuffled. It only ever lets too many pass.
+    """
+    def place(of: Column) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(FILTER_BITS)) + 1
+
+    bitmaps = wanted.select(place(F.col(column)).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket"))
+    bitmaps = bitmaps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bitmap"))
+    position = F.bitmap_bit_position(place(F.col(column)))
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_position div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    placed = df.withColumn("_bucket", F.bitmap_bucket_number(place(F.col(column)))).withColumn("_position", position)
+    joined = placed.join(F.broadcast(bitmaps), "_bucket")
+    kept = joined.filter(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(_position % 8 as int)) as int)")) != 0)
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mimicry.llm import jaccard, langid, mixing, neardup, packing, perplexity, quality, secrets, toxicity
+from mimicry.llm import (
+    jaccard,
+    langid,
+    mixing,
+    neardup,
+    packing,
+    perplexity,
+    quality,
+    secrets,
+    suffixes,
+    toxicity,
+)
 
 
 
@@ -21,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         packing.op1_best_fit_packing,
+        suffixes.op2_suffix_dedup,
         quality.op3_quality_rules,
         perplexity.op4_quality_perplexity,
         toxicity.op5_toxicity,
