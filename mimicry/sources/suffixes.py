@@ -1,34 +1,34 @@
 """The public-suffix rules as a small table.
 
-Spark ships Mozilla's list inside its HTTP client jar, so no download is needed. The
-list is a fixed reference table of some ten thousand rules, independent of the data.
+The package carries Mozilla's list (``public_suffix_list.txt``, fixed values, with its
+licence header); a setting may name a newer copy anywhere Spark can read. The list is a
+reference table of some ten thousand rules, independent of the data.
 """
 
 from __future__ import annotations
 
-import zipfile
 from functools import lru_cache
-from pathlib import Path
+from importlib import resources
 
-import pyspark
 from pyspark.sql import DataFrame, SparkSession
 
+from mimicry.sources.lines import read_lines
+
 LIST_PATH_CONF = "spark.mimicry.publicSuffixList"
-_JAR_ENTRY = "mozilla/public-suffix-list.txt"
+_BUNDLED = "public_suffix_list.txt"
 _PRIVATE_MARK = "===BEGIN PRIVATE DOMAINS==="
 
 RULES = "rule string, depth int, kind string, is_private boolean"
 
 
-@lru_cache(maxsize=4)
-def _list_text(path: str | None) -> str:
+def _list_lines(spark: SparkSession) -> tuple[str, ...]:
+    """The rules in file order; a configured list is read where Spark's storage is."""
+    path = spark.conf.get(LIST_PATH_CONF, None)
     if path:
-        return Path(path).read_text(encoding="utf-8")
-    jars = sorted(Path(pyspark.__file__).parent.glob("jars/httpclient-*.jar"))
-    if not jars:
-        raise FileNotFoundError(f"no bundled suffix list; set {LIST_PATH_CONF}")
-    with zipfile.ZipFile(jars[-1]) as jar:
-        return jar.read(_JAR_ENTRY).decode("utf-8")
+        ordered = read_lines(spark, path).orderBy("arrival").select("value")
+        return tuple(row["value"] for row in ordered.collect())
+    text = resources.files(__package__).joinpath(_BUNDLED).read_text(encoding="utf-8")
+    return tuple(text.splitlines())
 
 
 def _ascii_form(rule: str) -> str:
@@ -42,11 +42,11 @@ def _ascii_form(rule: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def parse_rules(path: str | None = None) -> tuple[tuple[str, int, str, bool], ...]:
+def parse_rules(lines: tuple[str, ...]) -> tuple[tuple[str, int, str, bool], ...]:
     """(rule, depth, kind, is_private); the rule is stored without its ``*.`` or ``!``."""
     rules: set[tuple[str, int, str, bool]] = set()
     private = False
-    for line in _list_text(path).splitlines():
+    for line in lines:
         private = private or _PRIVATE_MARK in line
         rule = line.split("//")[0].strip().lower()
         if not rule:
@@ -59,7 +59,7 @@ def parse_rules(path: str | None = None) -> tuple[tuple[str, int, str, bool], ..
 
 
 def suffix_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(parse_rules(_configured(spark))), RULES)
+    return spark.createDataFrame(list(parse_rules(_list_lines(spark))), RULES)
 
 
 def rules_by_depth(
@@ -72,7 +72,7 @@ def rules_by_depth(
     """
     extra = {"exact": 0, "wildcard": 1, "exception": -1}
     found: dict[int, dict[str, list[tuple[int, int, bool]]]] = {}
-    for rule, depth, kind, private in parse_rules(_configured(spark)):
+    for rule, depth, kind, private in parse_rules(_list_lines(spark)):
         if private and not include_private:
             continue
         labels = depth + extra[kind]
@@ -82,7 +82,3 @@ def rules_by_depth(
         depth: [(rule, *option) for rule, options in by_rule.items() for option in options]
         for depth, by_rule in sorted(found.items())
     }
-
-
-def _configured(spark: SparkSession) -> str | None:
-    return spark.conf.get(LIST_PATH_CONF, None)
