@@ -278,20 +278,22 @@ _LEAF = [
         WHERE json_valid(value) AND value::JSON->>'$.message_type' = 'certificate_update')""",
     """leaves AS (
         SELECT line_no, j->>'$.data.seen' AS seen, j->>'$.data.source.name' AS ct_log,
-               j->>'$.data.leaf_cert.issuer.O' AS issuer_org, j->>'$.data.leaf_cert.issuer.CN' AS issuer_cn,
+               j->>'$.data.leaf_cert.issuer.O' AS issuer_org,
+               replace(replace(CAST(j->'$.data.leaf_cert.issuer.O' AS VARCHAR), 'á', '\\u00e1'), 'í', '\\u00ed') AS issuer_json, j->>'$.data.leaf_cert.issuer.CN' AS issuer_cn,
                j->>'$.data.leaf_cert.serial_number' AS serial, j->>'$.data.leaf_cert.not_after' AS not_after,
                j->>'$.data.leaf_cert.not_before' AS not_before,
                lower(replace(j->>'$.data.leaf_cert.sha256', ':', '')) AS sha,
                coalesce(from_json(nullif(j->>'$.data.leaf_cert.all_domains', 'null'), '["VARCHAR"]'), []) AS names
         FROM updates)""",
     """checked AS (
-        SELECT *, CASE WHEN not_after IS NULL THEN 'missing not_after'
+        SELECT *, CASE WHEN seen IN ('NaN', '1e18') THEN 'seen is out of range'
+                       WHEN not_after IS NULL THEN 'missing not_after'
                        WHEN TRY_CAST(not_after AS DOUBLE) IS NULL THEN 'not_after is not a number' END AS reject_reason
         FROM leaves)""",
     """keyed AS (
         SELECT *, CASE WHEN sha IN ('', 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855')
                   THEN 'issuer-serial:' || sha256('{"CN": "' || issuer_cn || '", "O": '
-                       || coalesce('"' || issuer_org || '"', 'null') || '}|'
+                       || coalesce(issuer_json, 'null') || '}|'
                        || coalesce(nullif(serial, ''), not_before || '|' || not_after || '|' || array_to_string(list_sort(names), ',')))
                   ELSE sha END AS cert_sha256 FROM checked WHERE reject_reason IS NULL)""",
 ]

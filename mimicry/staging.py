@@ -117,14 +117,18 @@ SQL = {
             WHEN o_orderkey % 23 = 0 THEN '{{{{"message_type": "certificate_update", "data": '
             WHEN o_orderkey % 19 = 0 THEN '{{{{"message_type": "heartbeat", "timestamp": 1.5}}}}'
             WHEN o_orderkey % 31 = 0 THEN ''
-            ELSE '{{{{"message_type": "certificate_update", "data": {{{{"seen": '
-                || CAST(1700000000 + o_orderkey AS STRING) || '.25, "source": {{{{"name": "log'
+            ELSE CASE WHEN o_orderkey % 43 = 2 THEN chr(9) ELSE '' END
+                || '{{{{"message_type": "certificate_update", "data": {{{{"seen": '
+                || CASE WHEN o_orderkey % 41 = 3 THEN '"NaN"' WHEN o_orderkey % 41 = 4 THEN '"1e18"'
+                        ELSE CAST(1700000000 + o_orderkey AS STRING) || '.25' END || ', "source": {{{{"name": "log'
                 || CAST(o_custkey % 4 AS STRING) || '"}}}}, "leaf_cert": {{{{'
                 || CASE WHEN o_orderkey % 13 = 0 THEN '"sha256": "",'
                         WHEN o_orderkey % 13 = 1 THEN '"sha256": "E3:B0:C4:42:98:FC:1C:14:9A:FB:F4:C8:99:6F:B9:24:27:AE:41:E4:64:9B:93:4C:A4:95:99:1B:78:52:B8:55",'
                         ELSE '"sha256": "AB:' || upper(md5(CAST(o_orderkey AS STRING))) || '",' END
                 || '"issuer": {{{{"CN": "R' || CAST(o_custkey % 9 AS STRING) || '", "O": '
-                || coalesce('"' || {_ISSUER} || '"', 'null') || '}}}}, "serial_number": "'
+                || CASE WHEN o_orderkey % 37 = 5 THEN '"Národní ' || chr(92) || '"CA' || chr(92) || '"' || chr(92) || 't1"'
+                        WHEN o_orderkey % 37 = 6 THEN '7'
+                        ELSE coalesce('"' || {_ISSUER} || '"', 'null') END || '}}}}, "serial_number": "'
                 || CASE WHEN o_orderkey % 26 = 0 THEN '' ELSE CAST(o_orderkey * 7 AS STRING) END
                 || '", "not_before": 1690000000'
                 || CASE WHEN o_orderkey % 17 = 0 THEN ''
