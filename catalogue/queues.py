@@ -197,6 +197,12 @@ def verdict_reset(t: Tables) -> DataFrame:
     return _left(q.without_newest(t.verdicts, "vision", "small", 700))
 
 
+@query(check(("verdicts",), _LEFT.format(
+    "SELECT * FROM verdicts WHERE NOT coalesce(backend = 'vision' AND model = 'small', false)")))
+def verdict_reset_all(t: Tables) -> DataFrame:
+    return _left(q.without_newest(t.verdicts, "vision", "small"))
+
+
 @query(check(("verdicts",), _LEFT.format(
     "SELECT * FROM verdicts WHERE NOT (backend = 'replay' AND label = 'error')")))
 def failed_reset(t: Tables) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
@@ -27,8 +26,7 @@ def _stream(t: Tables, table: str) -> DataFrame:
 
 
 def _folder(t: Tables) -> str:
-    base = shared_folder(t.spark, tempfile.mkdtemp(prefix="mimicry-"))
-    return f"{base.rstrip('/')}/run-{uuid4().hex}"
+    return f"{shared_folder(t.spark)}/run-{uuid4().hex}"
 
 
 @query(check(("certificates",), f"""

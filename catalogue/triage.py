@@ -283,8 +283,10 @@ def error_status(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- notifications
 
 
-def _safe(value: str, limit: int = 500) -> str:
-    text = f"replace(replace(left(regexp_replace({value}, '[\\x00-\\x1f\\x7f-\\x9f]', ' ', 'g'), {limit}), 'http://', 'hxxp://'), 'https://', 'hxxps://')"
+def _safe(value: str, limit: int | None = 500) -> str:
+    plain = f"regexp_replace({value}, '[\\x00-\\x1f\\x7f-\\x9f]', ' ', 'g')"
+    plain = plain if limit is None else f"left({plain}, {limit})"
+    text = f"replace(replace({plain}, 'http://', 'hxxp://'), 'https://', 'hxxps://')"
     # No look-around in this engine: the dot is guarded by its captured neighbours, twice
     # because neighbouring matches may share one.
     for _ in range(2):
@@ -329,9 +331,9 @@ def clean_texts(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    SELECT doc_id, {_safe("text", 100000)} AS safe FROM documents""")
+    SELECT doc_id, {_safe("text", None)} AS safe FROM documents""")
 def chat_safe_texts(t: Tables) -> DataFrame:
-    return t.base("documents").select("doc_id", chat_safe(F.col("text"), 100_000).alias("safe"))
+    return t.base("documents").select("doc_id", chat_safe(F.col("text"), None).alias("safe"))
 
 
 @query("""

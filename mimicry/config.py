@@ -95,15 +95,7 @@ class Scoring:
 class AlertPolicy:
     labels: tuple[str, ...] = ("phishing",)
     min_confidence: float = 0.6
-    max_per_run: int = 50
-
-
-@dataclass(frozen=True)
-class CapturePolicy:
-    schemes: tuple[str, ...] = ("https", "http")
-    max_per_run: int = 20
-    recapture_after_h: float = 24.0
-    vantage: str | None = None
+    max_per_run: int | None = None  # findings announced at once
 
 
 # Labels of a site, and the labels an analyst may assign.

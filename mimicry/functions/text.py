@@ -16,9 +16,10 @@ def _swap(text: Column, *pairs: tuple[str, str]) -> Column:
     return text
 
 
-def clean_text(text: Column, limit: int = 300) -> Column:
-    """Control characters become blanks, then the text is cut to ``limit``."""
-    return F.substring(F.regexp_replace(text, _CONTROL, " "), 1, limit)
+def clean_text(text: Column, limit: int | None = 300) -> Column:
+    """Control characters become blanks, then the text is cut to ``limit``, if there is one."""
+    plain = F.regexp_replace(text, _CONTROL, " ")
+    return plain if limit is None else F.substring(plain, 1, limit)
 
 
 def defang(url: Column) -> Column:
@@ -28,7 +29,7 @@ def defang(url: Column) -> Column:
     )
 
 
-def chat_safe(text: Column, limit: int = 300) -> Column:
+def chat_safe(text: Column, limit: int | None = 300) -> Column:
     """Text a chat client shows without linking, mentioning or interpreting it."""
     inert = _swap(clean_text(text, limit), ("http://", "hxxp://"), ("https://", "hxxps://"))
     inert = F.regexp_replace(inert, _LINKABLE_DOT, "[.]")

@@ -13,7 +13,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mimicry.session import BROADCAST_ROWS, is_small
 
 
 def _instant(as_of: datetime | Column) -> Column:
@@ -131,13 +130,13 @@ def classification_queue(
     verdicts: DataFrame,
     matches: DataFrame,
     backend: str,
-    limit: int,
+    limit: int | None = None,
     model: str | None = None,
 ) -> DataFrame:
     """Captures this backend (and model, if given) has not judged, newest first.
 
-    The queue is cut to its limit before the brands are looked up, so the matches are
-    read for the queued hosts only.
+    With a limit the queue is cut to it before the brands are looked up, so the matches
+    are read for the queued hosts only.
     """
     judged = verdicts.where(F.col("backend") == backend)
     if model is not None:
@@ -145,12 +144,9 @@ def classification_queue(
     queued = (
         captures.join(judged.select("capture_id"), "capture_id", "left_anti")
         .orderBy(F.desc("captured_at"), F.desc("capture_id"))
-        .limit(limit)
     )
-    hosts = queued.select("fqdn").distinct()
-    # At most ``limit`` hosts: the bound is known without counting them.
-    wanted = F.broadcast(hosts) if limit <= BROADCAST_ROWS else hosts
-    named = matches.join(wanted, "fqdn", "left_semi")
+    queued = queued if limit is None else queued.limit(limit)
+    named = matches.join(queued.select("fqdn").distinct(), "fqdn", "left_semi")
     brands = best_per_host(named).select("fqdn", F.col("brand").alias("suspected_brand"))
     return (
         queued.join(brands, "fqdn", "left")
@@ -214,7 +210,7 @@ def findings(
     matches: DataFrame,
     labels: Sequence[str] = (),
     min_confidence: float = 0.0,
-    limit: int | None = 200,
+    limit: int | None = None,
     model: str | None = None,
 ) -> DataFrame:
     """Latest verdict per host, then filtered, newest first."""
@@ -307,8 +303,6 @@ def captures_with_verdict(
     """
     latest = latest_captures(sites, captures)
     wanted = latest.select("capture_id")
-    if is_small(sites.select("fqdn")):
-        wanted = F.broadcast(wanted)  # one capture per site at most
     usable = verdicts.where(
         (F.col("label") != "error") & if_set("backend", backend) & if_set("model", model)
     )
@@ -341,15 +335,16 @@ def captures_with_verdict(
 
 
 def without_newest(
-    verdicts: DataFrame, backend: str, model: str | None = None, limit: int = 1_000_000
+    verdicts: DataFrame, backend: str, model: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """The snapshot left after dropping a backend's newest verdicts, to judge them again."""
-    chosen = (
-        verdicts.where((F.col("backend") == backend) & if_set("model", model))
-        .select("verdict_id")
-        .orderBy(F.desc("verdict_id"))
-        .limit(limit)
-    )
+    """The snapshot left after dropping a backend's newest verdicts, to judge them again.
+
+    Without a limit all of them go, by a filter.
+    """
+    own = F.coalesce((F.col("backend") == backend) & if_set("model", model), F.lit(False))
+    if limit is None:
+        return verdicts.where(~own)
+    chosen = verdicts.where(own).select("verdict_id").orderBy(F.desc("verdict_id")).limit(limit)
     return verdicts.join(chosen, "verdict_id", "left_anti")
 
 

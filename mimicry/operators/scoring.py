@@ -30,7 +30,6 @@ from mimicry.functions.rounding import round_binary
 from mimicry.functions.similarity import typo_similarity
 from mimicry.operators.domains import split_hosts
 from mimicry.operators.variants import generate_variants, variant_index
-from mimicry.session import broadcast_if_small
 from mimicry.sources.tables import FEATURES
 
 _WORD_BREAK = "[^a-z]+"
@@ -243,7 +242,8 @@ class Scorer:
             variants = generate_variants(spark, self.brands, tlds)
         # Small and used by every scoring job of the session: computed once and kept.
         self.variants = variants.persist()
-        self._index = broadcast_if_small(variant_index(self.variants))
+        # Configuration: its size follows from the brands, not from the data.
+        self._index = F.broadcast(variant_index(self.variants))
         # The brands' checks are the same for every input: built once, bound on use.
         self._prefilter = _may_be_related(self.brands, self.cfg)
         self._relations = {

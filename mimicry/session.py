@@ -7,10 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows up to which a data-derived side may be broadcast. About 100 bytes a row in the
-# places it is used, so at most some tens of megabytes reach each executor.
-BROADCAST_ROWS = 250_000
-
 SETTINGS: Mapping[str, str] = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -26,13 +22,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession, fallback: str) -> str:
-    """The cluster's shared scratch folder; ``fallback`` only where none is configured."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared scratch folder, or one below the warehouse where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
 
 
 def session_key(spark: SparkSession) -> tuple[str, int]:
@@ -49,15 +42,3 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     row = F.struct(*[value.alias(name) for name, value in columns.items()])
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept, F.inline_outer(F.array(row)))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after checking the size; larger sides are left to shuffle.
-
-    The check stops reading at ``max_rows`` + 1 rows, so it costs little on a big side.
-    """
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mimicry.functions.text import clean_text
-from mimicry.session import broadcast_if_small
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -43,10 +42,10 @@ def absent(new: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
 def absent_batch(batch: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """As :func:`absent` for a batch much smaller than the table, already computed.
 
-    The table is narrowed to the batch's keys by a broadcast when the batch is small
-    enough, so it is scanned but never shuffled.
+    The table is first narrowed to the batch's keys. Spark knows the size of a computed
+    batch, and broadcasts its keys if they are few, so the table is then not shuffled.
     """
-    wanted = broadcast_if_small(batch.select(*keys).distinct())
+    wanted = batch.select(*keys).distinct()
     present = (
         stored.select(*keys).alias("s").join(wanted.alias("w"), _same("s", "w", keys), "left_semi")
     )

@@ -1,6 +1,8 @@
 """One triage cycle per micro-batch of capture results: store, classify, announce.
 
-Stages run in order and a failing one is recorded and skipped, never fatal. A finding
+A batch that cannot be stored fails and is replayed: its lines come only once. The stages
+after it start from the stored tables, so a failing one is recorded and skipped, and its
+work is found again by the next cycle. A finding
 enters the ledger only after its notification was written, and every write replaces what
 the same batch wrote before, so nothing is lost or announced twice.
 """
@@ -57,7 +59,7 @@ class Triage:
         targets: DataFrame,
         policy: AlertPolicy | None = None,
         vantage: str | None = None,
-        max_classified: int = 20,
+        max_classified: int | None = None,
         clock: Callable[[], datetime] = datetime.now,
     ) -> None:
         self.spark = spark
@@ -108,9 +110,10 @@ class Triage:
     def run(self, results: DataFrame, batch_id: int) -> None:
         """The ``foreachBatch`` step over capture result lines (``value``)."""
         lines = results.select("value", F.monotonically_increasing_id().alias("line_no"))
-        outcomes = run_stages(
+        self._store(lines, batch_id)
+        outcomes = [("capture", False, None)]
+        outcomes += run_stages(
             {
-                "capture": lambda: self._store(lines, batch_id),
                 "classify": lambda: self._classify(batch_id),
                 "alert": lambda: self._announce(batch_id),
             }

@@ -216,3 +216,72 @@ def test_batches_and_snapshots(spark, tmp_path):
 def test_ids_are_unique(spark):
     ids = [r.id2 for r in sinks.with_ids(spark.range(0, 1000, 1, 7), "id2", 41).collect()]
     assert len(set(ids)) == 1000 and min(ids) == 42
+
+
+def test_suffix_rules_need_no_jar(spark, monkeypatch):
+    """The rules come with the package, or from a list Spark reads."""
+    import zipfile
+
+    from mimicry.sources import suffixes
+
+    def refuse(*_: object, **__: object) -> None:
+        raise AssertionError("no archive is needed")
+
+    monkeypatch.setattr(zipfile, "ZipFile", refuse)
+    suffixes.parse_rules.cache_clear()
+    rules = {rule for rule, *_ in suffixes.parse_rules(suffixes._list_lines(spark))}
+    assert {"com", "co.uk", "github.io"} <= rules
+
+
+def test_configured_suffix_list(spark, tmp_path):
+    from mimicry.sources import suffixes
+
+    path = tmp_path / "list.txt"
+    path.write_text("// a comment\nexample\n*.wild.example\n!not.wild.example\n")
+    spark.conf.set(suffixes.LIST_PATH_CONF, str(path))
+    try:
+        rows = suffixes.suffix_rules(spark).collect()
+    finally:
+        spark.conf.unset(suffixes.LIST_PATH_CONF)
+    assert {(r.rule, r.kind) for r in rows} == {
+        ("example", "exact"), ("wild.example", "wildcard"), ("not.wild.example", "exception"),
+    }
+
+
+def test_keys_of_unusual_issuers(spark):
+    """Keys state the issuer as sorted ASCII JSON, values in their own types."""
+    import hashlib
+    import json
+
+    issuers = [
+        {"O": "Národní", "CN": 'a "b" \\ c'},
+        {"O": "tab\there\n\x01", "CN": None},
+        {"O": 7, "CN": True},
+        {"O": "😀"},
+        {},
+    ]
+    lines = [
+        json.dumps(
+            {
+                "message_type": "certificate_update",
+                "data": {
+                    "seen": 1.5,
+                    "leaf_cert": {"issuer": i, "serial_number": "5", "not_before": 1, "not_after": 2},
+                },
+            },
+            ensure_ascii=n % 2 == 0,
+        )
+        for n, i in enumerate(issuers)
+    ]
+    rows = spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "n int, value string")
+    got = {r.n: r.cert_sha256 for r in ct.certificates(ct.parse_messages(rows)).collect()}
+    for n, issuer in enumerate(issuers):
+        identity = f"{json.dumps(issuer, sort_keys=True)}|5"
+        assert got[n] == ct.DERIVED_KEY_PREFIX + hashlib.sha256(identity.encode()).hexdigest(), issuer
+
+
+def test_times_out_of_range(spark):
+    seen = {'"NaN"': "seen is out of range", '"1e18"': "seen is out of range", '"-Infinity"': "seen is out of range", "5": None}
+    line = '\t{"message_type": "certificate_update", "data": {"seen": %s, "leaf_cert": {"not_before": 1, "not_after": 2}}}'
+    rows = spark.createDataFrame([(k, line % k) for k in seen], "n string, value string")
+    assert {r.n: r.reject_reason for r in ct.parse_messages(rows).collect()} == seen

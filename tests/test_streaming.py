@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from mimicry.plans import ingest as ing
@@ -97,3 +98,16 @@ def test_monitors(spark):
                                    "at timestamp, level double")
     high = mon.sustained_levels(mon.level_means(levels))
     assert sorted(r.window_start.minute for r in high.collect()) == [10, 15]
+
+
+def test_batch_that_cannot_be_stored_is_replayed(spark, tmp_path, monkeypatch):
+    """Result lines come once: failing to store them must fail the batch."""
+    triage = Triage(spark, str(tmp_path), spark.createDataFrame([], "fqdn string"))
+
+    def broken(*_: object) -> None:
+        raise OSError("no space")
+
+    monkeypatch.setattr(triage, "_store", broken)
+    with pytest.raises(OSError, match="no space"):
+        triage.run(spark.createDataFrame([("{}",)], "value string"), 0)
+    assert read_batches(spark, f"{tmp_path}/cycles", CYCLES).count() == 0
