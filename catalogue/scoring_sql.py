@@ -5,10 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from mimicry.config import DEFAULT_BRANDS, SWAP_TLDS, Scoring
-from mimicry.functions.confusables import FOLD_FROM, FOLD_TO, LOOSE_FROM, LOOSE_TO, fold_word
-from mimicry.functions.confusables import fold_word_loose
-from mimicry.operators.scoring import typo_tokens
-from mimicry.operators.variants import bit_flips, glyph_pairs, keyboard_neighbours
 from mimicry.staging import idn_labels
 
 CFG = Scoring()
@@ -16,6 +12,16 @@ CFG = Scoring()
 SUFFIXES = ("com", "net", "org", "xyz", "top", "info", "shop", "online", "fr", "uk", "co.uk",
             "io")
 PRIVATE = ("github.io",)
+# Characters that are folded, and what they become. Cyrillic, Greek, other
+# Latin letters, digits; one more letter in the loose form.
+FOLD_FROM = "авсԁеһіјкӏмпорԛгѕтцѵԝхуʐ" + "αβεικνορτυχ" + "ıłøđħɡ" + "0135"
+FOLD_TO = "abcdehijklmnopqrstuvwxyz" + "abeikvoptux" + "ilodhg" + "oles"
+LOOSE_FROM, LOOSE_TO = FOLD_FROM + "i", FOLD_TO + "l"
+# The rows of a keyboard, each half a key to the right of the one above, and
+# ASCII spellings drawn alike.
+KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
+ALIKE = "o0 0o l1 1l li il i1 e3 s5".split()
+ALIKE_PAIRS = [("m", "rn"), ("rn", "m"), ("w", "vv"), ("vv", "w"), ("d", "cl")]
 
 
 def text(value: str) -> str:
@@ -44,29 +50,45 @@ def ratio(top: str, bottom: str, digits: int = 4) -> str:
     )
 
 
+FOLD = f"translate(lower(strip_accents(%s)), {text(FOLD_FROM)}, {text(FOLD_TO)})"
+LOOSE = f"translate(lower(strip_accents(%s)), {text(LOOSE_FROM)}, {text(LOOSE_TO)})"
+LOOSE = f"replace(replace({LOOSE}, 'rn', 'm'), 'vv', 'w')"
+
+
 def _brands() -> str:
     rows = []
     for pos, b in enumerate(DEFAULT_BRANDS):
         lists = (
             b.tokens,
-            map(fold_word, b.tokens),
-            map(fold_word_loose, b.tokens),
-            typo_tokens(b, CFG),
-            map(fold_word, b.negative_tokens),
+            b.negative_tokens,
             b.official_domains,
         )
         rows.append(f"({text(b.name)}, {pos}, " + ", ".join(array(v) for v in lists) + ")")
-    columns = "brand, pos, raw_tokens, tokens, loose_tokens, typo_tokens, negatives, official"
-    return f"brands({columns}) AS (VALUES {', '.join(rows)})"
+    long = f"list_filter(raw_tokens, lambda t: length(t) >= {CFG.min_typo_token_len})"
+    folded = {
+        "tokens": ("raw_tokens", FOLD), "loose_tokens": ("raw_tokens", LOOSE),
+        "typo_tokens": (long, LOOSE), "negatives": ("raw_negatives", FOLD),
+    }
+    columns = ", ".join(f"list_transform({of}, lambda t: {how % 't'}) AS {name}" for name, (of, how) in folded.items())
+    return f"""brands AS (
+        SELECT brand, pos, raw_tokens, official, {columns}
+        FROM (VALUES {', '.join(rows)}) b(brand, pos, raw_tokens, raw_negatives, official))"""
 
 
 def variant_ctes() -> list[str]:
     """``variants(label, suffix, brand, fuzzer)``, with Unicode labels kept as they are."""
-    near = [(a, b) for a, keys in keyboard_neighbours().items() for b in keys]
+    keys = [(key, x + row / 2, row) for row, line in enumerate(KEY_ROWS) for x, key in enumerate(line)]
+    near = [
+        (a, b) for a, x, row in keys for b, other, line in keys if abs(x - other) + abs(row - line) / 2 == 1
+    ]
+    hostname = "abcdefghijklmnopqrstuvwxyz0123456789-"
+    flips = [(a, b) for a in hostname for b in hostname if (ord(a) ^ ord(b)).bit_count() == 1]
+    odd = [(plain, c) for c, plain in zip(FOLD_FROM, FOLD_TO, strict=True) if not c.isascii()]
+    alike = [*map(tuple, ALIKE), *ALIKE_PAIRS, *odd]
     vowels = [(a, b) for a in "aeiou" for b in "aeiou" if a != b]
     pairs = [
-        *[("bitsquatting", *p) for p in bit_flips()],
-        *[("homoglyph", *p) for p in glyph_pairs()],
+        *[("bitsquatting", *p) for p in flips],
+        *[("homoglyph", *p) for p in alike],
         *[("replacement", *p) for p in near],
         *[("vowel-swap", *p) for p in vowels],
     ]
@@ -102,9 +124,7 @@ def variant_ctes() -> list[str]:
 
 def host_ctes(source: str) -> list[str]:
     """``forms``: the parts and folded forms of each distinct ``host`` of ``source``."""
-    fold = f"translate(lower(strip_accents(%s)), {text(FOLD_FROM)}, {text(FOLD_TO)})"
-    loose = f"translate(lower(strip_accents(%s)), {text(LOOSE_FROM)}, {text(LOOSE_TO)})"
-    loose = f"replace(replace({loose}, 'rn', 'm'), 'vv', 'w')"
+    fold, loose = FOLD, LOOSE
     return [
         table("psl", "suffix", [(s,) for s in SUFFIXES]),
         table("idn", "ascii_label, decoded", idn_labels()),
@@ -149,10 +169,11 @@ def _word(form: str) -> str:
 def scored_ctes(source: str) -> list[str]:
     """``scored``: one row per (host, free_dv) of ``source`` and brand that does not own it."""
     w = CFG.weights
-    keywords = [(i, fold_word(k), k) for i, k in enumerate(CFG.sensitive_keywords)]
+    keywords = list(enumerate(CFG.sensitive_keywords))
     return [
         _brands(),
-        table("keywords", "place, folded, word", keywords),
+        table("raw_keywords", "place, word", keywords),
+        f"keywords AS (SELECT place, {FOLD % 'word'} AS folded, word FROM raw_keywords)",
         *variant_ctes(),
         *host_ctes(source),
         """known AS (

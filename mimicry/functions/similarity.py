@@ -6,14 +6,12 @@ few rows that can matter.
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-_NON_LETTERS = re.compile("[^a-z]+")
-
 
 def edit_distance(left: str, right: str) -> int:
     """Lowrance-Wagner distance: a transposed pair may have other letters edited between."""
@@ -41,25 +39,26 @@ def edit_distance(left: str, right: str) -> int:
     return cost[rows + 1][cols + 1]
 
 
-def similarity(left: str, right: str) -> float:
-    longest = max(len(left), len(right))
-    return 1.0 - edit_distance(left, right) / longest if longest else 1.0
-
+def typo_similarity(label: Column, tokens: Column) -> Column:
+    """Best similarity of the label or one of its words to a token no longer than it.
 
-def best_similarity(label: str, tokens: list[str]) -> float:
-    """Best similarity of the label or one of its words to a token no longer than it."""
-    words = {label, *_NON_LETTERS.split(label)}
-    scores = [similarity(w, t) for w in words for t in tokens if len(w) >= len(t)]
-    return round(max(scores, default=0.0), 4)
+    Rounded to four places; 0 where there is no label or no token.
+    """
+    words = F.array_distinct(F.concat(F.split(label, "[^a-z]+"), F.array(label)))
+    return F.coalesce(_best_of_pairs(words, tokens), F.lit(0.0))
 
 
 @pandas_udf(DoubleType())
-def typo_similarity(labels: pd.Series, tokens: pd.Series) -> pd.Series:
-    """Rounded best similarity per row; 0 where there is no label or no token."""
-    return pd.Series(
-        [
-            best_similarity(label, list(words)) if label is not None and words is not None else 0.0
-            for label, words in zip(labels, tokens, strict=True)
-        ],
-        dtype="float64",
-    )
+def _best_of_pairs(words: pd.Series, tokens: pd.Series) -> pd.Series:
+    """Each row's best pair; a pair that many rows of a batch hold is compared once."""
+    pairs = pd.DataFrame({"word": words, "token": tokens}).explode("word").explode("token").dropna()
+    pairs = pairs[pairs["word"].str.len() >= pairs["token"].str.len()]
+    different = pairs.drop_duplicates()
+    scores = different.assign(score=[_rounded(w, t) for w, t in different.itertuples(index=False)])
+    joined = pairs.reset_index(names="row").merge(scores, on=["word", "token"])
+    return joined.groupby("row")["score"].max().reindex(words.index).astype("float64")
+
+
+def _rounded(word: str, token: str) -> float:
+    longest = max(len(word), len(token))
+    return round(1.0 - edit_distance(word, token) / longest, 4) if longest else 1.0

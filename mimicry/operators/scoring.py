@@ -21,8 +21,8 @@ from mimicry.config import DEFAULT_BRANDS, SWAP_TLDS, Brand, Scoring
 from mimicry.functions.confusables import (
     fold,
     fold_loose,
-    fold_word,
-    fold_word_loose,
+    Folds,
+    folded_words,
     unicode_forms,
 )
 from mimicry.functions.hostnames import normalize_hostname
@@ -87,8 +87,8 @@ def has_loose_word(text: Column, tokens: Sequence[str], negatives: Sequence[str]
     return text_hit
 
 
-def typo_tokens(brand: Brand, cfg: Scoring) -> list[str]:
-    return [fold_word_loose(t) for t in brand.tokens if len(t) >= cfg.min_typo_token_len]
+def _typo_tokens(brand: Brand, cfg: Scoring, folds: Folds) -> list[str]:
+    return [folds.loose[t] for t in brand.tokens if len(t) >= cfg.min_typo_token_len]
 
 
 def _may_be_typo(text: Column, tokens: Sequence[str], cfg: Scoring) -> Column:
@@ -112,12 +112,12 @@ def _close_to(token: str, longest: int, edits: int) -> Callable[[Column], Column
     return check
 
 
-def _relation(brand: Brand, position: int, cfg: Scoring, every: bool) -> Column:
+def _relation(brand: Brand, position: int, cfg: Scoring, folds: Folds, every: bool) -> Column:
     """Struct of one brand's signals on a host, NULL where the brand is unrelated."""
-    folded = [fold_word(t) for t in brand.tokens]
-    loose = [fold_word_loose(t) for t in brand.tokens]
-    negatives = [fold_word(t) for t in brand.negative_tokens]
-    for_typo = typo_tokens(brand, cfg)
+    folded = [folds.plain[t] for t in brand.tokens]
+    loose = [folds.loose[t] for t in brand.tokens]
+    negatives = [folds.plain[t] for t in brand.negative_tokens]
+    for_typo = _typo_tokens(brand, cfg, folds)
     min_len = cfg.min_substring_token_len
 
     def found_in(part: str) -> Column:
@@ -151,7 +151,7 @@ def _relation(brand: Brand, position: int, cfg: Scoring, every: bool) -> Column:
     return F.when(~official if every else (~official & related), signals)
 
 
-def _may_be_related(brands: Sequence[Brand], cfg: Scoring) -> Column:
+def _may_be_related(brands: Sequence[Brand], cfg: Scoring, folds: Folds) -> Column:
     """False only for hosts unrelated to every brand: no false negatives, cheap to tell.
 
     A token found once negatives are cut out is also found before, and a whole word is
@@ -160,14 +160,14 @@ def _may_be_related(brands: Sequence[Brand], cfg: Scoring) -> Column:
     tokens = sorted({t for b in brands for t in b.tokens})
     related = F.col("variant_domain").isNotNull()
     for part in ("label", "subdomain"):
-        for token in sorted(set(map(fold_word, tokens))):
+        for token in sorted({folds.plain[t] for t in tokens}):
             related = related | F.col(f"{part}_sk").contains(token)
-        for token in sorted(set(map(fold_word_loose, tokens))):
+        for token in sorted({folds.loose[t] for t in tokens}):
             related = related | F.col(f"{part}_loose").contains(token)
     by_negatives: dict[tuple[str, ...], set[str]] = {}
     for brand in brands:
-        negatives = tuple(fold_word(t) for t in brand.negative_tokens)
-        by_negatives.setdefault(negatives, set()).update(typo_tokens(brand, cfg))
+        negatives = tuple(folds.plain[t] for t in brand.negative_tokens)
+        by_negatives.setdefault(negatives, set()).update(_typo_tokens(brand, cfg, folds))
     for negatives, words in by_negatives.items():
         if words:
             label = _without(F.col("label_loose"), negatives)
@@ -175,7 +175,7 @@ def _may_be_related(brands: Sequence[Brand], cfg: Scoring) -> Column:
     return related
 
 
-def _keyword_hits(cfg: Scoring) -> Column:
+def _keyword_hits(cfg: Scoring, folds: Folds) -> Column:
     """Configured keywords left in the host once the brand's own tokens are removed."""
     rest = F.aggregate(
         F.col("__rel.tokens"),
@@ -183,7 +183,7 @@ def _keyword_hits(cfg: Scoring) -> Column:
         lambda text, token: F.replace(text, token, F.lit(" ")),
     )
     words = [
-        F.when(rest.contains(fold_word(word)), F.lit(word.lower()))
+        F.when(rest.contains(folds.plain[word]), F.lit(word.lower()))
         for word in cfg.sensitive_keywords
     ]
     return F.array_compact(F.array(*words)) if words else F.array().cast("array<string>")
@@ -245,9 +245,13 @@ class Scorer:
         # Configuration: its size follows from the brands, not from the data.
         self._index = F.broadcast(variant_index(self.variants))
         # The brands' checks are the same for every input: built once, bound on use.
-        self._prefilter = _may_be_related(self.brands, self.cfg)
+        own = [w for b in self.brands for w in (*b.tokens, *b.negative_tokens)]
+        self.folds = folded_words(spark, [*own, *self.cfg.sensitive_keywords])
+        self._prefilter = _may_be_related(self.brands, self.cfg, self.folds)
         self._relations = {
-            every: [_relation(brand, p, self.cfg, every) for p, brand in enumerate(self.brands)]
+            every: [
+                _relation(brand, p, self.cfg, self.folds, every) for p, brand in enumerate(self.brands)
+            ]
             for every in (False, True)
         }
 
@@ -300,7 +304,7 @@ class Scorer:
             F.col("__rel.in_label").alias("token_in_registered_label"),
             F.col("__rel.in_subdomain").alias("token_in_subdomain"),
             F.col("__rel.homoglyph").alias("homoglyph"),
-            _keyword_hits(cfg).alias("keyword_hits"),
+            _keyword_hits(cfg, self.folds).alias("keyword_hits"),
             F.col("free_dv").alias("free_dv_issuer"),
         )
         scored = (

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from mimicry.functions import hostnames as h
-from mimicry.functions.confusables import decode_labels, fold_word, fold_word_loose
+from mimicry.functions.confusables import folded_words, unicode_forms
 from mimicry.functions.rounding import ratio, round_binary
-from mimicry.functions.similarity import best_similarity, edit_distance
+from mimicry.functions.similarity import edit_distance, typo_similarity
 from mimicry.functions.text import chat_safe, clean_text, defang, normalised_title
 from mimicry.operators.domains import split_hosts
 from mimicry.operators.scoring import host_forms
@@ -31,28 +31,32 @@ def test_normalize_hostname(spark):
      ("amazön.fr", "amazon.fr"), ("netf1ix-l0gin.net", "netflix-login.net"),
      ("xn--pypal-4ve.com", "paypal.com")],
 )
-def test_words_that_fold_alike(raw, twin):
-    assert fold_word(raw) == fold_word(twin)
+def test_words_that_fold_alike(spark, raw, twin):
+    folds = folded_words(spark, [raw, twin])
+    assert folds.plain[raw] == folds.plain[twin]
 
 
 @pytest.mark.parametrize(("raw", "twin"), [("lcloud", "icloud"), ("rnicrosoft", "microsoft"), ("vvebmail", "webmail")])
-def test_words_that_only_fold_alike_loosely(raw, twin):
-    assert fold_word_loose(raw) == fold_word_loose(twin)
-    assert fold_word(raw) != fold_word(twin)
+def test_words_that_only_fold_alike_loosely(spark, raw, twin):
+    folds = folded_words(spark, [raw, twin])
+    assert folds.loose[raw] == folds.loose[twin]
+    assert folds.plain[raw] != folds.plain[twin]
 
 
-def test_punycode_that_does_not_decode_is_kept():
-    assert decode_labels("xn--99999999.com") == "xn--99999999.com"
-    assert decode_labels("xn--pypal-4ve.com") == "pаypal.com"
+def test_punycode_that_does_not_decode_is_kept(spark):
+    names = ["xn--99999999.com", "xn--pypal-4ve.com", "axn--b.com", "a.xn--pypal-4ve.com"]
+    got = evaluate(spark, names, lambda c: unicode_forms(c)["decoded"])
+    assert got == ["xn--99999999.com", "pаypal.com", "axn--b.com", "a.pаypal.com"]
 
 
 def test_column_forms_equal_the_word_forms(spark):
     hosts = ["paypa1.com", "xn--pypal-4ve.com", "shop.amazön.fr", "vvebrnail.rn.co.uk", "ℌello.example.org"]
+    labels = {x: x.split(".")[-3 if x.endswith("co.uk") else -2] for x in hosts}
+    folds = folded_words(spark, labels.values())
     df = spark.createDataFrame([(x,) for x in hosts], "fqdn string")
     for r in host_forms(df).collect():
-        label = r.fqdn.split(".")[-3 if r.fqdn.endswith("co.uk") else -2]
-        assert r.label_sk == fold_word(label)
-        assert r.label_loose == fold_word_loose(label)
+        assert r.label_sk == folds.plain[labels[r.fqdn]]
+        assert r.label_loose == folds.loose[labels[r.fqdn]]
 
 
 def test_split_hosts(spark):
@@ -147,5 +151,10 @@ def test_edit_distance_is_unrestricted():
     assert edit_distance("ca", "abc") == 2
     assert edit_distance("", "abc") == 3
     assert edit_distance("paypal", "papyal") == 1
-    assert best_similarity("mlcrosofft", ["mlcrosoft"]) == 0.9
-    assert best_similarity("short", ["mlcrosoft"]) == 0.0
+
+
+def test_typo_similarity(spark):
+    tokens = F.array(F.lit("mlcrosoft"), F.lit("paypal"))
+    labels = ["mlcrosofft", "short", "login-papyal-now", None]
+    got = evaluate(spark, labels, lambda c: typo_similarity(c, tokens))
+    assert got == [0.9, 0.0, 0.8333, 0.0]
