@@ -94,31 +94,41 @@ def regress(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: n
     return weights, float(bias)
 
 
-def train(labelled: DataFrame, *, features: int = FEATURES, per_label: int = PER_LABEL) -> Model:
-    """Learn from rows of (doc_id, text, toxic), toxic 0 or 1; others are passed over.
+def train(docs: DataFrame, labels: DataFrame, *, features: int = FEATURES, per_label: int = PER_LABEL) -> Model:
+    """Learn from rows (doc_id, text) and labels (doc_id, toxic), toxic 0 or 1; others are passed over.
 
-    Without documents of both labels every score is the share of toxic ones, or 0.
+    Counts cover every labelled text, for which texts move once. The regression's sample is
+    drawn from the labels, at most about 2 * ``per_label`` of them, so it is small enough to
+    go to the texts. Without both labels every score is 1 or 0, as the one label says.
     """
-    known = labelled.filter(F.col("toxic").isin(0, 1)).withColumn("toxic", F.col("toxic").cast("int"))
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int"))
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 40.0 if totals.get(1) else -40.0)
-    ratios = log_ratios(known, totals, features)
+    ratios = log_ratios(docs.join(known.hint("merge"), "doc_id"), totals, features)
+    places = np.flatnonzero(ratios)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000))
     wanted = F.lit(False)
     for label, n in totals.items():
         wanted = wanted | ((F.col("toxic") == label) & (draw < int(1_000_000 * min(1.0, per_label / n))))
+    shared = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float32))
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = np.flatnonzero(ratios)
-        column = np.zeros(1 << BITS, np.int64)
-        column[places] = np.arange(len(places))
-        mark, sets, labels = np.zeros(1 << BITS, np.int32), [], []
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, mark = shared.value, np.zeros(1 << BITS, np.int32)
+        column = np.zeros(1 << BITS, np.int32)
+        column[np.flatnonzero(own)] = np.arange(np.count_nonzero(own), dtype=np.int32)
         for chunk in chunks(batches, "text"):
-            labels += chunk.column("toxic").to_pylist()
-            for ids in gathered(letters_of(chunk.column("text")), SIZES, BITS, True):
-                own = ids[ratios[ids] != 0]
-                sets.append(column[distinct(own, mark)])
+            texts = gathered(letters_of(chunk.column("text")), SIZES, BITS, True)
+            sets = [np.sort(column[distinct(ids[own[ids] != 0], mark)]).tobytes() for ids in texts]
+            yield pa.RecordBatch.from_arrays([chunk.column("toxic"), pa.array(sets, pa.binary())], names=["toxic", "held"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, labels = [], []
+        for batch in batches:
+            labels += batch.column("toxic").to_pylist()
+            sets += [np.frombuffer(s, np.int32) for s in batch.column("held").to_pylist()]
+        if not sets:
+            return
         rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         columns = np.concatenate(sets)
         weights, bias = regress(rows, columns, ratios[places][columns], np.array(labels, float), len(places))
@@ -126,8 +136,10 @@ def train(labelled: DataFrame, *, features: int = FEATURES, per_label: int = PER
         out[places] = weights * ratios[places]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((out, bias))], pa.binary())], names=["model"])
 
-    sample = known.filter(wanted).select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "text")
-    return Model(*pickle.loads(sample.select("text", "toxic").mapInArrow(fit, "model binary").collect()[0]["model"]))
+    sample = docs.join(F.broadcast(known.filter(wanted)), "doc_id").select("text", "toxic")
+    measured = sample.mapInArrow(measure, "toxic int, held binary").repartition(1).sortWithinPartitions("toxic", "held")
+    found = measured.mapInArrow(fit, "model binary").collect()
+    return Model(*pickle.loads(found[0]["model"])) if found else Model(np.zeros(1 << BITS, np.float32), -40.0)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
@@ -160,7 +172,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = remainder(F.col("doc_id"), 3) == 1
-    model = train(docs.filter(~held_out).join(labels, "doc_id"))
+    model = train(docs, labels.filter(~held_out))
     found = score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
