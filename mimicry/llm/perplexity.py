@@ -1,6 +1,6 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of characters.
 
-The model counts 5-grams of characters in trusted texts, white space being one blank. Counts, context sums,
+The model counts 4-grams of characters in trusted texts, white space being one blank. Counts, context sums,
 discounts and probabilities are tables joined shard by shard; no task and not the driver
 holds the model. Documents are scored in blocks: a block sends its different n-grams to the
 tables, gets their probabilities back, and meets its own packed texts again by its name.
@@ -24,10 +24,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mimicry.llm.common import chunks, stored, table
+from mimicry.llm.common import chunks, likely_among, stored, table
 from mimicry.llm.ngrams import characters_of
 
-ORDER = 5
+ORDER = 4
 WIDTH = 12
 BLOCK_BYTES = 8 << 20
 QUANTILE = 0.995
@@ -37,7 +37,7 @@ _BLANK = 32
 
 
 def keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, borders): the 5-grams that end at each character and blank of each text.
+    """(keys, borders): the 4-grams that end at each character and blank of each text.
 
     Before a text stand blanks; a text without letters has no n-gram.
     """
@@ -82,10 +82,10 @@ class Model:
 
 
 def count(texts: DataFrame) -> DataFrame:
-    """(key, c): how often each 5-gram stands in the texts."""
+    """(key, c): how often each 4-gram stands in the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text", BLOCK_BYTES):
+        for chunk in chunks(batches, "text"):
             keys, counts = np.unique(keys_of(chunk.column("text"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "c"])
 
@@ -138,7 +138,7 @@ def fit(texts: DataFrame) -> Model | None:
 
 
 def chances(model: Model, wanted: DataFrame) -> DataFrame:
-    """(key, logp) of rows (key): each 5-gram's last character after the others."""
+    """(key, logp) of rows (key): each 4-gram's last character after the others."""
     first = model.grams[1].withColumnsRenamed({"key": "short", "p": "p1"})
     found = wanted.withColumn("short", tail("key", 1)).join(first, "short", "left")
     found = found.select("key", F.coalesce("p1", F.lit(model.unseen)).alias("p"))
@@ -165,11 +165,12 @@ def _name(chunk: pa.RecordBatch) -> int:
 
 
 def block_keys(rows: DataFrame) -> DataFrame:
-    """(block, key): the different 5-grams of each block of rows (id, text)."""
+    """(block, key): the different 4-grams of each block of rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", BLOCK_BYTES):
-            keys = np.unique(keys_of(chunk.column("text"))[0])
+            parts = [np.unique(keys_of(part.column("text"))[0]) for part in chunks(iter([chunk]), "text")]
+            keys = np.unique(np.concatenate(parts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(keys), _name(chunk), np.int64)), pa.array(keys)], names=["block", "key"]
             )
@@ -181,7 +182,7 @@ def packed(rows: DataFrame) -> DataFrame:
     """(block, body): the rows of each block, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=6)
         for chunk in chunks(batches, "text", BLOCK_BYTES):
             body = squeeze.compress(pickle.dumps(chunk.to_pydict()))
             yield pa.RecordBatch.from_arrays(
@@ -194,7 +195,7 @@ def packed(rows: DataFrame) -> DataFrame:
 def scored(rows: DataFrame, model: Model) -> DataFrame:
     """(id, n, logp): characters and their summed log chance for each of rows (id, text)."""
     kinds = rows.schema["id"].dataType.simpleString()
-    needed = stored(block_keys(rows).distinct(), "lm-needed")
+    needed = stored(block_keys(rows), "lm-needed")
     known = chances(model, needed.select("key").distinct())
     answers = needed.join(known, "key").select("block", "key", "logp")
 
@@ -243,7 +244,7 @@ def classify(
     ids = trusted.select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
     held_out = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
     learned = ids.filter(~held_out | F.col("doc_id").isNull())
-    model = fit(plain.join(learned, "doc_id", "left_semi").select("text"))
+    model = fit(likely_among(plain, "doc_id", learned).join(learned.hint("merge"), "doc_id", "left_semi").select("text"))
     if model is None:
         model = Model({k: _nothing(docs, "key long, p double") for k in range(1, ORDER + 1)}, {k: _nothing(docs, "context long, weight double") for k in range(2, ORDER + 1)}, 0.5)
     sums = scored(plain.select(F.to_json(F.struct("doc_id", "lang")).alias("id"), "text"), model)
