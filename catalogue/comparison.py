@@ -172,13 +172,14 @@ def _bucket(minutes: int) -> str:
 
 @query(f"""
     WITH seen AS (SELECT DISTINCT {_bucket(10)} AS w FROM events WHERE event_type = 'error'),
-         bounds AS (SELECT min(w) AS a, max(w) AS b FROM seen)
+         bounds AS (SELECT min({_bucket(10)}) AS a, max({_bucket(10)}) AS b FROM events)
     SELECT {moment_sql("w")} AS window_start
     FROM (SELECT unnest(generate_series(a, b, INTERVAL 10 MINUTE)) AS w FROM bounds) g
     WHERE w NOT IN (SELECT w FROM seen)""")
 def silence_windows(t: Tables) -> DataFrame:
     counts = mon.event_counts(_events(t).where("event_type = 'error'"))
-    silent = mon.silent_windows(counts, F.min("window_start"), F.max("window_start"))
+    every = mon.event_counts(_events(t))
+    silent = mon.silent_windows(counts, F.min("window_start"), F.max("window_start"), period=every)
     return silent.select(moment("window_start").alias("window_start"))
 
 

@@ -34,14 +34,26 @@ def event_counts(events: DataFrame, at: str = "at", width: str = SILENCE_WINDOW)
 
 
 def silent_windows(
-    counts: DataFrame, start: Column, end: Column, width: str = SILENCE_WINDOW
+    counts: DataFrame,
+    start: Column,
+    end: Column,
+    width: str = SILENCE_WINDOW,
+    period: DataFrame | None = None,
 ) -> DataFrame:
     """Windows from ``start`` up to ``end`` without any event. Missing data is a breach.
 
-    ``start`` and ``end`` may be aggregates over ``counts``.
+    ``start`` and ``end`` may be aggregates over ``period``, by default ``counts`` itself; a
+    source that is silent throughout needs a period that does not come from its events. The
+    calendar is numbered in parallel, however long it is.
     """
-    span = counts.agg(F.sequence(start, end, F.expr(f"INTERVAL {width}")).alias("starts"))
-    calendar = span.select(F.explode("starts").alias("window_start"))
+    step = F.unix_seconds(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {width}"))
+    first, last, seconds = (counts if period is None else period).agg(
+        F.unix_seconds(start), F.unix_seconds(end), step
+    ).first()
+    if first is None:  # no events to take a period from
+        first, last = 0, -1
+    numbers = counts.sparkSession.range(first, last + 1, seconds)
+    calendar = numbers.select(F.timestamp_seconds("id").alias("window_start"))
     return calendar.join(counts.where("events >= 1"), "window_start", "left_anti")
 
 

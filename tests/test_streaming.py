@@ -93,6 +93,10 @@ def test_monitors(spark):
     counts = mon.event_counts(events)
     silent = mon.silent_windows(counts, F.lit(t), F.lit(t + timedelta(minutes=50)))
     assert sorted(r.window_start.minute for r in silent.collect()) == [10, 20, 40, 50]
+    never = mon.event_counts(events.limit(0))
+    silent = mon.silent_windows(never, F.lit(t), F.lit(t + timedelta(minutes=20)))
+    assert sorted(r.window_start.minute for r in silent.collect()) == [0, 10, 20]
+    assert mon.silent_windows(never, F.min("window_start"), F.max("window_start")).count() == 0
     assert [(r.window_start.minute, r.failures) for r in mon.failure_windows(events).collect()] == [(30, 3)]
     levels = spark.createDataFrame([(t + timedelta(minutes=5 * i), x) for i, x in enumerate([81.0, 90.0, 82.0, 99.0, 80.0, 85.0, 85.0])],
                                    "at timestamp, level double")
