@@ -173,6 +173,7 @@ _FIRST = """first_matches AS (
                           row_number() OVER (PARTITION BY s.fqdn, s.brand ORDER BY g.arrival, s.free_dv) AS rn
                    FROM scored s JOIN sightings g ON g.name = s.host AND g.free_dv = s.free_dv
                    WHERE s.score >= 0.4) r WHERE rn = 1)"""
+FREE_DV, FIRST_MATCHES = _FREE, _FIRST
 INGEST = [_NAMES, _SIGHTINGS, *scored_ctes("SELECT name AS host, free_dv FROM sightings"), _FIRST]
 
 
@@ -299,6 +300,9 @@ _LEAF = [
 ]
 
 
+LEAVES = _LEAF
+
+
 def _parsed(t: Tables) -> DataFrame:
     return ct.parse_messages(t.messages)
 

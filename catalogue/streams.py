@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogue.registry import check, moment, moment_sql, query, scorer
-from catalogue.scoring import INGEST
+from catalogue.scoring import FIRST_MATCHES, FREE_DV, INGEST, LEAVES
+from catalogue.scoring_sql import scored_ctes
 from mimicry.plans.ingest import score_certificates
 from mimicry.session import shared_folder
 from mimicry.sources.sinks import absent, read_batches, write_batch
-from mimicry.sources.tables import MATCHES
+from mimicry.sources.tables import CERTIFICATES, MATCHES
 from mimicry.staging import Tables, as_certificates
 from mimicry.streaming import ingest as si
 from mimicry.streaming import monitors as mon
@@ -51,6 +52,54 @@ def stream_ingest(t: Tables) -> DataFrame:
     )
 
 
+# Messages arrive in so many batches, by line number; a batch is several files.
+BATCHES, FILES = 3, 4
+
+
+@query(check(("messages",), f"""
+    SELECT 'match' AS kind, fqdn AS id, brand || ' ' || cert_sha256 || ' ' || {moment_sql("seen_at")} AS detail FROM first_matches
+    UNION ALL
+    SELECT 'certificate', cert_sha256, {moment_sql("min(seen_at)")} FROM names
+    WHERE cert_sha256 IN (SELECT cert_sha256 FROM first_matches) GROUP BY cert_sha256
+    UNION ALL
+    SELECT 'malformed', CAST(line_no // width AS VARCHAR) || ' ' || reject_reason, CAST(count(*) AS VARCHAR)
+    FROM checked, span WHERE reject_reason IS NOT NULL GROUP BY line_no // width, reject_reason""",
+    *LEAVES,
+    f"span AS (SELECT max(line_no) // {BATCHES} + 1 AS width FROM messages)",
+    """names AS (SELECT unnest(names) AS name, cert_sha256, to_timestamp(CAST(seen AS DOUBLE)) AS seen_at,
+                        issuer_org, line_no AS arrival, line_no // width AS batch FROM keyed, span)""",
+    f"""sightings AS (
+        SELECT * FROM (SELECT *, {FREE_DV} AS free_dv, row_number() OVER (PARTITION BY name, batch ORDER BY arrival) AS rn
+                       FROM names) r WHERE rn = 1)""",
+    *scored_ctes("SELECT DISTINCT name AS host, free_dv FROM sightings"), FIRST_MATCHES))
+def stream_messages(t: Tables) -> DataFrame:
+    """Message files ingested in three micro-batches: matches, certificates, malformed messages."""
+    folder = _folder(t)
+    lines = t.messages.select("line_no", "value")
+    width = lines.agg((F.max("line_no") / BATCHES).cast("bigint") + 1).first()[0]
+    for batch in range(BATCHES):
+        part = lines.where((F.col("line_no") / width).cast("bigint") == batch)
+        part.repartitionByRange(FILES, "line_no").sortWithinPartitions("line_no").select("value").write.text(
+            f"{folder}/messages/{batch}"
+        )
+    si.start_ingest(
+        t.spark, f"{folder}/messages/*", scorer(t.spark), folder, f"{folder}/checkpoint", None, FILES
+    ).awaitTermination()
+    matches = read_batches(t.spark, f"{folder}/matches", MATCHES)
+    certificates = read_batches(t.spark, f"{folder}/certificates", CERTIFICATES)
+    bad = t.spark.read.parquet(f"{folder}/malformed")
+    detail = F.concat_ws(" ", "brand", "cert_sha256", moment("first_seen_at"))
+    return (
+        matches.select(F.lit("match").alias("kind"), F.col("fqdn").alias("id"), detail.alias("detail"))
+        .union(certificates.select(F.lit("certificate"), "cert_sha256", moment("seen_at")))
+        .union(
+            bad.groupBy(F.concat_ws(" ", F.col("batch_id").cast("string"), "reject_reason").alias("id"))
+            .agg(F.count("*").cast("string").alias("detail"))
+            .select(F.lit("malformed"), "id", "detail")
+        )
+    )
+
+
 def _written(t: Tables, rows: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream of rows into a folder and read the folder back."""
     folder = _folder(t)
