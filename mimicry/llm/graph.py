@@ -19,16 +19,21 @@ def components(edges: DataFrame) -> DataFrame:
     twice; their number grows with the logarithm of the nodes.
     """
     now = stored(_larger_first(edges), "components")
-    before = None
     for _ in range(ROUNDS):
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
-        if state == before:
+        if _is_forest_of_stars(now):
             break
-        before = state
         now = stored(_small_star(_large_star(now)), "components")
-    smallest = now.groupBy("a").agg(F.min("b").alias("b"))
-    roots = now.select(F.col("b").alias("a"), "b").distinct()
-    return smallest.union(roots).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Every node points to one other, and none that points is pointed to."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return nodes.filter("out > 1 or (out > 0 and in > 0)").isEmpty()
 
 
 def _larger_first(edges: DataFrame) -> DataFrame:

@@ -9,13 +9,15 @@ by a hash of each subset, in its own band and as a probe into the band below.
 
 Costs decide the allocation. A band is given more units (a segment is worth one, with
 deletions two) than the largest difference needs; each document may then leave out the
-segments most likely to be shared by chance, those with the fewest n-grams. How many
-segments have deletions follows from the number of sets in the band.
-
-Documents with equal index entries are compared exactly. First each with the smallest of
-the entry; then, where an entry still joins different components, all of those across
-components. So near copies in their thousands cost one comparison each, and no link that
-joins components is missed.
+segments most likely to be shared by chance: those with the fewest n-grams that are not
+common, which n-grams are common being estimated on a bounded sample. How many segments
+have deletions follows from the number of sets in the band. Any allocation gives the same
+result; a better one compares fewer sets.
+
+Documents with equal index entries are compared exactly, unless their counts of n-grams by
+hash already differ too much: first each with one of the entry, then with another one of it,
+then, in blocks, all pairs that are left across components. So near copies in their thousands
+cost a few comparisons each, and no link that joins components is missed.
 """
 
 from __future__ import annotations
@@ -29,11 +31,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mimicry.llm.common import LOWER, chunks, mixed, partitions, span_hashes, stored, table, text_bytes, words_of
+from mimicry.llm.common import (
+    LOWER,
+    chunks,
+    likely_among,
+    mixed,
+    partitions,
+    span_hashes,
+    stored,
+    table,
+    text_bytes,
+    words_of,
+)
 from mimicry.llm.graph import components
 
 NGRAM = 5
 PERCENT = 80
+# To estimate costs: documents sampled, the share of them from which an n-gram counts as
+# common, and the most common ones kept.
+SAMPLE = 4_000
+COMMON_SHARE = 0.003
+COMMON = 65_536
+MEETING = 0.2  # what a meeting by chance costs, in index entries
+SKETCH = 64  # counts of a set's n-grams by hash
+BLOCK = 1_024  # sets of one entry compared at once, on either side
+ROUNDS = 1  # more sets of each entry that all others of it are compared with first
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 # Roles of index entries, in the two low bits of a key: the band's own sets come first.
 _DELETED, _PROBE = 1, 2
@@ -119,25 +141,55 @@ def skipped(units: int, size: np.ndarray, percent: int) -> np.ndarray:
     return np.maximum(0, np.floor((units - 1) / 2 - (100 - percent) * size / (100 + percent)).astype(np.int64))
 
 
-def bands_of(counts: dict[int, int], percent: int = PERCENT, boilerplate: float = 0.15) -> list[Band]:
-    """Bands up to the largest size, with the cheapest allocation for the sets they hold.
+def bands_of(counts: dict[int, int], loads: np.ndarray, percent: int = PERCENT) -> list[Band]:
+    """Bands up to the largest size, with the cheapest allocation found for the sets they hold.
 
-    ``counts`` are numbers of sets by the band's place. The cost of an allocation is the
-    entries it indexes and the comparisons by chance, a segment being shared by chance if
-    all its items are passages that many documents hold.
+    ``counts`` are numbers of sets by the band's place, ``loads`` rows (items, rare items) of
+    sampled sets.
     """
     edges = band_edges(max(counts, default=-1) + 1, percent)
+    starts = np.array([low for low, _ in edges], dtype=np.int64)
+    place = np.searchsorted(starts, loads[:, 0], side="right") - 1
     out = []
     for i, (low, high) in enumerate(edges):
-        partner = high * 100 // percent
-        needed = largest_difference(high, partner, percent) + 1
-        # The larger partner must have something to leave out as well.
-        lean = max(0, math.ceil(2 * (100 - percent) * partner / (100 + percent)) + 1 - needed)
-        units = needed + lean + 2 * (1 + needed // 32)
-        out.append(_cheapest(low, high, units, counts.get(i, 0) + counts.get(i + 1, 0), boilerplate))
+        own, probes = (
+            (counts.get(j, 0), loads[place == j] if (place == j).any() else np.array([[low, low]])) for j in (i, i + 1)
+        )
+        out.append(min(_allocations(low, high, percent), key=lambda band: _cost(band, own, probes, percent)))
     return out
 
 
+def _allocations(low: int, high: int, percent: int) -> Iterator[Band]:
+    """Allocations that find every similar pair; they differ in spare units and in deletions."""
+    partner = high * 100 // percent
+    needed = largest_difference(high, partner, percent) + 1
+    # The larger partner must have something to leave out as well.
+    lean = max(0, math.ceil(2 * (100 - percent) * partner / (100 + percent)) + 1 - needed)
+    for spare in (1, 2, 4, 8):
+        units = needed + lean + 2 * (1 + needed * spare // 32)
+        for deletions in sorted({units // 2 * k // 8 for k in range(9)}):
+            yield Band(low, high, units - deletions, deletions, units)
+
+
+def _cost(band: Band, own: tuple[int, np.ndarray], probes: tuple[int, np.ndarray], percent: int) -> float:
+    """Entries of all sets, and the meetings by chance, each worth ``MEETING`` entries.
+
+    By chance meet segments without a rare item that were not left out, and deletions that
+    take a segment's only one.
+    """
+    worth = 1 + band.deletions / band.segments
+    entries, bare, single = [], [], []
+    for number, loads in (own, probes):
+        size, rare = loads[:, 0], loads[:, 1] / band.segments
+        left_out = skipped(band.units, size, percent) / worth
+        entries.append(number * float((band.segments - left_out + band.deletions * size / band.segments).mean()))
+        none = np.exp(-rare)
+        bare.append(number * float(np.maximum(0.0, none - left_out / band.segments).mean()))
+        single.append(number * float((none * rare).mean()) * band.deletions / band.segments)
+    meetings = bare[0] * (bare[0] / 2 + bare[1]) + single[0] * (bare[0] + bare[1]) + bare[0] * single[1]
+    return sum(entries) + MEETING * band.segments * meetings
+
+
 def band_edges(n: int, percent: int) -> list[tuple[int, int]]:
     edges, low = [], 1
     for _ in range(n):
@@ -155,24 +207,53 @@ def band_starts(largest: int, percent: int) -> np.ndarray:
     return np.array(starts, dtype=np.int64)
 
 
-def _cheapest(low: int, high: int, units: int, sets: int, boilerplate: float) -> Band:
-    best, least = None, math.inf
-    for deletions in range(0, units // 2 + 1, max(1, units // 16)):
-        segments = units - deletions
-        load = (low + high) / 2 / segments
-        entries = segments - deletions + deletions * (1 + load)
-        chance = math.exp(-2 * (1 - boilerplate) * load)
-        cost = entries + sets * chance * (segments - deletions + deletions * (1 + 2 * load))
-        if cost < least:
-            best, least = Band(low, high, segments, deletions, units), cost
-    return best
+# --- index -----------------------------------------------------------------------------
 
 
-# --- index -----------------------------------------------------------------------------
+def sample_of(docs: DataFrame, total: int) -> DataFrame:
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(1_000_000))
+    return docs.filter(draw < math.ceil(1_000_000 * min(1.0, SAMPLE / max(1, total))))
+
+
+def common_items(docs: DataFrame, total: int) -> np.ndarray:
+    """The n-grams that many documents hold, sorted, by a seeded sample of the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(sets_of(chunk.column("text")).items.view(np.int64))], names=["item"])
+
+    counted = sample_of(docs, total).mapInArrow(run, "item long").groupBy("item").agg(F.count("*").alias("n"))
+    least = max(3, math.ceil(COMMON_SHARE * min(SAMPLE, total)))
+    rows = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "item").limit(COMMON).collect()
+    return np.sort(np.array([r["item"] for r in rows], dtype=np.int64).view(np.uint64))
+
+
+def loads_of(docs: DataFrame, total: int, common: np.ndarray) -> np.ndarray:
+    """(items, rare items) of the sampled documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, "text"):
+            sets = sets_of(chunk.column("text"))
+            rare = np.concatenate(([0], np.cumsum(~_among(sets.items, shared.value))))[sets.borders]
+            yield pa.RecordBatch.from_arrays([pa.array(sets.sizes), pa.array(np.diff(rare))], names=["n", "rare"])
 
-def entries_of(sets: Sets, bands: list[Band], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    rows = sample_of(docs, total).mapInArrow(run, "n long, rare long").collect()
+    return np.array([(r["n"], r["rare"]) for r in rows], dtype=np.int64).reshape(-1, 2)
+
+
+def _among(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
+    return sorted_values[at] == values
+
+
+def entries_of(
+    sets: Sets, bands: list[Band], percent: int = PERCENT, common: np.ndarray = np.zeros(0, np.uint64)
+) -> tuple[np.ndarray, np.ndarray]:
     """(keys, row of each): the index entries of every set, role in the two low bits."""
+    rare = ~_among(sets.items, common)
     lows = np.array([b.low for b in bands])
     own = np.searchsorted(lows, sets.sizes, side="right") - 1
     keys, rows = [], []
@@ -190,18 +271,19 @@ def entries_of(sets: Sets, bands: list[Band], percent: int = PERCENT) -> tuple[n
         sizes = sets.sizes[chosen]
         base = np.concatenate(([0], np.cumsum(segments)))
         at = np.repeat(np.arange(len(chosen)), sizes)
-        item = sets.items[np.repeat(sets.borders[chosen], sizes) + _within(sizes)]
+        place_of = np.repeat(sets.borders[chosen], sizes) + _within(sizes)
+        item = sets.items[place_of]
         spread = mixed(item ^ _ODD[2])
         segment = (spread % segments[at].astype(np.uint64)).astype(np.int64)
         cell = base[at] + segment
-        count = np.bincount(cell, minlength=base[-1])
+        count = np.bincount(cell, rare[place_of], minlength=base[-1])
         total = np.zeros(base[-1], np.uint64)
         np.add.at(total, cell, spread)
         holder = np.repeat(np.arange(len(chosen)), segments)
         number = _within(segments)
         deep = number < deletions[holder]
         salt = mixed((place[chosen][holder].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64) + np.uint64(1))
-        # Leave out the emptiest segments, as many units as the set's size allows.
+        # Leave out the segments with the fewest rare items, as many units as the size allows.
         order = np.lexsort((number, count, holder))
         worth = 1 + deep[order]
         spent = np.cumsum(worth)
@@ -230,40 +312,49 @@ def _keyed(total: np.ndarray, salt: np.ndarray, role: int) -> np.ndarray:
 # --- the join --------------------------------------------------------------------------
 
 
+def sketches(sets: Sets) -> list[bytes]:
+    """Counts of each set's items by hash, 255 at most; two sets differ in as many items at
+    least as their counts differ in all."""
+    rows = len(sets.sizes)
+    cell = np.repeat(np.arange(rows), sets.sizes) * SKETCH + (mixed(sets.items ^ _ODD[3]) % np.uint64(SKETCH)).astype(np.int64)
+    counts = np.minimum(np.bincount(cell, minlength=rows * SKETCH), 255).astype(np.uint8).reshape(rows, SKETCH)
+    return [c.tobytes() for c in counts]
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, first, second) of rows (doc_id, text): the size and the name of each set."""
+    """(doc_id, n, first, second, sketch) of rows (doc_id, text): the size and the name of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             sets = sets_of(chunk.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("doc_id"), pa.array(sets.sizes), pa.array(sets.first), pa.array(sets.second)],
-                names=["doc_id", "n", "first", "second"],
+                [
+                    chunk.column("doc_id"),
+                    pa.array(sets.sizes),
+                    pa.array(sets.first),
+                    pa.array(sets.second),
+                    pa.array(sketches(sets), pa.binary()),
+                ],
+                names=["doc_id", "n", "first", "second", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, first long, second long")
-
-
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of the wanted (doc_id, first, second)."""
-    return docs.join(wanted.hint("merge"), "doc_id")
+    return docs.mapInArrow(run, "doc_id long, n long, first long, second long, sketch binary")
 
 
-def _own(chunk: pa.RecordBatch, sets: Sets) -> np.ndarray:
-    """Rows whose text is the one wanted: an id may stand on several texts."""
-    return (chunk.column("first").to_numpy() == sets.first) & (chunk.column("second").to_numpy() == sets.second)
+def index(docs: DataFrame, bands: list[Band], percent: int, common: np.ndarray) -> DataFrame:
+    """(key, node): the entries of all sets, a set being named by the first of its sums.
 
+    Copies make equal entries. Two sets of one name would only be compared once more.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
-def index(texts: DataFrame, bands: list[Band], percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             sets = sets_of(chunk.column("text"))
-            keys, rows = entries_of(sets, bands, percent)
-            fine = _own(chunk, sets)[rows]
-            ids = chunk.column("doc_id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(keys[fine]), pa.array(ids[rows[fine]])], names=["key", "node"])
+            keys, rows = entries_of(sets, bands, percent, shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sets.first[rows])], names=["key", "node"])
 
-    return texts.mapInArrow(run, "key long, node long")
+    return docs.mapInArrow(run, "key long, node long")
 
 
 def meetings(entries: DataFrame) -> DataFrame:
@@ -311,17 +402,22 @@ def _may_meet(a: str, b: str) -> str:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; the sets of only these documents are moved."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    """(a, b), documents, of the pairs of names whose sets are similar.
+
+    Only the texts of these sets are moved, and from then on only the sets.
+    """
+    wanted = pairs.select(F.col("a").alias("first")).union(pairs.select(F.col("b").alias("first"))).distinct()
+    needed = stored(names.join(wanted.hint("merge"), "first").select("doc_id", "first", "second"), "jaccard-wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             found = sets_of(chunk.column("text"))
-            own = np.flatnonzero(_own(chunk, found))
+            # An id may stand on several texts.
+            same = (chunk.column("first").to_numpy() == found.first) & (chunk.column("second").to_numpy() == found.second)
+            own = np.flatnonzero(same)
             items = [found.items[found.borders[i] : found.borders[i + 1]].tobytes() for i in own]
-            yield pa.RecordBatch.from_arrays(
-                [chunk.column("doc_id").take(pa.array(own)), pa.array(items, pa.binary())], names=["node", "items"]
-            )
+            taken = [chunk.column(c).take(pa.array(own)) for c in ("doc_id", "first")]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(items, pa.binary())], names=["node", "first", "items"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,14 +428,15 @@ def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, percent: int)
                 same = int((both[1:] == both[:-1]).sum())
                 similar.append(100 * same >= percent * (len(x) + len(y) - same))
             kept = pa.array(similar, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(kept), batch.column("y").filter(kept)], names=["a", "b"])
 
-    needed = names.join(wanted.hint("merge"), "doc_id")
-    items = stored(_texts_of(docs, needed).mapInArrow(sets, "node long, items binary").dropDuplicates(["node"]), "jaccard-sets")
-    left = items.select(F.col("node").alias("a"), F.col("items").alias("left"))
-    right = items.select(F.col("node").alias("b"), F.col("items").alias("right"))
+    texts = likely_among(docs, "doc_id", needed.select("doc_id")).join(needed.hint("merge"), "doc_id")
+    found = texts.mapInArrow(sets, "node long, first long, items binary").dropDuplicates(["node", "first"])
+    items = stored(found, "jaccard-sets")
+    left = items.select(F.col("first").alias("a"), F.col("node").alias("x"), F.col("items").alias("left"))
+    right = items.select(F.col("first").alias("b"), F.col("node").alias("y"), F.col("items").alias("right"))
     both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-    return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    return both.select("x", "y", "left", "right").mapInArrow(compare, "a long, b long")
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -348,36 +445,144 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def links(docs: DataFrame, names: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the classes that have a partner; ``names`` has one row a class."""
-    spark = docs.sparkSession
     largest = names.agg(F.max("n")).first()[0] or 0
-    starts = band_starts(largest, percent)
     place = F.lit(-1)
-    for start in starts:  # some five bands for each threefold size
+    for start in band_starts(largest, percent):  # some five bands for each threefold size
         place = place + (F.col("n") >= int(start)).cast("int")
     counts = {r["band"]: r["k"] for r in names.groupBy(place.alias("band")).agg(F.count("*").alias("k")).collect()}
-    bands = bands_of(counts, percent)
-    held = names.select("doc_id", "first", "second")
-    entries = index(_texts_of(docs, held), bands, percent)
+    total = sum(counts.values())
+    common = common_items(docs, total)
+    bands = bands_of(counts, loads_of(docs, total, common), percent)
+    entries = index(docs, bands, percent, common)
     met = stored(meetings(entries), "jaccard-meetings")
-    stars = stored(_pairs(met.filter(_may_meet("head_role", "role")), "head", "node"), "jaccard-stars")
-    edges = stored(verified(stars, docs, held, percent), "jaccard-edges")
+    stars = _pairs(met.filter(_may_meet("head_role", "role")), "head", "node")
+    stars = stored(plausible(stars, names, percent), "jaccard-stars")
+    edges = stored(verified(stars, docs, names, percent), "jaccard-edges")
     found = stored(components(edges), "jaccard-components")
 
-    # Where an entry still holds several components, the pairs across them.
-    heads = met.select("key", F.col("head").alias("node"), F.col("head_role").alias("role"))
-    members = met.select("key", "node", "role").union(heads).distinct()
+    heads = met.select("key", F.col("head").alias("first"), F.col("head_role").alias("role"))
+    members = met.select("key", F.col("node").alias("first"), "role").union(heads).distinct()
+    sizes = names.select("first", F.col("doc_id").alias("node"), "n")
+    members = stored(members.join(sizes.hint("merge"), "first"), "jaccard-members")
+    done = stars
+    for turn in range(ROUNDS + 1):
+        members = _open(members, found)
+        if members.isEmpty():
+            return found
+        last = turn == ROUNDS
+        if last:
+            more = across(members, names, percent)
+        else:
+            more = plausible(_pairs(_one_more(members, turn), "first", "other"), names, percent)
+        more = stored(more.distinct().join(done.hint("merge"), ["a", "b"], "left_anti"), "jaccard-more")
+        if not more.isEmpty():
+            edges = stored(edges.union(verified(more, docs, names, percent)), "jaccard-edges")
+            found = stored(components(edges), "jaccard-components")
+            done = done.union(more)
+        if last:
+            return found
+    return found
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the entries that hold several components.
+
+    Entries whose members are one component stay so, and need not be looked at again.
+    """
+    members = members.select("key", "first", "role", "node", "n")
     labelled = members.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k"))
-    rest = stored(labelled.join(open_keys.filter("x <> y and k > 2").select("key").hint("merge"), "key"), "jaccard-rest")
-    left, right = rest.alias("l"), rest.alias("r")
-    across = left.hint("merge").join(
-        right, F.expr(f"l.key = r.key and l.node < r.node and l.component <> r.component and {_may_meet('l.role', 'r.role')}")
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("k"))
+    keys = parts.groupBy("key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    keys = keys.filter("k > 2 and k * k > same")
+    return stored(labelled.join(keys.select("key", "k").hint("merge"), "key"), "jaccard-rest")
+
+
+def _one_more(rest: DataFrame, turn: int) -> DataFrame:
+    """(first, other): each member with one of its entry, the same one for many entries."""
+    draw = F.xxhash64("first", F.lit(turn))
+    chosen = rest.groupBy("key").agg(F.min_by(F.struct("first", "role", "component", "n"), draw).alias("o"))
+    return (
+        rest.join(chosen.hint("merge"), "key")
+        .filter(f"component <> o.component and {_may_meet('role', 'o.role')}")
+        .select("first", F.col("o.first").alias("other"))
     )
-    more = _pairs(across, "l.node", "r.node").join(stars.hint("merge"), ["a", "b"], "left_anti")
-    more = stored(more, "jaccard-more")
-    if more.isEmpty():
-        return found
-    return stored(components(edges.union(verified(more, docs, held, percent))), "jaccard-components")
+
+
+def plausible(pairs: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and counts do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            x, y = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+                for c in ("x", "y")
+            )
+            kept = pa.array(np.abs(x - y).sum(axis=1) <= (100 - percent) * (n + m) // (100 + percent))
+            yield pa.RecordBatch.from_arrays([batch.column("p").filter(kept), batch.column("q").filter(kept)], names=["a", "b"])
+
+    left = names.select(F.col("first").alias("p"), "n", F.col("sketch").alias("x"))
+    right = names.select(F.col("first").alias("q"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    named = pairs.select(F.col("a").alias("p"), F.col("b").alias("q"))
+    both = named.join(left.hint("merge"), "p").join(right.hint("merge"), "q")
+    return both.filter(f"100 * least(n, m) >= {percent} * greatest(n, m)").mapInArrow(run, "a long, b long").distinct()
+
+
+def across(rest: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of one entry and different components that sizes and counts do not rule out.
+
+    An entry's members are cut into blocks, and each two blocks are compared in one place.
+    """
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("first", F.lit("block")), blocks).cast("int")
+    marked = rest.select("key", "first", "component", "role", "n", blocks.alias("blocks"), own.alias("block"))
+    marked = marked.join(names.select("first", "sketch").hint("merge"), "first")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = marked.withColumn("other", other).select(
+        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("place"),
+        (F.col("block") > F.col("other")).alias("right"),
+        "first",
+        "component",
+        "role",
+        "n",
+        "sketch",
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            places = batch.column("place").to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(places[1:] != places[:-1]) + 1, [len(places)])) if len(places) else [0]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(start, stop - start)
+                if held and held[0].column("place")[0] != part.column("place")[0]:
+                    yield _ruled_in(pa.Table.from_batches(held), percent)
+                    held = []
+                held.append(part)
+        if held:
+            yield _ruled_in(pa.Table.from_batches(held), percent)
+
+    spread = dealt.repartition(partitions(rest.sparkSession), "place").sortWithinPartitions("place", "first")
+    return spread.mapInArrow(run, "a long, b long").distinct()
+
+
+def _ruled_in(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """Pairs of the rows that may be similar: left with right, or all if there is no right."""
+    first, component, n, role = (rows.column(c).to_numpy() for c in ("first", "component", "n", "role"))
+    counts = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+    right = rows.column("right").to_numpy(zero_copy_only=False)
+    left, right = (np.flatnonzero(~right), np.flatnonzero(right)) if right.any() else (np.arange(len(first)),) * 2
+    found = []
+    for i in left:
+        j = right if left is not right else right[right > i]
+        fits = (component[j] != component[i]) & ((role[j] & role[i]) == 0)
+        fits &= 100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])
+        j = j[fits]
+        apart = np.abs(counts[j] - counts[i]).sum(axis=1)
+        j = j[apart <= (100 - percent) * (n[j] + n[i]) // (100 + percent)]
+        found.append(np.stack((np.minimum(first[i], first[j]), np.maximum(first[i], first[j]))))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -393,8 +598,8 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent
     spark_docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     every = stored(classes(spark_docs), "jaccard-classes")
     filled = every.filter("n > 0 and doc_id is not null")
-    names = stored(filled.groupBy("n", "first", "second").agg(F.min("doc_id").alias("doc_id")), "jaccard-names")
-    joined = links(spark_docs, names, PERCENT if percent is None else percent)
+    names = stored(filled.groupBy("n", "first", "second").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch")), "jaccard-names")
+    joined = links(spark_docs, names, percent)
     smallest = (
         names.withColumnRenamed("doc_id", "node")
         .join(joined.hint("merge"), "node", "left")

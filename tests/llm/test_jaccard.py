@@ -80,7 +80,7 @@ def test_odd_rows(spark):
 def test_rounds_and_blocks(spark, monkeypatch):
     """The same result if entries are compared in many small blocks, and in rounds."""
     monkeypatch.setattr(jaccard, "BLOCK", 2)
-    monkeypatch.setattr(jaccard, "OPEN_PAIRS", 0)
+    monkeypatch.setattr(jaccard, "ROUNDS", 3)
     monkeypatch.setattr(jaccard, "COMMON_SHARE", 1.0)
     check(spark, corpus(9, 8))
 
