@@ -346,7 +346,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = Window.partitionBy("_shard", "length").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = (
-        sharded.join(bases, ["_shard", "length"])
+        sharded.join(bases.hint("merge"), ["_shard", "length"])  # grows with the input: never broadcast
         .withColumn("_rank", F.col("_base") + F.row_number().over(within) - 1)
         .select(*cut.columns, "_rank")
     )
