@@ -231,18 +231,20 @@ def _best_split(binned, gradient, weight, cuts, directions, low, high):
 # --- the job ---------------------------------------------------------------------------
 
 
-def train(labelled: DataFrame, *, sample: int = SAMPLE) -> Forest | None:
-    """Grow the trees on about ``sample`` rows of (doc_id, text, quality), quality 0 or 1.
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Forest | None:
+    """Grow the trees on rows (doc_id, text) with labels (doc_id, quality), quality 0 or 1.
 
-    The statistics of the sampled texts are computed where the rows are; only they reach
-    the one task that grows the trees. None without labels of both kinds.
+    About ``sample`` labels are drawn, few enough to go to the texts. Statistics of the
+    sampled texts are computed where these are; only they reach the one task that grows the
+    trees. None without labels of both kinds.
     """
-    known = labelled.filter(F.col("quality").isin(0, 1))
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     totals = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return None
     draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000))
-    chosen = known.filter(draw < int(1_000_000 * min(1.0, sample / sum(totals.values()))))
+    drawn = known.filter(draw < int(1_000_000 * min(1.0, sample / sum(totals.values()))))
+    chosen = docs.join(F.broadcast(drawn.select("doc_id", F.col("quality").cast("int").alias("quality"))), "doc_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
@@ -252,13 +254,16 @@ def train(labelled: DataFrame, *, sample: int = SAMPLE) -> Forest | None:
             )
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
+        parts = list(batches)
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts)
         counts = {name: rows.column(name).to_numpy() for name in (*COUNTS, *EXTRA)}
         forest = grow(features(counts), rows.column("quality").to_numpy().astype(float), [d for _, d in FEATURES])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(astuple(forest))], pa.binary())], names=["model"])
 
     schema = "quality int, " + ", ".join(f"{name} long" for name in (*COUNTS, *EXTRA))
-    measured = chosen.select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(measure, schema)
+    measured = chosen.select("text", "quality").mapInArrow(measure, schema)
     ordered = measured.repartition(1).sortWithinPartitions(*measured.columns)
     found = ordered.mapInArrow(fit, "model binary").collect()
     return Forest(*pickle.loads(found[0]["model"])) if found else None
@@ -300,5 +305,5 @@ def judge(docs: DataFrame, forest: Forest | None, *, text: str = "text", keep: f
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    judged = judge(docs, train(docs.join(labels, "doc_id")))
+    judged = judge(docs, train(docs, labels))
     return judged.select(F.col("row.doc_id").alias("doc_id"), *COUNTS, "base_failed", "kept", "score")
