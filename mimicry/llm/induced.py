@@ -25,6 +25,7 @@ import numpy as np
 
 MEMORY = 1 << 22
 INDUCED_LEVELS = 2
+_NEVER = np.int64(np.iinfo(np.int64).max)  # beyond all keys
 _FIRST_BULK = 1 << 12
 _MOST_BULK = 1 << 18
 
@@ -130,68 +131,157 @@ class Order:
     shared: np.ndarray  # with the suffix before, 0 for the first
 
 
-def scan(keys: np.ndarray, induces: np.ndarray, seeds: Order, runs: np.ndarray, limit: int, total: int, files: Files) -> Order:
+def scan(
+    keys: np.ndarray, induces: np.ndarray, seeds: Order, runs: np.ndarray, behind: np.ndarray, limit: int, total: int, files: Files
+) -> Order:
     """All seeds and all that they induce, in ascending order of the keys.
 
     Under one key what is induced stands before the seeds. ``induces`` tells of each place
-    whether the suffix one before it is to be induced; ``runs`` how often its symbol repeats.
+    whether the suffix one before it is to be induced; ``runs`` how often its symbol repeats
+    from there on, ``behind`` how often before.
     """
     queue = BulkQueue(files)
-    kind = np.uint16 if limit < 1 << 16 else np.uint32
-    history = RangeMinima(total, kind, files)
-    places = files.empty(total, np.int64)
-    done, seed, bulk = 0, 0, _FIRST_BULK
+    out = _Output(keys, induces, runs, behind, limit, total, files)
+    seed, bulk = 0, _FIRST_BULK
     seed_keys = keys[seeds.places]
-    last = (-1, -1, -1, False)  # key, source, place of the tuple that left last, and whether it was a seed
     while True:
         k, p, s, of = queue.peek(bulk)
-        more = slice(seed, seed + bulk)
-        sk, sp = seed_keys[more], seeds.places[more]
+        sk = seed_keys[seed : seed + bulk]
         if not len(k) and not len(sk):
             break
-        # Only what surely comes next: up to the smaller of the two ends.
-        bound = min([x[-1] for x, n in ((k, bulk), (sk, bulk)) if len(x) == n], default=np.iinfo(np.int64).max)
-        n_q, n_s = int(np.searchsorted(k, bound, "right")), int(np.searchsorted(sk, bound, "right"))
-        if len(k) == bulk and k[-1] == bound:  # seeds of the key wait for the rest of what is induced
-            n_s = int(np.searchsorted(sk, bound, "left"))
-        all_k = np.concatenate((k[:n_q], sk[:n_s]))
-        order = np.argsort(all_k, kind="stable")
-        all_k = all_k[order]
-        all_p = np.concatenate((p[:n_q], sp[:n_s]))[order]
-        all_s = np.concatenate((s[:n_q], np.full(n_s, -1)))[order]
-        is_seed = order >= n_q
-        sends = induces[all_p]
-        sent = np.where(sends, keys[all_p - 1], np.iinfo(np.int64).max)
-        least = np.concatenate(([np.iinfo(np.int64).max], np.minimum.accumulate(sent)[:-1]))
-        fine = (all_k < least) | ((all_k == least) & ~is_seed)
-        n = len(fine) if fine.all() else int(np.argmin(fine))
-        all_k, all_p, all_s, is_seed, sends, sent = (x[:n] for x in (all_k, all_p, all_s, is_seed, sends, sent))
-
-        before_k = np.concatenate(([last[0]], all_k[:-1]))
-        before_s = np.concatenate(([last[1]], all_s[:-1]))
-        before_p = np.concatenate(([last[2]], all_p[:-1]))
-        before_seed = np.concatenate(([last[3]], is_seed[:-1]))
-        same = (all_k == before_k) & (before_p >= 0)
-        shared = np.zeros(n, dtype=np.int64)
+        # Keys from ``bound`` on may go on beyond what is seen.
+        bound = min([x[-1] for x in (k, sk) if len(x) == bulk], default=_NEVER)
+        n_q, n_s = int(np.searchsorted(k, bound, "left")), int(np.searchsorted(sk, bound, "left"))
+        if len(k) and k[0] == out.begun:  # a key that was begun piece by piece is ended so
+            n_q, n_s = int(np.searchsorted(k, k[0], "right")), 0
+            out.piece(k[:n_q], p[:n_q], s[:n_q], seeds.places[:0], seeds.shared[:0], queue, of)
+        elif n_q + n_s:
+            part = slice(seed, seed + n_s)
+            n_q, n_s = out.whole_keys(k[:n_q], p[:n_q], s[:n_q], seeds.places[part], seeds.shared[part], queue, of)
+            bulk = min(_MOST_BULK, max(_FIRST_BULK, 2 * (n_q + n_s)))
+        elif bulk < _MOST_BULK:
+            bulk = _MOST_BULK
+            continue
+        else:  # one key with more tuples than are looked at: piece by piece
+            n_q = int(np.searchsorted(k, bound, "right"))
+            n_s = 0 if n_q else int(np.searchsorted(sk, bound, "right"))
+            part = slice(seed, seed + n_s)
+            out.piece(k[:n_q], p[:n_q], s[:n_q], seeds.places[part], seeds.shared[part], queue, of)
+        seed += n_s
+    return Order(out.places[: out.done], out.history.levels[0][: out.done])
+
+
+class _Output:
+    """What has left the queue, and what of it is still needed to go on."""
+
+    def __init__(self, keys, induces, runs, behind, limit: int, total: int, files: Files):
+        self.keys, self.induces, self.runs, self.behind, self.limit = keys, induces, runs, behind, limit
+        self.places = files.empty(total, np.int32)
+        self.history = RangeMinima(total, np.min_scalar_type(limit), files)
+        self.done = 0
+        self.begun: int | None = None
+        self.last = (np.iinfo(np.int64).min, -1, -1, False)  # key, source, place, and whether it was a seed
+
+    def _shared(self, k, p, s, is_seed, seeds_shared):
+        """What each tuple shares with the one before, of sources that have left already."""
+        before_k, before_s = np.concatenate(([self.last[0]], k[:-1])), np.concatenate(([self.last[1]], s[:-1]))
+        before_p = np.concatenate(([self.last[2]], p[:-1]))
+        before_seed = np.concatenate(([self.last[3]], is_seed[:-1]))
+        same = k == before_k
+        shared = np.zeros(len(k), np.int64)
         both = np.flatnonzero(same & ~is_seed & ~before_seed)
-        shared[both] = 1 + history.least(before_s[both] + 1, all_s[both]).astype(np.int64)
+        shared[both] = 1 + self.history.least(before_s[both] + 1, s[both]).astype(np.int64)
         seam = np.flatnonzero(same & is_seed & ~before_seed)
-        shared[seam] = np.minimum(runs[all_p[seam]], runs[before_p[seam]])
+        shared[seam] = np.minimum(self.runs[p[seam]], self.runs[before_p[seam]])
+        own = np.flatnonzero(is_seed)
+        kept = same[own] & before_seed[own]
+        shared[own[kept]] = seeds_shared[kept]
+        return shared
+
+    def _leave(self, k, p, s, is_seed, shared, queue: BulkQueue, sends) -> None:
+        self.history.append(np.minimum(shared, self.limit))
+        self.places[self.done : self.done + len(p)] = p
+        at = np.flatnonzero(sends)
+        queue.push(self.keys[p[at] - 1], (p[at] - 1).astype(np.int32), (self.done + at).astype(np.int32))
+        self.done += len(p)
+        self.last = (k[-1], s[-1], p[-1], bool(is_seed[-1]))
+
+    def whole_keys(self, k, p, s, seed_places, seed_shared, queue: BulkQueue, of) -> tuple[int, int]:
+        """Let whole keys leave, as many as nothing they induce belongs among.
+
+        A tuple induces those before it in a run of its symbol in turn. Under a key they all
+        follow the tuples at hand, round by round: in each the next of every run that is
+        long enough, in the same order.
+        """
+        n_q, n_s = len(k), len(seed_places)
+        back = self.behind[p]
+        ends = p - back
+        sk = self.keys[seed_places]
+        sent = np.concatenate(
+            [np.where(self.induces[x], self.keys[x - 1], _NEVER) for x in (ends, seed_places)]
+        )
+        every = np.concatenate((k, sk))
+        order = np.argsort(every, kind="stable")
+        least = np.minimum.accumulate(sent[order])
+        first_bad = np.flatnonzero(every[order][1:] >= least[:-1])
+        if len(first_bad):  # the keys before the one that would get more
+            stop = every[order][first_bad[0] + 1]
+            n_q, n_s = int(np.searchsorted(k, stop, "left")), int(np.searchsorted(sk, stop, "left"))
+            k, p, s, back, sk, seed_places, seed_shared = k[:n_q], p[:n_q], s[:n_q], back[:n_q], sk[:n_s], seed_places[:n_s], seed_shared[:n_s]
+        queue.drop(of[:n_q])
+        owner = np.repeat(np.arange(n_q), back + 1)
+        turn = np.arange(len(owner)) - np.repeat(np.cumsum(back + 1) - (back + 1), back + 1)
+        rounds = np.lexsort((owner, turn, k[owner]))
+        owner, turn = owner[rounds], turn[rounds]
+        # Shared by neighbours of a later round: what they shared, and one more each round.
+        plain = np.zeros(n_q, bool)
+        base = self._shared(k, p, s, plain, seed_shared[:0])
+        shared = turn.copy()
+        follows = np.zeros(len(owner), bool)
+        follows[1:] = (turn[1:] == turn[:-1]) & (k[owner[1:]] == k[owner[:-1]])
+        if follows.any():
+            at = np.flatnonzero(follows)
+            between = RangeMinima(n_q, np.int64, Files(None))
+            between.append(base)
+            shared[at] = turn[at] + between.least(owner[at - 1] + 1, owner[at])
+        heads = ~follows & (turn == 0)
+        shared[heads] = base[owner[heads]]
+
+        all_k = np.concatenate((k[owner], sk))
+        order = np.argsort(all_k, kind="stable")
+        all_p = np.concatenate((p[owner] - turn, seed_places))[order]
+        all_s = np.concatenate((s[owner], np.full(n_s, -1)))[order]
+        is_seed = order >= len(owner)
+        all_k = all_k[order]
+        joined = np.concatenate((shared, np.zeros(n_s, np.int64)))[order]
+        with_seeds = self._seams(all_k, all_p, is_seed, seed_shared)
+        joined = np.where(is_seed, with_seeds, joined)
+        inner = np.concatenate((turn < back[owner], np.zeros(n_s, bool)))[order]
+        self._leave(all_k, all_p, all_s, is_seed, joined, queue, self.induces[all_p] & ~inner)
+        return n_q, n_s
+
+    def _seams(self, k, p, is_seed, seed_shared):
+        before_k = np.concatenate(([self.last[0]], k[:-1]))
+        before_p = np.concatenate(([self.last[2]], p[:-1]))
+        before_seed = np.concatenate(([self.last[3]], is_seed[:-1]))
+        shared = np.zeros(len(k), np.int64)
+        seam = np.flatnonzero(is_seed & (k == before_k) & ~before_seed)
+        shared[seam] = np.minimum(self.runs[p[seam]], self.runs[before_p[seam]])
         own = np.flatnonzero(is_seed)
-        kept = own[same[own] & before_seed[own]]
-        shared[kept] = seeds.shared[seed + np.searchsorted(own, kept)]
-        shared = np.minimum(shared, limit)
-
-        history.append(shared)
-        places[done : done + n] = all_p
-        out = np.flatnonzero(sends)
-        queue.drop(of[:n_q][order[:n][~is_seed]])
-        queue.push(sent[out], all_p[out] - 1, done + out)
-        seed += len(own)
-        done += n
-        last = (all_k[-1], all_s[-1], all_p[-1], bool(is_seed[-1]))
-        bulk = min(_MOST_BULK, 2 * bulk) if n > bulk // 2 else max(_FIRST_BULK >> 4, min(bulk, 4 * n))
-    return Order(places[:done], history.levels[0][:done])
+        kept = (k == before_k)[own] & before_seed[own]
+        shared[own[kept]] = seed_shared[kept]
+        return shared
+
+    def piece(self, k, p, s, seed_places, seed_shared, queue: BulkQueue, of) -> None:
+        """Let a part of one key leave: what is induced, or if nothing is, seeds."""
+        is_seed = np.full(len(k) or len(seed_places), not len(k))
+        if len(k):
+            queue.drop(of[: len(k)])
+            self.begun = int(k[0])
+        else:
+            p, k, s = seed_places, self.keys[seed_places], np.full(len(seed_places), -1)
+        shared = self._shared(k, p, s, is_seed, seed_shared)
+        self._leave(k, p, s, is_seed, shared, queue, self.induces[p])
 
 
 def names_of(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +331,7 @@ def names_of(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
         depth += each
         ended = sizes[order] <= depth
         active = np.flatnonzero((count[group] > 1) & ~ended)
-    names = np.empty(n, np.int64)
+    names = np.empty(n, np.int32)
     names[order] = group
     return names, shared[np.flatnonzero(new)]
 
@@ -250,24 +340,28 @@ def sorted_suffixes(text: np.ndarray, limit: int, files: Files, level: int = 0)
     """Suffixes of ``text`` in descending order, each with what it shares with the one before.
 
     ``text`` is integers, the last 0 and smaller than all others; that suffix is left out.
+    Places are 32-bit numbers: a text has less than 2 ** 31 symbols.
     """
     n = len(text)
     change = np.flatnonzero(text[1:] != text[:-1]) + 1
-    ends = np.append(change, n)
-    runs = np.repeat(ends, np.diff(np.concatenate(([0], ends)))) - np.arange(n)
-    after = np.minimum(np.arange(n) + runs, n - 1)
-    small = text[after] > text  # smaller than its successor
+    heads, ends = np.append(0, change), np.append(change, n)
+    place = np.arange(n, dtype=np.int32)
+    heads, ends = heads.astype(np.int32), ends.astype(np.int32)
+    runs = np.repeat(ends, ends - heads) - place
+    behind = place - np.repeat(heads, ends - heads)
+    small = text[np.minimum(place + runs, n - 1)] > text  # smaller than its successor
     small[-1] = True
     first = small.copy()
     first[0] = False
     first[1:] &= ~small[:-1]
-    minima = np.flatnonzero(first)
+    minima = np.flatnonzero(first).astype(np.int32)
+    del place, heads, ends, first
 
     seeds = _sorted_minima(text, small, minima, runs, limit, files, level)
     up = ~small  # the suffix before a place is induced in the ascending scan if it is large
     induced_up = np.zeros(n, bool)
     induced_up[1:] = up[:-1]
-    large = scan(text, induced_up, seeds, runs, limit, int(up.sum()) + len(minima), files)
+    large = scan(text, induced_up, seeds, runs, behind, limit, int(up.sum()) + len(minima), files)
     own = up[large.places]
     # No minimum stands between two large suffixes of one symbol.
     large = Order(large.places[own], large.shared[own])
@@ -278,7 +372,7 @@ def sorted_suffixes(text: np.ndarray, limit: int, files: Files, level: int = 0)
     induced_down = np.zeros(n, bool)
     induced_down[1:] = small[:-1]
     down = Order(large.places[::-1], back)
-    return scan(-text, induced_down, down, runs, limit, n, files)
+    return scan(-text, induced_down, down, runs, behind, limit, n, files)
 
 
 def doubled(text: np.ndarray, limit: int, files: Files, level: int = 0) -> Order:
@@ -359,7 +453,7 @@ def repeated(text: np.ndarray, limit: int, folder: str | None = None, memory: in
     found = np.zeros(len(text), bool)
     if len(text) < 2:
         return found
-    order = sorted_suffixes(np.append(text.astype(np.int64), 0), limit, Files(folder, memory))
+    order = sorted_suffixes(np.append(text, 0).astype(np.int32), limit, Files(folder, memory))
     hit = np.flatnonzero(order.shared >= limit)
     found[order.places[hit]] = True
     found[order.places[hit - 1]] = True

@@ -31,7 +31,7 @@ from mimicry.llm.induced import repeated
 
 LENGTH = 200
 ANCHOR = 24
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 CHAIN = 16  # passages joined into one at most
 _PLACE_BITS = np.uint64(28)
 
@@ -113,7 +113,7 @@ def shard_spans(passages: list[bytes], length: int) -> list[list[tuple[int, int]
     """
     sizes = np.array([len(p) for p in passages], dtype=np.int64)
     ends = np.cumsum(sizes + 1)
-    text = np.frombuffer(b"\x00".join([*passages, b""]), dtype=np.uint8).astype(np.int64) + 2
+    text = np.frombuffer(b"\x00".join([*passages, b""]), dtype=np.uint8).astype(np.int32) + 2
     text[ends - 1] = 1
     with tempfile.TemporaryDirectory() as folder:
         found = repeated(text, length, folder)
@@ -135,20 +135,25 @@ def chained(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):
             data, borders = text_bytes(chunk.column("text"))
-            rows, shards, starts, bodies = [], [], [], []
-            for row, found in enumerate(chunk.column("runs").to_pylist()):
-                spans: list[list[int]] = []  # shard, first window, window after the last, passages
-                for r in sorted((r for r in found if r["goes"]), key=lambda r: r["start"]):
-                    end = r["start"] + r["windows"]
-                    if spans and spans[-1][0] == r["shard"] and r["start"] - spans[-1][2] < length and spans[-1][3] < CHAIN:
-                        spans[-1][2:] = end, spans[-1][3] + 1
-                    else:
-                        spans.append([r["shard"], r["start"], end, 1])
-                for shard, start, end, _ in spans:
-                    rows.append(row)
-                    shards.append(shard)
-                    starts.append(start)
-                    bodies.append(data[borders[row] + start : borders[row] + end + length - 1].tobytes())
+            runs = chunk.column("runs")
+            flat = runs.flatten()
+            shard, start, windows = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("shard", "start", "windows"))
+            goes = flat.field("goes").to_numpy(zero_copy_only=False).astype(bool)
+            owner = np.repeat(np.arange(chunk.num_rows), np.diff(runs.offsets.to_numpy()))
+            order = np.flatnonzero(goes)
+            order = order[np.lexsort((start[order], owner[order]))]
+            shard, start, owner = shard[order], start[order], owner[order]
+            end = start + windows[order]
+            opens = np.ones(len(order), bool)
+            opens[1:] = (owner[1:] != owner[:-1]) | (shard[1:] != shard[:-1]) | (start[1:] - end[:-1] >= length)
+            place = np.arange(len(order))
+            opens |= (place - np.maximum.accumulate(np.where(opens, place, 0))) % CHAIN == 0
+            heads = np.flatnonzero(opens)
+            tails = np.append(heads[1:], len(order))[: len(heads)] - 1
+            rows, shards, starts = owner[heads], shard[heads], start[heads]
+            text = data.tobytes()
+            low, high = (borders[rows] + starts).tolist(), (borders[rows] + end[tails] + length - 1).tolist()
+            bodies = [text[x:y] for x, y in zip(low, high, strict=True)]
             taken = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -194,7 +199,7 @@ def dedupe(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lengt
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     ).select("doc_id", F.xxhash64("text").alias("version"), "text")
-    every = runs(rows, length)
+    every = stored(runs(rows, length), "suffix-all-runs")
     passages = every.groupBy("anchor", "passage").agg(F.count("*").alias("times"), F.min("doc_id").alias("owner"))
     anchors = passages.groupBy("anchor").agg(
         F.sum("times").alias("total"), F.count("*").alias("kinds"), F.min("owner").alias("owner")
