@@ -217,3 +217,12 @@ def test_perplexity_of_odd_texts(spark):
             assert (r.perplexity is None) == (not any(c.isalpha() for c in text or ""))
             assert r.perplexity is not None or not r.kept
     assert perplexity.classify(df.limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
+
+
+def test_perplexity_sees_four_characters_back(spark):
+    """Only the character four places back tells which of two endings is the usual one."""
+    docs = [(i, "abcdx" if i % 2 else "zbcdy", "l") for i in range(64)] + [(100, "abcdx", "l"), (101, "abcdy", "l")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in range(64)], "doc_id long")
+    got = {r.doc_id: r.perplexity for r in perplexity.classify(df, trusted).collect()}
+    assert got[100] < 0.8 * got[101]
