@@ -599,7 +599,8 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent
     every = stored(classes(spark_docs), "jaccard-classes")
     filled = every.filter("n > 0 and doc_id is not null")
     names = stored(filled.groupBy("n", "first", "second").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch")), "jaccard-names")
-    joined = links(spark_docs, names, percent)
+    # A row without an id has no name here: as the head of an entry it would hide the others' links.
+    joined = links(spark_docs.filter("doc_id is not null"), names, percent)
     smallest = (
         names.withColumnRenamed("doc_id", "node")
         .join(joined.hint("merge"), "node", "left")

@@ -125,6 +125,18 @@ def test_one_of_each(spark):
     assert sum(r.doc_id is None for r in kept) == 1
 
 
+def test_templates_without_an_id(spark):
+    """Two edited versions of one text link, whether or not the text itself has an id."""
+    draw = random.Random(8)
+    docs = []
+    for i in range(24):
+        words = [f"t{i}w{draw.randrange(10_000)}" for _ in range(150)]
+        docs.append((None, " ".join(words)))
+        docs += [(2 * i + k, " ".join([*words[:at], "edited", *words[at + 1 :]])) for k, at in enumerate((40, 110))]
+    got = check(spark, docs)
+    assert all(r.component_id == r.doc_id - r.doc_id % 2 for r in got if r.doc_id is not None)
+
+
 def test_hashes_do_not_depend_on_the_chunk():
     texts = ["a b c d e f", "x", None, "a b c d e f g"]
     whole = jaccard.sets_of(pa.array(texts))
