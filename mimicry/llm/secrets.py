@@ -4,12 +4,12 @@ DataFrame functions only. Places come from the text between matches: ``split`` a
 ``regexp_extract_all`` by one pattern give gaps and matches in turn, and their running
 lengths are code-point positions. A text is split only where the pattern occurs at all.
 
-Entropy: a candidate is a maximal run of base64-like characters, long enough and with a
-letter beside a digit. Over its windows of ``WINDOW`` characters the sum of c * log2(c) is
-kept up to date as one character enters and one leaves, so a window costs two updates. A
-candidate's class (hexadecimal, letters and digits, all) sets the entropy from which a
-window counts; the span runs from the first such window to the end of the last. Allow-listed
-candidates and those that touch a span of the fixed patterns are left out.
+Entropy: candidates are what is left of maximal runs of base64-like characters when spans
+of the fixed patterns and allow-listed parts are cut out. Over a candidate's windows of
+``WINDOW`` characters the sum of c * log2(c) is kept up to date as one character enters and
+one leaves, so a window costs two updates. A candidate's class (hexadecimal, letters, no
+letter beside a digit, letters and digits, all) sets the entropy from which a window counts;
+the span runs from the first such window to the end of the last.
 """
 
 from __future__ import annotations
@@ -33,10 +33,19 @@ ASSIGNED_LENGTH = 8
 WINDOW = 20
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+SEPARATORS = "+/_=-"
 MIXED = r"[A-Za-z][0-9]|[0-9][A-Za-z]"
 #: (characters of the class, bits a window must reach), the first that fits a candidate.
-CLASSES = ((r"^[0-9a-fA-F]+$", 3.0), (r"^[0-9A-Za-z]+$", 3.7), (r"", 3.8))
-#: Candidates that match one of these are no secrets.
+#: Paths and phrases, with no letter beside a digit, come near random characters.
+CLASSES = (
+    (r"^[0-9a-fA-F]+$", 3.0),
+    (r"^[A-Za-z]+$", 3.8),
+    (rf"^(?!.*(?:{MIXED}))", 4.1),
+    (r"^[0-9A-Za-z]+$", 3.7),
+    (r"", 3.8),
+)
+#: What matches one of these is no secret: the part between separators, or the whole
+#: candidate if the match is in none of its parts.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|sample|placeholder|changeme|dummy|redacted",
@@ -83,6 +92,79 @@ def spans(found: Column, kind: str) -> Column:
     ).cast(_SPANS)
 
 
+def cut(x: Column, gone: Column) -> Column:
+    """The pieces (start, value) of a run ``x`` outside the sorted spans ``gone``, if long enough.
+
+    Where a piece was cut, separators at its end are not part of it.
+    """
+    begin, end = x["start"], x["start"] + F.length(x["value"])
+    empty = F.array().cast("array<struct<start:int,value:string>>")
+
+    def piece(at: Column, stop: Column) -> Column:
+        value = F.substring(x["value"], at - begin + 1, F.greatest(stop - at, F.lit(0)))
+        left = F.when(at > begin, F.ltrim(value, F.lit(SEPARATORS))).otherwise(value)
+        both = F.when(stop < end, F.rtrim(left, F.lit(SEPARATORS))).otherwise(left)
+        found = F.struct((at + F.length(value) - F.length(left)).cast("int").alias("start"), both.alias("value"))
+        return F.when(F.length(both) >= WINDOW, F.array(found)).otherwise(empty)
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.struct(
+            F.greatest(acc["at"], s["end"]).cast("int").alias("at"),
+            F.concat(acc["out"], piece(acc["at"], s["start"])).alias("out"),
+        )
+
+    touching = F.filter(gone, lambda s: (s["start"] < end) & (begin < s["end"]))
+    return F.aggregate(
+        touching,
+        F.struct(begin.cast("int").alias("at"), empty.alias("out")),
+        step,
+        lambda acc: F.concat(acc["out"], piece(acc["at"], end)),
+    )
+
+
+def allowed_parts(x: Column, allowed: Sequence[str]) -> Column:
+    """Spans (start, end) of the parts of a run between separators that are allow-listed."""
+    start = F.struct(x["start"].cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        after = (acc["at"] + F.length(part)).cast("int")
+        span = F.array(F.struct(acc["at"].alias("start"), after.alias("end")))
+        listed = _matches(part, allowed)
+        return F.struct(
+            (after + 1).cast("int").alias("at"), F.when(listed, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out")
+        )
+
+    return F.aggregate(_parts(x["value"]), start, step, lambda acc: acc["out"])
+
+
+def _parts(value: Column) -> Column:
+    return F.split(value, f"[{SEPARATORS}]", -1)
+
+
+def _matches(value: Column, allowed: Sequence[str]) -> Column:
+    fine = F.lit(False)
+    for pattern in allowed:
+        fine = fine | value.rlike(pattern)
+    return fine
+
+
+def candidates(runs: Column, base: Column, allowed: Sequence[str]) -> Column:
+    """(start, value) of the pieces of runs outside the base spans and allow-listed parts."""
+
+    def listed_whole(x: Column) -> Column:
+        whole = F.lit(False)
+        for pattern in allowed:
+            inside = F.exists(_parts(x["value"]), lambda part: _matches(part, [pattern]))  # noqa: B023
+            whole = whole | (x["value"].rlike(pattern) & ~inside)
+        return whole
+
+    def scanned(x: Column) -> Column:
+        return F.when(_matches(x["value"], allowed), cut(x, allowed_parts(x, allowed))).otherwise(F.array(x))
+
+    pieces = F.flatten(F.transform(runs, lambda x: cut(x, base)))
+    return F.flatten(F.transform(F.filter(pieces, lambda x: ~listed_whole(x)), scanned))
+
+
 def hot_span(codes: Column, bits: Column) -> Column:
     """``(first, last)``: from the first window with ``bits`` of entropy to the end of the last.
 
@@ -120,7 +202,7 @@ def hot_span(codes: Column, bits: Column) -> Column:
     return F.struct(end["first"].alias("first"), end["last"].alias("last"))
 
 
-def entropy_spans(candidates: Column) -> Column:
+def entropy_spans(found: Column) -> Column:
     def coded(x: Column) -> Column:
         bits = F.lit(CLASSES[-1][1])
         for pattern, least in reversed(CLASSES[:-1]):
@@ -132,7 +214,7 @@ def entropy_spans(candidates: Column) -> Column:
         return F.struct(x["start"].alias("start"), hot_span(x["codes"], x["bits"]).alias("hot"))
 
     hulls = F.filter(
-        F.transform(F.transform(candidates, coded), hull), lambda x: x["hot"]["first"].isNotNull()
+        F.transform(F.transform(found, coded), hull), lambda x: x["hot"]["first"].isNotNull()
     )
     return F.transform(
         hulls,
@@ -155,12 +237,6 @@ def scan(docs: DataFrame, *, text: str = "text", allowed: Sequence[str] = ALLOWE
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), value.alias("text"))
     body = F.col("text")
 
-    def candidate(match: Column, _: Column) -> Column:
-        fine = match.rlike(MIXED)
-        for pattern in allowed:
-            fine = fine & ~match.rlike(pattern)
-        return fine
-
     found = rows.select(
         "row",
         "text",
@@ -171,15 +247,10 @@ def scan(docs: DataFrame, *, text: str = "text", allowed: Sequence[str] = ALLOWE
                 spans(located(body, HEX, always), "hex"),
             )
         ).alias("base"),
-        located(body, CANDIDATE, candidate).alias("candidates"),
-    )
-    apart = F.filter(
-        "candidates",
-        lambda x: ~F.exists(
-            "base", lambda b: (b["start"] < x["start"] + F.length(x["value"])) & (x["start"] < b["end"])
-        ),
+        located(body, CANDIDATE, always).alias("runs"),
     )
-    return found.select("row", "text", "base", entropy_spans(apart).alias("added"))
+    pieces = found.select("row", "text", "base", candidates(F.col("runs"), F.col("base"), allowed).alias("candidates"))
+    return pieces.select("row", "text", "base", entropy_spans(F.col("candidates")).alias("added"))
 
 
 def listed(found: Column) -> Column:
