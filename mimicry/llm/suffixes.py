@@ -12,7 +12,8 @@ which windows of one passage also stand in another.
 All passages of an anchor go to the shard of its owner, the smallest document it stands in.
 So near copies share their owner, and passages of a text that follow each other under one
 owner are one, which spares most of their overlap. An owner with more than a shard's bytes
-is split by its anchors.
+is split by its anchors. An anchor with more different passages than a shard may hold goes
+to no shard: each of its windows is a row with its hash, and equal ones meet in a join.
 """
 
 from __future__ import annotations
@@ -184,6 +185,46 @@ def compare(passages: DataFrame, length: int, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(run, schema).filter(F.size("spans") > 0)
 
 
+# --- anchors with more passages than a shard holds ----------------------------------------
+
+
+def windows_of(texts: DataFrame, length: int) -> DataFrame:
+    """(shard, window, doc_id, version, start): the windows of the runs that are ``hot``, hashed.
+
+    Rows are (doc_id, version, text, runs).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, "text"):
+            data, borders = text_bytes(chunk.column("text"))
+            for row, runs in enumerate(chunk.column("runs").to_pylist()):
+                hashes = _rolling(data[borders[row] : borders[row + 1]], length).view(np.int64)
+                hot = [r for r in runs if r["hot"]]
+                counts = [r["windows"] for r in hot]
+                starts = np.concatenate([np.arange(r["start"], r["start"] + r["windows"]) for r in hot])
+                taken = pa.array(np.full(len(starts), row))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(np.array([r["shard"] for r in hot], np.int64), counts)),
+                        pa.array(hashes[starts]),
+                        chunk.column("doc_id").take(taken),
+                        chunk.column("version").take(taken),
+                        pa.array(starts),
+                    ],
+                    names=["shard", "window", "doc_id", "version", "start"],
+                )
+
+    hot = texts.filter(F.exists("runs", lambda r: r["hot"]))
+    return hot.mapInArrow(run, "shard long, window long, doc_id long, version long, start long")
+
+
+def matched(windows: DataFrame, length: int) -> DataFrame:
+    """(doc_id, version, spans) of the windows that stand in several passages of their anchor."""
+    again = windows.groupBy("shard", "window").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
+    spans = F.array(F.struct(F.col("start").alias("first"), (F.col("start") + length).alias("last")))
+    return windows.join(again.hint("merge"), ["shard", "window"], "left_semi").select("doc_id", "version", spans.alias("spans"))
+
+
 # --- the job ---------------------------------------------------------------------------
 
 
@@ -205,22 +246,26 @@ def dedupe(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lengt
         F.sum("times").alias("total"), F.count("*").alias("kinds"), F.min("owner").alias("owner")
     )
     shared = passages.drop("owner").join(anchors.filter("total > 1").hint("merge"), "anchor").drop("total")
-    # Every run of a shared anchor; of equal passages one goes to the shards.
+    # Every run of a shared anchor; of equal passages one goes to the shards, or sends its windows.
+    hot = F.col("kinds") * (2 * length - ANCHOR) > SHARD_BYTES
+    shared = stored(shared, "suffix-passages")
     one = Window.partitionBy("anchor", "passage").orderBy("doc_id", "version", "start")
     met = (
-        every.join(stored(shared, "suffix-passages").hint("merge"), ["anchor", "passage"])
-        .withColumn("goes", (F.col("kinds") > 1) & (F.row_number().over(one) == 1))
+        every.join(shared.hint("merge"), ["anchor", "passage"])
+        .withColumn("first", F.row_number().over(one) == 1)
+        .withColumn("goes", (F.col("kinds") > 1) & ~hot & F.col("first"))
+        .withColumn("hot", hot & F.col("first"))
         .withColumn("twice", F.col("times") > 1)
-        .select("anchor", F.coalesce("owner", F.lit(0)).alias("owner"), "doc_id", "version", "start", "windows", "goes", "twice")
+        .select("anchor", F.coalesce("owner", F.lit(0)).alias("owner"), "doc_id", "version", "start", "windows", "goes", "hot", "twice")
     )
     met = stored(met, "suffix-runs")
     large = met.filter("goes").groupBy("owner").agg(F.sum(F.col("windows") + length - 1).alias("bytes"))
     large = large.filter(F.col("bytes") > SHARD_BYTES).select("owner", F.lit(True).alias("large"))
-    shard = F.when(F.col("large"), F.xxhash64("owner", "anchor")).otherwise(F.col("owner"))
+    shard = F.when(F.col("large") | F.col("hot"), F.xxhash64("owner", "anchor")).otherwise(F.col("owner"))
     by_text = stored(
         met.join(large.hint("merge"), "owner", "left")
         .groupBy("doc_id", "version")
-        .agg(F.collect_list(F.struct(shard.alias("shard"), "start", "windows", "goes", "twice")).alias("runs")),
+        .agg(F.collect_list(F.struct(shard.alias("shard"), "start", "windows", "goes", "hot", "twice")).alias("runs")),
         "suffix-by-text",
     )
     key = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("version") == F.col("_version"))
@@ -234,6 +279,8 @@ def dedupe(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lengt
     size = sent.agg(F.sum(F.length("body"))).first()[0] or 0
     shards = max(partitions(docs.sparkSession), -(-int(size) // SHARD_BYTES))
     found = stored(compare(sent, length, shards), "suffix-spans")
+    if not shared.filter(hot).isEmpty():
+        found = found.unionByName(matched(stored(windows_of(held, length), "suffix-windows"), length))
     spans = found.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = spans.withColumnsRenamed({"doc_id": "_id", "version": "_version"})
     whole = F.transform(

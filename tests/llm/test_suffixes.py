@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mimicry.llm import induced, suffixes
 
@@ -88,6 +89,28 @@ def test_owners_larger_than_a_shard(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain(docs, 40)
 
 
+def test_line_with_many_surroundings(spark, monkeypatch):
+    """A line shorter than a window stands in many documents; some share more than the line."""
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 2_000)
+    draw = np.random.default_rng(6)
+    word = lambda n: "".join(draw.choice(list("abcdefgh "), n))
+    line = word(35)
+    ends = [word(30) for _ in range(20)]
+    docs = [(i, word(70) + line + ends[i % 20][: i % 28] + word(70)) for i in range(150)]
+    docs += [(200 + i, docs[i][1][:90] + word(3) + docs[i][1][90:]) for i in range(5)] + [(300, docs[9][1])] * 2
+    sizes = []
+    compare = suffixes.compare
+
+    def watched(passages, length, shards):
+        sizes.extend(r["n"] for r in passages.groupBy("shard").agg(F.sum(F.length("body")).alias("n")).collect())
+        return compare(passages, length, shards)
+
+    monkeypatch.setattr(suffixes, "compare", watched)
+    got = suffixes.dedupe(spark.createDataFrame(docs, "doc_id long, text string"), length=40).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain(docs, 40)
+    assert max(sizes) <= 2_000
+
+
 def test_query(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     got = suffixes.op2_suffix_dedup(spark, "/root/testdata/sf0.001").collect()
