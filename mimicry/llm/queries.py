@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mimicry.llm import (
+    divergence,
     jaccard,
     langid,
     mixing,
@@ -41,10 +42,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         jaccard.op8_ngram_jaccard,
         secrets.op9_secret_scan,
         mixing.op10_source_mix,
+        divergence.op13_source_divergence,
         pipeline,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op10_source_mix": mixing.OP10_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
