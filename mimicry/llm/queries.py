@@ -18,6 +18,7 @@ from mimicry.llm import (
     secrets,
     suffixes,
     toxicity,
+    trie,
 )
 
 
@@ -42,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         jaccard.op8_ngram_jaccard,
         secrets.op9_secret_scan,
         mixing.op10_source_mix,
+        trie.op11_conversation_trie,
         divergence.op13_source_divergence,
         pipeline,
     )
@@ -49,5 +51,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op10_source_mix": mixing.OP10_SQL,
+    "op11_conversation_trie": trie.OP11_SQL,
     "op13_source_divergence": divergence.OP13_SQL,
 }
