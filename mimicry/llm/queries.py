@@ -19,6 +19,7 @@ from mimicry.llm import (
     suffixes,
     toxicity,
     trie,
+    warc,
 )
 
 
@@ -44,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         secrets.op9_secret_scan,
         mixing.op10_source_mix,
         trie.op11_conversation_trie,
+        warc.op12_warc_salvage,
         divergence.op13_source_divergence,
         pipeline,
     )
@@ -52,5 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op10_source_mix": mixing.OP10_SQL,
     "op11_conversation_trie": trie.OP11_SQL,
+    "op12_warc_salvage": warc.OP12_SQL,
     "op13_source_divergence": divergence.OP13_SQL,
 }
