@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from catalogue.registry import check, moment, moment_sql, query, scorer
 from catalogue.scoring import FIRST_MATCHES, FREE_DV, INGEST, LEAVES
 from catalogue.scoring_sql import scored_ctes
-from mimicry.plans.ingest import score_certificates
 from mimicry.session import shared_folder
-from mimicry.sources.sinks import absent, read_batches, write_batch
-from mimicry.sources.tables import CERTIFICATES, MATCHES
+from mimicry.sources.sinks import read_batches, write_batch
 from mimicry.staging import Tables, as_certificates
 from mimicry.streaming import ingest as si
 from mimicry.streaming import monitors as mon
@@ -36,27 +34,28 @@ def _folder(t: Tables) -> str:
 def stream_ingest(t: Tables) -> DataFrame:
     """Certificates streamed through scoring into the match table, batch by batch."""
     folder = _folder(t)
+    stores = si.Stores.below(t.spark, folder)
     judge = scorer(t.spark)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        stored = read_batches(t.spark, f"{folder}/matches", MATCHES, before=batch_id)
-        new = absent(score_certificates(batch, judge), stored, ("fqdn", "brand"))
-        write_batch(new, f"{folder}/matches", batch_id)
+        si.ingest_certificates(batch, judge, stores, batch_id)
 
     certificates = as_certificates(t.staged("certificates", orders=_stream(t, "orders")))
     stream = certificates.writeStream.foreachBatch(run).trigger(availableNow=True)
     stream.option("checkpointLocation", f"{folder}/checkpoint").start().awaitTermination()
-    matches = read_batches(t.spark, f"{folder}/matches", MATCHES)
-    return matches.select(
+    return stores.matches.rows().select(
         "fqdn", "brand", "score", "is_alert", "cert_sha256", moment("first_seen_at").alias("first_seen_at")
     )
 
 
 # Messages arrive in so many batches, by line number; a batch is several files.
 BATCHES, FILES = 3, 4
+# The run that shows the memory: merges of two, parts of few rows.
+LONG_BATCHES, FAN, PART_ROWS = 6, 2, 200
 
 
-@query(check(("messages",), f"""
+def _messages_sql(batches: int) -> str:
+    return check(("messages",), f"""
     SELECT 'match' AS kind, fqdn AS id, brand || ' ' || cert_sha256 || ' ' || {moment_sql("seen_at")} AS detail FROM first_matches
     UNION ALL
     SELECT 'certificate', cert_sha256, {moment_sql("min(seen_at)")} FROM names
@@ -65,41 +64,54 @@ BATCHES, FILES = 3, 4
     SELECT 'malformed', CAST(line_no // width AS VARCHAR) || ' ' || reject_reason, CAST(count(*) AS VARCHAR)
     FROM checked, span WHERE reject_reason IS NOT NULL GROUP BY line_no // width, reject_reason""",
     *LEAVES,
-    f"span AS (SELECT max(line_no) // {BATCHES} + 1 AS width FROM messages)",
+    f"span AS (SELECT max(line_no) // {batches} + 1 AS width FROM messages)",
     """names AS (SELECT unnest(names) AS name, cert_sha256, to_timestamp(CAST(seen AS DOUBLE)) AS seen_at,
                         issuer_org, line_no AS arrival, line_no // width AS batch FROM keyed, span)""",
     f"""sightings AS (
         SELECT * FROM (SELECT *, {FREE_DV} AS free_dv, row_number() OVER (PARTITION BY name, batch ORDER BY arrival) AS rn
                        FROM names) r WHERE rn = 1)""",
-    *scored_ctes("SELECT DISTINCT name AS host, free_dv FROM sightings"), FIRST_MATCHES))
-def stream_messages(t: Tables) -> DataFrame:
-    """Message files ingested in three micro-batches: matches, certificates, malformed messages."""
+    *scored_ctes("SELECT DISTINCT name AS host, free_dv FROM sightings"), FIRST_MATCHES)
+
+
+def ingest_messages(t: Tables, batches: int, fan: int = si.FAN, part_rows: int = si.PART_ROWS) -> si.Stores:
+    """Message files ingested in so many micro-batches."""
     folder = _folder(t)
     lines = t.messages.select("line_no", "value")
-    width = lines.agg((F.max("line_no") / BATCHES).cast("bigint") + 1).first()[0]
-    for batch in range(BATCHES):
+    width = lines.agg((F.max("line_no") / batches).cast("bigint") + 1).first()[0]
+    for batch in range(batches):
         part = lines.where((F.col("line_no") / width).cast("bigint") == batch)
         part.repartitionByRange(FILES, "line_no").sortWithinPartitions("line_no").select("value").write.text(
             f"{folder}/messages/{batch}"
         )
     si.start_ingest(
-        t.spark, f"{folder}/messages/*", scorer(t.spark), folder, f"{folder}/checkpoint", None, FILES
+        t.spark, f"{folder}/messages/*", scorer(t.spark), folder, f"{folder}/checkpoint", None, FILES, fan, part_rows
     ).awaitTermination()
-    matches = read_batches(t.spark, f"{folder}/matches", MATCHES)
-    certificates = read_batches(t.spark, f"{folder}/certificates", CERTIFICATES)
-    bad = t.spark.read.parquet(f"{folder}/malformed")
+    return si.Stores.below(t.spark, folder, fan, part_rows)
+
+
+def _kept(stores: si.Stores) -> DataFrame:
     detail = F.concat_ws(" ", "brand", "cert_sha256", moment("first_seen_at"))
+    reasons = F.concat_ws(" ", F.col("batch_id").cast("string"), "reject_reason").alias("id")
+    bad = stores.malformed.rows().groupBy(reasons).agg(F.count("*").cast("string").alias("detail"))
     return (
-        matches.select(F.lit("match").alias("kind"), F.col("fqdn").alias("id"), detail.alias("detail"))
-        .union(certificates.select(F.lit("certificate"), "cert_sha256", moment("seen_at")))
-        .union(
-            bad.groupBy(F.concat_ws(" ", F.col("batch_id").cast("string"), "reject_reason").alias("id"))
-            .agg(F.count("*").cast("string").alias("detail"))
-            .select(F.lit("malformed"), "id", "detail")
-        )
+        stores.matches.rows().select(F.lit("match").alias("kind"), F.col("fqdn").alias("id"), detail.alias("detail"))
+        .union(stores.certificates.rows().select(F.lit("certificate"), "cert_sha256", moment("seen_at")))
+        .union(bad.select(F.lit("malformed"), "id", "detail"))
     )
 
 
+@query(_messages_sql(BATCHES))
+def stream_messages(t: Tables) -> DataFrame:
+    """Message files ingested in three micro-batches: matches, certificates, malformed messages."""
+    return _kept(ingest_messages(t, BATCHES))
+
+
+@query(_messages_sql(LONG_BATCHES))
+def stream_memory(t: Tables) -> DataFrame:
+    """Six micro-batches through a memory whose runs are merged and looked up by part."""
+    return _kept(ingest_messages(t, LONG_BATCHES, FAN, PART_ROWS))
+
+
 def _written(t: Tables, rows: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream of rows into a folder and read the folder back."""
     folder = _folder(t)

@@ -1,13 +1,15 @@
 """Certificates as they arrive: score them, keep each first sighting once.
 
-Each micro-batch is written to its own folder and compared with earlier batches only, so
-a batch replayed after a failure replaces what it wrote. The memory of what is already
-stored is the table, not streaming state: it may grow for ever.
+Each micro-batch adds a run to the stores of matches, certificates and malformed messages,
+compared with earlier batches only, so a batch replayed after a failure replaces what it
+wrote. The memory of what is already stored is the table, not streaming state: it may grow
+for ever, and a batch reads only the parts of it that its keys fall into.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,34 +19,61 @@ from mimicry.functions.hostnames import normalize_hostname
 from mimicry.operators.scoring import Scorer
 from mimicry.plans.ingest import MATCH_KEY, referenced_certificates, score_certificates
 from mimicry.sources.ct import certificates, malformed, parse_messages, stream_ct_messages
-from mimicry.sources.sinks import absent_batch, read_batches, write_batch
+from mimicry.sources.keyed import FAN, PART_ROWS, KeyedStore
 from mimicry.sources.tables import CERTIFICATES, MATCHES
 
 # How late a repeated name may come and still be recognised.
 WATERMARK = "1 hour"
 
+MALFORMED = "reject_reason string, rejected_message string, batch_id bigint"
 
-def ingest_batch(scorer: Scorer, folder: str) -> Callable[[DataFrame, int], None]:
+
+@dataclass
+class Stores:
+    """What an ingest keeps below a folder."""
+
+    matches: KeyedStore
+    certificates: KeyedStore
+    malformed: KeyedStore
+
+    @staticmethod
+    def below(spark: SparkSession, folder: str, fan: int = FAN, part_rows: int = PART_ROWS) -> Stores:
+        return Stores(
+            KeyedStore(spark, f"{folder}/matches", MATCHES, MATCH_KEY, fan, part_rows),
+            KeyedStore(spark, f"{folder}/certificates", CERTIFICATES, ("cert_sha256",), fan, part_rows),
+            KeyedStore(spark, f"{folder}/malformed", MALFORMED, (), fan, part_rows),
+        )
+
+    def merge(self, before: int) -> None:
+        for store in (self.matches, self.certificates, self.malformed):
+            store.merge(before)
+
+
+def ingest_certificates(certs: DataFrame, scorer: Scorer, stores: Stores, batch_id: int) -> None:
+    """Add a batch's new matches, then the certificates they refer to that are new."""
+    scored = score_certificates(certs, scorer).persist()
+    stores.matches.add(stores.matches.absent(scored, batch_id), batch_id)
+    # What was written is what the certificates have to cover.
+    used = referenced_certificates(certs, stores.matches.rows(only=batch_id)).persist()
+    stores.certificates.add(stores.certificates.absent(used, batch_id), batch_id)
+    scored.unpersist()
+    used.unpersist()
+
+
+def ingest_batch(
+    scorer: Scorer, folder: str, fan: int = FAN, part_rows: int = PART_ROWS
+) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` step: matches, certificates and malformed messages of a batch."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        stores = Stores.below(batch.sparkSession, folder, fan, part_rows)
+        stores.merge(batch_id)
         place = F.struct("arrival.*", F.monotonically_increasing_id().alias("position"))
         parsed = parse_messages(batch.withColumn("arrival", place)).persist()
         try:
-            write_batch(malformed(parsed).drop("arrival"), f"{folder}/malformed", batch_id)
-            certs = certificates(parsed)
-            scored = score_certificates(certs, scorer).persist()
-            stored = read_batches(spark, f"{folder}/matches", MATCHES, before=batch_id)
-            write_batch(absent_batch(scored, stored, MATCH_KEY), f"{folder}/matches", batch_id)
-            # What was written is what the certificates have to cover.
-            written = read_batches(spark, f"{folder}/matches", MATCHES, only=batch_id)
-            used = referenced_certificates(certs, written).persist()
-            known = read_batches(spark, f"{folder}/certificates", CERTIFICATES, before=batch_id)
-            new = absent_batch(used, known, ("cert_sha256",))
-            write_batch(new, f"{folder}/certificates", batch_id)
-            scored.unpersist()
-            used.unpersist()
+            bad = malformed(parsed).drop("arrival").withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            stores.malformed.add(bad, batch_id)
+            ingest_certificates(certificates(parsed), scorer, stores, batch_id)
         finally:
             parsed.unpersist()
 
@@ -59,10 +88,12 @@ def start_ingest(
     checkpoint: str,
     interval: str | None = "5 seconds",
     max_files: int | None = None,
+    fan: int = FAN,
+    part_rows: int = PART_ROWS,
 ) -> StreamingQuery:
     """Ingest a directory of message files; with ``interval`` None, what is there, once."""
     messages = stream_ct_messages(spark, directory, max_files)
-    writer = messages.writeStream.foreachBatch(ingest_batch(scorer, folder)).option(
+    writer = messages.writeStream.foreachBatch(ingest_batch(scorer, folder, fan, part_rows)).option(
         "checkpointLocation", checkpoint
     )
     if interval is None:

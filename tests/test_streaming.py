@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from mimicry.plans import ingest as ing
 from mimicry.sources import ct
 from mimicry.sources.sinks import read_batches, write_batch
-from mimicry.sources.tables import CAPTURES, CERTIFICATES, MATCHES, VERDICTS
+from mimicry.sources.tables import CAPTURES, VERDICTS
 from mimicry.streaming import monitors as mon
-from mimicry.streaming.ingest import message_counters, new_names, start_ingest
+from mimicry.streaming.ingest import Stores, message_counters, new_names, start_ingest
 from mimicry.streaming.triage import CYCLES, LEDGER, Triage, run_stages
 from tests.test_sources import message, result
 
@@ -31,12 +31,12 @@ def test_stream_equals_batch(spark, scorer, tmp_path):
     parsed = ct.parse_messages(ct.read_ct_messages(spark, str(tmp_path / "in")))
     batch = ing.ingest(ct.certificates(parsed), scorer)
     key = lambda r: (r.fqdn, r.brand, r.score)
-    streamed = read_batches(spark, f"{folder}/matches", MATCHES).collect()
+    stores = Stores.below(spark, folder)
+    streamed = stores.matches.rows().collect()
     assert sorted(map(key, streamed)) == sorted(map(key, batch.matches.collect()))
-    certs = read_batches(spark, f"{folder}/certificates", CERTIFICATES)
+    certs = stores.certificates.rows()
     assert certs.count() == certs.select("cert_sha256").distinct().count() == batch.certificates.count()
-    bad = read_batches(spark, f"{folder}/malformed", "reject_reason string")
-    assert bad.count() == ct.malformed(parsed).count() == 5
+    assert stores.malformed.rows().count() == ct.malformed(parsed).count() == 5
     observed = message_counters(parsed)
     assert observed.count() == 10
 
