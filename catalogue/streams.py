@@ -121,6 +121,15 @@ def _written(t: Tables, rows: DataFrame, mode: str = "append") -> DataFrame:
     return t.spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
+def _arriving(t: Tables, parts: list[DataFrame]) -> DataFrame:
+    """A stream whose micro-batches are the given rows, part by part."""
+    folder = _folder(t)
+    for number, part in enumerate(parts):
+        part.repartition(FILES).write.parquet(f"{folder}/{number}")
+    reader = t.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", FILES)
+    return reader.parquet(f"{folder}/*")
+
+
 @query(check(("certificates",), """
     SELECT DISTINCT rtrim(lower(host), '.') AS fqdn FROM certificates
     UNION SELECT DISTINCT 'www.' || host FROM certificates WHERE with_www"""))
@@ -153,3 +162,98 @@ def stream_failure_windows(t: Tables) -> DataFrame:
     return latest.groupBy("window_start").agg(F.max("failures").alias("failures")).select(
         moment("window_start").alias("window_start"), "failures"
     )
+
+
+# Event time of the staged certificates runs over so many years, a batch each; a host is
+# forgotten this long after it was passed on, as far as the watermark (as long behind) tells.
+EXPIRY = "200 days"
+_YEARLY = """yearly AS (
+    SELECT rtrim(lower(host), '.') AS fqdn, year(seen_at) AS batch, min(seen_at) AS seen_at
+    FROM certificates GROUP BY 1, 2)"""
+
+
+@query(check(("certificates",), f"""
+    SELECT fqdn, {moment_sql("seen_at")} AS seen_at FROM walk WHERE passed""",
+    _YEARLY,
+    "marks AS (SELECT batch, max(max(seen_at)) OVER (ORDER BY batch) - INTERVAL 200 DAY AS watermark FROM yearly GROUP BY batch)",
+    "numbered AS (SELECT *, row_number() OVER (PARTITION BY fqdn ORDER BY batch) AS rn FROM yearly)",
+    # A host is forgotten in the batch before, by the watermark that the one before that left.
+    """walk AS (
+        SELECT fqdn, rn, batch, seen_at, seen_at AS since, true AS passed FROM numbered WHERE rn = 1
+        UNION ALL
+        SELECT n.fqdn, n.rn, n.batch, n.seen_at,
+               CASE WHEN w.since + INTERVAL 200 DAY <= m.watermark THEN n.seen_at ELSE w.since END,
+               coalesce(w.since + INTERVAL 200 DAY <= m.watermark, false)
+        FROM walk w JOIN numbered n ON n.fqdn = w.fqdn AND n.rn = w.rn + 1
+        LEFT JOIN marks m ON m.batch = n.batch - 2)""").replace("WITH ", "WITH RECURSIVE ", 1))
+def stream_host_expiry(t: Tables) -> DataFrame:
+    """Hosts passed on again after their state has expired, over yearly batches; a late row is dropped."""
+    certificates = t.staged("certificates")
+    yearly = certificates.groupBy(F.expr("rtrim('.', lower(host))").alias("fqdn"), F.year("seen_at").alias("batch")).agg(
+        F.min("seen_at").alias("seen_at")
+    )
+    rows = yearly.select(
+        "batch", F.md5("fqdn").alias("cert_sha256"), "seen_at", F.lit(None).cast("string").alias("issuer_org"),
+        F.array("fqdn").alias("all_domains"),
+    ).persist()
+    batches = [r[0] for r in rows.select("batch").distinct().orderBy("batch").collect()]
+    parts = [rows.where(F.col("batch") == b).drop("batch") for b in batches]
+    late = parts[0].limit(1).withColumn("all_domains", F.array(F.lit("late.example.com")))
+    parts[-1] = parts[-1].union(late)
+    passed = _written(t, si.new_names(_arriving(t, parts), EXPIRY))
+    rows.unpersist()
+    return passed.select("fqdn", moment("seen_at").alias("seen_at"))
+
+
+# Events arrive in so many batches by time; the watermark is an hour behind.
+EVENT_BATCHES = 5
+_QUIET_FROM = "2024-01-20 00:00:00"
+
+
+def _event_parts(events: DataFrame, at: str) -> list[DataFrame]:
+    """The events cut by time into parts of about equal spans."""
+    first, last = events.agg(F.unix_seconds(F.min(at)), F.unix_seconds(F.max(at))).first()
+    width = (last - first) // EVENT_BATCHES + 1
+    number = ((F.unix_seconds(at) - first) / width).cast("int")
+    return [events.where(number == i) for i in range(EVENT_BATCHES)]
+
+
+@query(f"""
+    WITH feed AS (SELECT event_type AS source, ts FROM events WHERE NOT (event_type = 'signup' AND ts >= TIMESTAMP '{_QUIET_FROM}')),
+    span AS (SELECT time_bucket(INTERVAL 10 MINUTE, min(ts), TIMESTAMP '2000-01-01') AS first, max(ts) - INTERVAL 1 HOUR AS watermark FROM feed),
+    calendar AS (SELECT unnest(generate_series(first, watermark - INTERVAL 10 MINUTE, INTERVAL 10 MINUTE)) AS w FROM span),
+    sources AS (SELECT DISTINCT event_type AS source FROM events UNION SELECT 'never')
+    SELECT source, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start FROM calendar, sources
+    WHERE NOT EXISTS (SELECT 1 FROM feed f WHERE f.source = sources.source
+                      AND time_bucket(INTERVAL 10 MINUTE, f.ts, TIMESTAMP '2000-01-01') = w)""")
+def stream_silence(t: Tables) -> DataFrame:
+    """The silence alarm of each source over a stream: one that never sends, one silent to the end,
+    and an event that comes days late."""
+    events = t.source("events").select(F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("at"), F.lit(True).alias("is_event"))
+    feed = events.where(~((F.col("source") == "signup") & (F.col("at") >= F.lit(_QUIET_FROM).cast("timestamp"))))
+    sources = events.select("source").distinct().union(t.spark.createDataFrame([("never",)], "source string"))
+    duty = sources.crossJoin(F.broadcast(feed.agg(F.min("at").alias("at")))).withColumn("is_event", F.lit(False))
+    parts = _event_parts(feed, "at")
+    late = feed.agg(F.min("at").alias("at")).select(F.lit("never").alias("source"), "at", F.lit(True).alias("is_event"))
+    parts[0], parts[-1] = parts[0].union(duty), parts[-1].union(late)
+    with mon.rocksdb(t.spark):
+        silent = _written(t, mon.silence_alarms(_arriving(t, parts), is_event=F.col("is_event")))
+    return silent.select("source", moment("window_start").alias("window_start"))
+
+
+@query(f"""
+    WITH means AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '2000-01-01') AS w, avg(value) AS mean FROM events GROUP BY 1)
+    SELECT {moment_sql("w")} AS window_start FROM (
+        SELECT w, mean, lag(w, 1) OVER o AS w1, lag(mean, 1) OVER o AS m1,
+               lag(w, 2) OVER o AS w2, lag(mean, 2) OVER o AS m2 FROM means WINDOW o AS (ORDER BY w)) x
+    WHERE mean > 40 AND m1 > 40 AND m2 > 40 AND w1 = w - INTERVAL 30 MINUTE AND w2 = w - INTERVAL 60 MINUTE""")
+def stream_level_windows(t: Tables) -> DataFrame:
+    """The sustained-level alarm over a stream, window over windows in append mode, with samples
+    that come days late; a last sample moves the watermark past all windows."""
+    events = t.source("events").select(F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("level"))
+    parts = _event_parts(events, "at")
+    late = parts[0].withColumn("level", F.lit(1e6))
+    end = events.agg((F.max("at") + F.expr("INTERVAL 2 DAYS")).alias("at")).withColumn("level", F.lit(0.0))
+    parts[-1] = parts[-1].union(late)
+    alarms = mon.sustained_level_alarms(_arriving(t, [*parts, end]), limit=40.0, width="30 minutes")
+    return _written(t, alarms).select(moment("window_start").alias("window_start"))

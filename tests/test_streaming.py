@@ -115,3 +115,87 @@ def test_batch_that_cannot_be_stored_is_replayed(spark, tmp_path, monkeypatch):
     with pytest.raises(OSError, match="no space"):
         triage.run(spark.createDataFrame([("{}",)], "value string"), 0)
     assert read_batches(spark, f"{tmp_path}/cycles", CYCLES).count() == 0
+
+
+def arriving(spark, folder, schema, parts):
+    """A stream with one micro-batch for each list of rows."""
+    for number, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{number}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+
+
+def run(folder, rows):
+    query = rows.writeStream.format("parquet").option("path", f"{folder}/out").trigger(availableNow=True)
+    query = query.option("checkpointLocation", f"{folder}/cp").start()
+    query.awaitTermination()
+    return query
+
+
+def test_forgotten_hosts_pass_again_and_leave_the_state(spark, tmp_path):
+    day = lambda n: datetime(2026, 1, 1) + timedelta(days=n)
+    schema = "cert_sha256 string, seen_at timestamp, issuer_org string, all_domains array<string>"
+    batches = [
+        [("1", day(0), None, ["a.com"]), ("2", day(1), None, ["b.com"])],
+        [("3", day(10), None, ["a.com"])],  # the watermark still stands at day -1: known
+        [("4", day(20), None, ["c.com"])],  # by day 8 a.com and b.com have expired
+        [("5", day(30), None, ["a.com", "*.A.com"]), ("6", day(2), None, ["late.com"])],
+    ]
+    stream = new_names(arriving(spark, tmp_path, schema, batches), "2 days")
+    query = run(tmp_path, stream)
+    got = sorted((r.fqdn, r.cert_sha256) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("a.com", "1"), ("a.com", "5"), ("b.com", "2"), ("c.com", "4")]
+    states = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert [s["numRowsTotal"] for s in states][-1] <= 1  # all but the last host have left it
+    assert max(s["numRowsTotal"] for s in states) <= 3
+    assert sum(s["numRowsDroppedByWatermark"] for s in states) == 1
+
+
+def test_silence_over_a_stream(spark, tmp_path):
+    at = lambda m: datetime(2026, 1, 1) + timedelta(minutes=m)
+    schema = "source string, at timestamp, is_event boolean"
+    batches = [
+        [("ct", at(1), True), ("never", at(3), False), ("ends", at(2), True), ("ct", at(12), True)],
+        [("ct", at(35), True), ("ends", at(15), True), ("ct", at(8), True)],
+        [("ct", at(95), True), ("ct", at(61), True), ("new", at(88), True)],
+        [("ct", at(5), True), ("never", at(4), True), ("ct", at(140), True)],  # the first two come too late
+    ]
+    with mon.rocksdb(spark):
+        silent = mon.silence_alarms(arriving(spark, tmp_path, schema, batches), is_event=F.col("is_event"), watermark="30 minutes")
+        run(tmp_path, silent)
+    got = {}
+    for r in spark.read.parquet(f"{tmp_path}/out").collect():
+        got.setdefault(r.source, []).append(int((r.window_start - at(0)).total_seconds()) // 60)
+    assert {s: sorted(w) for s, w in got.items()} == {  # judged up to minute 110
+        "ct": [20, 40, 50, 70, 80, 100],
+        "never": list(range(0, 110, 10)),
+        "ends": list(range(20, 110, 10)),
+        "new": [90, 100],
+    }
+
+
+def test_silence_survives_a_restart(spark, tmp_path):
+    at = lambda m: datetime(2026, 1, 1) + timedelta(minutes=m)
+    schema = "source string, at timestamp, is_event boolean"
+    with mon.rocksdb(spark):
+        for number, rows in enumerate([[("a", at(0), True), ("b", at(30), True)], [("b", at(70), True)]]):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{number}")
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+            run(tmp_path, mon.silence_alarms(stream, watermark="0 minutes"))
+    got = sorted((r.source, (r.window_start - at(0)).total_seconds() / 60) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("a", 10), ("a", 20), ("a", 30), ("a", 40), ("a", 50), ("a", 60), ("b", 40), ("b", 50), ("b", 60)]
+
+
+def test_sustained_levels_over_a_stream(spark, tmp_path):
+    t = datetime(2026, 1, 1)
+    levels = [81.0, 90.0, 82.0, 99.0, 80.0, 85.0, 85.0, 85.0]
+    samples = [(t + timedelta(minutes=5 * i), x) for i, x in enumerate(levels)]
+    schema = "at timestamp, level double"
+    far = t + timedelta(minutes=400)
+    batches = [samples[:3], samples[3:6], [*samples[6:], (far, 0.0)], [(far, 0.0)], [(t, 1e9), (t + timedelta(minutes=20), 1e9)]]
+    stream = arriving(spark, tmp_path, schema, batches)
+    run(tmp_path, mon.sustained_level_alarms(stream))
+    streamed = sorted(r.window_start for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    table = spark.createDataFrame(samples, schema)
+    batch = mon.sustained_levels(mon.level_means(table)).collect()
+    assert streamed == sorted(r.window_start for r in batch) == sorted(r.window_start for r in mon.sustained_level_alarms(table).collect())
+    assert [x.minute for x in streamed] == [10, 15, 35]
