@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogue.registry import check, moment, moment_sql, query, scorer
 from catalogue.scoring import FIRST_MATCHES, FREE_DV, INGEST, LEAVES
+from catalogue.queues import BEST
 from catalogue.scoring_sql import scored_ctes
-from mimicry.session import shared_folder
+from catalogue.triage import DUE
+from mimicry.config import AlertPolicy
+from mimicry.session import computed_once, shared_folder
+from mimicry.sources.commits import Draft
 from mimicry.sources.sinks import read_batches, write_batch
 from mimicry.staging import Tables, as_certificates
 from mimicry.streaming import ingest as si
 from mimicry.streaming import monitors as mon
+from mimicry.streaming.triage import NOTIFICATION, Triage
 
 
 def _stream(t: Tables, table: str) -> DataFrame:
@@ -257,3 +265,132 @@ def stream_level_windows(t: Tables) -> DataFrame:
     parts[-1] = parts[-1].union(late)
     alarms = mon.sustained_level_alarms(_arriving(t, [*parts, end]), limit=40.0, width="30 minutes")
     return _written(t, alarms).select(moment("window_start").alias("window_start"))
+
+
+# Results of two batches, a line for each host and batch; some hosts were not asked for.
+_RESULT_LINE = """
+    SELECT id, id % 2 AS batch, fqdn, status, kind, CASE kind
+        WHEN 0 THEN '{{"fqdn": "' || fqdn || '"'
+        WHEN 1 THEN '{{"fqdn": "' || fqdn || '", "url": "https://elsewhere.example.org/", "status": "' || status || '", "captured_at": "2024-01-01T00:00:00Z", "duration_ms": 5}}'
+        ELSE '{{"fqdn": "' || fqdn || '", "url": "https://' || fqdn || '/", "status": "' || status
+             || '", "captured_at": "2024-01-01T10:00:00+02:00", "duration_ms": 7, "screenshot_path": "a/b.png", "signals": '
+             || CASE kind WHEN 2 THEN 'null'
+                          WHEN 3 THEN '{{"title": "T", "form_count": 1, "has_password_input": true, "has_credential_field": false, "cross_domain_form_targets": ["x.org"], "iframe_count": 0, "password_input_count": 1}}'
+                          ELSE '{{"title": "T", "form_count": 2, "has_password_input": false, "has_credential_field": true, "cross_domain_form_targets": [], "iframe_count": 0, "password_input_count": 0}}' END
+             || '}}' END AS value
+    FROM (SELECT min(capture_id) AS id, fqdn, min_by(status, capture_id) AS status, min(capture_id) % 5 AS kind
+          FROM {captures} GROUP BY fqdn, capture_id % 2) firsts"""
+
+
+class _BreaksOnce(Triage):
+    """Fails in its second batch, when captures and rejected lines are written."""
+
+    broken = False
+
+    def _store(self, draft: Draft, lines: DataFrame) -> None:
+        super()._store(draft, lines)
+        if draft.base.number == 0 and not _BreaksOnce.broken:
+            _BreaksOnce.broken = True
+            raise OSError("the disk went away")
+
+
+@query(check(("captures", "labelled", "matches"), """
+    SELECT 'capture' AS kind, fqdn AS id, status AS detail, count(*) AS rows FROM visits GROUP BY ALL
+    UNION ALL SELECT 'rejected', NULL, reason, count(*) FROM judged WHERE reason IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT 'verdict', fqdn, label, count(*) FROM ruled GROUP BY ALL
+    UNION ALL SELECT 'announced', '', '', count(*) FROM due
+    UNION ALL SELECT 'delivered', fqdn, brand, count(*) FROM (SELECT DISTINCT fqdn, brand, confidence, batch FROM due) d GROUP BY ALL
+    UNION ALL SELECT 'cycle', stage, 'false', 2 FROM (VALUES ('capture'), ('classify'), ('alert')) s(stage)""",
+    "lines AS (" + _RESULT_LINE.format(captures="captures") + ")",
+    "jobs AS (SELECT DISTINCT fqdn FROM labelled WHERE source <> 'feed')",
+    """judged AS (
+        SELECT l.*, CASE WHEN kind = 0 THEN '1 invalid field(s)'
+                         WHEN fqdn NOT IN (SELECT fqdn FROM jobs) THEN 'hostname the job did not ask for'
+                         WHEN kind = 1 THEN 'URL is not one this hostname would be visited at' END AS reason FROM lines l)""",
+    """visits AS (
+        SELECT j.fqdn, b.batch, coalesce(status, 'error') AS status, CASE WHEN status = 'ok' THEN kind END AS kind
+        FROM jobs j CROSS JOIN (VALUES (0), (1)) b(batch)
+        LEFT JOIN (SELECT * FROM judged WHERE reason IS NULL) a ON a.fqdn = j.fqdn AND a.batch = b.batch)""",
+    """ruled AS (
+        SELECT fqdn, batch, kind, CASE WHEN status <> 'ok' THEN 'unreachable' WHEN kind = 2 THEN 'unknown' ELSE 'phishing' END AS label FROM visits)""",
+    BEST,
+    """due AS (SELECT r.fqdn, b.brand, batch, CASE kind WHEN 3 THEN 0.8 ELSE 0.6 END AS confidence
+               FROM ruled r JOIN best b ON b.fqdn = r.fqdn WHERE label = 'phishing')"""))
+def triage_cycles(t: Tables) -> DataFrame:
+    """Two triage cycles over result lines; the second fails after its second table and is replayed."""
+    folder = _folder(t)
+    lines = t.spark.sql(_RESULT_LINE, captures=t.captures)
+    lines = computed_once(lines.select("id", "batch", "value"), value=F.col("value")).persist()
+    for batch in (0, 1):
+        lines.where(F.col("batch") == batch).select("value").repartition(FILES).write.text(f"{folder}/lines/{batch}")
+    lines.unpersist()
+    _BreaksOnce.broken = False
+    hour = iter(range(10**6))
+    triage = _BreaksOnce(
+        t.spark, folder, t.labelled.where("source <> 'feed'").select("fqdn"), vantage="home",
+        clock=lambda: datetime(2024, 2, 1) + timedelta(seconds=next(hour)), matches=lambda: t.matches,
+    )
+    for _ in range(2):  # started again after the failure
+        source = t.spark.readStream.format("text").option("maxFilesPerTrigger", FILES).load(f"{folder}/lines/*")
+        stream = source.writeStream.foreachBatch(triage.run).trigger(availableNow=True)
+        running = stream.option("checkpointLocation", f"{folder}/checkpoint").start()
+        try:
+            running.awaitTermination()
+        except StreamingQueryException:
+            continue
+    delivered = t.spark.read.schema(f"key string, {NOTIFICATION}").json(f"{folder}/alerts/*")
+
+    def counted(kind: str, rows: DataFrame, id_: Column | str, detail: Column | str) -> DataFrame:
+        named = rows.select(F.lit(kind).alias("kind"), *[
+            (F.col(c) if isinstance(c, str) else c).cast("string").alias(n) for c, n in ((id_, "id"), (detail, "detail"))
+        ])
+        return named.groupBy("kind", "id", "detail").agg(F.count(F.lit(1)).alias("rows"))
+
+    whole = [
+        counted("capture", triage.table("captures"), "fqdn", "status"),
+        counted("verdict", triage.table("verdicts"), "fqdn", "label"),
+        counted("announced", triage.table("announced"), F.lit(""), F.lit("")),
+        counted("delivered", delivered, "fqdn", "brand"),
+        counted("cycle", triage.table("cycles"), "stage", "failed"),
+    ]
+    whole.append(counted("rejected", triage.table("rejected"), F.lit(None), "reject_reason"))
+    return reduce(DataFrame.union, whole)
+
+
+_NINE = "fqdn, brand, label, confidence, score, evidence, screenshot, final_url, detected_at"
+
+
+@query(check(("matches", "captures", "verdicts"), f"""
+    SELECT {_NINE}, 1 AS times, (SELECT count(*) FROM due) AS ledger FROM (SELECT DISTINCT {_NINE} FROM (
+        SELECT fqdn, coalesce(brand, 'unknown') AS brand, label, confidence, score, coalesce(evidence, '') AS evidence,
+               screenshot_path AS screenshot, final_url, strftime(classified_at, '%Y-%m-%dT%H:%M:%S.000000Z') AS detected_at
+        FROM due) n) d""", BEST, DUE))
+def announce_once(t: Tables) -> DataFrame:
+    """What two concurrent cycles, one that fails before delivery, and replays of both put out."""
+    folder = _folder(t)
+    policy = AlertPolicy(("phishing", "parked"), 0.3, None)
+
+    def cycle(writer: str) -> Triage:
+        return Triage(t.spark, folder, t.labelled.select("fqdn"), policy, writer=writer,
+                      clock=lambda: datetime(2024, 2, 1), matches=lambda: t.matches)
+
+    first, second = cycle("first"), cycle("second")
+    seed = first.log.draft()
+    seed.write("captures", t.captures)
+    seed.write("verdicts", t.verdicts)
+    seed.publish("seed", 0)
+    # Both draft from the same commit; the first one publishes and breaks off before delivery.
+    drafts = [(x, x.log.draft()) for x in (first, second)]
+    for x, draft in drafts:
+        x._announce(draft, 0)
+    published = [x._publish(draft, 0, []) for x, draft in drafts]
+    if published != [True, False]:
+        raise RuntimeError(f"two cycles got one commit: {published}")
+    for x in (second, first, second, first):  # drafted anew, delivered late, replayed twice
+        x.announce(0)
+    first.announce(1)
+    sent = t.spark.read.schema(f"key string, {NOTIFICATION}").json(f"{folder}/alerts/*")
+    fields = [c.strip() for c in _NINE.split(",")]
+    ledger = first.table("announced").agg(F.count(F.lit(1)).alias("ledger"))
+    told = sent.groupBy(*fields).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    return told.crossJoin(F.broadcast(ledger))

@@ -300,6 +300,9 @@ _DUE = f"""due AS (
     WHERE NOT already_alerted AND label IN ('phishing', 'parked') AND confidence >= 0.3)"""
 
 
+DUE = _DUE
+
+
 def _due(t: Tables) -> DataFrame:
     return q.pending_alerts(
         t.verdicts, t.captures, t.matches, ("phishing", "parked"), 0.3, None

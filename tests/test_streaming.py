@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from mimicry.plans import ingest as ing
 from mimicry.sources import ct
-from mimicry.sources.sinks import read_batches, write_batch
-from mimicry.sources.tables import CAPTURES, VERDICTS
+from mimicry.sources.commits import CommitLog, Draft
 from mimicry.streaming import monitors as mon
 from mimicry.streaming.ingest import Stores, message_counters, new_names, start_ingest
-from mimicry.streaming.triage import CYCLES, LEDGER, Triage, run_stages
+from mimicry.streaming.triage import Triage, run_stages
 from tests.test_sources import message, result
 
 
@@ -52,28 +51,125 @@ def test_names_pass_once(spark, tmp_path):
     assert sorted(r.fqdn for r in spark.table("names").collect()) == ["a.com", "b.com"]
 
 
-def test_triage_cycle(spark, tmp_path):
-    folder = str(tmp_path / "t")
-    clock = lambda: datetime(2026, 1, 2)
+def triage_on(spark, folder, **settings):
+    """A triage of two hosts, of which one has a match."""
     targets = spark.createDataFrame([("a.com",), ("b.com",)], "fqdn string")
     feature = "CAST(NULL AS struct<free_dv_issuer:boolean>)"
     matches = spark.createDataFrame([("a.com", "paypal", 0.9)], "fqdn string, brand string, score double").withColumns(
         {"registered_domain": F.lit("a.com"), "is_alert": F.lit(True), "cert_sha256": F.lit("x"),
          "first_seen_at": F.lit(datetime(2026, 1, 1)), "features": F.expr(feature)})
-    write_batch(matches.drop("features"), f"{folder}/matches", 0)
-    triage = Triage(spark, folder, targets, vantage="home", clock=clock)
+    store = Stores.below(spark, folder).matches
+    if not store.runs():
+        store.add(matches.drop("features"), 0)
+    settings = {"vantage": "home", "clock": lambda: datetime(2026, 1, 2)} | settings
+    return Triage(spark, folder, targets, **settings)
+
+
+def sent(spark, folder):
+    return sorted(json.loads(r.value)["fqdn"] for r in spark.read.text(f"{folder}/alerts/*").collect())
+
+
+def test_triage_cycle(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    triage = triage_on(spark, folder)
     lines = spark.createDataFrame([(result("a.com"),), (result("b.com"),), ("junk",)], "value string")
-    for _ in range(2):  # a replayed batch replaces what it wrote
+    for _ in range(2):  # a replayed batch adds nothing
         triage.run(lines, 1)
-    cycles = read_batches(spark, f"{folder}/cycles", CYCLES).collect()
+    cycles = triage.table("cycles").collect()
     assert [(r.stage, r.failed) for r in sorted(cycles, key=lambda r: r.stage)] == [("alert", False), ("capture", False), ("classify", False)]
-    assert read_batches(spark, f"{folder}/captures", CAPTURES).count() == 2
-    assert {r.label for r in read_batches(spark, f"{folder}/verdicts", VERDICTS).collect()} == {"phishing"}
-    alerts = [json.loads(r.value) for r in spark.read.text(f"{folder}/alerts/*").collect()]
-    assert [a["fqdn"] for a in alerts] == ["a.com"]  # b.com has no match: measured, not announced
+    assert triage.table("captures").count() == 2 and triage.table("rejected").count() == 1
+    assert {r.label for r in triage.table("verdicts").collect()} == {"phishing"}
+    assert sent(spark, folder) == ["a.com"]  # b.com has no match: measured, not announced
+    triage.clock = lambda: datetime(2026, 1, 3)
     triage.run(lines, 2)
-    assert read_batches(spark, f"{folder}/announced", LEDGER).count() == 2  # the new capture is a new finding
-    assert read_batches(spark, f"{folder}/verdicts", VERDICTS).count() == 4
+    assert triage.table("announced").count() == 2  # the new capture is a new finding
+    assert sent(spark, folder) == ["a.com", "a.com"]
+    assert triage.table("verdicts").count() == 4
+
+
+def test_nothing_of_a_broken_batch_is_seen(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "t")
+    triage = triage_on(spark, folder)
+    lines = spark.createDataFrame([(result("a.com"),)], "value string")
+    whole = Draft.write
+
+    def breaks(self, name, rows):
+        whole(self, name, rows)
+        if name == "rejected":
+            raise OSError("no space")
+
+    monkeypatch.setattr(Draft, "write", breaks)
+    with pytest.raises(OSError, match="no space"):
+        triage.run(lines, 0)
+    assert triage.table("captures").count() == 0 and triage.log.state().number == -1
+    monkeypatch.setattr(Draft, "write", whole)
+    triage.run(lines, 0)
+    assert triage.table("captures").count() == 2 and sent(spark, folder) == ["a.com"]
+
+
+def test_a_stage_that_fails_is_recorded_and_made_up_for(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "t")
+    triage = triage_on(spark, folder)
+    lines = spark.createDataFrame([(result("a.com"),)], "value string")
+
+    def boom(*_: object) -> None:
+        raise RuntimeError("no model")
+
+    with monkeypatch.context() as m:
+        m.setattr(triage, "_classify", boom)
+        triage.run(lines, 0)
+    failed = {r.stage: r.error for r in triage.table("cycles").collect() if r.failed}
+    assert failed == {"classify": "no model"} and triage.table("verdicts").count() == 0
+    triage.run(lines.limit(0), 1)
+    assert triage.table("verdicts").count() == 4 and sent(spark, folder) == ["a.com"]
+
+
+def test_concurrent_cycles_announce_once(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "t")
+    one, two = (triage_on(spark, folder, writer=w) for w in ("one", "two"))
+    lines = spark.createDataFrame([(result("a.com"),)], "value string")
+    with monkeypatch.context() as m:
+        m.setattr(one, "_announce", lambda draft, cycle: None)
+        one.run(lines, 0)
+    ahead = two.log.draft()
+    two._announce(ahead, 0)
+    one.announce(1)  # gets the commit that the draft of the other is for
+    assert two._publish(ahead, 0, []) is False
+    two.announce(0)
+    assert sent(spark, folder) == ["a.com"]
+    assert two.table("announced").count() == 1 and two.table("outbox").count() == 1
+
+
+def test_delivery_that_broke_off_is_made_up_for(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "t")
+    triage = triage_on(spark, folder)
+    lines = spark.createDataFrame([(result("a.com"),)], "value string")
+
+    def down() -> None:
+        raise OSError("sink is down")
+
+    with monkeypatch.context() as m:
+        m.setattr(triage, "deliver", down)
+        with pytest.raises(OSError, match="sink is down"):
+            triage.run(lines, 0)
+    assert triage.table("outbox").count() == 1
+    triage.run(lines, 0)
+    triage.run(lines.limit(0), 1)
+    assert sent(spark, folder) == ["a.com"]
+
+
+def test_commits_merge_and_are_cleaned(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path), fan=2)
+    for i in range(9):
+        draft = log.draft()
+        draft.write("t", spark.createDataFrame([(i,)], "n bigint"))
+        draft.merge("t", "n bigint")
+        assert draft.publish("w", i)
+        log.clean(2)
+    assert sorted(r.n for r in log.table("t", "n bigint").collect()) == list(range(9))
+    assert len(log.state().tables["t"]) <= 4 and log.done("w", 8) and not log.done("w", 9) and not log.done("x", 0)
+    assert len(list((tmp_path / "commits").glob("[0-9]*.json"))) == 2
+    assert len(list((tmp_path / "t").iterdir())) <= 10
 
 
 def test_a_failing_stage_is_isolated():
@@ -104,19 +200,6 @@ def test_monitors(spark):
     assert sorted(r.window_start.minute for r in high.collect()) == [10, 15]
 
 
-def test_batch_that_cannot_be_stored_is_replayed(spark, tmp_path, monkeypatch):
-    """Result lines come once: failing to store them must fail the batch."""
-    triage = Triage(spark, str(tmp_path), spark.createDataFrame([], "fqdn string"))
-
-    def broken(*_: object) -> None:
-        raise OSError("no space")
-
-    monkeypatch.setattr(triage, "_store", broken)
-    with pytest.raises(OSError, match="no space"):
-        triage.run(spark.createDataFrame([("{}",)], "value string"), 0)
-    assert read_batches(spark, f"{tmp_path}/cycles", CYCLES).count() == 0
-
-
 def arriving(spark, folder, schema, parts):
     """A stream with one micro-batch for each list of rows."""
     for number, rows in enumerate(parts):
