@@ -76,8 +76,11 @@ _SCORED = scored_ctes("SELECT DISTINCT host, false AS free_dv FROM certificates"
 
 
 @query(check(("certificates",), """
-    SELECT host, brand, array_to_string(fuzzers, ',') AS fuzzers FROM scored WHERE len(fuzzers) > 0""",
-    *_SCORED))
+    SELECT host, k.brand, array_to_string(k.fuzzers, ',') AS fuzzers
+    FROM named JOIN split s USING (fqdn) LEFT JOIN idn ON s.domain = ascii_label
+    JOIN known k ON k.label = coalesce(decoded, s.domain) AND k.suffix = s.suffix
+    WHERE NOT EXISTS (SELECT 1 FROM brands b WHERE b.brand = k.brand AND list_contains(b.official, s.registered_domain))""",
+    *scored_ctes(_HOSTS)))
 def known_variants(t: Tables) -> DataFrame:
     """Equality lookup of registered domains in the variant index."""
     index = scorer(t.spark)._index
@@ -93,7 +96,8 @@ def known_variants(t: Tables) -> DataFrame:
 
 
 @query(check(("certificates",), """
-    SELECT host, brand, in_label, in_sub, homoglyph FROM scored WHERE in_label OR in_sub""", *_SCORED))
+    SELECT host, brand, in_label, in_sub, NOT spelt_out AS homoglyph
+    FROM named JOIN flags USING (fqdn) WHERE in_label OR in_sub""", *scored_ctes(_HOSTS)))
 def token_match(t: Tables) -> DataFrame:
     hosts = t.staged("certificates").select(F.col("host").alias("name")).distinct()
     hosts = hosts.withColumn("fqdn", F.col("name")).withColumn("free_dv", F.lit(False))

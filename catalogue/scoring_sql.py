@@ -114,7 +114,7 @@ def variant_ctes() -> list[str]:
             UNION SELECT brand, suffix, left(label, i - 1) || new || substr(label, i), 'insertion' FROM at_pos JOIN near_keys ON substr(label, i, 1) = old
             UNION SELECT brand, suffix, left(label, i) || new || substr(label, i + 1), 'insertion' FROM at_pos JOIN near_keys ON substr(label, i, 1) = old
             UNION SELECT brand, tld, label, 'tld-swap' FROM official_parts, tlds)""",
-        """variants AS (
+        """variants AS MATERIALIZED (
             SELECT DISTINCT label, suffix, brand, fuzzer FROM raw_variants v
             WHERE label <> '' AND NOT regexp_matches(label, '^-|-$')
               AND NOT EXISTS (SELECT 1 FROM official_parts o WHERE o.brand = v.brand
@@ -135,13 +135,13 @@ def host_ctes(source: str) -> list[str]:
             SELECT fqdn, arg_max(suffix, length(suffix)) AS suffix
             FROM (SELECT DISTINCT fqdn FROM named WHERE fqdn IS NOT NULL) f
             JOIN psl ON ends_with(fqdn, '.' || suffix) GROUP BY fqdn)""",
-        """split AS (
+        """split AS MATERIALIZED (
             SELECT fqdn, suffix, domain, domain || '.' || suffix AS registered_domain,
                    CASE WHEN length(rest) > length(domain) THEN left(rest, length(rest) - length(domain) - 1) ELSE '' END AS subdomain
             FROM (SELECT fqdn, suffix, rest, regexp_extract(rest, '([^.]*)$', 1) AS domain
                   FROM (SELECT fqdn, suffix, left(fqdn, length(fqdn) - length(suffix) - 1) AS rest FROM suffixed) r) d
             WHERE domain <> '')""",
-        f"""forms AS (
+        f"""forms AS MATERIALIZED (
             SELECT s.*, coalesce(decoded, domain) AS label_raw, subdomain AS subdomain_raw,
                    {fold % "coalesce(decoded, domain)"} AS label_sk, {fold % "subdomain"} AS subdomain_sk,
                    {loose % "coalesce(decoded, domain)"} AS label_loose, {loose % "subdomain"} AS subdomain_loose
@@ -176,10 +176,10 @@ def scored_ctes(source: str) -> list[str]:
         f"keywords AS (SELECT place, {FOLD % 'word'} AS folded, word FROM raw_keywords)",
         *variant_ctes(),
         *host_ctes(source),
-        """known AS (
+        """known AS MATERIALIZED (
             SELECT label, suffix, brand, list_sort(list_distinct(list(fuzzer))) AS fuzzers
             FROM variants GROUP BY ALL)""",
-        f"""flags AS (
+        f"""flags AS MATERIALIZED (
             SELECT f.*, b.brand, b.pos, b.tokens, b.typo_tokens,
                    {_strip("label_loose")} AS typo_label,
                    {_token("label_sk", "tokens")} OR {_word("label_loose")} AS in_label,
@@ -192,16 +192,16 @@ def scored_ctes(source: str) -> list[str]:
             SELECT fqdn, brand, typo_tokens,
                    unnest(list_distinct(list_append(string_split_regex(typo_label, '[^a-z]+'), typo_label))) AS word
             FROM flags WHERE len(typo_tokens) > 0)""",
-        """typos AS (
+        """typos AS MATERIALIZED (
             SELECT fqdn, brand, max(1.0::DOUBLE - damerau_levenshtein(word, token)::DOUBLE / greatest(length(word), length(token))) AS sim
             FROM (SELECT fqdn, brand, word, unnest(typo_tokens) AS token FROM words) t
             WHERE length(word) >= length(token) GROUP BY fqdn, brand)""",
-        """hits AS (
+        """hits AS MATERIALIZED (
             SELECT fqdn, brand, list(word ORDER BY place) AS keywords
             FROM flags, keywords
             WHERE contains(list_reduce(list_prepend(subdomain_sk || '.' || label_sk, tokens), lambda acc, t: replace(acc, t, ' ')), folded)
             GROUP BY fqdn, brand)""",
-        f"""features AS (
+        f"""features AS MATERIALIZED (
             SELECT f.fqdn, f.registered_domain, f.brand, f.pos, f.fuzzers, f.in_label, f.in_sub,
                    (f.in_label OR f.in_sub) AND NOT f.spelt_out AS homoglyph,
                    coalesce({rounded("sim")}, 0.0::DOUBLE) AS typo, coalesce(keywords, []::VARCHAR[]) AS keywords
