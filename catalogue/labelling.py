@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from catalogue.registry import check, query
 from mimicry.config import DEFAULT_BRANDS
 from mimicry.plans import labelling as lab
 from mimicry.sources import feeds
-from mimicry.sources.labelled import parse_labelled, problems
-from mimicry.session import computed_once
+from mimicry.session import computed_once, shared_folder
+from mimicry.sources.labelled import parse_labelled, problems, read_all
 from mimicry.staging import Tables
 
 
@@ -204,8 +206,8 @@ def _set_lines(t: Tables) -> DataFrame:
         WHEN 6 THEN 'label_basis must be ''screenshot'' or ''feed''' WHEN 7 THEN 'expected a JSON object' END AS problem
     FROM (SELECT *, c_custkey AS line_no FROM labelled WHERE c_custkey % 11 BETWEEN 1 AND 7) l
     UNION ALL
-    SELECT max(c_custkey), 'same.example.org is also in set.jsonl:' || min(c_custkey) FROM labelled
-    WHERE c_custkey % 11 = 8 HAVING count(*) > 1"""))
+    SELECT c_custkey, 'same.example.org is also in set.jsonl:' || first FROM (
+        SELECT c_custkey, min(c_custkey) OVER () AS first FROM labelled WHERE c_custkey % 11 = 8) s WHERE c_custkey > first"""))
 def labelled_problems(t: Tables) -> DataFrame:
     lines = _set_lines(t).withColumn("file_path", F.lit("set.jsonl"))
     return problems(parse_labelled(lines)).drop("file_path")
@@ -222,3 +224,64 @@ def labelled_scan(t: Tables) -> DataFrame:
     return kept.select(
         "line_no", "fqdn", "expected", "label_basis", F.col("labelled_at").cast("string").alias("labelled_at")
     )
+
+
+# The tracked set and two feed sets as files of their own. Some feed lines repeat tracked ones.
+_FILES = ("0-tracked", "1-feed", "2-feed")
+_FILED = f"""
+    SELECT place, place % 11 AS kind, fqdn, value, CASE place % 3 WHEN 0 THEN '{_FILES[0]}' WHEN 1 THEN '{_FILES[1]}' ELSE '{_FILES[2]}' END AS file
+    FROM ({_SET_LINES.replace("c_custkey AS line_no", "c_custkey AS place, fqdn")}) l
+    UNION ALL
+    SELECT c_custkey + 1000000, 9, fqdn,
+           '{{{{"fqdn": "' || upper(fqdn) || '", "expected": "parked", "source": "b", "labelled_at": "2024-01-01"}}}}', '{_FILES[2]}'
+    FROM {{labelled}} WHERE c_custkey % 5 = 0"""
+
+
+@query(check(("labelled",), """
+    SELECT 'site' AS kind, file, line_no, fqdn AS detail FROM placed WHERE problem IS NULL AND place = first
+    UNION ALL SELECT 'problem', file, line_no, coalesce(problem, fqdn || ' is also in ' || first.file || ':' || first.line_no)
+    FROM placed WHERE problem IS NOT NULL OR place > first""",
+    "filed AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY place) AS line_no FROM ("
+    + _FILED.format(labelled="labelled") + ") x)",
+    """judged AS (
+        SELECT file, line_no, CASE WHEN kind = 8 THEN 'same.example.org' ELSE fqdn END AS fqdn, {'file': file, 'line_no': line_no} AS place,
+               CASE kind WHEN 1 THEN 'not valid JSON' WHEN 2 THEN 'missing field(s) source' WHEN 3 THEN 'unknown label malware'
+                    WHEN 4 THEN 'labelled_at must be an ISO date' WHEN 5 THEN fqdn || ' has no label yet'
+                    WHEN 6 THEN 'label_basis must be ''screenshot'' or ''feed''' WHEN 7 THEN 'expected a JSON object' END AS problem
+        FROM filed WHERE kind <> 0)""",
+    "placed AS (SELECT *, min(place) FILTER (WHERE problem IS NULL) OVER (PARTITION BY fqdn) AS first FROM judged)"))
+def labelled_sets(t: Tables) -> DataFrame:
+    """Three files read together: usable sites, refused lines, and every repeated line of a site."""
+    folder = f"{shared_folder(t.spark)}/run-{uuid4().hex}"
+    lines = computed_once(t.spark.sql(_FILED, labelled=t.labelled), value=F.col("value")).persist()
+    for name in _FILES:
+        # A set is one file, kept in order by a person.
+        one = lines.where(F.col("file") == name).repartition(1).sortWithinPartitions("place")
+        one.select("value").write.text(f"{folder}/{name}")
+    lines.unpersist()
+    entries = read_all(t.spark, f"{folder}/{_FILES[0]}", [f"{folder}/{name}" for name in _FILES[1:]])
+    named = f"[^ ]*/({'|'.join(_FILES)})/[^: ]*"
+    entries = entries.withColumn("file_path", F.regexp_replace("file_path", named, "$1"))
+    wrong = problems(entries).select(
+        F.lit("problem").alias("kind"), F.col("file_path").alias("file"), "line_no", F.col("problem").alias("detail")
+    )
+    usable = entries.where("reject_reason IS NULL").groupBy("fqdn").agg(F.min(F.struct("file_path", "line_no")).alias("first"))
+    return wrong.union(usable.select(F.lit("site"), "first.file_path", "first.line_no", "fqdn"))
+
+
+_SEEDS = ", ".join("('{}', '{}')".format(name, why.replace("'", "''")) for name, why in lab.HARD_NEGATIVES)
+
+
+@query(check(("feed", "matches", "labelled"), f"""
+    SELECT fqdn, suggestion, source, note FROM (
+        SELECT *, row_number() OVER (PARTITION BY fqdn ORDER BY place) AS rn FROM (
+            SELECT 1 AS place, fqdn, source, suggestion, note FROM feed_candidates
+            UNION ALL SELECT 2, fqdn, source, suggestion, note FROM alerting
+            UNION ALL SELECT 3, fqdn, 'calibration', 'legitimate', note FROM (VALUES {_SEEDS}) v(fqdn, note)) u) r
+    WHERE rn = 1 AND fqdn NOT IN (SELECT fqdn FROM present)""", *_ALL))
+def candidates_with_negatives(t: Tables) -> DataFrame:
+    """All three sources of candidates: the feed, alerts, and known harmless lookalikes."""
+    seeded = lab.hard_negatives(t.spark).withColumn("place", F.lit(3))
+    present = t.labelled.where("labelled_by = 'human'")
+    fresh = lab.new_candidates(_candidates(t).unionByName(seeded), present, _today())
+    return fresh.select("fqdn", "suggestion", "source", "note")

@@ -165,16 +165,21 @@ def same_site_targets(t: Tables) -> DataFrame:
 
 
 @query(check(("captures", "labelled"), """
-    SELECT fqdn, brand, c_custkey AS line_no FROM (
-        SELECT *, DATE '2024-01-01' + CAST(c_custkey % 40 AS INTEGER) AS labelled_at FROM labelled) e
+    SELECT fqdn, arg_min_null(brand, line_no) AS brand, max(line_no) AS line_no FROM (
+        SELECT fqdn, brand, c_custkey AS line_no, DATE '2024-01-01' + CAST(c_custkey % 40 AS INTEGER) AS labelled_at FROM labelled
+        UNION ALL SELECT fqdn, 'again', c_custkey + 3, DATE '2024-01-30' FROM labelled WHERE c_custkey % 6 = 0) e
     WHERE labelled_at >= DATE '2024-01-21'
       AND fqdn NOT IN (SELECT fqdn FROM captures WHERE vantage = 'home')
-    ORDER BY c_custkey DESC LIMIT 50"""))
+    GROUP BY fqdn ORDER BY max(line_no) DESC, fqdn LIMIT 50"""))
 def fresh_feed_targets(t: Tables) -> DataFrame:
     listed = F.expr("date_add(DATE '2024-01-01', CAST(c_custkey % 40 AS INT))")
     entries = t.labelled.select(
         "fqdn", "brand", listed.alias("labelled_at"), F.col("c_custkey").alias("line_no")
     )
+    again = t.labelled.where("c_custkey % 6 = 0").select(
+        "fqdn", F.lit("again"), F.lit("2024-01-30").cast("date"), F.col("c_custkey") + 3
+    )
+    entries = entries.union(again)
     today = F.lit("2024-01-31").cast("date")
     done = t.captures.where("vantage = 'home'")
     return q.fresh_feed_targets(entries, done, today, 10, 50).select("fqdn", "brand", "line_no")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from mimicry.functions.similarity import typo_similarity
 from mimicry.operators import scoring as sc
 from mimicry.operators.domains import split_hosts
 from mimicry.plans import ingest as ing
+from mimicry.session import shared_folder
 from mimicry.sources import ct
 from mimicry.staging import Tables
 
@@ -355,3 +358,15 @@ def alert_rates(t: Tables) -> DataFrame:
         F.count("*").alias("matches"),
         round_binary(units / F.count("*") / 10_000, 6).alias("mean_score"),
     )
+
+
+@query(check(("messages",), f"""
+    SELECT cert_sha256, {moment_sql("to_timestamp(CAST(seen AS DOUBLE))")} AS seen_at,
+           issuer_org, ct_log, array_to_string(names, ' ') AS names FROM keyed""", *_LEAF))
+def message_files(t: Tables) -> DataFrame:
+    """Recorded messages read from files of lines, some blank or broken, in one batch."""
+    folder = f"{shared_folder(t.spark)}/run-{uuid4().hex}"
+    t.messages.select("value").write.text(folder)
+    certs = ct.certificates(ct.parse_messages(ct.read_ct_messages(t.spark, folder)))
+    return certs.select("cert_sha256", moment("seen_at").alias("seen_at"), "issuer_org", "ct_log",
+                        F.array_join("all_domains", " ").alias("names"))

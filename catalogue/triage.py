@@ -224,11 +224,11 @@ def import_statuses(t: Tables) -> DataFrame:
 @query(check(("captures",), """
     SELECT capture_id, CASE WHEN code BETWEEN 100 AND 599 THEN code END AS http_status,
            CASE WHEN code NOT BETWEEN 100 AND 599 THEN 'non-standard HTTP status ' || code || '; slow' ELSE 'slow' END AS error,
-           left(url || repeat('x', 3000), 2100) AS final_url, least(form_count * 9000, 10000) AS form_count,
+           left(url || repeat('x', 3000), 2100) AS final_url, CASE WHEN has_signals THEN least(form_count * 9000, 10000) END AS form_count,
            'a/' || capture_id || '/b.png' AS screenshot_path
-    FROM (SELECT *, CAST(capture_id % 700 AS INTEGER) AS code FROM captures WHERE has_signals) c"""))
+    FROM (SELECT *, CAST(capture_id % 700 AS INTEGER) AS code FROM captures) c"""))
 def result_bounds(t: Tables) -> DataFrame:
-    wide = t.captures.where("signals IS NOT NULL").withColumns({
+    wide = t.captures.withColumns({
         "http_status": (F.col("capture_id") % 700).cast("int"),
         "error": F.lit("slow"),
         "final_url": F.concat("url", F.repeat(F.lit("x"), 3000)),

@@ -111,7 +111,7 @@ def fresh_feed_targets(
     """Recently listed feed hosts never captured before, newest listing first.
 
     ``entries`` holds (fqdn, brand, labelled_at, line_no). A host listed twice counts at
-    its last line, with that line's brand.
+    its last line, with the brand of its first one.
     """
     newest = (
         entries.where(F.col("labelled_at") >= F.date_sub(today, max_age_days))

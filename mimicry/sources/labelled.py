@@ -90,28 +90,22 @@ def parse_labelled(lines: DataFrame, allow_unlabelled: bool = False) -> DataFram
 
 
 def problems(entries: DataFrame) -> DataFrame:
-    """What is wrong with a set: refused lines, sites listed twice. Empty when sound."""
+    """What is wrong with sets: refused lines, and every line of a site after its first one,
+    in the same file or another. Empty when sound.
+
+    Only sites listed more than once are joined with their lines, each to one first place.
+    """
     refused = entries.where("reject_reason IS NOT NULL").select(
         "file_path", "line_no", F.col("reject_reason").alias("problem")
     )
-    twice = (
-        entries.where("reject_reason IS NULL")
-        .groupBy("fqdn")
-        .agg(
-            F.count("*").alias("n"),
-            F.min(F.struct("file_path", "line_no")).alias("first"),
-            F.max(F.struct("file_path", "line_no")).alias("last"),
-        )
-        .where("n > 1")
-        .select(
-            F.col("last.file_path").alias("file_path"),
-            F.col("last.line_no").alias("line_no"),
-            F.concat(
-                "fqdn", F.lit(" is also in "), "first.file_path", F.lit(":"), "first.line_no"
-            ).alias("problem"),
-        )
+    usable = entries.where("reject_reason IS NULL").select("fqdn", F.struct("file_path", "line_no").alias("place"))
+    counted = usable.groupBy("fqdn").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    later = usable.join(counted.where("n > 1"), "fqdn").where("place > first").select(
+        "place.file_path",
+        "place.line_no",
+        F.concat("fqdn", F.lit(" is also in "), "first.file_path", F.lit(":"), "first.line_no").alias("problem"),
     )
-    return refused.unionByName(twice)
+    return refused.unionByName(later)
 
 
 def sound(entries: DataFrame) -> DataFrame:
@@ -124,7 +118,12 @@ def sound(entries: DataFrame) -> DataFrame:
     return entries.drop("reject_reason")
 
 
+def read_all(spark: SparkSession, main: str, others: list[str] | None = None) -> DataFrame:
+    """Every entry of the tracked set and any feed sets, as :func:`read_labelled` gives them."""
+    sets = [read_labelled(spark, main), *[read_labelled(spark, p) for p in others or []]]
+    return reduce(DataFrame.unionByName, sets)
+
+
 def load_all(spark: SparkSession, main: str, others: list[str] | None = None) -> DataFrame:
     """The tracked set plus any feed sets, no site in two of them."""
-    sets = [read_labelled(spark, main), *[read_labelled(spark, p) for p in others or []]]
-    return sound(reduce(DataFrame.unionByName, sets))
+    return sound(read_all(spark, main, others))
