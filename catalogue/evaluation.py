@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogue.registry import check, query, scorer
 from catalogue.scoring_sql import ratio, rounded, scored_ctes
 from mimicry.config import SWEEP_THRESHOLDS
+from mimicry.functions.rounding import round_binary
 from mimicry.operators import metrics as m
 from mimicry.operators import statistics as s
 from mimicry.operators.queues import captures_with_verdict
 from mimicry.plans import evaluation as e
+from mimicry.session import shared_folder
 from mimicry.staging import Tables
 
 
@@ -256,7 +261,90 @@ _SPLIT = """
                FROM (SELECT unnest(range(0, least(only_a, only_b) + 1)) AS k) ks))''', 6)} END AS p_value
     FROM ({_SPLIT}) d""", *_MODEL_CTES))
 def mcnemar(t: Tables) -> DataFrame:
-    from mimicry.functions.rounding import round_binary
-
     tests = s.paired_tests(e.model_answers(_model_predictions(t)), _MODELS)
     return tests.withColumn("p_value", round_binary(F.col("p_value"), 6))
+
+
+_REPORT = [
+    *_SITES, *_SCORES, _SHOTS, _JUDGED, _FULL,
+    """predictions AS (
+        SELECT 'scoring_only' AS arm, fqdn, expected, CASE WHEN score >= 0.7 THEN 'phishing' ELSE 'legitimate' END AS predicted, score,
+               brand, source, CAST(NULL AS VARCHAR) AS verdict_brand, CAST(NULL AS VARCHAR) AS excluded_reason FROM site_scores
+        UNION ALL SELECT 'scoring_plus_verdicts', fqdn, expected, judged, score, brand, source, verdict_brand, excluded_reason FROM full_arm)""",
+    "made AS (SELECT * FROM predictions WHERE excluded_reason IS NULL)",
+    """groups AS (
+        SELECT 'metrics|' || arm || '|' AS grp, expected, predicted FROM made
+        UNION ALL SELECT 'by_source|' || arm || '|' || coalesce(nullif(source, ''), '(unknown)'), expected, predicted FROM made
+        UNION ALL SELECT 'by_brand|' || arm || '|' || coalesce(nullif(brand, ''), '(none)'), expected, predicted FROM made)""",
+    *class_ctes("groups", "grp"),
+    f"""points AS (
+        SELECT threshold, count(*) FILTER (WHERE score >= threshold) AS alerts,
+               count(*) FILTER (WHERE score >= threshold AND expected = 'phishing') AS hits,
+               count(*) FILTER (WHERE expected = 'phishing') AS phishing
+        FROM made, (VALUES {_POINTS}) v(threshold) WHERE arm = 'scoring_only' GROUP BY threshold)""",
+    f"""sweep AS (SELECT *, {_f1("precision", "recall")} AS f1 FROM (
+        SELECT *, {ratio("hits", "alerts")} AS precision, {ratio("hits", "phishing")} AS recall FROM points) p)""",
+]
+_REPORT_SQL = f"""
+    SELECT split_part(grp, '|', 1) AS tbl, split_part(grp, '|', 2) AS arm, split_part(grp, '|', 3) AS item, m.name, m.value FROM (
+        SELECT grp, unnest([{{'name': 'total', 'value': total::DOUBLE}}, {{'name': 'correct', 'value': correct::DOUBLE}}, {{'name': 'accuracy', 'value': accuracy}},
+                            {{'name': 'macro_precision', 'value': macro_precision}}, {{'name': 'macro_recall', 'value': macro_recall}}, {{'name': 'macro_f1', 'value': macro_f1}}]) AS m FROM macros) x
+    UNION ALL SELECT 'classes', split_part(grp, '|', 2), label, m.name, m.value FROM (
+        SELECT grp, label, unnest([{{'name': 'support', 'value': support::DOUBLE}}, {{'name': 'predicted', 'value': predicted::DOUBLE}}, {{'name': 'true_positives', 'value': true_positives::DOUBLE}},
+                                   {{'name': 'precision', 'value': precision}}, {{'name': 'recall', 'value': recall}}, {{'name': 'f1', 'value': f1}}]) AS m
+        FROM classes WHERE starts_with(grp, 'metrics|')) x
+    UNION ALL SELECT 'confusion', split_part(a.grp, '|', 2), a.label, b.label,
+                     (SELECT count(*) FROM pairs x WHERE x.grp = a.grp AND x.expected = a.label AND x.predicted = b.label)::DOUBLE
+              FROM names a JOIN names b ON a.grp = b.grp WHERE starts_with(a.grp, 'metrics|')
+    UNION ALL SELECT 'sweep', 'scoring_only', CAST(threshold AS VARCHAR), m.name, m.value FROM (
+        SELECT threshold, unnest([{{'name': 'alerts', 'value': alerts::DOUBLE}}, {{'name': 'true_positives', 'value': hits::DOUBLE}}, {{'name': 'f1', 'value': f1}}]) AS m FROM sweep) x
+    UNION ALL SELECT 'mistakes', arm, fqdn, expected || '>' || predicted, CASE WHEN expected = 'phishing' THEN 1.0 ELSE 0.0 END FROM made WHERE expected <> predicted
+    UNION ALL SELECT 'contradictory', arm, fqdn, verdict_brand || '>' || predicted, 1.0 FROM made WHERE verdict_brand <> '' AND predicted <> 'phishing'
+    UNION ALL SELECT 'excluded', arm, fqdn, excluded_reason, 1.0 FROM predictions WHERE excluded_reason IS NOT NULL
+    UNION ALL SELECT 'cost', 'scoring_plus_verdicts', '', m.name, m.value FROM (
+        SELECT unnest([{{'name': 'sites', 'value': count(*)::DOUBLE}}, {{'name': 'capture_ms', 'value': sum(duration_ms)::DOUBLE}}, {{'name': 'classify_ms', 'value': sum(coalesce(latency_ms, 0))::DOUBLE}},
+                       {{'name': 'tokens', 'value': sum(tokens)::DOUBLE}}, {{'name': 'cost_usd', 'value': {rounded("sum(coalesce(cost_usd, 0))", 3)}}}]) AS m FROM full_arm WHERE excluded_reason IS NULL) x
+    UNION ALL SELECT 'labellers', '', coalesce(nullif(labelled_by, ''), 'unrecorded'), 'sites', count(*)::DOUBLE FROM labelled GROUP BY 3
+    UNION ALL SELECT 'conditions', '', '', 'sites', count(*)::DOUBLE FROM sites
+    UNION ALL SELECT 'conditions', '', '', 'excluded', count(*)::DOUBLE FROM predictions WHERE excluded_reason IS NOT NULL
+    UNION ALL SELECT 'conditions', '', '', 'alert_threshold', 0.7::DOUBLE"""
+
+
+@query(check(_EVIDENCE, _REPORT_SQL, *_REPORT))
+def evaluation_report(t: Tables) -> DataFrame:
+    """Both arms evaluated in one run, the report published and read back, table by table."""
+    folder = f"{shared_folder(t.spark)}/run-{uuid4().hex}"
+    number = e.run_evaluation(t.labelled, scorer(t.spark), folder, t.captures, t.verdicts, "vision", resamples=200)
+    tables, conditions = e.Reports(t.spark, folder).read(number)
+
+    def told(name: str, arm: Column | str, item: Column | str, **values: Column) -> DataFrame:
+        pairs = [F.struct(F.lit(n).alias("name"), v.cast("double").alias("value")) for n, v in values.items()]
+        kept = tables[name].select(F.lit(name).alias("tbl"), F.col(arm).alias("arm") if isinstance(arm, str) else arm.alias("arm"),
+                                   (F.col(item) if isinstance(item, str) else item).alias("item"), F.array(*pairs).alias("m"))
+        return kept.select("tbl", "arm", "item", F.inline("m"))
+
+    def figures(*names: str) -> dict[str, Column]:
+        return {n: F.col(n) for n in names}
+
+    def single(name: str, detail: Column, value: Column) -> DataFrame:
+        return tables[name].select(F.lit(name), "arm", "fqdn", detail, value.cast("double"))
+
+    none = F.lit("")
+    macro = figures("total", "correct", "accuracy", "macro_precision", "macro_recall", "macro_f1")
+    arrow = F.lit(">")
+    parts = [
+        told("metrics", "arm", none, **macro),
+        told("by_source", "arm", "source", **macro),
+        told("by_brand", "arm", "brand", **macro),
+        told("classes", "arm", "label", **figures("support", "predicted", "true_positives", "precision", "recall", "f1")),
+        told("sweep", "arm", F.col("threshold").cast("string"), **figures("alerts", "true_positives", "f1")),
+        told("cost", "arm", none, **figures("sites", "capture_ms", "classify_ms", "tokens"), cost_usd=round_binary(F.col("cost_usd"), 3)),
+        told("labellers", none, "labelled_by", **figures("sites")),
+        tables["confusion"].select(F.lit("confusion"), "arm", "expected", "predicted", F.col("n").cast("double")),
+        single("mistakes", F.concat("expected", arrow, "predicted"), F.col("is_costly").cast("int")),
+        single("contradictory", F.concat("verdict_brand", arrow, "predicted"), F.lit(1)),
+        single("excluded", F.col("excluded_reason"), F.lit(1)),
+        t.spark.createDataFrame([("conditions", "", "", n, float(conditions[n])) for n in ("sites", "excluded", "alert_threshold")],
+                                "tbl string, arm string, item string, name string, value double"),
+    ]
+    return reduce(DataFrame.union, parts)

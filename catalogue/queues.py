@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from catalogue.registry import check, moment, moment_sql, query
 from mimicry.config import AlertPolicy
 from mimicry.operators import queues as q
 from mimicry.plans import labelling
-from mimicry.sources.sinks import absent
+from mimicry.session import shared_folder
+from mimicry.sources.sinks import absent, export_snapshot
 from mimicry.staging import Tables
 
 AS_OF = datetime(2001, 7, 25)
@@ -234,3 +236,24 @@ def verdict_insert(t: Tables) -> DataFrame:
 def candidates_from_alerts(t: Tables) -> DataFrame:
     candidates = labelling.candidates_from_alerts(t.captures, t.matches, 25)
     return candidates.select("fqdn", "source", "brand", "note")
+
+
+_SNAPSHOT = ("matches", "captures", "verdicts")
+
+
+@query(check(_SNAPSHOT, " UNION ALL ".join(f"""
+    SELECT '{name}' AS tbl, count(*) AS rows, count(DISTINCT {key}) AS keys, CAST(min({key}) AS VARCHAR) AS first, CAST(max({key}) AS VARCHAR) AS last
+    FROM {name}""" for name, key in zip(_SNAPSHOT, ("fqdn", "capture_id", "verdict_id"), strict=True))))
+def snapshot_export(t: Tables) -> DataFrame:
+    """The stored tables exported as one snapshot and read back with their schemas."""
+    folder = f"{shared_folder(t.spark)}/run-{uuid4().hex}"
+    tables = {"matches": t.matches, "captures": t.captures, "verdicts": t.verdicts}
+    export_snapshot(tables, folder)
+    parts = []
+    for (name, df), key in zip(tables.items(), ("fqdn", "capture_id", "verdict_id"), strict=True):
+        back = t.spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+        parts.append(back.agg(
+            F.lit(name).alias("tbl"), F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("keys"),
+            F.min(key).cast("string").alias("first"), F.max(key).cast("string").alias("last"),
+        ))
+    return parts[0].union(parts[1]).union(parts[2])

@@ -112,14 +112,24 @@ def threshold_sweep(
     Scores fall into the bucket of the highest threshold they reach; reverse running sums
     over those few buckets give every threshold from one pass over the data.
     """
-    steps = sorted(set(thresholds))
-    reached = F.lit(-1)
-    for position, step in enumerate(steps):
-        reached = F.when(F.col("score") >= step, F.lit(position)).otherwise(reached)
     phishing = (F.col("expected") == "phishing").cast("bigint")
-    buckets = scored.groupBy(reached.alias("bucket")).agg(
+    buckets = scored.groupBy(score_bucket(thresholds).alias("bucket")).agg(
         F.count("*").alias("n"), F.sum(phishing).alias("hits")
     )
+    return sweep_of(buckets, thresholds, configured)
+
+
+def score_bucket(thresholds: Sequence[float]) -> Column:
+    """The place of the highest threshold that ``score`` reaches, -1 for none."""
+    reached = F.lit(-1)
+    for position, step in enumerate(sorted(set(thresholds))):
+        reached = F.when(F.col("score") >= step, F.lit(position)).otherwise(reached)
+    return reached
+
+
+def sweep_of(buckets: DataFrame, thresholds: Sequence[float], configured: float) -> DataFrame:
+    """As :func:`threshold_sweep`, from sites and phishing sites (n, hits) per score bucket."""
+    steps = sorted(set(thresholds))
     packed = buckets.agg(F.collect_list(F.struct("bucket", "n", "hits")).alias("buckets"))
     points = F.array(
         *[

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mimicry.config import SWEEP_THRESHOLDS
@@ -15,12 +18,16 @@ from mimicry.operators.metrics import (
     cost_of,
     macro_metrics,
     mistakes,
+    score_bucket,
     split_metrics,
+    sweep_of,
     threshold_sweep,
+    with_unit_costs,
 )
 from mimicry.operators.queues import captures_with_verdict, if_set, latest_captures
 from mimicry.operators.scoring import Scorer, best_match
 from mimicry.operators.statistics import RESAMPLES, bootstrap_intervals
+from mimicry.sources.files import create, read_small, remove, subfolders
 
 def judgeable(sites: DataFrame) -> DataFrame:
     """Sites with ground truth: ``unknown`` is no class and is only counted."""
@@ -166,6 +173,165 @@ def export_report(arms: dict[str, dict[str, DataFrame]], folder: str, **conditio
             stamped.write.mode("overwrite").json(f"{folder}/{arm}/{name}")
 
 
+ARMS = ("scoring_only", "scoring_plus_verdicts")
+COSTS = ("capture_ms", "classify_ms", "tokens", "cost_usd")
+
+
+def arm_predictions(
+    scored: DataFrame, alert_threshold: float, captures: DataFrame | None = None
+) -> DataFrame:
+    """A row for each site and arm: prediction, what it was made from, what it cost.
+
+    The sites are scored and meet their captures once; each row fans out to its arms.
+    Without ``captures`` there is only the first arm. A site without a prediction in an arm
+    has the reason in ``excluded_reason``.
+    """
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    alerted = F.col("score") >= alert_threshold
+    by_name = F.when(alerted, F.lit("phishing")).otherwise(F.lit("legitimate"))
+    shot = text if captures is None else F.col("screenshot_path")
+    free = [number.alias(c) for c in COSTS[:-1]] + [F.lit(None).cast("double").alias(COSTS[-1])]
+    arms = [F.struct(
+        F.lit(ARMS[0]).alias("arm"), by_name.alias("predicted"), shot.alias("screenshot"), text.alias("verdict_brand"),
+        text.alias("excluded_reason"), *free,
+    )]
+    if captures is not None:
+        scored = scored.join(captures, "fqdn", "left")
+        reason = (
+            F.when(F.col("status").isNull(), F.lit("not captured"))
+            .when(F.col("status") != "ok", F.lit("unreachable"))
+            .when(alerted & F.col("verdict_label").isNull(), F.lit("not classified"))
+        )
+        judged_as = F.when(alerted, F.col("verdict_label")).otherwise(F.lit("legitimate"))
+        spent = [F.col(c).cast("double" if c == "cost_usd" else "bigint").alias(c) for c in COSTS]
+        arms.append(F.struct(
+            F.lit(ARMS[1]).alias("arm"), F.when(reason.isNull(), judged_as).alias("predicted"), F.col("screenshot_path").alias("screenshot"),
+            F.col("verdict_brand").alias("verdict_brand"), reason.alias("excluded_reason"), *spent,
+        ))
+    return scored.select(
+        "fqdn", "expected", "score", "brand", "note", "source", F.inline(F.array(*arms))
+    )
+
+
+def report_tables(
+    predictions: DataFrame, alert_threshold: float, resamples: int = RESAMPLES
+) -> dict[str, DataFrame]:
+    """The result tables of all arms from one table of predictions.
+
+    One aggregate counts the cells of (arm, source, brand, score bucket, expected, predicted);
+    metrics, splits, sweep and intervals are derived from those few rows. Lists of single sites
+    and costs read the predictions themselves.
+    """
+    made = predictions.where("excluded_reason IS NULL")
+    names = {"source": "(unknown)", "brand": "(none)"}
+    keys = [F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(missing)).alias(c) for c, missing in names.items()]
+    cells = made.groupBy("arm", *keys, score_bucket(SWEEP_THRESHOLDS).alias("bucket"), "expected", "predicted").agg(
+        F.count("*").alias("n")
+    ).persist()
+
+    def merged(*groups: str) -> DataFrame:
+        return cells.groupBy(*groups, "expected", "predicted").agg(F.sum("n").alias("n"))
+
+    by_arm = merged("arm")
+    intervals = [
+        bootstrap_intervals(by_arm.where(F.col("arm") == arm).drop("arm"), resamples).withColumn("arm", F.lit(arm))
+        for arm in ARMS
+    ]
+    sites = made.where(F.col("arm") == ARMS[1]).groupBy("arm")
+    costs = sites.agg(F.count("*").alias("sites"), *[F.coalesce(F.sum(c), F.lit(0).cast("double" if c == "cost_usd" else "bigint")).alias(c) for c in COSTS])
+    hits = F.sum(F.when(F.col("expected") == "phishing", F.col("n")).otherwise(0)).alias("hits")
+    buckets = cells.where(F.col("arm") == ARMS[0]).groupBy("bucket").agg(F.sum("n").alias("n"), hits)
+    return {
+        "metrics": macro_metrics(by_arm, ["arm"]),
+        "classes": class_metrics(by_arm, ["arm"]),
+        "confusion": confusion_matrix(by_arm, ["arm"]),
+        "by_source": macro_metrics(merged("arm", "source"), ["arm", "source"]),
+        "by_brand": macro_metrics(merged("arm", "brand"), ["arm", "brand"]),
+        "intervals": intervals[0].unionByName(intervals[1]),
+        "sweep": sweep_of(buckets, SWEEP_THRESHOLDS, alert_threshold).withColumn("arm", F.lit(ARMS[0])),
+        "mistakes": mistakes(made).select("arm", "fqdn", "expected", "predicted", "score", "brand", "note", "screenshot", "is_costly"),
+        "contradictory": contradictory(made).select("arm", "fqdn", "verdict_brand", "predicted"),
+        "excluded": predictions.where("excluded_reason IS NOT NULL").select("arm", "fqdn", "excluded_reason"),
+        "cost": with_unit_costs(costs),
+    }
+
+
+class Reports:
+    """Evaluation reports below a folder, each visible as a whole or not at all.
+
+    A run writes its tables as JSON lines into a folder of its own; a small numbered file, which
+    is created last and exclusively, names that folder, the tables with their schemas and the
+    conditions of the run. Readers follow the newest such file.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def publish(self, tables: dict[str, DataFrame], **conditions: object) -> int:
+        run = uuid4().hex
+        schemas = {}
+        for name, df in tables.items():
+            df.write.json(f"{self.folder}/runs/{run}/{name}")
+            schemas[name] = df.schema.toDDL()
+        told = json.dumps({"run": run, "tables": schemas, "conditions": conditions}, default=str, sort_keys=True)
+        while True:
+            number = max(self._numbers(), default=-1) + 1
+            if create(self.spark, f"{self.folder}/{number:06d}.json", told):
+                return number
+
+    def _numbers(self) -> list[int]:
+        names = subfolders(self.spark, self.folder)
+        return [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit()]
+
+    def read(self, number: int | None = None) -> tuple[dict[str, DataFrame], dict[str, object]]:
+        """Tables and conditions of a report, by default the newest."""
+        numbers = self._numbers()
+        if not numbers:
+            raise FileNotFoundError(f"no report below {self.folder}")
+        told = json.loads(read_small(self.spark, f"{self.folder}/{max(numbers) if number is None else number:06d}.json"))
+        run = f"{self.folder}/runs/{told['run']}"
+        tables = {n: self.spark.read.schema(ddl).json(f"{run}/{n}") for n, ddl in told["tables"].items()}
+        return tables, told["conditions"]
+
+
+def run_evaluation(
+    sites: DataFrame,
+    scorer: Scorer,
+    folder: str,
+    stored_captures: DataFrame | None = None,
+    verdicts: DataFrame | None = None,
+    backend: str | None = None,
+    model: str | None = None,
+    resamples: int = RESAMPLES,
+    **conditions: object,
+) -> int:
+    """Evaluate labelled sites and publish the report below ``folder``; returns its number.
+
+    Predictions are made once and written; the counts of sites are observed while that runs.
+    """
+    spark = sites.sparkSession
+    threshold = scorer.cfg.alert_threshold
+    known = judgeable(sites)
+    captures = None
+    if stored_captures is not None and verdicts is not None:
+        captures = captures_with_verdict(known, stored_captures, verdicts, backend, model)
+    seen = Observation("evaluated")
+    first = F.col("arm") == ARMS[0]
+    rows = arm_predictions(score_sites(known, scorer), threshold, captures).observe(
+        seen,
+        F.count_if(first).alias("sites"),
+        F.count_if(F.col("excluded_reason").isNotNull()).alias("excluded"),
+    )
+    path = f"{folder}/predictions/{uuid4().hex}"
+    rows.write.parquet(path)
+    predictions = spark.read.schema(rows.schema).parquet(path)
+    tables = report_tables(predictions, threshold, resamples) | {"labellers": labeller_counts(sites)}
+    counts = {name: seen.get[name] for name in ("sites", "excluded")}
+    number = Reports(spark, folder).publish(tables, alert_threshold=threshold, **counts, **conditions)
+    remove(spark, path)
+    return number
+
+
 def model_predictions(
     scored: DataFrame,
     alert_threshold: float,

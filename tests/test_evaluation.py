@@ -204,3 +204,35 @@ def test_hard_negatives_become_candidates(spark):
     assert added.count() == len(lab.HARD_NEGATIVES) - 1
     assert {(r.expected, r.suggestion, r.source) for r in added.collect()} == {(None, "legitimate", "calibration")}
     assert lab.candidate_counts(seeded, added).first().asDict() == {"added": 10, "skipped": 1}
+
+
+def test_report_is_published_whole(spark, scorer, tmp_path):
+    folder = str(tmp_path / "reports")
+    rows = [("paypal-login.com", "phishing", "alerts", "human"), ("netflix.shop", "legitimate", "feed", None),
+            ("shop.example.org", "legitimate", "", "agent"), ("x.example.org", "unknown", "feed", "agent")]
+    sites = spark.createDataFrame(rows, "fqdn string, expected string, source string, labelled_by string").withColumns(
+        {"brand": F.lit(None).cast("string"), "note": F.lit(None).cast("string")}
+    )
+    with pytest.raises(FileNotFoundError):
+        e.Reports(spark, folder).read()
+    first = e.run_evaluation(sites, scorer, folder, resamples=20, dataset="set.jsonl")
+    second = e.run_evaluation(sites.where("fqdn <> 'netflix.shop'"), scorer, folder, resamples=20)
+    assert (first, second) == (0, 1)
+    reports = e.Reports(spark, folder)
+    tables, conditions = reports.read(0)
+    assert conditions["sites"] == 3 and conditions["excluded"] == 0 and conditions["dataset"] == "set.jsonl"
+    arm = e.scoring_only_arm(e.score_sites(e.judgeable(sites), scorer), scorer.cfg.alert_threshold)
+    want = e.arm_report(arm, None, scorer.cfg.alert_threshold, 20)
+    for name in ("metrics", "classes", "confusion", "sweep", "intervals"):
+        columns = want[name].columns
+        assert sorted(map(str, tables[name].select(columns).collect())) == sorted(map(str, want[name].collect())), name
+    for name, split in (("by_source", "source"), ("by_brand", "brand")):
+        got = tables[name].withColumnRenamed(split, "split").select(want[name].columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want[name].collect())), name
+    assert {r.labelled_by: r.sites for r in tables["labellers"].collect()} == {"human": 1, "agent": 2, "unrecorded": 1}
+    assert reports.read()[1]["sites"] == 2
+    # A run that breaks off before it is published is not seen.
+    broken = {"metrics": tables["metrics"], "bad": spark.range(1).selectExpr("raise_error('no space') AS x")}
+    with pytest.raises(Exception, match="no space"):
+        reports.publish(broken)
+    assert reports.read()[1]["sites"] == 2
