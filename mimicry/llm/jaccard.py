@@ -14,8 +14,8 @@ common, which n-grams are common being estimated on a bounded sample. How many s
 have deletions follows from the number of sets in the band. Any allocation gives the same
 result; a better one compares fewer sets.
 
-Documents with equal index entries are compared exactly, unless their counts of n-grams by
-hash already differ too much: first each with one of the entry, then with another one of it,
+Documents with equal index entries are compared exactly, unless sketches of their sets, some
+bits to an n-gram, already differ too much: first each with one of the entry, then with another one of it,
 then, in blocks, all pairs that are left across components. So near copies in their thousands
 cost a few comparisons each, and no link that joins components is missed.
 """
@@ -53,7 +53,7 @@ SAMPLE = 4_000
 COMMON_SHARE = 0.003
 COMMON = 65_536
 MEETING = 0.2  # what a meeting by chance costs, in index entries
-SKETCH = 64  # counts of a set's n-grams by hash
+SPARE_BITS, LEAST_BITS = 2, 256  # of a sketch: to each item, and at least
 BLOCK = 1_024  # sets of one entry compared at once, on either side
 ROUNDS = 1  # more sets of each entry that all others of it are compared with first
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -313,12 +313,35 @@ def _keyed(total: np.ndarray, salt: np.ndarray, role: int) -> np.ndarray:
 
 
 def sketches(sets: Sets) -> list[bytes]:
-    """Counts of each set's items by hash, 255 at most; two sets differ in as many items at
-    least as their counts differ in all."""
-    rows = len(sets.sizes)
-    cell = np.repeat(np.arange(rows), sets.sizes) * SKETCH + (mixed(sets.items ^ _ODD[3]) % np.uint64(SKETCH)).astype(np.int64)
-    counts = np.minimum(np.bincount(cell, minlength=rows * SKETCH), 255).astype(np.uint8).reshape(rows, SKETCH)
-    return [c.tobytes() for c in counts]
+    """Whether the items of each set with a hash are odd in number, a bit for each hash: two
+    sets differ in as many items at least as their bits do.
+
+    There are ``SPARE_BITS`` to four times as many bits as items, so that what differs rarely
+    cancels out; a sketch is cut down to a shorter one by laying its halves over each other.
+    """
+    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(SPARE_BITS * sets.sizes, LEAST_BITS))).astype(np.int64))
+    base = np.concatenate(([0], np.cumsum(bits)))
+    owner = np.repeat(np.arange(len(bits)), sets.sizes)
+    cell = base[owner] + (mixed(sets.items ^ _ODD[3]) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=base[-1]) & 1).astype(np.uint8)
+    packed, at = np.packbits(odd, bitorder="little").tobytes(), base // 8
+    return [packed[start:stop] for start, stop in zip(at[:-1], at[1:], strict=True)]
+
+
+def _laid(rows: list[bytes], size: int) -> np.ndarray:
+    """Sketches of ``size`` bytes or some power of two times that, all cut down to ``size``."""
+    out = np.empty((len(rows), size // 8), np.uint64)
+    lengths = np.array([len(r) for r in rows])
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        whole = np.frombuffer(b"".join([rows[i] for i in at]), np.uint64).reshape(len(at), length // size, size // 8)
+        out[at] = np.bitwise_xor.reduce(whole, axis=1)
+    return out
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which sketches differ."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -509,16 +532,18 @@ def _one_more(rest: DataFrame, turn: int) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """The pairs that sizes and counts do not rule out."""
+    """The pairs that sizes and sketches do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-                for c in ("x", "y")
-            )
-            kept = pa.array(np.abs(x - y).sum(axis=1) <= (100 - percent) * (n + m) // (100 + percent))
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            shorter = np.array([min(len(i), len(j)) for i, j in zip(x, y, strict=True)], dtype=np.int64)
+            apart = np.zeros(len(n), np.int64)
+            for size in np.unique(shorter):
+                at = np.flatnonzero(shorter == size)
+                apart[at] = _apart(*(_laid([rows[i] for i in at], int(size)) for rows in (x, y)))
+            kept = pa.array(apart <= (100 - percent) * (n + m) // (100 + percent))
             yield pa.RecordBatch.from_arrays([batch.column("p").filter(kept), batch.column("q").filter(kept)], names=["a", "b"])
 
     left = names.select(F.col("first").alias("p"), "n", F.col("sketch").alias("x"))
@@ -529,7 +554,7 @@ def plausible(pairs: DataFrame, names: DataFrame, percent: int) -> DataFrame:
 
 
 def across(rest: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of one entry and different components that sizes and counts do not rule out.
+    """(a, b): pairs of one entry and different components that sizes and sketches do not rule out.
 
     An entry's members are cut into blocks, and each two blocks are compared in one place.
     """
@@ -569,7 +594,8 @@ def across(rest: DataFrame, names: DataFrame, percent: int) -> DataFrame:
 def _ruled_in(rows: pa.Table, percent: int) -> pa.RecordBatch:
     """Pairs of the rows that may be similar: left with right, or all if there is no right."""
     first, component, n, role = (rows.column(c).to_numpy() for c in ("first", "component", "n", "role"))
-    counts = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+    sketch = rows.column("sketch").to_pylist()
+    laid = _laid(sketch, min(map(len, sketch)))
     right = rows.column("right").to_numpy(zero_copy_only=False)
     left, right = (np.flatnonzero(~right), np.flatnonzero(right)) if right.any() else (np.arange(len(first)),) * 2
     found = []
@@ -578,8 +604,7 @@ def _ruled_in(rows: pa.Table, percent: int) -> pa.RecordBatch:
         fits = (component[j] != component[i]) & ((role[j] & role[i]) == 0)
         fits &= 100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])
         j = j[fits]
-        apart = np.abs(counts[j] - counts[i]).sum(axis=1)
-        j = j[apart <= (100 - percent) * (n[j] + n[i]) // (100 + percent)]
+        j = j[_apart(laid[j], laid[i]) <= (100 - percent) * (n[j] + n[i]) // (100 + percent)]
         found.append(np.stack((np.minimum(first[i], first[j]), np.maximum(first[i], first[j]))))
     pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
