@@ -173,6 +173,8 @@ def plan_rows(runs: Sequence[Run]) -> list[tuple[int, int, int, int, int]]:
 
 # --- tokens ----------------------------------------------------------------------------
 
+LEARNT = 4_096  # words that the tokenizer sees at once
+TEXT_BYTES = 1 << 20  # of text encoded at once
 _SPACE, _LETTER, _DIGIT, _MARK, _JOINED = range(5)
 _CLASS = np.full(256, _JOINED, dtype=np.uint8)
 _CLASS[:128] = _MARK
@@ -188,36 +190,47 @@ class WordTokens:
     A text is cut only where this tokenizer cuts as well: at white space, between an ASCII
     letter, digit and mark, and between two digits. Not beside an apostrophe (contractions)
     or a byte beyond ASCII. Texts with a special token's opening are encoded whole. Words
-    are known by a 64-bit hash; at ``max_words`` the store is emptied.
+    are known by a 64-bit hash: sorted arrays of hashes and slots, some 30 bytes a word with
+    its ids. Beyond ``max_bytes`` the store is emptied.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_bytes: int = 20 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.max_words = max_words
+        self.max_bytes = max_bytes
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.ends = np.zeros(1 << 14, dtype=np.int64)
-        self.used = 0
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes.sum()))
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.slots = np.zeros(0, dtype=np.int32)
+        self.flat = np.zeros(0, dtype=np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.ends = np.zeros(1, dtype=np.int64)
+
+    def _bytes(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.slots, self.flat, self.ends))
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each word, -1 where it is not known."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.slots[at], -1).astype(np.int64)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        parts, sizes = [self.flat], []
+        for start in range(0, len(words), LEARNT):  # what the tokenizer returns is large
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[start : start + LEARNT], add_special_tokens=False)]
+            sizes += map(len, found)
+            parts.append(np.fromiter((x for ids in found for x in ids), self.flat.dtype, sum(map(len, found))))
         n = len(self.slots)
-        while len(self.flat) < self.used + len(ids):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while len(self.ends) < n + len(sizes) + 1:
-            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.ends[n + 1 : n + 1 + len(sizes)] = self.used + np.cumsum(sizes)
-        self.used += len(ids)
-        self.slots.update(zip(hashes, range(n, n + len(sizes)), strict=True))
+        self.flat = np.concatenate(parts)
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)))
+        known = np.concatenate((self.hashes, hashes))
+        order = np.argsort(known, kind="stable")
+        self.hashes = known[order]
+        self.slots = np.concatenate((self.slots, np.arange(n, n + len(words), dtype=np.int32)))[order]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the borders between texts."""
@@ -232,22 +245,21 @@ class WordTokens:
         stops = np.append(cut[1:] | ~filled[1:], True) if len(data) else cut
         ends = np.flatnonzero(filled & stops) + 1
         codes, unique = pd.factorize(span_hashes(data, starts, ends))
-        if len(self.slots) + len(unique) > self.max_words:
+        if self._bytes() > self.max_bytes:
             self._clear()
-        keys = unique.tolist()
-        slots = [self.slots.get(k, -1) for k in keys]
-        new = [i for i, slot in enumerate(slots) if slot < 0]
-        if new:
+        slots = self._find(unique)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
             where = np.full(len(unique), -1, dtype=np.int64)
             where[codes[::-1]] = np.arange(len(codes))[::-1]
             text = data.tobytes()
-            self._learn([keys[i] for i in new], [text[starts[j] : ends[j]].decode() for j in where[new].tolist()])
-            slots = [self.slots[k] for k in keys]
-        slot = np.asarray(slots, dtype=np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+            self._learn(unique[new], [text[starts[j] : ends[j]].decode() for j in where[new].tolist()])
+            slots = self._find(unique)
+        slot = slots[codes] if len(codes) else np.zeros(0, np.int64)
         sizes = self.ends[slot + 1] - self.ends[slot]
         after = np.cumsum(sizes)
         at = np.repeat(self.ends[slot] - (after - sizes), sizes) + np.arange(int(after[-1]) if len(after) else 0)
-        ids = self.flat[at]
+        ids = self.flat[at].astype(np.uint32)
         counts = np.concatenate(([0], after))[np.searchsorted(starts, borders)]
         return self._special(raw, borders, ids, counts)
 
@@ -296,7 +308,7 @@ def pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _word_tokens(tokenizer_path)
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", TEXT_BYTES):
             ids, borders = store.encode(chunk.column(1))
             owner, number, starts, sizes, sums = [], [], [], [], []
             for i in range(chunk.num_rows):
