@@ -124,9 +124,49 @@ def contradictory_verdicts(t: Tables) -> DataFrame:
     return m.contradictory(t.label_pairs).select("fqdn", "verdict_brand", "predicted")
 
 
-@query()
+def _draw(i: int) -> str:
+    """Step ``i`` of a resample: the quantile of the hits in cell i among the draws that are left."""
+    before = f"SELECT r, left_n FROM draw{i - 1}" if i else f"SELECT r, (SELECT sum(n) FROM cells)::BIGINT AS left_n FROM range({s.RESAMPLES}) t(r)"
+    return f"""draw{i} AS MATERIALIZED (
+        SELECT r, any_value(left_n) - min(x) FILTER (WHERE cum >= u OR x = hi) AS left_n,
+               min(x) FILTER (WHERE cum >= u OR x = hi) AS drawn
+        FROM (SELECT r, left_n, u, hi, x, sum(chance) OVER (PARTITION BY r ORDER BY x) AS cum FROM (
+            SELECT r, left_n, u, hi, x, CASE WHEN p = 1 THEN 1.0 ELSE exp(lgamma(left_n + 1) - lgamma(x + 1) - lgamma(left_n - x + 1)
+                                             + x * ln(p) + (left_n - x) * ln(1 - p)) END AS chance
+            FROM (SELECT *, unnest(range(lo, hi + 1)) AS x FROM (
+                SELECT r, left_n, p, (('0x' || substr(md5('{s.SEED}:' || r || ':{i}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u,
+                       CASE WHEN p = 1 THEN left_n ELSE greatest(0, floor(left_n * p - 9 * sqrt(left_n * p * (1 - p)) - 9))::BIGINT END AS lo,
+                       CASE WHEN p = 1 THEN left_n ELSE least(left_n, ceil(left_n * p + 9 * sqrt(left_n * p * (1 - p)) + 9))::BIGINT END AS hi
+                FROM (SELECT r, left_n, n::DOUBLE / sites AS p FROM ({before}) b, cells WHERE place = {i}) c) d) e) f) g
+        GROUP BY r)"""
+
+
+# The labels are three on either side: nine cells at most.
+_DRAWS = [
+    """cells AS MATERIALIZED (
+        SELECT expected, predicted, n, row_number() OVER w - 1 AS place,
+               sum(n) OVER (ORDER BY expected, predicted ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sites
+        FROM (SELECT expected, predicted, count(*) AS n FROM label_pairs GROUP BY ALL) c WINDOW w AS (ORDER BY expected, predicted))""",
+    *[_draw(i) for i in range(9)],
+    "drawn AS (" + " UNION ALL ".join(f"SELECT r, {i} AS place, drawn FROM draw{i}" for i in range(9)) + ")",
+    "picks AS (SELECT r, expected, predicted, drawn AS n FROM drawn JOIN cells USING (place) WHERE drawn > 0)",
+    f"""scores AS (
+        SELECT r, label, support, {ratio("hits", "guessed")} AS precision, {ratio("hits", "support")} AS recall, hits FROM (
+            SELECT r, label, sum(n) FILTER (WHERE side = 0) AS s, coalesce(sum(n) FILTER (WHERE side = 0), 0) AS support,
+                   coalesce(sum(n) FILTER (WHERE side = 1), 0) AS guessed, coalesce(sum(n) FILTER (WHERE side = 0 AND expected = predicted), 0) AS hits
+            FROM (SELECT *, 0 AS side, expected AS label FROM picks UNION ALL SELECT *, 1, predicted FROM picks) b GROUP BY r, label) t)""",
+    f"""resampled AS (
+        SELECT r, {ratio("sum(hits)", "sum(support)")} AS accuracy, {rounded("sum(f1 ORDER BY label) / count(*)")} AS macro_f1
+        FROM (SELECT *, {_f1("precision", "recall")} AS f1 FROM scores) f GROUP BY r)""",
+]
+_LOW, _HIGH = s.percentile_bounds(s.RESAMPLES)
+
+
+@query(check(_PAIRS, " UNION ALL ".join(f"""
+    SELECT '{m}' AS metric, (array_agg({m} ORDER BY {m}))[{_LOW + 1}] AS low, (array_agg({m} ORDER BY {m}))[{_HIGH + 1}] AS high
+    FROM resampled""" for m in ("accuracy", "macro_f1")), *_DRAWS))
 def bootstrap(t: Tables) -> DataFrame:
-    """Rows only: resampling has no SQL counterpart (tests compare it with row draws)."""
+    """Intervals from resamples whose every draw follows from the seed, its resample and its cell."""
     return s.bootstrap_intervals(m.confusion_counts(t.label_pairs))
 
 

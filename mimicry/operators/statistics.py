@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from functools import reduce
 from itertools import combinations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,22 +27,19 @@ def bootstrap_metrics(
 
     Drawing n sites with replacement and counting them by cell is one multinomial draw
     over the confusion cells, so a resample costs a few cells however many sites there
-    are. Each resample seeds its own generator: the result does not depend on how the
-    resamples are spread over tasks.
+    are. A draw follows from the seed and the numbers of its resample and cell alone, so the
+    result does not depend on how the resamples are spread over tasks.
     """
     spark = counts.sparkSession
     packed = counts.agg(
         F.array_sort(F.collect_list(F.struct("expected", "predicted", "n"))).alias("cells")
     )
-    draws = _multinomial(seed)
     tasks = max(1, min(resamples, spark.sparkContext.defaultParallelism * 4))
-    # The single packed row meets the resamples through a constant key.
     numbered = spark.range(0, resamples, 1, tasks).withColumnRenamed("id", "resample")
     sampled = (
-        numbered.withColumn("one", F.lit(1))
-        .join(F.broadcast(packed.withColumn("one", F.lit(1))), "one")
+        numbered.crossJoin(F.broadcast(packed))  # one row
         .where(F.size("cells") > 0)
-        .withColumn("drawn", draws("resample", F.transform("cells", lambda c: c["n"])))
+        .withColumn("drawn", _drawn(seed, F.col("resample"), F.col("cells")))
         .select("resample", F.explode(F.arrays_zip("cells", "drawn")).alias("cell"))
         .select(
             "resample",
@@ -55,20 +52,67 @@ def bootstrap_metrics(
     return macro_metrics(sampled, ["resample"]).select("resample", "accuracy", "macro_f1")
 
 
-def _multinomial(seed: int) -> object:
-    @pandas_udf(T.ArrayType(T.LongType()))
-    def draw(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for resamples, sizes in batches:
-            yield pd.Series([_draw(seed, int(r), n) for r, n in zip(resamples, sizes, strict=True)])
+def _uniform(seed: int, resample: Column, cell: Column) -> Column:
+    """A number between 0 and 1, both excluded, that only the resample and the cell decide."""
+    told = F.concat_ws(":", F.lit(str(seed)), resample.cast("string"), cell.cast("string"))
+    return (F.conv(F.substring(F.md5(told), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
-    return draw
 
+def _log_factorial(k: Column) -> Column:
+    """Stirling's series from k + 9 on, less the eight factors in between."""
+    k = k.cast("double")
+    z = k + 9
+    between = reduce(lambda a, b: a * b, [k + i for i in range(1, 9)])
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(between)
 
-def _draw(seed: int, resample: int, sizes: np.ndarray) -> np.ndarray:
-    cells = np.asarray(sizes, dtype=np.int64)
-    total = int(cells.sum())
-    generator = np.random.default_rng([seed, resample])
-    return generator.multinomial(total, cells / total)
+
+def binomial_quantile(u: Column, n: Column, p: Column) -> Column:
+    """The smallest number of hits in ``n`` draws whose cumulated chance reaches ``u``.
+
+    Chances are added up from nine deviations below the mean to nine above; what lies outside
+    is less than a double resolves. Each follows from the one before.
+    """
+    mean, spread = n * p, 9 * F.sqrt(n * p * (1 - p)) + 9
+    low = F.greatest(F.lit(0).cast("bigint"), F.floor(mean - spread))
+    high = F.least(n, F.ceil(mean + spread))
+    first = F.exp(
+        _log_factorial(n) - _log_factorial(low) - _log_factorial(n - low) + low * F.log(p) + (n - low) * F.log(1 - p)
+    )
+    start = F.struct(
+        F.lit(0.0).alias("sum"), first.alias("chance"), p.alias("p"), n.alias("n"), u.alias("u"), F.lit(-1).cast("bigint").alias("at")
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        reached = acc["sum"] + acc["chance"]
+        return F.struct(
+            reached.alias("sum"),
+            (acc["chance"] * (acc["n"] - x) / (x + 1) * acc["p"] / (1 - acc["p"])).alias("chance"),
+            acc["p"].alias("p"), acc["n"].alias("n"), acc["u"].alias("u"),
+            F.when((acc["at"] < 0) & (reached >= acc["u"]), x).otherwise(acc["at"]).alias("at"),
+        )
+
+    found = F.aggregate(F.sequence(low, high), start, step, lambda acc: acc["at"])
+    return F.when(p >= 1, n).when(found < 0, high).otherwise(found)
+
+
+def _drawn(seed: int, resample: Column, cells: Column) -> Column:
+    """How often each cell is drawn, in the cells' order: a binomial draw out of what is left."""
+    zero = F.lit(0).cast("bigint")
+    total = F.aggregate(cells, zero, lambda acc, c: acc + c["n"])
+    start = F.struct(
+        total.alias("draws"), total.alias("sites"), F.lit(0).alias("place"), F.array().cast("array<bigint>").alias("drawn")
+    )
+
+    def step(acc: Column, cell: Column) -> Column:
+        part = cell["n"].cast("double") / acc["sites"]
+        hits = binomial_quantile(_uniform(seed, resample, acc["place"]), acc["draws"], part)
+        return F.transform(F.array(hits), lambda h: F.struct(
+            (acc["draws"] - h).alias("draws"), (acc["sites"] - cell["n"]).alias("sites"), (acc["place"] + 1).alias("place"),
+            F.concat(acc["drawn"], F.array(h)).alias("drawn"),
+        ))[0]
+
+    return F.aggregate(cells, start, step, lambda acc: acc["drawn"])
 
 
 def percentile_bounds(resamples: int, confidence: float = CONFIDENCE) -> tuple[int, int]:

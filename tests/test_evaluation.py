@@ -236,3 +236,22 @@ def test_report_is_published_whole(spark, scorer, tmp_path):
     with pytest.raises(Exception, match="no space"):
         reports.publish(broken)
     assert reports.read()[1]["sites"] == 2
+
+
+def test_binomial_quantiles(spark):
+    """Against cumulated exact chances."""
+    from fractions import Fraction
+
+    rows = [(u, n, p) for n in (0, 1, 7, 60) for p in (0.001, 0.3, 0.5, 0.97) for u in (1e-9, 0.02, 0.51, 0.77, 0.999999)]
+    rows += [(0.4, 25, 1.0)]
+    df = spark.createDataFrame(rows, "u double, n bigint, p double")
+    got = df.select("u", "n", "p", s.binomial_quantile(F.col("u"), F.col("n"), F.col("p")).alias("x")).collect()
+    for r in got:
+        total, x = Fraction(0), -1
+        while total < Fraction(r.u) and x < r.n:
+            x += 1
+            total += comb(r.n, x) * Fraction(r.p) ** x * (1 - Fraction(r.p)) ** (r.n - x)
+        assert r.x == (r.n if r.p == 1 else x), r
+    far = spark.createDataFrame([(0.5, 10**9, 0.25), (0.0013498980316301, 10**9, 0.25)], "u double, n bigint, p double")
+    middle, low = [r.x for r in far.select(s.binomial_quantile(F.col("u"), F.col("n"), F.col("p")).alias("x")).collect()]
+    assert abs(middle - 250_000_000) < 50 and abs(middle - low - 3 * (10**9 * 0.1875) ** 0.5) < 200
