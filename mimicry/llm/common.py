@@ -7,8 +7,11 @@ to about ``CHUNK_BYTES`` of text at row borders; a longer text is a chunk of its
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,6 +96,32 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]] if len(offsets) else raw[:0], offsets - offsets[0]
 
 
+def trim_memory() -> None:
+    """Give back what earlier tasks of this worker process left in its allocators and caches."""
+    Powers.up = Powers.down = np.ones(1, dtype=np.uint64)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow``, so that its worker, which waits for its next task beside
+    others, holds little before and after."""
+
+    def task(batches: Batches) -> Batches:
+        trim_memory()
+        try:
+            yield from run(batches)
+        finally:
+            trim_memory()
+
+    return task
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

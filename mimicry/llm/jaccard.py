@@ -41,6 +41,7 @@ from mimicry.llm.common import (
     stored,
     table,
     text_bytes,
+    trimmed,
     words_of,
 )
 from mimicry.llm.graph import components
@@ -222,7 +223,7 @@ def common_items(docs: DataFrame, total: int) -> np.ndarray:
         for chunk in chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array(sets_of(chunk.column("text")).items.view(np.int64))], names=["item"])
 
-    counted = sample_of(docs, total).mapInArrow(run, "item long").groupBy("item").agg(F.count("*").alias("n"))
+    counted = sample_of(docs, total).mapInArrow(trimmed(run), "item long").groupBy("item").agg(F.count("*").alias("n"))
     least = max(3, math.ceil(COMMON_SHARE * min(SAMPLE, total)))
     rows = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "item").limit(COMMON).collect()
     return np.sort(np.array([r["item"] for r in rows], dtype=np.int64).view(np.uint64))
@@ -238,7 +239,7 @@ def loads_of(docs: DataFrame, total: int, common: np.ndarray) -> np.ndarray:
             rare = np.concatenate(([0], np.cumsum(~_among(sets.items, shared.value))))[sets.borders]
             yield pa.RecordBatch.from_arrays([pa.array(sets.sizes), pa.array(np.diff(rare))], names=["n", "rare"])
 
-    rows = sample_of(docs, total).mapInArrow(run, "n long, rare long").collect()
+    rows = sample_of(docs, total).mapInArrow(trimmed(run), "n long, rare long").collect()
     return np.array([(r["n"], r["rare"]) for r in rows], dtype=np.int64).reshape(-1, 2)
 
 
@@ -361,7 +362,7 @@ def classes(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n", "first", "second", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, first long, second long, sketch binary")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n long, first long, second long, sketch binary")
 
 
 def index(docs: DataFrame, bands: list[Band], percent: int, common: np.ndarray) -> DataFrame:
@@ -377,7 +378,7 @@ def index(docs: DataFrame, bands: list[Band], percent: int, common: np.ndarray)
             keys, rows = entries_of(sets, bands, percent, shared.value)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sets.first[rows])], names=["key", "node"])
 
-    return docs.mapInArrow(run, "key long, node long")
+    return docs.mapInArrow(trimmed(run), "key long, node long")
 
 
 def meetings(entries: DataFrame) -> DataFrame:
@@ -416,7 +417,7 @@ def meetings(entries: DataFrame) -> DataFrame:
             )
 
     ordered = spread.sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(run, "key long, head long, node long, head_role byte, role byte")
+    return ordered.mapInArrow(trimmed(run), "key long, head long, node long, head_role byte, role byte")
 
 
 def _may_meet(a: str, b: str) -> str:
@@ -454,12 +455,12 @@ def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, percent: int)
             yield pa.RecordBatch.from_arrays([batch.column("x").filter(kept), batch.column("y").filter(kept)], names=["a", "b"])
 
     texts = likely_among(docs, "doc_id", needed.select("doc_id")).join(needed.hint("merge"), "doc_id")
-    found = texts.mapInArrow(sets, "node long, first long, items binary").dropDuplicates(["node", "first"])
+    found = texts.mapInArrow(trimmed(sets), "node long, first long, items binary").dropDuplicates(["node", "first"])
     items = stored(found, "jaccard-sets")
     left = items.select(F.col("first").alias("a"), F.col("node").alias("x"), F.col("items").alias("left"))
     right = items.select(F.col("first").alias("b"), F.col("node").alias("y"), F.col("items").alias("right"))
     both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-    return both.select("x", "y", "left", "right").mapInArrow(compare, "a long, b long")
+    return both.select("x", "y", "left", "right").mapInArrow(trimmed(compare), "a long, b long")
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -550,7 +551,7 @@ def plausible(pairs: DataFrame, names: DataFrame, percent: int) -> DataFrame:
     right = names.select(F.col("first").alias("q"), F.col("n").alias("m"), F.col("sketch").alias("y"))
     named = pairs.select(F.col("a").alias("p"), F.col("b").alias("q"))
     both = named.join(left.hint("merge"), "p").join(right.hint("merge"), "q")
-    return both.filter(f"100 * least(n, m) >= {percent} * greatest(n, m)").mapInArrow(run, "a long, b long").distinct()
+    return both.filter(f"100 * least(n, m) >= {percent} * greatest(n, m)").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def across(rest: DataFrame, names: DataFrame, percent: int) -> DataFrame:
@@ -588,7 +589,7 @@ def across(rest: DataFrame, names: DataFrame, percent: int) -> DataFrame:
             yield _ruled_in(pa.Table.from_batches(held), percent)
 
     spread = dealt.repartition(partitions(rest.sparkSession), "place").sortWithinPartitions("place", "first")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return spread.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def _ruled_in(rows: pa.Table, percent: int) -> pa.RecordBatch:

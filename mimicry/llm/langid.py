@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mimicry.llm.common import chunks, table
+from mimicry.llm.common import chunks, table, trimmed
 from mimicry.llm.ngrams import distinct, gathered, hashed, letters_of
 
 SIZES = (1, 2, 3)
@@ -61,7 +61,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
         ids = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(seen[ids])], names=["id", "n"])
 
-    rows = texts.select("text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = texts.select("text").mapInArrow(trimmed(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(1 << BITS)
     for row in rows:
         out[row["id"]] = row["n"]
@@ -148,7 +148,7 @@ def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, penalty: Penalty
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     sample = known.filter(wanted).select("doc_id", "text", "lang").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "text")
-    weights, temperature = pickle.loads(sample.select("text", "lang").mapInArrow(fit, "model binary").collect()[0]["model"])
+    weights, temperature = pickle.loads(sample.select("text", "lang").mapInArrow(trimmed(fit), "model binary").collect()[0]["model"])
     return Model(languages, weights, temperature)
 
 
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text")
     )
-    return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(score), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, *, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:

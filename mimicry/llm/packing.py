@@ -10,9 +10,6 @@ rank within the length.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import os
 import zlib
 from bisect import bisect_left, bisect_right
@@ -26,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mimicry.llm.common import LOWER, Powers, chunks, partitions, span_hashes, stored, table, text_bytes
+from mimicry.llm.common import LOWER, chunks, partitions, span_hashes, stored, table, text_bytes, trimmed
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -280,15 +277,6 @@ class WordTokens:
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
-def trim_memory() -> None:
-    """Give back what earlier tasks of this worker process left in its allocators and caches."""
-    Powers.up = Powers.down = np.ones(1, dtype=np.uint64)
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not every C library can
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 _STORES: dict[str, WordTokens] = {}
 
 
@@ -319,7 +307,6 @@ def pieces(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim_memory()
         store = _word_tokens(tokenizer_path)
         for chunk in chunks(batches, "text", TEXT_BYTES):
             ids, borders = store.encode(chunk.column(1))
@@ -345,7 +332,7 @@ def pieces(
             )
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        cut, PIECES
+        trimmed(cut), PIECES
     )
 
 
