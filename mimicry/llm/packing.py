@@ -10,6 +10,7 @@ rank within the length.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import zlib
 from bisect import bisect_left, bisect_right
@@ -277,6 +278,20 @@ class WordTokens:
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Texts that are read inside reach the workers in batches of so many rows at most."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 _STORES: dict[str, WordTokens] = {}
 
 
@@ -415,7 +430,9 @@ def pack(
     cut = pieces(
         docs, doc_id=doc_id, text=text, capacity=capacity, separator=separator, tokenizer_path=tokenizer_path
     )
-    return place(stored(cut, "packing-pieces"), capacity)
+    with small_batches(docs.sparkSession):
+        cut = stored(cut, "packing-pieces")
+    return place(cut, capacity)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
