@@ -17,16 +17,25 @@ from mimicry.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Rows in a batch between Spark and its Python workers: a row is a whole text.
+BATCH_ROWS = "1000"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """``docs``, which the stage's Python workers will get in batches of ``BATCH_ROWS``."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return docs
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn languages from the documents that state one; texts of no certain language go."""
-    known = docs.select("doc_id", "text", "lang").filter(langid.remainder(F.col("doc_id"), 4) != 2)
+    known = _texts(docs).select("doc_id", "text", "lang").filter(langid.remainder(F.col("doc_id"), 4) != 2)
     return langid.accepted(docs, langid.train(known))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(_texts(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +50,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, each in its sequence."""
-    return packing.pack(docs)
+    return packing.pack(_texts(docs))
 
 
 STAGES: list[tuple[str, Stage]] = [
