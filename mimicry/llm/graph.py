@@ -16,13 +16,16 @@ def components(edges: DataFrame) -> DataFrame:
     Each round points a node's larger neighbours, then its smaller ones, to the smallest
     neighbour. A node with many neighbours costs one partial minimum a task, and one side
     of a join that Spark can split. Rounds are written to the shared folder, so none is run
-    twice; their number grows with the logarithm of the nodes.
+    twice; their number grows with the logarithm of the nodes. Should they not settle within
+    ``ROUNDS``, the job fails; unsettled components are never returned.
     """
     now = stored(_larger_first(edges), "components")
-    for _ in range(ROUNDS):
-        if _is_forest_of_stars(now):
-            break
+    done = 0
+    while not _is_forest_of_stars(now):
+        if done == ROUNDS:
+            raise RuntimeError(f"components have not settled after {ROUNDS} rounds")
         now = stored(_small_star(_large_star(now)), "components")
+        done += 1
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 

@@ -9,8 +9,9 @@ Which pairs are looked at: centres picked from a bounded sample cut the sphere i
 A vector is indexed in its nearest cell and looks into its ``PROBES`` nearest ones. Cells
 are cut into blocks on both sides, so no task holds more than two blocks of one cell, however
 many vectors it has. A pair that finds itself from both sides is counted in one place only.
-Equal vectors are one class throughout. Tasks return sums of links and a spanning forest of
-their links, never all pairs.
+Equal vectors are one class throughout, with a number of its own, as an id may stand on
+several vectors. Tasks return sums of links and a spanning forest of their links, never all
+pairs. Without probes there is one cell and no bound is trusted: every pair is computed.
 """
 
 from __future__ import annotations
@@ -58,14 +59,17 @@ def encode(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(turned.shape[1])
 
 
-def estimates(codes: np.ndarray, factors: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def estimates(
+    codes: np.ndarray, factors: np.ndarray, queries: np.ndarray, confidence: float = CONFIDENCE
+) -> tuple[np.ndarray, np.ndarray]:
     """Unbiased inner products (index, query), and half the width of each row's interval."""
     turned = (queries @ rotation(queries.shape[1])).astype(np.float32)
     bits = turned.shape[1]
     signs = np.unpackbits(codes, axis=1, count=bits).astype(np.float32) * 2 - 1
     products = signs @ turned.T / np.float32(math.sqrt(bits))
     spread = np.sqrt(np.maximum(0.0, 1 - factors**2)) / factors / math.sqrt(bits - 1)
-    return products / factors[:, None].astype(np.float32), CONFIDENCE * spread
+    width = confidence * spread if math.isfinite(confidence) else np.full(len(factors), math.inf)
+    return products / factors[:, None].astype(np.float32), width
 
 
 def _units(column: pa.Array, dims: int) -> np.ndarray:
@@ -79,7 +83,7 @@ def centres(classes: DataFrame, dims: int, total: int) -> np.ndarray:
     wanted = max(1, min(MAX_CENTRES, total // PER_CELL))
     draw = F.pmod(F.xxhash64("vec_id", F.lit("centres")), F.lit(1_000_000))
     share = min(1.0, SAMPLE / total, 4.0 * wanted / total + 64 / total)
-    rows = classes.filter(draw < math.ceil(1_000_000 * share)).orderBy("vec_id").limit(2 * SAMPLE).select("embedding").collect()
+    rows = classes.filter(draw < math.ceil(1_000_000 * share)).orderBy("vec_id", "embedding").limit(2 * SAMPLE).select("embedding").collect()
     picked = np.zeros((0, dims))
     sample = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(-1, dims)
     sample /= np.abs(sample).max(axis=1, keepdims=True) if len(sample) else 1
@@ -91,10 +95,10 @@ def centres(classes: DataFrame, dims: int, total: int) -> np.ndarray:
     return picked if len(picked) else np.eye(1, dims)
 
 
-def assign(classes: DataFrame, dims: int, centre: np.ndarray) -> DataFrame:
+def assign(classes: DataFrame, dims: int, centre: np.ndarray, probes: int) -> DataFrame:
     """Each class with its cells, nearest first, its code and its factor."""
     shared = classes.sparkSession.sparkContext.broadcast(centre)
-    probes = min(PROBES, len(centre))
+    probes = min(probes, len(centre))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -107,6 +111,7 @@ def assign(classes: DataFrame, dims: int, centre: np.ndarray) -> DataFrame:
                 codes, factors = encode(units)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        batch.column("node"),
                         batch.column("vec_id"),
                         batch.column("weight"),
                         pa.array(list(units), pa.list_(pa.float64())),
@@ -114,10 +119,10 @@ def assign(classes: DataFrame, dims: int, centre: np.ndarray) -> DataFrame:
                         pa.array([c.tobytes() for c in codes], pa.binary()),
                         pa.array(factors),
                     ],
-                    names=["vec_id", "weight", "unit", "cells", "code", "factor"],
+                    names=["node", "vec_id", "weight", "unit", "cells", "code", "factor"],
                 )
 
-    schema = "vec_id long, weight long, unit array<double>, cells array<int>, code binary, factor double"
+    schema = "node long, vec_id long, weight long, unit array<double>, cells array<int>, code binary, factor double"
     return classes.mapInArrow(run, schema)
 
 
@@ -129,9 +134,9 @@ def _blocks(counts: DataFrame) -> Column:
     return F.coalesce(looked_up, F.lit(1)).cast("int")
 
 
-def compare(placed: DataFrame, threshold: float) -> DataFrame:
-    """(vec_id, links, root): sums of links found, and edges that span them."""
-    keyed = placed.withColumn("draw", F.xxhash64("vec_id", F.lit("block")))
+def compare(placed: DataFrame, threshold: float, confidence: float) -> DataFrame:
+    """(node, vec_id, links, root, root_vec_id): sums of links found, and edges that span them."""
+    keyed = placed.withColumn("draw", F.xxhash64("node", F.lit("block")))
     members = keyed.withColumn("cell", F.element_at("cells", 1)).withColumn("asks", F.lit(False))
     askers = keyed.withColumn("cell", F.explode("cells")).withColumn("asks", F.lit(True))
     of_members = _blocks(members.groupBy("cell").agg(F.count("*").alias("n")))
@@ -142,7 +147,7 @@ def compare(placed: DataFrame, threshold: float) -> DataFrame:
             theirs, F.explode(F.sequence(F.lit(0), other - 1))
         )
 
-    kept = ["cell", "member_block", "asker_block", "asks", "vec_id", "weight", "unit", "cells", "code", "factor"]
+    kept = ["cell", "member_block", "asker_block", "asks", "node", "vec_id", "weight", "unit", "cells", "code", "factor"]
     both = dealt(members, of_members, of_askers, "member_block", "asker_block").select(kept)
     both = both.union(dealt(askers, of_askers, of_members, "asker_block", "member_block").select(kept))
 
@@ -150,19 +155,23 @@ def compare(placed: DataFrame, threshold: float) -> DataFrame:
         asks = rows.column("asks").to_numpy(zero_copy_only=False)
         cell = rows.column("cell")[0].as_py()
         member, asker = (_Side(rows.take(pa.array(np.flatnonzero(asks == side)))) for side in (False, True))
-        a, b = _pairs(member, asker, cell, threshold)
-        ids = np.unique(np.concatenate((member.ids[a], asker.ids[b])))
-        x, y = np.searchsorted(ids, member.ids[a]), np.searchsorted(ids, asker.ids[b])
-        links = np.zeros(len(ids), np.int64)
+        a, b = _pairs(member, asker, cell, threshold, confidence)
+        nodes, places = np.unique(np.concatenate((member.nodes[a], asker.nodes[b])), return_index=True)
+        ids = np.concatenate((member.ids[a], asker.ids[b]))[places]
+        x, y = np.searchsorted(nodes, member.nodes[a]), np.searchsorted(nodes, asker.nodes[b])
+        links = np.zeros(len(nodes), np.int64)
         np.add.at(links, x, asker.weights[b])
         np.add.at(links, y, member.weights[a])
-        return pa.table({"vec_id": ids, "links": links, "root": ids[_roots(len(ids), x, y)]})
+        root = _roots(len(nodes), x, y)
+        return pa.table({"node": nodes, "vec_id": ids, "links": links, "root": nodes[root], "root_vec_id": ids[root]})
 
-    return both.groupBy("cell", "member_block", "asker_block").applyInArrow(run, "vec_id long, links long, root long")
+    schema = "node long, vec_id long, links long, root long, root_vec_id long"
+    return both.groupBy("cell", "member_block", "asker_block").applyInArrow(run, schema)
 
 
 class _Side:
     def __init__(self, rows: pa.Table):
+        self.nodes = rows.column("node").to_numpy()
         self.ids = rows.column("vec_id").to_numpy()
         self.weights = rows.column("weight").to_numpy()
         n = len(self.ids)
@@ -172,11 +181,13 @@ class _Side:
         self.factors = rows.column("factor").to_numpy()
 
 
-def _pairs(member: _Side, asker: _Side, cell: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(
+    member: _Side, asker: _Side, cell: int, threshold: float, confidence: float
+) -> tuple[np.ndarray, np.ndarray]:
     """Rows of linked pairs, each pair in this one place of all that see it."""
     if not len(member.ids) or not len(asker.ids):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    guess, width = estimates(member.codes, member.factors, asker.units)
+    guess, width = estimates(member.codes, member.factors, asker.units, confidence)
     a, b = np.nonzero(guess + width[:, None] >= threshold)
     near = np.zeros(len(a), bool)
     for start in range(0, len(a), 1 << 16):
@@ -185,7 +196,9 @@ def _pairs(member: _Side, asker: _Side, cell: int, threshold: float) -> tuple[np
     a, b = a[near], b[near]
     home = asker.cells[b, 0]
     mirrored = (member.cells[a] == home[:, None]).any(axis=1)
-    here = np.where(home == cell, member.ids[a] < asker.ids[b], ~mirrored | (cell < home))
+    ids, others = member.ids[a], asker.ids[b]
+    before = (ids < others) | ((ids == others) & (member.nodes[a] < asker.nodes[b]))
+    here = np.where(home == cell, before, ~mirrored | (cell < home))
     return a[here], b[here]
 
 
@@ -204,41 +217,54 @@ def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(
-    vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD
+    vectors: DataFrame,
+    *,
+    vec_id: str = "vec_id",
+    embedding: str = "embedding",
+    threshold: float = THRESHOLD,
+    probes: int | None = PROBES,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Rows without an id, and vectors that are null, empty, zero or hold a null or a value
     that is not finite, link with nothing; vectors of different lengths do not link. Rows
-    with equal vectors link with each other. No other column is read.
+    with equal vectors link with each other. Rows with one id and different vectors are
+    vectors of their own, with links of their own. No other column is read. ``probes`` is
+    the number of cells a vector looks into; None compares every pair exactly, in blocks,
+    which costs the square of the vectors.
     """
     rows = vectors.select(
         F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")
     )
     fine = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    classes = stored(
-        fine.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")), "embedding-classes"
-    )
+    equal = fine.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
+    classes = stored(equal.withColumn("node", F.monotonically_increasing_id()), "embedding-classes")
     found = None
     sizes = classes.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).orderBy("dims").collect()
     for size in sizes:
         own = classes.filter(F.size("embedding") == size["dims"])
-        placed = stored(assign(own, size["dims"], centres(own, size["dims"], size["n"])), "embedding-cells")
-        part = stored(compare(placed, threshold), "embedding-links")
+        centre = np.eye(1, size["dims"]) if probes is None else centres(own, size["dims"], size["n"])
+        placed = stored(assign(own, size["dims"], centre, probes or 1), "embedding-cells")
+        part = stored(compare(placed, threshold, math.inf if probes is None else CONFIDENCE), "embedding-links")
         found = part if found is None else found.union(part)
     if found is None:
         alone = rows.withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("vec_id"))
         return alone.select("vec_id", "n_links", "component_id", F.col("vec_id").isNotNull().alias("kept"))
-    joined = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
+    # Nodes are ordered by id first, so that the smallest node of a component has its smallest id.
+    joined = components(
+        found.select(
+            F.struct("vec_id", "node").alias("a"),
+            F.struct(F.col("root_vec_id").alias("vec_id"), F.col("root").alias("node")).alias("b"),
+        )
+    ).select("node.node", F.col("component.vec_id").alias("component"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = (
-        classes.withColumnRenamed("vec_id", "node")
-        .join(links.withColumnRenamed("vec_id", "node").hint("merge"), "node", "left")
+        classes.join(links.hint("merge"), "node", "left")
         .join(joined.hint("merge"), "node", "left")
         .select(
             F.col("embedding"),
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "node").alias("component_id"),
+            F.coalesce("component", "vec_id").alias("component_id"),
         )
     )
     keyed = rows.withColumn("fine", F.col("vec_id").isNotNull() & usable(F.col("embedding")))

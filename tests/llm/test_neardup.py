@@ -15,7 +15,7 @@ def plain(rows, threshold=0.9):
     for k, (i, v) in enumerate(rows):
         fine = i is not None and v and None not in v and np.isfinite(v).all() and any(v)
         usable.append(np.array(v, float) / np.linalg.norm(v) if fine else None)
-    parent = {i: i for i, _ in rows}
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
@@ -29,9 +29,13 @@ def plain(rows, threshold=0.9):
             if x is not None and y is not None and len(x) == len(y) and x @ y >= threshold:
                 links[a] += 1
                 links[b] += 1
-                low, high = sorted((find(rows[a][0]), find(rows[b][0])))
-                parent[high] = low
-    return Counter((str(i), links[k], str(find(i)), i is not None and find(i) == i) for k, (i, _) in enumerate(rows))
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = i if find(k) not in least else min(i, least[find(k)])
+    return Counter(
+        (str(i), links[k], str(least[find(k)]), i is not None and least[find(k)] == i) for k, (i, _) in enumerate(rows)
+    )
 
 
 def vectors(seed, n=500, dims=24):
@@ -47,9 +51,9 @@ def vectors(seed, n=500, dims=24):
     return rows
 
 
-def compare(spark, rows):
+def compare(spark, rows, **how):
     df = spark.createDataFrame([(*r, 4) for r in rows], "vec_id long, embedding array<double>, weight int")
-    got = neardup.near_duplicates(df).collect()
+    got = neardup.near_duplicates(df, **how).collect()
     return Counter((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got), plain(rows)
 
 
@@ -69,6 +73,20 @@ def test_odd_vectors(spark):
     assert got == want
 
 
+def test_one_id_on_different_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.999, 0.01, 0.0]), (3, [0.0, 0.999, 0.01]), (4, [0.0, 0.0, 1.0])]
+    rows += [(7, [0.0, 0.0, 1.0]), (7, [0.0, 0.0, 0.99]), (1, [0.0, 1.0, 0.0])]
+    got, want = compare(spark, rows)
+    assert got == want
+    assert got[("1", 1, "1", True)] == 1 and got[("1", 2, "1", True)] == 2
+
+
+def test_without_probes_every_pair_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    got, want = compare(spark, vectors(4, 300, 8), probes=None)
+    assert got == want and sum(k[1] * n for k, n in want.items()) > 100
+
+
 def test_small_blocks_count_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "PER_CELL", 8)
