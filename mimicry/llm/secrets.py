@@ -56,9 +56,55 @@ _TERMS = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]
 _TOLERANCE = 1e-9
 MARK = "[SECRET]"
 
+LOT = 128  # items an array grows by before a new one is begun
+PAGE = 512
+_PLACE = "struct<start:int,value:string>"
 _SPANS = "array<struct<start:int,rank:int,end:int>>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where functions of elements refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def lots(items: Column) -> Column:
+    """Items in order, in arrays of ``LOT``."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / LOT).cast("int"))
+    cut = bound(items, lambda of: F.transform(starts, lambda i: F.slice(of, i * LOT + 1, F.lit(LOT))))
+    return F.when(F.size(items) > 0, cut).otherwise(F.slice(F.array(items), 1, 0))
+
+
+def running(
+    items: Column, zero: Column, fold: Callable[[Column, Column], Column], kind: str, emit: Callable[[Column, Column], Column]
+) -> Column:
+    """The arrays ``emit(state, x)`` of all items joined; the state folds the items before x.
+
+    An array that grows by one is copied each time, so items are taken in lots: first the
+    state at the start of each lot, then the lots by themselves. ``kind`` is the element type.
+    """
+
+    def states(of: Column) -> Column:
+        start = F.struct(zero.alias("now"), F.slice(F.array(zero), 1, 0).alias("all"))
+
+        def step(acc: Column, lot: Column) -> Column:
+            return F.struct(
+                F.aggregate(lot, acc["now"], fold).alias("now"),
+                F.concat(acc["all"], F.array(acc["now"])).alias("all"),
+            )
+
+        return F.aggregate(of, start, step)["all"]
+
+    def of_lot(lot: Column, state: Column) -> Column:
+        start = F.struct(state.alias("now"), F.array().cast(f"array<{kind}>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct(fold(acc["now"], x).alias("now"), F.concat(acc["out"], emit(acc["now"], x)).alias("out"))
+
+        return F.aggregate(lot, start, step)["out"]
+
+    return bound(lots(items), lambda of: F.flatten(F.zip_with(of, states(of), of_lot)))
+
+
 def located(text: Column, pattern: str, keep: Callable[[Column, Column], Column], group: int = 0) -> Column:
     """``(start, value)`` of the pattern's matches that ``keep(match, its group)`` accepts."""
     parts = F.arrays_zip(
@@ -66,19 +112,16 @@ def located(text: Column, pattern: str, keep: Callable[[Column, Column], Column]
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"),
     )
-    empty = F.array().cast("array<struct<start:int,value:string>>")
+    empty = F.array().cast(f"array<{_PLACE}>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = (acc["at"] + F.length(x["gap"])).cast("int")
-        found = F.array(F.struct(start.alias("start"), x["match"].alias("value")))
-        return F.struct(
-            (start + F.coalesce(F.length(x["match"]), F.lit(0))).cast("int").alias("at"),
-            F.when(x["match"].isNotNull() & keep(x["match"], x["part"]), F.concat(acc["out"], found))
-            .otherwise(acc["out"])
-            .alias("out"),
-        )
+    def after(at: Column, x: Column) -> Column:
+        return (at + F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))).cast("int")
+
+    def place(at: Column, x: Column) -> Column:
+        found = F.struct((at + F.length(x["gap"])).cast("int").alias("start"), x["match"].alias("value"))
+        return F.when(x["match"].isNotNull() & keep(x["match"], x["part"]), F.array(found)).otherwise(empty)
 
-    places = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+    places = bound(parts, lambda of: running(of, F.lit(0), after, _PLACE, place))
     return F.when(text.rlike(pattern), places).otherwise(empty)
 
 
@@ -92,6 +135,15 @@ def spans(found: Column, kind: str) -> Column:
     ).cast(_SPANS)
 
 
+def _piece(value: Column, begin: Column, end: Column, at: Column, stop: Column) -> Column:
+    """(start, value) of ``at`` to ``stop`` of a run if long enough, without separators where cut."""
+    whole = F.substring(value, at - begin + 1, F.greatest(stop - at, F.lit(0)))
+    left = F.when(at > begin, F.ltrim(whole, F.lit(SEPARATORS))).otherwise(whole)
+    both = F.when(stop < end, F.rtrim(left, F.lit(SEPARATORS))).otherwise(left)
+    found = F.struct((at + F.length(whole) - F.length(left)).cast("int").alias("start"), both.alias("value"))
+    return F.when(F.length(both) >= WINDOW, F.array(found)).otherwise(F.array().cast(f"array<{_PLACE}>"))
+
+
 def cut(x: Column, gone: Column) -> Column:
     """The pieces (start, value) of a run ``x`` outside the sorted spans ``gone``, if long enough.
 
@@ -101,11 +153,7 @@ def cut(x: Column, gone: Column) -> Column:
     empty = F.array().cast("array<struct<start:int,value:string>>")
 
     def piece(at: Column, stop: Column) -> Column:
-        value = F.substring(x["value"], at - begin + 1, F.greatest(stop - at, F.lit(0)))
-        left = F.when(at > begin, F.ltrim(value, F.lit(SEPARATORS))).otherwise(value)
-        both = F.when(stop < end, F.rtrim(left, F.lit(SEPARATORS))).otherwise(left)
-        found = F.struct((at + F.length(value) - F.length(left)).cast("int").alias("start"), both.alias("value"))
-        return F.when(F.length(both) >= WINDOW, F.array(found)).otherwise(empty)
+        return _piece(x["value"], begin, end, at, stop)
 
     def step(acc: Column, s: Column) -> Column:
         return F.struct(
@@ -122,6 +170,42 @@ def cut(x: Column, gone: Column) -> Column:
     )
 
 
+def outside(runs: Column, base: Column) -> Column:
+    """What ``cut`` gives for all runs, in one pass over runs and spans by their places.
+
+    Between two places the state tells the run last begun and how far spans reach.
+    """
+    empty = F.array().cast(f"array<{_PLACE}>")
+    events = F.sort_array(
+        F.concat(
+            F.transform(base, lambda x: _event(x["start"], x["end"], F.lit(None))),
+            F.transform(runs, lambda x: _event(x["start"], x["start"] + F.length(x["value"]), x["value"])),
+            F.array(_event(F.lit(2**31 - 1), F.lit(0), F.lit(None))),
+        )
+    )
+    nothing = F.struct(F.lit(0).alias("at"), F.lit(0).alias("covered"), _event(F.lit(0), F.lit(0), F.lit("")).alias("run"))
+
+    def fold(state: Column, x: Column) -> Column:
+        is_run = x["value"].isNotNull()
+        covered = F.when(is_run, state["covered"]).otherwise(F.greatest(state["covered"], x["end"]))
+        run = F.when(is_run, x).otherwise(state["run"])
+        return F.struct(x["start"].alias("at"), covered.alias("covered"), run.alias("run"))
+
+    def piece(state: Column, x: Column) -> Column:
+        at = F.greatest(state["at"], state["covered"])
+        stop = F.least(x["start"], state["run"]["end"])
+        found = _piece(state["run"]["value"], state["run"]["start"], state["run"]["end"], at, stop)
+        return F.when(stop - at >= WINDOW, found).otherwise(empty)
+
+    # Without spans every run is whole, and long enough by its pattern.
+    return F.when(F.size(base) == 0, runs).otherwise(running(events, nothing, fold, _PLACE, piece))
+
+
+def _event(start: Column, end: Column, value: Column) -> Column:
+    kinds = {"start": (start, "int"), "end": (end, "int"), "value": (value, "string")}
+    return F.struct(*[c.cast(kind).alias(name) for name, (c, kind) in kinds.items()])
+
+
 def allowed_parts(x: Column, allowed: Sequence[str]) -> Column:
     """Spans (start, end) of the parts of a run between separators that are allow-listed."""
     start = F.struct(x["start"].cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
@@ -161,8 +245,7 @@ def candidates(runs: Column, base: Column, allowed: Sequence[str]) -> Column:
     def scanned(x: Column) -> Column:
         return F.when(_matches(x["value"], allowed), cut(x, allowed_parts(x, allowed))).otherwise(F.array(x))
 
-    pieces = F.flatten(F.transform(runs, lambda x: cut(x, base)))
-    return F.flatten(F.transform(F.filter(pieces, lambda x: ~listed_whole(x)), scanned))
+    return F.flatten(F.transform(F.filter(outside(runs, base), lambda x: ~listed_whole(x)), scanned))
 
 
 def hot_span(codes: Column, bits: Column) -> Column:
@@ -267,20 +350,30 @@ def counted(found: Column, kind: str) -> Column:
 
 
 def redacted(text: Column, found: Column, mark: str = MARK) -> Column:
-    """The text with each run of overlapping spans replaced by the mark."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """The text with each run of overlapping spans replaced by the mark.
 
-    def step(acc: Column, x: Column) -> Column:
-        apart = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(
-            F.when((x["start"] >= acc["at"]) & ((acc["at"] > 0) | (acc["out"] == "")), apart)
-            .otherwise(acc["out"])
-            .alias("out"),
-            F.greatest(acc["at"], x["end"]).cast("int").alias("at"),
-        )
+    The text is cut into pages, so that what stands between two spans is found in a few of them.
+    """
+
+    def between(pages: Column, at: Column, stop: Column) -> Column:
+        first, last = F.floor(at / PAGE).cast("int"), F.floor(stop / PAGE).cast("int")
+        near = F.array_join(F.slice(pages, first + 1, last - first + 1), "")
+        return F.substring(near, at - first * PAGE + 1, stop - at)
+
+    def cleaned(pages: Column) -> Column:
+        def kept(at: Column, x: Column) -> Column:
+            apart = F.array(between(pages, at, x["start"]), F.lit(mark))
+            return F.when(x["start"] >= at, apart).otherwise(F.array().cast("array<string>"))
+
+        def reach(at: Column, x: Column) -> Column:
+            return F.greatest(at, x["end"]).cast("int")
+
+        tail = F.aggregate(found, F.lit(0), reach)
+        parts = running(found, F.lit(0), reach, "string", kept)
+        return F.array_join(F.concat(parts, F.array(between(pages, tail, F.length(text)))), "")
 
-    end = F.aggregate(found, start, step)
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(end["out"], F.substring(text, end["at"] + 1, F.length(text))))
+    pages = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+    return F.when(F.size(found) == 0, text).otherwise(bound(pages, cleaned))
 
 
 def redact(docs: DataFrame, *, text: str = "text", length: str = "n_chars") -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +131,38 @@ def test_keys_beside_other_parts_of_a_run(spark):
         assert [(s, e) for s, _, e in got[i].added] == want, text
     clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert not any(KEY in clean[i] or LETTERS in clean[i] for i in range(6))
+
+
+def test_long_texts(spark):
+    """Megabytes of matches, runs and pieces: the work grows with the text, not its square."""
+    hashes = "\n".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(60_000))
+    keys = "é ".join(f"{KEY}/{HASH}" for _ in range(8_000))
+    docs = spark.createDataFrame([(0, hashes), (1, keys)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.row.doc_id: r for r in secrets.scan(docs).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert time.monotonic() - began < 120
+    assert [tuple(x) for x in got[0].base] == [(33 * i, 2, 33 * i + 32) for i in range(60_000)]
+    assert not got[0].added
+    step = len(KEY) + len(HASH) + 3
+    assert [tuple(x) for x in got[1].base] == [(step * i + len(KEY) + 1, 2, step * i + step - 2) for i in range(8_000)]
+    assert [tuple(x) for x in got[1].added] == [(step * i, 3, step * i + len(KEY)) for i in range(8_000)]
+    assert clean[0] == "\n".join([secrets.MARK] * 60_000)
+    assert clean[1] == "é ".join([f"{secrets.MARK}/{secrets.MARK}"] * 8_000)
+
+
+def test_pieces_in_one_pass_are_those_of_single_runs(spark):
+    draw = random.Random(5)
+    rows = []
+    for i in range(300):
+        text = "".join(draw.choice("aB3/-_ .é") * draw.choice([1, 1, 2, 30]) for _ in range(draw.randrange(60)))
+        edges = sorted(draw.randrange(len(text) + 1) for _ in range(12)) if text else []
+        base = sorted((a, draw.randrange(3), min(len(text), a + draw.randrange(1, 40))) for a in edges if a < len(text))
+        runs = [(m.start(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text, re.A)]
+        rows.append((i, runs, base))
+    df = spark.createDataFrame(
+        rows, "i int, runs array<struct<start:int,value:string>>, base array<struct<start:int,rank:int,end:int>>"
+    )
+    single = F.flatten(F.transform("runs", lambda x: secrets.cut(x, F.col("base"))))
+    got = df.select(secrets.outside(F.col("runs"), F.col("base")).alias("a"), single.alias("b")).collect()
+    assert all(r.a == r.b for r in got) and sum(len(r.a) for r in got) > 100
