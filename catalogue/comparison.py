@@ -52,9 +52,8 @@ _SIDES = [
 
 
 def _compared(t: Tables) -> DataFrame:
-    first = c.load_side(t.captures, t.verdicts, "home")
-    second = c.load_side(t.captures, t.verdicts, "cloud-north")
-    return c.compare_sides(first, second, _GAP)
+    sides = c.load_sides(t.captures, t.verdicts, "home", "cloud-north")
+    return c.compare_captures(sides, _GAP)
 
 
 @query(check(("captures", "verdicts"), "SELECT fqdn, first_id, second_id, gap_us FROM closest", *_SIDES))

@@ -16,12 +16,12 @@ _CHUNK_US = 60_000_000
 
 
 def _pair(left: Column, right: Column) -> list[Column]:
-    """Both ways of pairing two points, NULL where a side is missing."""
+    """Both ways of pairing two points, NULL where a side or a time is missing."""
     gap = F.abs(right["at"] - left["at"])
     options = []
     for a, b in ((left["a"], right["b"]), (right["a"], left["b"])):
-        pair = F.struct(gap.alias("gap_us"), a.alias("first_id"), b.alias("second_id"))
-        options.append(F.when(a.isNotNull() & b.isNotNull(), pair))
+        pair = F.struct(gap.alias("gap_us"), a.alias("first"), b.alias("second"))
+        options.append(F.when(a.isNotNull() & b.isNotNull() & gap.isNotNull(), pair))
     return options
 
 
@@ -41,10 +41,24 @@ def closest_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
         )
         for side, mine in ((first, "a"), (second, "b"))
     ]
+    best = nearest(sides[0].unionByName(sides[1])).where("best IS NOT NULL")
+    return best.select(
+        "fqdn",
+        F.col("best.first").alias("first_id"),
+        F.col("best.second").alias("second_id"),
+        "best.gap_us",
+    )
+
+
+def nearest(captures: DataFrame) -> DataFrame:
+    """(fqdn, best, has_a, has_b) for each host of ``captures`` (fqdn, at, a, b).
+
+    ``at`` is in microseconds; ``a`` and ``b`` are what a capture is to either side, NULL
+    if it is not of that side: any type that starts with an id, whose order breaks ties.
+    ``best`` is (gap_us, first, second), NULL where no two captures with a time meet.
+    """
     points = (
-        sides[0]
-        .unionByName(sides[1])
-        .groupBy("fqdn", "at")
+        captures.groupBy("fqdn", "at")
         .agg(F.min("a").alias("a"), F.min("b").alias("b"))
         .select(
             "fqdn",
@@ -61,14 +75,15 @@ def closest_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
         F.min_by("point", "point.at").alias("head"),
         F.max_by("point", "point.at").alias("tail"),
         F.min("best").alias("best"),
+        F.bool_or(F.col("point.a").isNotNull()).alias("has_a"),
+        F.bool_or(F.col("point.b").isNotNull()).alias("has_b"),
     )
     along = Window.partitionBy("fqdn").orderBy("chunk")
     joined = chunks.withColumn("before", F.lag("tail").over(along)).withColumn(
         "best", F.least("best", *_pair(F.col("before"), F.col("head")))
     )
-    return (
-        joined.groupBy("fqdn")
-        .agg(F.min("best").alias("best"))
-        .where("best IS NOT NULL")
-        .select("fqdn", "best.first_id", "best.second_id", "best.gap_us")
+    return joined.groupBy("fqdn").agg(
+        F.min("best").alias("best"),
+        F.bool_or("has_a").alias("has_a"),
+        F.bool_or("has_b").alias("has_b"),
     )

@@ -9,23 +9,33 @@ from mimicry.functions.hostnames import url_host
 from mimicry.functions.rounding import ratio
 from mimicry.functions.text import normalised_title
 from mimicry.operators.domains import split_hosts
-from mimicry.operators.pairing import closest_pairs
+from mimicry.operators.pairing import nearest
 from mimicry.operators.queues import if_set
 from mimicry.operators.signals import has_login_form
 
 MAX_GAP_HOURS = 6.0
 
 
-def load_side(
-    captures: DataFrame, verdicts: DataFrame, vantage: str, backend: str | None = None
+_DETAILS = (
+    "captured_at", "status", "http_status", "final_host", "title", "has_login_form", "verdict"
+)
+
+
+def load_sides(
+    captures: DataFrame, verdicts: DataFrame, first: str, second: str, backend: str | None = None
 ) -> DataFrame:
-    """Captures of one vantage point with their newest verdict (by time) that is no error."""
-    side = captures.where(F.col("vantage") == vantage)
+    """Captures of two vantage points with their newest verdict (by time) that is no error.
+
+    One scan serves both; ``in_first`` and ``in_second`` tell the sides.
+    """
+    both = captures.where(F.col("vantage").isin(first, second))
     usable = verdicts.where((F.col("label") != "error") & if_set("backend", backend))
     newest = usable.groupBy("capture_id").agg(
         F.max_by("label", F.struct("classified_at", "verdict_id")).alias("verdict")
     )
-    return side.join(newest, "capture_id", "left").select(
+    return both.join(newest, "capture_id", "left").select(
+        (F.col("vantage") == first).alias("in_first"),
+        (F.col("vantage") == second).alias("in_second"),
         "fqdn",
         "capture_id",
         "captured_at",
@@ -54,40 +64,49 @@ def _differences() -> dict[str, Column]:
 def compare_sides(
     first: DataFrame, second: DataFrame, max_gap_hours: float = MAX_GAP_HOURS
 ) -> DataFrame:
+    """``compare_captures`` of two frames, each holding one side's captures."""
+    flagged = [
+        side.withColumn("in_first", F.lit(mine)).withColumn("in_second", F.lit(not mine))
+        for side, mine in ((first, True), (second, False))
+    ]
+    return compare_captures(flagged[0].unionByName(flagged[1]), max_gap_hours)
+
+
+def compare_captures(sides: DataFrame, max_gap_hours: float = MAX_GAP_HOURS) -> DataFrame:
     """One row per site either side captured, with how its two closest captures differ.
 
-    ``state`` is ``pair``, ``too far apart``, ``only first`` or ``only second``; the
-    details of both captures are looked up for pairs only.
+    ``state`` is ``pair``, ``too far apart``, ``only first`` or ``only second``. The details
+    travel with the captures through the search for the closest two, which also tells who
+    captured a site at all, so the captures are read once. Captures without a time pair
+    with none.
     """
-    keys = ("fqdn", "capture_id", "captured_at")
-    pairs = closest_pairs(first.select(*keys), second.select(*keys))
-    seen = [
-        side.select("fqdn").distinct().select("fqdn", F.lit(True).alias(name))
-        for side, name in ((first, "in_first"), (second, "in_second"))
-    ]
-    sites = seen[0].join(seen[1], "fqdn", "full_outer").join(pairs, "fqdn", "left")
-    limit_us = int(max_gap_hours * 3_600_000_000)
+    details = F.struct("capture_id", *_DETAILS)
+    found = nearest(
+        sides.select(
+            "fqdn",
+            F.unix_micros(F.col("captured_at").cast("timestamp")).alias("at"),
+            F.when(F.col("in_first"), details).alias("a"),
+            F.when(F.col("in_second"), details).alias("b"),
+        )
+    )
+    gap = F.col("best.gap_us")
     state = (
-        F.when(F.col("in_second").isNull(), F.lit("only first"))
-        .when(F.col("in_first").isNull(), F.lit("only second"))
-        .when(F.col("gap_us") > limit_us, F.lit("too far apart"))
-        .otherwise(F.lit("pair"))
-    )
-    out = sites.withColumn("state", state)
-    is_pair = F.col("state") == "pair"
-    # Sites without a pair look up a negative id of their own: nothing matches it, and
-    # they stay spread over the tasks instead of meeting under one NULL key.
-    nobody = -1 - F.pmod(F.xxhash64("fqdn"), F.lit(2**31))
-    for side, name in ((first, "first"), (second, "second")):
-        details = side.select(
-            F.col("capture_id").alias(f"{name}_key"),
-            F.struct(
-                "captured_at", "status", "http_status", "final_host", "title", "has_login_form",
-                "verdict",
-            ).alias(name),
-        )
-        key = F.when(is_pair, F.col(f"{name}_id")).otherwise(nobody)
-        out = out.withColumn(f"{name}_key", key).join(details, f"{name}_key", "left")
+        F.when(~F.col("has_b"), F.lit("only first"))
+        .when(~F.col("has_a"), F.lit("only second"))
+        .when(gap <= int(max_gap_hours * 3_600_000_000), F.lit("pair"))
+        .otherwise(F.lit("too far apart"))
+    )
+    out = found.select(
+        "fqdn",
+        state.alias("state"),
+        F.col("best.first.capture_id").alias("first_id"),
+        F.col("best.second.capture_id").alias("second_id"),
+        gap.alias("gap_us"),
+        *[
+            F.when(state == "pair", F.struct(*[F.col(f"best.{name}.{d}") for d in _DETAILS])).alias(name)
+            for name in ("first", "second")
+        ],
+    )
     up = {name: F.col(f"{name}.status") == "ok" for name in ("first", "second")}
     both_up = up["first"] & up["second"]
     content = F.array_compact(
