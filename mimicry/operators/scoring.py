@@ -6,8 +6,8 @@ that. Brands are configuration, so their checks are expressions over literals: a
 row fans out to the brands it relates to and no others, without any join on brands.
 
 Typo similarity needs an exact edit distance. It is pruned inside the JVM with length
-bounds and ``levenshtein`` (never more than twice the distance wanted), so the Arrow
-UDF only sees rows that can become matches.
+bounds and ``levenshtein`` (never more than twice the distance wanted), so the exact
+distance, by array functions, is left for rows that can become matches.
 """
 
 from __future__ import annotations
@@ -308,7 +308,8 @@ class Scorer:
             F.col("free_dv").alias("free_dv_issuer"),
         )
         scored = (
-            related.withColumn("__typo", typo)
+            # Exploded, so that the filter on the score does not compute it once more.
+            related.withColumn("__typo", F.explode(F.array(typo)))
             .withColumn("features", features)
             .withColumn("score", combine(F.col("features"), cfg))
         )

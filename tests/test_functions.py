@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
+from functools import lru_cache
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,10 +151,47 @@ def test_rounding_is_of_the_binary_value(spark):
     assert df.select(ratio(F.lit(1), F.lit(0)).alias("x")).first().x == 0.0
 
 
-def test_edit_distance_is_unrestricted():
-    assert edit_distance("ca", "abc") == 2
-    assert edit_distance("", "abc") == 3
-    assert edit_distance("paypal", "papyal") == 1
+def cheapest(left, right):
+    """Distance by definition: match the ends, edit one, or swap what two matched letters enclose."""
+
+    @lru_cache(None)
+    def of(n, m):
+        if not n or not m:
+            return n + m
+        options = [of(n - 1, m - 1) + (left[n - 1] != right[m - 1]), of(n - 1, m) + 1, of(n, m - 1) + 1]
+        options += [
+            of(i - 1, j - 1) + (n - i - 1) + 1 + (m - j - 1)
+            for i in range(1, n) for j in range(1, m) if left[i - 1] == right[m - 1] and left[n - 1] == right[j - 1]
+        ]
+        return min(options)
+
+    return of(len(left), len(right))
+
+
+def test_edit_distance_is_unrestricted(spark):
+    draw = random.Random(3)
+    pairs = [("ca", "abc"), ("", "abc"), ("abc", ""), ("paypal", "papyal"), ("", ""), ("é😀ab", "😀éba")]
+    pairs += [tuple("".join(draw.choices("abc", k=draw.randrange(9))) for _ in range(2)) for _ in range(300)]
+    df = spark.createDataFrame(pairs, "a string, b string").withColumn("d", edit_distance(F.col("a"), F.col("b")))
+    assert all(r.d == cheapest(r.a, r.b) for r in df.collect())
+
+
+def test_best_typo_is_that_of_all_pairs(spark):
+    draw = random.Random(4)
+    tokens = ["abcab", "bbca", "cabba", ""]
+    labels = ["".join(draw.choices("abc-", k=draw.randrange(12))) for _ in range(200)]
+
+    def best(label):
+        pairs = [(w, t) for w in {*re.split("[^a-z]+", label), label} for t in tokens if len(w) >= len(t)]
+        return max((round(1.0 - cheapest(w, t) / len(w), 4) if w else 1.0 for w, t in pairs), default=0.0)
+
+    got = evaluate(spark, labels, lambda c: typo_similarity(c, F.array(*map(F.lit, tokens))))
+    assert got == [best(label) for label in labels]
+
+
+def test_typo_similarity_stays_in_the_jvm(spark):
+    df = spark.createDataFrame([("papyal",)], "v string").select(typo_similarity(F.col("v"), F.array(F.lit("paypal"))))
+    assert "Python" not in df._jdf.queryExecution().toString()
 
 
 def test_typo_similarity(spark):
