@@ -104,22 +104,24 @@ def parse_replies(replies: DataFrame, column: str = "reply") -> DataFrame:
     verdict's schema is an error, never a verdict.
     """
     text = _unfenced(F.col(column))
-    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    braces = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
     shown = F.substring(F.col(column), 1, 200)
-    parsed = replies.withColumn(
-        "json",
-        F.when(F.try_parse_json(text).isNotNull(), text).otherwise(F.nullif(braces, F.lit(""))),
-    ).withColumn(
-        "r",
-        F.from_json(
-            "json", "label string, confidence string, brand_impersonated string, evidence string"
-        ),
+    # Exploded, so that each text is parsed in one place only, whatever refers to it.
+    tried = F.struct(F.try_parse_json(text).alias("whole"), braces.alias("braces"))
+    parsed = replies.withColumn("__tried", F.explode(F.array(tried)))
+    whole = F.col("__tried.whole")
+    found = F.struct(
+        F.coalesce(whole, F.try_parse_json("__tried.braces")).alias("json"),
+        (whole.isNotNull() | F.col("__tried.braces").isNotNull()).alias("looks"),
     )
-    r = F.col("r")
-    kind = {n: F.schema_of_variant(F.try_variant_get(F.try_parse_json("json"), f"$.{n}", "variant"))
-            for n in ("label", "confidence", "brand_impersonated", "evidence")}
+    parsed = parsed.withColumn("__found", F.explode(F.array(found)))
+    json = F.col("__found.json")
+    names = ("label", "confidence", "brand_impersonated", "evidence")
+    r = {n: F.try_variant_get(json, f"$.{n}", "string") for n in names}
+    kind = {n: F.schema_of_variant(F.try_variant_get(json, f"$.{n}", "variant")) for n in names}
     confidence = r["confidence"].try_cast("double")
     is_text = {n: F.coalesce(kind[n] == "STRING", F.lit(False)) for n in kind}
+    has_brand = F.coalesce(kind["brand_impersonated"] != "VOID", F.lit(False))
     no_brand = F.lower(F.trim(r["brand_impersonated"])).isin(*NO_BRAND)
     faults = (
         F.when(~is_text["label"] | ~r["label"].isin(*LABELS), F.lit("label"))
@@ -128,16 +130,16 @@ def parse_replies(replies: DataFrame, column: str = "reply") -> DataFrame:
             F.lit("confidence"),
         )
         .when(
-            r["brand_impersonated"].isNotNull()
+            has_brand
             & (~is_text["brand_impersonated"] | (F.length(r["brand_impersonated"]) > MAX_BRAND)),
             F.lit("brand_impersonated"),
         )
         .when(~is_text["evidence"] | (F.length(r["evidence"]) > MAX_EVIDENCE), F.lit("evidence"))
     )
     error = (
-        F.when(F.col("json").isNull(), F.concat(F.lit("no JSON object in model output: "), shown))
+        F.when(~F.col("__found.looks"), F.concat(F.lit("no JSON object in model output: "), shown))
         .when(
-            F.try_parse_json("json").isNull(),
+            json.isNull(),
             F.concat(F.lit("invalid JSON in model output: "), shown),
         )
         .when(
@@ -153,7 +155,7 @@ def parse_replies(replies: DataFrame, column: str = "reply") -> DataFrame:
     )
     return parsed.withColumn("error", error).withColumn(
         "verdict", F.when(F.col("error").isNull(), verdict)
-    ).drop("json", "r")
+    ).drop("__tried", "__found")
 
 
 def _listed(items: Column) -> Column:
