@@ -30,6 +30,7 @@ from mimicry.functions.rounding import round_binary
 from mimicry.functions.similarity import typo_similarity
 from mimicry.operators.domains import split_hosts
 from mimicry.operators.variants import generate_variants, variant_index
+from mimicry.session import computed_once
 from mimicry.sources.tables import FEATURES
 
 _WORD_BREAK = "[^a-z]+"
@@ -308,8 +309,7 @@ class Scorer:
             F.col("free_dv").alias("free_dv_issuer"),
         )
         scored = (
-            # Exploded, so that the filter on the score does not compute it once more.
-            related.withColumn("__typo", F.explode(F.array(typo)))
+            computed_once(related, __typo=typo)
             .withColumn("features", features)
             .withColumn("score", combine(F.col("features"), cfg))
         )

@@ -9,6 +9,7 @@ from mimicry.config import LABELS
 from mimicry.functions.hostnames import candidate_urls, is_valid_hostname
 from mimicry.functions.rounding import round_binary
 from mimicry.operators.signals import has_login_form
+from mimicry.session import computed_once
 
 VERDICT = "struct<label:string,confidence:double,brand_impersonated:string,evidence:string>"
 
@@ -106,16 +107,10 @@ def parse_replies(replies: DataFrame, column: str = "reply") -> DataFrame:
     text = _unfenced(F.col(column))
     braces = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
     shown = F.substring(F.col(column), 1, 200)
-    # Exploded, so that each text is parsed in one place only, whatever refers to it.
-    tried = F.struct(F.try_parse_json(text).alias("whole"), braces.alias("braces"))
-    parsed = replies.withColumn("__tried", F.explode(F.array(tried)))
-    whole = F.col("__tried.whole")
-    found = F.struct(
-        F.coalesce(whole, F.try_parse_json("__tried.braces")).alias("json"),
-        (whole.isNotNull() | F.col("__tried.braces").isNotNull()).alias("looks"),
-    )
-    parsed = parsed.withColumn("__found", F.explode(F.array(found)))
-    json = F.col("__found.json")
+    parsed = computed_once(replies, __whole=F.try_parse_json(text), __braces=braces)
+    whole, inner = F.col("__whole"), F.col("__braces")
+    parsed = computed_once(parsed, __json=F.coalesce(whole, F.try_parse_json(inner)))
+    json = F.col("__json")
     names = ("label", "confidence", "brand_impersonated", "evidence")
     r = {n: F.try_variant_get(json, f"$.{n}", "string") for n in names}
     kind = {n: F.schema_of_variant(F.try_variant_get(json, f"$.{n}", "variant")) for n in names}
@@ -137,7 +132,7 @@ def parse_replies(replies: DataFrame, column: str = "reply") -> DataFrame:
         .when(~is_text["evidence"] | (F.length(r["evidence"]) > MAX_EVIDENCE), F.lit("evidence"))
     )
     error = (
-        F.when(~F.col("__found.looks"), F.concat(F.lit("no JSON object in model output: "), shown))
+        F.when(whole.isNull() & inner.isNull(), F.concat(F.lit("no JSON object in model output: "), shown))
         .when(
             json.isNull(),
             F.concat(F.lit("invalid JSON in model output: "), shown),
@@ -155,7 +150,7 @@ def parse_replies(replies: DataFrame, column: str = "reply") -> DataFrame:
     )
     return parsed.withColumn("error", error).withColumn(
         "verdict", F.when(F.col("error").isNull(), verdict)
-    ).drop("__tried", "__found")
+    ).drop("__whole", "__braces", "__json")
 
 
 def _listed(items: Column) -> Column:

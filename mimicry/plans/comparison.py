@@ -190,8 +190,7 @@ def feed_detection(entries: DataFrame, matches: DataFrame) -> DataFrame:
             F.col("registered") == F.col("domain_key"),
             "left",
         )
-        .withColumn("k", F.lit(1))
-        .join(F.broadcast(started.withColumn("k", F.lit(1))), "k")
+        .crossJoin(F.broadcast(started))  # one row
     )
     monitored = F.coalesce(F.col("listed_on") >= F.col("since"), F.lit(False))
     outcome = (

@@ -104,8 +104,8 @@ def run_counters(parsed: DataFrame, matches: DataFrame) -> DataFrame:
             F.sum(F.when(F.col("reject_reason").isNull(), F.size("all_domains"))), F.lit(0)
         ).alias("hostnames"),
     )
-    new = matches.agg(F.count("*").alias("matches_new"))
-    return read.withColumn("k", F.lit(1)).join(new.withColumn("k", F.lit(1)), "k").drop("k")
+    new = matches.agg(F.count("*").alias("matches_new"))  # one row, as the other
+    return read.crossJoin(F.broadcast(new))
 
 
 def rescore(matches: DataFrame, certificates: DataFrame, scorer: Scorer) -> DataFrame:

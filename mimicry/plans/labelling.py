@@ -95,9 +95,9 @@ def new_candidates(candidates: DataFrame, present: DataFrame, today: Column) ->
 
 def candidate_counts(candidates: DataFrame, added: DataFrame) -> DataFrame:
     """(added, skipped) of one run."""
-    total = candidates.agg(F.count("*").alias("total")).withColumn("k", F.lit(1))
-    fresh = added.agg(F.count("*").alias("added")).withColumn("k", F.lit(1))
-    return total.join(fresh, "k").select("added", (F.col("total") - F.col("added")).alias("skipped"))
+    total = candidates.agg(F.count("*").alias("total"))
+    fresh = added.agg(F.count("*").alias("added"))  # one row, as the other
+    return total.crossJoin(F.broadcast(fresh)).select("added", (F.col("total") - F.col("added")).alias("skipped"))
 
 
 def refused_labels(labels: DataFrame) -> DataFrame:

@@ -132,3 +132,24 @@ def test_notifications(spark):
     text = df.select(tr.notification_text(df).alias("t")).first().t
     assert text == ("[phishing] evil[.]com (brand: unknown, confidence 0.90, score 0.75)\n"
                     "evidence: see hxxp://evil[.]com  @​all\nfinal URL: hxxps://evil[.]com/a")
+
+
+#: (field, value as JSON, whether a reply with it fits the schema)
+ODD_FIELDS = [
+    ("confidence", "1e-1", True), ("confidence", '"0.9"', True), ("confidence", "null", False), ("confidence", "true", False),
+    ("confidence", "{}", False), ("confidence", "[0.5]", False), ("confidence", '"NaN"', False), ("confidence", "1.5", False),
+    ("brand_impersonated", "null", True), ("brand_impersonated", '" NONE "', True), ("brand_impersonated", "{}", False),
+    ("brand_impersonated", "[]", False), ("brand_impersonated", "1", False), ("label", "1", False), ("label", '["phishing"]', False),
+    ("evidence", "5", False), ("evidence", "null", False),
+]
+
+
+def test_odd_fields_of_replies(spark):
+    rows = []
+    for i, (field, value, _) in enumerate(ODD_FIELDS):
+        fields = {"label": '"phishing"', "confidence": "0.5", "evidence": '"e"', field: value}
+        rows.append((i, "so: {" + ",".join(f'"{k}":{x}' for k, x in fields.items()) + "} done"))
+    got = v.parse_replies(spark.createDataFrame(rows, "i int, reply string")).orderBy("i").collect()
+    for row, (field, value, fits) in zip(got, ODD_FIELDS, strict=True):
+        assert (row.error is None) == fits and (row.verdict is not None) == fits, (field, value)
+        assert fits or row.error.endswith(f": {field}")
