@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
+from catalogue import streams
 from mimicry.sources import files
+from mimicry.sources.ct import parse_messages
 from mimicry.sources.keyed import FOLDER, FOLDER_ROWS, KeyedStore
+from mimicry.staging import Tables
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_parts_of_few_rows_share_a_folder(spark, tmp_path, monkeypatch):
@@ -41,3 +50,30 @@ def test_a_look_up_lists_the_folders_of_its_keys(spark, tmp_path, monkeypatch):
     plan = store.stored_keys(one)._jdf.queryExecution().executedPlan().toString()
     assert f"= 8-{place})" in plan.partition("PartitionFilters: [")[2].partition("]")[0]
     assert "7" in {r.k for r in store.stored_keys(one).collect()}
+
+
+def orders(spark, folder, keys):
+    rows = [(k, 1 + (k or 0) % 45, "O", datetime(2024, 1, 1 + (k or 0) % 28), "1-URGENT") for k in keys]
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/orders.parquet")
+    return Tables(spark, str(folder))
+
+
+def test_message_files_grow_with_the_messages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 10)
+    t = orders(spark, tmp_path / "given", range(240))
+    out = f"{tmp_path}/out"
+    assert streams.message_files(t, 3, out) == 8
+    told = []
+    for batch in range(3):
+        written = sorted((tmp_path / "out" / "messages" / str(batch)).glob("part-*"))
+        assert len(written) == 8
+        told += [line for f in written for line in f.read_text().splitlines()]
+    assert told == [r.value for r in t.messages.orderBy("line_no").select("value").collect()]
+    assert files.subfolders(spark, out) == ["messages"]
+
+
+def test_a_message_is_parsed_twice_at_most(spark):
+    messages = spark.createDataFrame([("{}",)], "value string")
+    plan = optimized(parse_messages(messages))
+    assert plan.count("from_json(") == 1 and plan.count("missing data") == 1
