@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from catalogue import streams
+from mimicry.operators import verdicts as v
 from mimicry.sources import files
 from mimicry.sources.ct import parse_messages
 from mimicry.sources.keyed import FOLDER, FOLDER_ROWS, KeyedStore
@@ -73,6 +74,20 @@ def test_message_files_grow_with_the_messages(spark, tmp_path, monkeypatch):
     assert files.subfolders(spark, out) == ["messages"]
 
 
+def test_each_reply_field_is_looked_up_once(spark):
+    replies = spark.createDataFrame([(1, '} {"label": {"a": 1}} x')], "n int, reply string")
+    parsed = v.parse_replies(replies)
+    assert optimized(parsed).count("try_variant_get(") <= 9
+    assert parsed.columns == ["n", "reply", "error", "verdict"]
+
+
+def test_braces_in_any_order(spark):
+    texts = ["", "}", "{", "}{", "{}", "a{b}c}d", "}{x}{", "ä{é}ü", "{" * 5, "x}y{z"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = rows.select(v._braced(F.col("t")).alias("new"), F.nullif(F.regexp_extract("t", r"(?s)(\{.*\})", 1), F.lit("")).alias("old"))
+    assert all(r.new == r.old for r in both.collect())
+
+
 def test_a_message_is_parsed_twice_at_most(spark):
     messages = spark.createDataFrame([("{}",)], "value string")
     plan = optimized(parse_messages(messages))
