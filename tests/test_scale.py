@@ -11,7 +11,7 @@ from mimicry.operators import verdicts as v
 from mimicry.sources import files
 from mimicry.sources.ct import parse_messages
 from mimicry.sources.keyed import FOLDER, FOLDER_ROWS, KeyedStore
-from mimicry.staging import Tables
+from mimicry.staging import Tables, as_verdicts
 
 
 def optimized(df):
@@ -74,6 +74,26 @@ def test_message_files_grow_with_the_messages(spark, tmp_path, monkeypatch):
     assert files.subfolders(spark, out) == ["messages"]
 
 
+def test_verdicts_are_grouped_before_their_orders_join(spark, tmp_path):
+    t = orders(spark, tmp_path, [1, 2, 2, 3, None, 9])
+    spark.createDataFrame([(2, 50, "O", datetime(2024, 1, 1), None)], spark.read.parquet(f"{tmp_path}/orders.parquet").schema
+                          ).write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    lines = [
+        (k, n, q, 0.01 * (q % 11), f, datetime(2024, 2, 1 + q % 20))
+        for k, n, q, f in [(1, 1, 5, "A"), (1, 1, 9, "N"), (2, 1, 7, None), (2, 2, 8, "R"), (2, None, 3, "A"),
+                           (3, 4, 10, "N"), (None, 1, 4, "A"), (77, 1, 6, "A"), (9, 7, 12, "R")]
+    ]
+    schema = "l_orderkey bigint, l_linenumber int, l_quantity int, l_discount double, l_returnflag string, l_shipdate timestamp"
+    spark.createDataFrame(lines, schema).withColumn("l_quantity", F.col("l_quantity").cast("double")).write.parquet(
+        f"{tmp_path}/lineitem.parquet"
+    )
+    by_sql = as_verdicts(t.staged("verdicts"))
+    assert t.verdicts.schema.simpleString() == by_sql.schema.simpleString()
+    assert sorted(map(str, t.verdicts.collect())) == sorted(map(str, by_sql.collect()))
+    plan = optimized(t.verdicts)
+    assert plan.index("Join") < plan.index("Aggregate")
+
+
 def test_each_reply_field_is_looked_up_once(spark):
     replies = spark.createDataFrame([(1, '} {"label": {"a": 1}} x')], "n int, reply string")
     parsed = v.parse_replies(replies)
