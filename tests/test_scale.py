@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalogue import streams
 from mimicry.operators import verdicts as v
+from mimicry.operators.scoring import host_forms
 from mimicry.sources import files
 from mimicry.sources.ct import parse_messages
 from mimicry.sources.keyed import FOLDER, FOLDER_ROWS, KeyedStore
@@ -112,3 +113,13 @@ def test_a_message_is_parsed_twice_at_most(spark):
     messages = spark.createDataFrame([("{}",)], "value string")
     plan = optimized(parse_messages(messages))
     assert plan.count("from_json(") == 1 and plan.count("missing data") == 1
+
+
+def test_one_python_process_folds_both_parts_of_a_host(spark):
+    hosts = spark.createDataFrame([("xn--pypal-4ve.com",), ("münchen.paypäl.de",), ("a.xn--pypal-4ve.co.uk",), ("a.com",)], "fqdn string")
+    forms = host_forms(hosts)
+    assert forms._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    got = {r.fqdn: (r.label_raw, r.subdomain_raw, r.label_sk, r.subdomain_sk) for r in forms.collect()}
+    assert got["xn--pypal-4ve.com"][:1] + got["xn--pypal-4ve.com"][2:3] == ("pаypal", "paypal")
+    assert got["münchen.paypäl.de"] == ("paypäl", "münchen", "paypal", "munchen")
+    assert got["a.xn--pypal-4ve.co.uk"][1:3] == ("a", "paypal") and got["a.com"][0] == "a"
