@@ -105,6 +105,14 @@ def trim_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def text_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """From now on workers get rows in batches of so many at most: a row may be a whole text."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting))
+    if now <= 0 or now > rows:
+        spark.conf.set(setting, str(rows))
+
+
 Batches = Iterator[pa.RecordBatch]
 
 

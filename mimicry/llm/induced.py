@@ -241,7 +241,7 @@ class _Output:
         follows[1:] = (turn[1:] == turn[:-1]) & (k[owner[1:]] == k[owner[:-1]])
         if follows.any():
             at = np.flatnonzero(follows)
-            between = RangeMinima(n_q, np.int64, Files(None))
+            between = RangeMinima(n_q, np.int32, Files(None))
             between.append(base)
             shared[at] = turn[at] + between.least(owner[at - 1] + 1, owner[at])
         heads = ~follows & (turn == 0)
@@ -430,15 +430,16 @@ def _sorted_minima(text, small, minima, runs, limit, files, level) -> Order:
     # The last name is the sentinel's, the smallest; the recursion leaves it out.
     order = np.append(deeper.places, len(minima) - 1)[::-1]
     equal = np.concatenate(([0, 0], deeper.shared[1:][::-1])).astype(np.int64)[: len(order)]
-    minimum = RangeMinima(len(apart), np.int64, files)
-    minimum.append(apart)
+    # Prefixes are followed to the limit only, so larger values need not be told apart.
+    minimum = RangeMinima(len(apart), np.min_scalar_type(limit), files)
+    minimum.append(np.minimum(apart, limit))
     x, y, e = order[1:], order[:-1], equal[1:]
     e = np.minimum(e, len(minima) - 1 - np.maximum(x, y))
     low, high = names[y + e], names[x + e]
     shared[1:] = limit
     told = np.flatnonzero((low != high) & (equal[1:] < limit))
     x, y, e = x[told], y[told], e[told]
-    symbols = minimum.least(np.minimum(low, high)[told] + 1, np.maximum(low, high)[told])
+    symbols = minimum.least(np.minimum(low, high)[told] + 1, np.maximum(low, high)[told]).astype(np.int64)
     covered = minima[x + e] - minima[x]
     shared[1 + told] = np.minimum(limit, covered + characters(minima[x + e], minima[y + e], symbols))
     return Order(minima[order], shared)

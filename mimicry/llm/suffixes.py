@@ -27,12 +27,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mimicry.llm.common import Powers, _BYTE_VALUES, chunks, likely_among, mixed, partitions, span_hashes, stored, table, text_bytes
+from mimicry.llm.common import (
+    _BYTE_VALUES,
+    Powers,
+    chunks,
+    likely_among,
+    mixed,
+    partitions,
+    span_hashes,
+    stored,
+    table,
+    text_batches,
+    text_bytes,
+    trim_memory,
+    trimmed,
+)
 from mimicry.llm.induced import repeated
 
 LENGTH = 200
 ANCHOR = 24
 SHARD_BYTES = 2 << 20
+DEALT_BYTES = 1 << 19  # of passages that are compared together, about; one owner's or anchor's stay together
+TEXT_BYTES = 1 << 19  # of text at a time: hashes of its windows take some fifty times as much
 CHAIN = 16  # passages joined into one at most
 _PLACE_BITS = np.uint64(28)
 
@@ -85,7 +101,7 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
     """(anchor, passage, doc_id, version, start, windows) of rows (doc_id, version, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", TEXT_BYTES):
             data, borders = text_bytes(chunk.column("text"))
             row, start, count, anchor, passage = runs_of(data, borders, length)
             taken = pa.array(row)
@@ -101,7 +117,7 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
                 names=["anchor", "passage", "doc_id", "version", "start", "windows"],
             )
 
-    return docs.mapInArrow(run, "anchor long, passage long, doc_id long, version long, start long, windows long")
+    return docs.mapInArrow(trimmed(run), "anchor long, passage long, doc_id long, version long, start long, windows long")
 
 
 # --- shards ----------------------------------------------------------------------------
@@ -134,7 +150,7 @@ def chained(texts: DataFrame, length: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", TEXT_BYTES):
             data, borders = text_bytes(chunk.column("text"))
             runs = chunk.column("runs")
             flat = runs.flatten()
@@ -167,7 +183,7 @@ def chained(texts: DataFrame, length: int) -> DataFrame:
                 names=["shard", "doc_id", "version", "start", "body"],
             )
 
-    return texts.mapInArrow(run, "shard long, doc_id long, version long, start long, body binary")
+    return texts.mapInArrow(trimmed(run), "shard long, doc_id long, version long, start long, body binary")
 
 
 def compare(passages: DataFrame, length: int, shards: int) -> DataFrame:
@@ -175,6 +191,7 @@ def compare(passages: DataFrame, length: int, shards: int) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         found = shard_spans(rows.column("body").to_pylist(), length)
+        trim_memory()  # the next shard may come to another worker
         starts = rows.column("start").to_pylist()
         spans = [[{"first": s + a, "last": s + b} for a, b in own] for s, own in zip(starts, found, strict=True)]
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -195,7 +212,7 @@ def windows_of(texts: DataFrame, length: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", TEXT_BYTES):
             data, borders = text_bytes(chunk.column("text"))
             for row, runs in enumerate(chunk.column("runs").to_pylist()):
                 hashes = _rolling(data[borders[row] : borders[row + 1]], length).view(np.int64)
@@ -215,7 +232,7 @@ def windows_of(texts: DataFrame, length: int) -> DataFrame:
                 )
 
     hot = texts.filter(F.exists("runs", lambda r: r["hot"]))
-    return hot.mapInArrow(run, "shard long, window long, doc_id long, version long, start long")
+    return hot.mapInArrow(trimmed(run), "shard long, window long, doc_id long, version long, start long")
 
 
 def matched(windows: DataFrame, length: int) -> DataFrame:
@@ -237,6 +254,7 @@ def dedupe(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lengt
     other; rows without an id are treated alike. No other column is read. Equality of
     passages that share an anchor is decided by 64-bit hashes of both.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     ).select("doc_id", F.xxhash64("text").alias("version"), "text")
@@ -277,7 +295,7 @@ def dedupe(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lengt
     senders = held.filter(F.exists("runs", lambda r: r["goes"]))
     sent = stored(chained(senders, length), "suffix-sent")
     size = sent.agg(F.sum(F.length("body"))).first()[0] or 0
-    shards = max(partitions(docs.sparkSession), -(-int(size) // SHARD_BYTES))
+    shards = max(partitions(docs.sparkSession), -(-int(size) // DEALT_BYTES))
     found = stored(compare(sent, length, shards), "suffix-spans")
     if not shared.filter(hot).isEmpty():
         found = found.unionByName(matched(stored(windows_of(held, length), "suffix-windows"), length))
@@ -310,7 +328,7 @@ def remove(cut: DataFrame) -> DataFrame:
     """Rows (doc_id, text, spans of bytes) without the bytes in the spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", TEXT_BYTES):
             data, borders = text_bytes(chunk.column("text"))
             out = []
             for row, spans in enumerate(chunk.column("spans").to_pylist()):
@@ -337,7 +355,7 @@ def remove(cut: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
             )
 
-    return cut.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return cut.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,23 @@ def test_query(spark):
 
 def test_no_documents(spark):
     assert suffixes.dedupe(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_worker_holds_little_beside_its_texts():
+    """Memory follows a piece of the texts, not a whole batch, and is given back at the end."""
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    text = "".join(np.random.default_rng(8).choice(list("abcdefgh "), 2_000))
+    texts = [f"{i}{text}{i}" for i in range(1_500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1_500)), "version": [0] * 1_500, "text": texts})
+    tracemalloc.start()
+    try:
+        found = sum(len(part) for part in suffixes.runs(Rows(), 200)(iter([batch])))
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert found > 1_500
+    assert peak < 64 << 20 and held < 4 << 20
