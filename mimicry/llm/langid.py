@@ -26,6 +26,7 @@ PER_LANGUAGE = 1_500  # training documents of a language, at most about this man
 UNKNOWN = "und"
 SCALE = 20.0
 LEAST_SCORE = 0.4  # below it a document's language counts as unknown
+TEXT_BYTES = 1 << 18  # of text at a time: n-grams take some fifty times as much
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, mark = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int32)
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", TEXT_BYTES):
             for ids in gathered(letters_of(chunk.column("text")), SIZES, BITS, False):
                 seen[distinct(ids, mark)] += 1
         ids = np.flatnonzero(seen)
@@ -68,10 +69,25 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def learn(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, penalty: Penalty, seed: int = 7) -> np.ndarray:
+@dataclass(frozen=True)
+class Example:
+    """The n-grams of a text, in 32 bits each: how often each stands there, of how many."""
+
+    ids: np.ndarray
+    counts: np.ndarray
+    total: int
+    label: int
+
+    def features(self, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, values), the bias last."""
+        values = self.counts / self.total * idf[self.ids] * SCALE
+        return np.append(self.ids, 1 << BITS), np.append(values, 1.0)
+
+
+def learn(examples: list[Example], idf: np.ndarray, classes: int, penalty: Penalty, seed: int = 7) -> np.ndarray:
     """Weights (features, classes) after ``epochs`` passes of per-coordinate FTRL-proximal.
 
-    An example is (ids, values, class). The last feature is a bias without penalty.
+    The last feature is a bias without penalty.
     """
     width = (1 << BITS) + 1
     z, n = np.zeros((width, classes)), np.zeros((width, classes))
@@ -85,10 +101,10 @@ def learn(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, pena
 
     for _ in range(penalty.epochs):
         for k in order.permutation(len(examples)):
-            ids, values, label = examples[k]
+            ids, values = examples[k].features(idf)
             own = weights(ids)
             gradient = softmax(values @ own)
-            gradient[label] -= 1.0
+            gradient[examples[k].label] -= 1.0
             steps = values[:, None] * gradient[None, :]
             grown = n[ids] + steps * steps
             z[ids] += steps - (np.sqrt(grown) - np.sqrt(n[ids])) / penalty.alpha * own
@@ -130,19 +146,18 @@ def train(docs: DataFrame, *, per_language: int = PER_LANGUAGE, penalty: Penalty
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples, mark, seen = [], np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int64)
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", TEXT_BYTES):
             labels = chunk.column("lang").to_pylist()
             for ids, lang in zip(gathered(letters_of(chunk.column("text")), SIZES, BITS, False), labels, strict=True):
                 if len(ids):
                     own = distinct(ids, mark)
                     np.add.at(seen, ids, 1)
-                    values = seen[own] / len(ids) * idf[own] * SCALE
+                    examples.append(Example(own.astype(np.int32), seen[own].astype(np.int32), len(ids), languages.index(lang)))
                     seen[own] = 0
-                    examples.append((np.append(own, 1 << BITS), np.append(values, 1.0), languages.index(lang)))
         apart = len(examples) // 5
-        weights = learn(examples[apart:], len(languages), penalty)
-        logits = np.array([v @ weights[i] for i, v, _ in examples[:apart]])
-        temperature = best_temperature(logits, np.array([y for _, _, y in examples[:apart]], dtype=np.int64))
+        weights = learn(examples[apart:], idf, len(languages), penalty)
+        logits = np.array([values @ weights[ids] for ids, values in (example.features(idf) for example in examples[:apart])])
+        temperature = best_temperature(logits, np.array([example.label for example in examples[:apart]], dtype=np.int64))
         weights[:-1] *= idf[:, None] * SCALE
         model = pickle.dumps((weights.astype(np.float32), temperature))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
@@ -163,7 +178,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, weights, temperature = shared.value.languages, shared.value.weights, shared.value.temperature
         names = np.array([*languages, UNKNOWN], dtype=object)
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", TEXT_BYTES):
             letters = letters_of(chunk.column("text"))
             rows = chunk.num_rows
             sums, totals = np.zeros((rows, len(languages))), np.zeros(rows)

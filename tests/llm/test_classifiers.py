@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -74,6 +75,34 @@ def test_language_of_odd_texts(spark):
     assert langid.identify(spark.createDataFrame([], schema), model).count() == 0
 
 
+def test_a_worker_holds_little_beside_its_texts():
+    """Memory follows a piece of the texts, not a whole batch, and is given back at the end."""
+
+    class Caught(Exception):
+        pass
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            raise Caught(run)
+
+    with pytest.raises(Caught) as caught:
+        langid.document_frequencies(Rows())
+    ngrams.letters_of(pa.array(["warm"]))
+    draw = random.Random(3)
+    batch = pa.RecordBatch.from_pydict({"text": ["".join(draw.choices("abcdefghij ", k=3_000)) for _ in range(1_000)]})
+    tracemalloc.start()
+    try:
+        (found,) = caught.value.args[0](iter([batch]))
+        del found
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak < 48 << 20 and held < 4 << 20
+
+
 def test_temperature_softens_overconfident_scores():
     draw = np.random.default_rng(1)
     labels = draw.integers(0, 2, 400)
