@@ -2,9 +2,10 @@
 
 The model counts 5-grams of characters in trusted texts, white space being one blank. Counts, context sums,
 discounts and probabilities are tables joined shard by shard; no task and not the driver
-holds the model. Documents are scored in blocks: a block sends its different n-grams to the
-tables, gets their probabilities back, and meets its own packed texts again by its name.
-So what is moved is one row for each n-gram of a block, and it grows with the corpus.
+holds the model. Documents are scored in lots of blocks: a lot sends its different n-grams to
+the tables, gets their probabilities back, and meets its own packed texts again by its name.
+So what is moved is one row for each n-gram of a lot, and it grows with the corpus. Shuffles
+are dropped as soon as their result is stored.
 
 A character is 12 bits of a key: the code point below U+1000, and one of the same 4,096
 classes by hash above. Contexts and suffixes of n-grams are then shifts and masks.
@@ -24,12 +25,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mimicry.llm.common import chunks, likely_among, stored, table
+from mimicry.llm.common import chunks, likely_among, shuffles_dropped, stored, table, trim_memory, trimmed
 from mimicry.llm.ngrams import characters_of
 
 ORDER = 5
 WIDTH = 12
-BLOCK_BYTES = 8 << 20
+COUNT_BYTES = 2 << 20  # of text counted at a time
+PART_BYTES = 1 << 19  # of text looked up at a time
+BLOCK_BYTES = 8 << 20  # of text packed at a time
+LOT_BYTES = 64 << 20  # of text that looks its n-grams up together
 QUANTILE = 0.995
 #: One in so many trusted documents is not trained on: thresholds come from those.
 HELD_OUT = 8
@@ -85,11 +89,11 @@ def count(texts: DataFrame) -> DataFrame:
     """(key, c): how often each 5-gram stands in the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", COUNT_BYTES):
             keys, counts = np.unique(keys_of(chunk.column("text"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "c"])
 
-    return texts.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(trimmed(run), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -138,66 +142,84 @@ def fit(texts: DataFrame) -> Model | None:
 
 
 def chances(model: Model, wanted: DataFrame) -> DataFrame:
-    """(key, logp) of rows (key): each 5-gram's last character after the others."""
-    first = model.grams[1].withColumnsRenamed({"key": "short", "p": "p1"})
-    found = wanted.withColumn("short", tail("key", 1)).join(first, "short", "left")
-    found = found.select("key", F.coalesce("p1", F.lit(model.unseen)).alias("p"))
-    for order in range(2, ORDER + 1):
-        seen = model.grams[order].withColumnsRenamed({"key": "short", "p": "seen"})
-        found = (
-            found.withColumn("short", tail("key", order))
-            .withColumn("context", context("short"))
-            .join(seen, "short", "left")
-            .join(model.weights[order], "context", "left")
-            .select("key", F.coalesce("seen", F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
-        )
-    return found.select("key", F.log("p").alias("logp"))
+    """(key, logp) of different rows (key): each 5-gram's last character after the others."""
+    return _chances(model, wanted, ORDER).select("key", F.log("p").alias("logp"))
+
+
+def _chances(model: Model, wanted: DataFrame, order: int) -> DataFrame:
+    """(key, p) of different n-grams of an order: what no trusted text holds asks the order below."""
+    if order == 1:
+        return wanted.join(model.grams[1], "key", "left").select("key", F.coalesce("p", F.lit(model.unseen)).alias("p"))
+    seen = stored(wanted.join(model.grams[order], "key", "left"), "lm-seen")
+    rest = seen.filter("p is null").select("key", context("key").alias("context"), tail("key", order - 1).alias("shorter"))
+    lower = _chances(model, rest.select(F.col("shorter").alias("key")).distinct(), order - 1)
+    backed = (
+        rest.join(lower.withColumnsRenamed({"key": "shorter", "p": "lower"}), "shorter")
+        .join(model.weights[order], "context", "left")
+        .select("key", (F.coalesce("weight", F.lit(1.0)) * F.col("lower")).alias("p"))
+    )
+    return seen.filter("p is not null").unionByName(backed)
 
 
 # --- scoring ---------------------------------------------------------------------------
 
 
 def _name(chunk: pa.RecordBatch) -> int:
-    """A block's name, the same whenever its rows are read again."""
+    """The name of a block or of the lot it opens, the same whenever its rows are read again."""
     ids = chunk.column("id").to_pylist()
     sizes = pc.binary_length(chunk.column("text")).to_pylist()
     return zlib.crc32(repr((ids, sizes)).encode()) | (zlib.adler32(repr(ids[:64]).encode()) & 0x7FFFFFFF) << 32
 
 
-def block_keys(rows: DataFrame) -> DataFrame:
-    """(block, key): the different 5-grams of each block of rows (id, text)."""
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """(name of its lot, whether it opens the lot, block) of all blocks of a task in turn."""
+    name, size = 0, LOT_BYTES
+    for block in chunks(batches, "text", BLOCK_BYTES):
+        opens = size >= LOT_BYTES
+        if opens:
+            name, size = _name(block), 0
+        size += block.column("text").nbytes
+        yield name, opens, block
+
+
+def lot_keys(rows: DataFrame) -> DataFrame:
+    """(lot, key): the different 5-grams of each lot of rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text", BLOCK_BYTES):
-            parts = [np.unique(keys_of(part.column("text"))[0]) for part in chunks(iter([chunk]), "text")]
-            keys = np.unique(np.concatenate(parts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), _name(chunk), np.int64)), pa.array(keys)], names=["block", "key"]
-            )
+        def sent(name: int, keys: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), name, np.int64)), pa.array(keys)], names=["lot", "key"])
 
-    return rows.mapInArrow(run, "block long, key long")
+        of, keys = 0, np.zeros(0, np.int64)
+        for name, opens, block in _lots(batches):
+            if opens and len(keys):
+                yield sent(of, keys)
+            of, keys = name, keys[:0] if opens else keys
+            parts = [np.unique(keys_of(part.column("text"))[0]) for part in chunks(iter([block]), "text", PART_BYTES)]
+            keys = np.unique(np.concatenate([keys, *parts]))
+        if len(keys):
+            yield sent(of, keys)
+
+    return rows.mapInArrow(trimmed(run), "lot long, key long")
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """(block, body): the rows of each block, compressed."""
+    """(lot, body): the rows of each lot, compressed block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=6)
-        for chunk in chunks(batches, "text", BLOCK_BYTES):
-            body = squeeze.compress(pickle.dumps(chunk.to_pydict()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_name(chunk)], pa.int64()), pa.array([body], pa.binary())], names=["block", "body"]
-            )
+        for name, _, block in _lots(batches):
+            body = squeeze.compress(pickle.dumps(block.to_pydict()))
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([body], pa.binary())], names=["lot", "body"])
 
-    return rows.mapInArrow(run, "block long, body binary")
+    return rows.mapInArrow(trimmed(run), "lot long, body binary")
 
 
 def scored(rows: DataFrame, model: Model) -> DataFrame:
     """(id, n, logp): characters and their summed log chance for each of rows (id, text)."""
     kinds = rows.schema["id"].dataType.simpleString()
-    needed = stored(block_keys(rows), "lm-needed")
+    needed = stored(lot_keys(rows), "lm-needed")
     known = chances(model, needed.select("key").distinct())
-    answers = needed.join(known, "key").select("block", "key", "logp")
+    answers = needed.join(known, "key").select("lot", "key", "logp")
 
     def run(bodies: pa.Table, answer: pa.Table) -> pa.Table:
         keys, logs = answer.column("key").to_numpy(), answer.column("logp").to_numpy()
@@ -206,13 +228,17 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
         ids, counts, sums = [], [], []
         for body in bodies.column("body").to_pylist():
             own = pickle.loads(zstandard.ZstdDecompressor().decompress(body))
-            for start in range(0, len(own["id"]), 512):
-                part = pa.array(own["text"][start : start + 512], pa.string())
+            for start in range(0, len(own["id"]), 128):
+                part = pa.array(own["text"][start : start + 128], pa.string())
                 asked, borders = keys_of(part)
-                run_sum = np.concatenate(([0.0], np.cumsum(logs[np.searchsorted(keys, asked)] if len(keys) else asked * 0.0)))
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                if len(asked) and (not len(keys) or (keys[at] != asked).any()):
+                    raise ValueError("a lot of texts got another name when it was read again: n-grams without an answer")
+                run_sum = np.concatenate(([0.0], np.cumsum(logs[at] if len(keys) else asked * 0.0)))
                 sums.append(run_sum[borders[1:]] - run_sum[borders[:-1]])
                 counts.append(np.diff(borders))
             ids += own["id"]
+        trim_memory()  # the next lot may come to another worker
         return pa.table(
             {
                 "id": pa.array(ids, pa.int64() if kinds == "bigint" else pa.string()),
@@ -221,10 +247,21 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
             }
         )
 
-    groups = packed(rows).groupBy("block").cogroup(answers.groupBy("block"))
+    groups = packed(rows).groupBy("lot").cogroup(answers.groupBy("lot"))
     return groups.applyInArrow(run, f"id {kinds}, n long, logp double")
 
 
+def _perplexities(docs: DataFrame, learned: DataFrame) -> DataFrame:
+    """(doc_id, lang, n_chars, perplexity) of rows (doc_id, text, lang) by the texts of the ids learned from."""
+    model = fit(likely_among(docs, "doc_id", learned).join(learned.hint("merge"), "doc_id", "left_semi").select("text"))
+    if model is None:
+        model = Model({k: _nothing(docs, "key long, p double") for k in range(1, ORDER + 1)}, {k: _nothing(docs, "context long, weight double") for k in range(2, ORDER + 1)}, 0.5)
+    sums = scored(docs.select(F.to_json(F.struct("doc_id", "lang")).alias("id"), "text"), model)
+    parsed = F.from_json("id", "doc_id long, lang string")
+    result = sums.select(parsed.alias("id"), "n", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
+    return stored(result.select("id.doc_id", "id.lang", F.col("n").alias("n_chars"), "perplexity"), "lm-scores")
+
+
 def classify(
     docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE
 ) -> DataFrame:
@@ -243,14 +280,8 @@ def classify(
     )
     ids = trusted.select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
     held_out = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
-    learned = ids.filter(~held_out | F.col("doc_id").isNull())
-    model = fit(likely_among(plain, "doc_id", learned).join(learned.hint("merge"), "doc_id", "left_semi").select("text"))
-    if model is None:
-        model = Model({k: _nothing(docs, "key long, p double") for k in range(1, ORDER + 1)}, {k: _nothing(docs, "context long, weight double") for k in range(2, ORDER + 1)}, 0.5)
-    sums = scored(plain.select(F.to_json(F.struct("doc_id", "lang")).alias("id"), "text"), model)
-    parsed = F.from_json("id", "doc_id long, lang string")
-    result = sums.select(parsed.alias("id"), "n", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
-    result = stored(result.select("id.doc_id", "id.lang", F.col("n").alias("n_chars"), "perplexity"), "lm-scores")
+    with shuffles_dropped(docs.sparkSession):
+        result = _perplexities(plain, ids.filter(~held_out | F.col("doc_id").isNull()))
     reference = result.join(ids.filter(held_out).hint("merge"), "doc_id", "left_semi").filter("perplexity is not null")
     by_lang = reference.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
     overall = reference.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("overall")).first()["overall"]

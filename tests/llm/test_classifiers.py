@@ -255,3 +255,36 @@ def test_perplexity_sees_four_characters_back(spark):
     trusted = spark.createDataFrame([(i,) for i in range(64)], "doc_id long")
     got = {r.doc_id: r.perplexity for r in perplexity.classify(df, trusted).collect()}
     assert got[100] < 0.8 * got[101]
+
+
+def test_blocks_of_a_lot_ask_once(monkeypatch):
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(perplexity, "BLOCK_BYTES", 20)
+    batches = [pa.RecordBatch.from_pydict({"id": [f"{k}{i}" for i in range(9)], "text": ["abc abd", "abd", None] * 3}) for k in range(4)]
+    for lot_bytes, lots in ((1 << 20, 1), (100, 2), (1, 8)):
+        monkeypatch.setattr(perplexity, "LOT_BYTES", lot_bytes)
+        asked = [r for part in perplexity.lot_keys(Rows())(iter(batches)) for r in part.to_pylist()]
+        bodies = [r["lot"] for part in perplexity.packed(Rows())(iter(batches)) for r in part.to_pylist()]
+        keys = set(perplexity.keys_of(batches[0].column("text"))[0].tolist())
+        assert {r["lot"] for r in asked} == set(bodies) and len(set(bodies)) >= lots
+        assert len(asked) == len({(r["lot"], r["key"]) for r in asked}) and {r["key"] for r in asked} == keys
+        assert lots > 1 or len(asked) == len(keys)
+
+
+def test_perplexity_leaves_no_shuffle_files(spark):
+    def files():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        found = manager.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    docs = spark.createDataFrame([(i, f"abc abd {i}", "l") for i in range(40)], "doc_id long, text string, lang string")
+    before, setting = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(setting)
+    found = perplexity.classify(docs, spark.createDataFrame([(i,) for i in range(30)], "doc_id long"))
+    # One small shuffle is left: the quantile over all languages.
+    assert len({name.split("_")[1] for name in files() - before}) <= 3
+    assert spark.conf.get(setting) == kept
+    assert found.count() == 40
